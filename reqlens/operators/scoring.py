@@ -1,0 +1,12 @@
+"""Scoring operators (filled below)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def timing_sum(timings: DataFrame) -> DataFrame:
+    """A4/M8: time and token count summed per sample."""
+    return timings.groupBy("original_index").agg(
+        F.sum("time_taken").alias("time_taken"), F.sum("tokens_count").cast("long").alias("tokens_count"))
