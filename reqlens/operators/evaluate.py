@@ -107,9 +107,12 @@ def threshold_sweep(joined: DataFrame, params: DataFrame, metric: str = "loss",
     """
     grid = params.select(F.array_sort(F.collect_list(F.col("threshold_offset").cast("double")))).scalar()
     s = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
-    per_row = joined.select(_bucket(s, grid).alias("b"), is_normal().alias("n"))
+    # Scalar subqueries cannot sit inside a lambda: project them first.
+    per_row = joined.withColumn("__grid", grid).select(_bucket(s, F.col("__grid")).alias("b"),
+                                                       is_normal().alias("n"))
     counts = per_row.groupBy("b").agg(F.count_if("n").alias("n_norm"), F.count_if(~F.col("n")).alias("n_anom"))
-    keyed = params.withColumn("b", F.size(F.filter(grid, lambda x: x <= F.col("threshold_offset"))))
+    keyed = params.withColumn("__grid", grid) \
+        .withColumn("b", F.size(F.filter("__grid", lambda x: x <= F.col("threshold_offset")))).drop("__grid")
     cols = PARAM_COLUMNS
     stacked = counts.select("b", "n_norm", "n_anom", F.lit(False).alias("is_param"),
                             *[F.lit(None).alias(c) for c in cols]) \
@@ -147,15 +150,17 @@ def error_indexes(joined: DataFrame, params: DataFrame, metric: str = "loss") ->
     parameters it is an error for (a contiguous range of the sorted grid); the
     output size is the answer's size, no pairs are built beyond it."""
     grid = params.select(F.array_sort(F.collect_list(F.col("threshold_offset").cast("double")))).scalar()
-    plist = params.select(F.collect_list(F.struct(
+    plist = params.withColumn("__grid", grid).select(F.collect_list(F.struct(
         F.col("param_id"),
-        F.size(F.filter(grid, lambda x: x <= F.col("threshold_offset"))).alias("k")))).scalar()
+        F.size(F.filter("__grid", lambda x: x <= F.col("threshold_offset"))).alias("k")))).scalar()
     s = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
-    b = _bucket(s, grid)
     normal = is_normal()
-    hits = F.when(normal, F.filter(plist, lambda p: p["k"] <= b)) \
-        .otherwise(F.filter(plist, lambda p: p["k"] > b))
-    return joined.select(
+    rows = joined.withColumn("__grid", grid).withColumn("__plist", plist) \
+        .withColumn("__b", _bucket(s, F.col("__grid")))
+    b = F.col("__b")
+    hits = F.when(normal, F.filter("__plist", lambda p: p["k"] <= b)) \
+        .otherwise(F.filter("__plist", lambda p: p["k"] > b))
+    return rows.select(
         "original_index", F.when(normal, F.lit("fp")).otherwise(F.lit("fn")).alias("kind"),
         F.explode(hits).alias("p")).select(F.col("p.param_id").alias("param_id"), "kind", "original_index")
 

@@ -45,7 +45,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
     """Add ``<c>_before`` = sum of ``c`` over all rows whose ``order_col`` is
     strictly smaller. ``order_col`` must be unique (pre-aggregate first)."""
     cuts = bucket_cuts(df, order_col, n_buckets)
-    b = df.withColumn("__bucket", bucket_of(F.col(order_col).cast("double"), cuts))
+    # A scalar subquery cannot sit inside a lambda: project it first.
+    b = df.withColumn("__cuts", cuts) \
+        .withColumn("__bucket", bucket_of(F.col(order_col).cast("double"), F.col("__cuts"))).drop("__cuts")
     totals = b.groupBy("__bucket").agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
     # Bounded table (<= n_buckets rows): a window over it is cheap.
     w_all = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -50,13 +50,12 @@ def errors_at_threshold(joined: DataFrame, threshold, metric: str = "loss"):
     return fn, fp
 
 
-def class_fn_rates_multi(truth: DataFrame, models: list[tuple[str, DataFrame, object]],
-                         metric: str = "loss") -> DataFrame:
+def class_fn_rates_multi(truth: DataFrame, models: list[tuple[str, DataFrame, object, str]]) -> DataFrame:
     """Per-class FN rates for several models, each at its estimated
     threshold; ``models`` holds (label, scored rows joined with truth,
-    threshold). Sorted by FN rate, highest first."""
+    threshold, metric). Sorted by FN rate, highest first."""
     out = None
-    for label, joined, thr in models:
+    for label, joined, thr, metric in models:
         fn, fp = errors_at_threshold(joined, thr, metric)
         part = class_fn_rates(truth, fn, fp).withColumn("model", F.lit(label))
         out = part if out is None else out.unionByName(part)

@@ -41,8 +41,9 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float],
     g = prefix_sums(counts, "v", ["c"], n_buckets)
     h = [(n - 1) * F.lit(float(q)) for q in qs]
     ranks = F.array(*[F.floor(e) for e in h], *[F.ceil(e) for e in h])
-    hits = g.select("v", F.explode(F.filter(ranks, lambda r: (r >= F.col("c_before"))
-                                            & (r < F.col("c_before") + F.col("c")))).alias("r"))
+    hits = g.withColumn("__ranks", ranks).select(
+        "v", F.explode(F.filter("__ranks", lambda r: (r >= F.col("c_before"))
+                                & (r < F.col("c_before") + F.col("c")))).alias("r"))
     hits = hits.dropDuplicates(["r"])
     rows = []
     for q, e in zip(qs, h):

@@ -147,8 +147,9 @@ def q_threshold_percentile(spark, sf_dir):
 
 
 @register("percentile_profile", osql("""
-select cast(p as integer) as percentile, round(quantile_cont(loss, p / 100.0), 6) as value
-from joined cross join (values (25), (50), (75), (95), (99)) t(p) where anomalous = 0 group by p"""))
+select cast(p as integer) as percentile, round(v, 6) as value from (
+  select unnest([25, 50, 75, 95, 99]) as p, unnest(q) as v
+  from (select quantile_cont(loss, [0.25, 0.5, 0.75, 0.95, 0.99]) as q from joined where anomalous = 0) a) b"""))
 def q_percentile_profile(spark, sf_dir):
     j = joined(spark, sf_dir).filter(F.col("anomalous") == 0)
     return th.percentile_profile(j, "loss").select("percentile", F.round("value", 6).alias("value"))
@@ -416,7 +417,7 @@ group by ano_class having count(*) filter (where not ({metric} > threshold)) / c
     extra=[JOINED, _est("loss"), _est("perplexity")]))
 def q_class_fn_rates_multi(spark, sf_dir):
     j = joined(spark, sf_dir)
-    models = [(m, j, estimated(spark, sf_dir, m).select("threshold").scalar()) for m in ("loss", "perplexity")]
+    models = [(m, j, estimated(spark, sf_dir, m).select("threshold").scalar(), m) for m in ("loss", "perplexity")]
     return rp.class_fn_rates_multi(fx.requests(spark, sf_dir), models) \
         .select("model", "ano_class", "total", "fn_count", "fp_count", "fn_rate")
 
