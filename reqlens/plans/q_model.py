@@ -1 +1,280 @@
-"""Query keys (filled in as operators land)."""
+"""Query keys for tokens and the count language model (T3-T6, T9, T10, W4,
+W5, J6, M1-M3, M7, A3, A18) and the flagship pipeline (R13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reqlens.operators import lm
+from reqlens.operators import split as sp
+from reqlens.operators import tokens as tk
+from reqlens.plans.catalog import register
+from reqlens.plans.oracle import with_views
+from reqlens.plans.q_split import SPLIT_SQL
+from reqlens.sources import fixtures as fx
+
+PATTERN_SQL = r"'[A-Za-z0-9]+|[^A-Za-z0-9\s]'"
+
+# ---------------------------------------------------------------- spark side
+
+
+def splits(spark, sf_dir):
+    s = sp.stratified_split(fx.requests(spark, sf_dir))
+    return s.select("original_index", "anomalous", "ano_class", "request", "split")
+
+
+def model(spark, sf_dir):
+    s = splits(spark, sf_dir)
+    return lm.fit(s.filter((F.col("split") == "train") & (F.col("anomalous") == 0)))
+
+
+def test_set(spark, sf_dir):
+    return splits(spark, sf_dir).filter(F.col("split") == "test")
+
+
+# ---------------------------------------------------------------- oracle side
+
+LM_VIEWS = [
+    SPLIT_SQL,
+    ("sp", "select s.original_index, s.anomalous, s.split, r.request from split s join requests r "
+           "on s.original_index = r.original_index"),
+    ("tk", f"select original_index, split, anomalous, regexp_extract_all(request, {PATTERN_SQL})[1:510] as toks from sp"),
+    ("lt", """select original_index, split, anomalous, i as pos, toks[i] as tok,
+  case when i = 1 then '[CLS]' else toks[i - 1] end as prev,
+  case when i = len(toks) then '[SEP]' else toks[i + 1] end as nxt
+  from (select *, unnest(range(1, len(toks) + 1)) as i from tk) x"""),
+    ("trn", "select * from lt where split = 'train' and anomalous = 0"),
+    ("uni", "select tok, count(*) as c from trn group by tok"),
+    ("bi", "select prev, tok, count(*) as c from trn group by prev, tok"),
+    ("ctx", "select prev, tok, nxt, count(*) as c from trn group by prev, tok, nxt"),
+    ("nv", "select cast(sum(c) as double) as n, cast(count(*) as double) as v from uni"),
+    ("ca", "select prev, sum(c) as c_a from bi group by prev"),
+    ("cab", "select prev, nxt, sum(c) as c_ab from ctx group by prev, nxt"),
+    ("probs", """select l.original_index, l.split, l.anomalous, l.pos, l.tok,
+  (coalesce(u.c, 0) + 1.0) / (nv.n + (nv.v + 1)) as p1,
+  case when coalesce(ca.c_a, 0) > 0 then 0.7 * cast(coalesce(b.c, 0) as double) / ca.c_a
+       + 0.3 * ((coalesce(u.c, 0) + 1.0) / (nv.n + (nv.v + 1)))
+       else (coalesce(u.c, 0) + 1.0) / (nv.n + (nv.v + 1)) end as p_bi,
+  x.c as c_atb, cab.c_ab
+  from lt l cross join nv left join uni u on u.tok = l.tok
+  left join bi b on b.prev = l.prev and b.tok = l.tok left join ca on ca.prev = l.prev
+  left join ctx x on x.prev = l.prev and x.tok = l.tok and x.nxt = l.nxt
+  left join cab on cab.prev = l.prev and cab.nxt = l.nxt"""),
+    ("causal_tok", "select original_index, split, anomalous, pos, tok, -ln(p_bi) as nll from probs where pos >= 2"),
+    ("masked_tok", """select original_index, split, anomalous, pos, tok,
+  -ln(case when coalesce(c_ab, 0) > 0 then 0.7 * cast(coalesce(c_atb, 0) as double) / c_ab + 0.3 * p_bi else p_bi end) as nll
+  from probs"""),
+    ("causal_scores", """select s.original_index, s.split, s.anomalous,
+  coalesce(sum(t.nll), 0) / (count(t.nll) + 1e-9) as loss from sp s
+  left join causal_tok t on t.original_index = s.original_index group by s.original_index, s.split, s.anomalous"""),
+    ("passes", """select s.original_index, s.split, s.anomalous, sh.shift_index,
+  case when count(t.nll) > 0 then sum(t.nll) / count(t.nll) else 0.0 end as loss
+  from sp s cross join (select unnest(range(0, 5)) as shift_index) sh
+  left join masked_tok t on t.original_index = s.original_index and t.pos % 5 = sh.shift_index
+  group by s.original_index, s.split, s.anomalous, sh.shift_index"""),
+    ("masked_scores", """select original_index, split, anomalous, avg(loss) as loss, avg(exp(loss)) as perplexity
+  from passes group by original_index, split, anomalous"""),
+]
+
+
+def osql(body, *extra):
+    return with_views(body, "split_keys", "requests", extra=LM_VIEWS + list(extra))
+
+
+# ---------------------------------------------------------------- queries
+
+
+@register("tokenize_truncate", with_views(f"""
+select original_index, len(regexp_extract_all(request, {PATTERN_SQL})) as n_total,
+  regexp_extract_all(request, {PATTERN_SQL})[1:510] as tokens from doc_requests""", "doc_requests"))
+def q_tokenize_truncate(spark, sf_dir):
+    """T3 on the long document texts: the whole text is tokenised
+    (``n_total``) and the sequence truncated to the 512-position window."""
+    return tk.tokenize(fx.doc_requests(spark, sf_dir)).select(
+        "original_index", F.col("n_total").cast("long").alias("n_total"), "tokens")
+
+
+def _seq_sql(src="doc_requests"):
+    return ("seq", f"""select original_index,
+  list_concat(['[CLS]'], regexp_extract_all(request, {PATTERN_SQL})[1:510], ['[SEP]'],
+              list_transform(range(0, greatest(510 - len(regexp_extract_all(request, {PATTERN_SQL})[1:510]), 0)), lambda x: '[PAD]')) as seq
+  from {src}""")
+
+
+@register("special_mask", with_views("""
+select original_index,
+  list_transform(seq, lambda x: cast(list_contains(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], x) as integer)) as special_tokens_mask,
+  list_transform(seq, lambda x: cast(x <> '[PAD]' as integer)) as attention_mask from seq""",
+    "doc_requests", extra=[_seq_sql()]))
+def q_special_mask(spark, sf_dir):
+    t = tk.tokenize(fx.doc_requests(spark, sf_dir)).withColumn("seq", tk.padded())
+    return t.select("original_index", tk.special_mask(F.col("seq")).alias("special_tokens_mask"),
+                    tk.attention_mask(F.col("seq")).alias("attention_mask"))
+
+
+@register("token_counts", with_views("""
+select original_index, cast(len(list_filter(seq, lambda x: x <> '[PAD]')) as integer) as tokens_count from seq""",
+    "doc_requests", extra=[_seq_sql()]))
+def q_token_counts(spark, sf_dir):
+    t = tk.tokenize(fx.doc_requests(spark, sf_dir)).withColumn("seq", tk.padded())
+    return t.select("original_index", tk.token_count(tk.attention_mask(F.col("seq"))).alias("tokens_count"))
+
+
+@register("stride_expand", with_views(
+    "select original_index, shift_index from requests cross join (select cast(unnest(range(0, 5)) as integer) as shift_index) s",
+    "requests"))
+def q_stride_expand(spark, sf_dir):
+    return tk.stride_expand(fx.requests(spark, sf_dir).select("original_index"), 5)
+
+
+@register("stride_mask", with_views("""
+select original_index, shift_index,
+  list_transform(generate_series(0, len(seq) - 1), lambda i: case when i % 5 = shift_index
+      and not list_contains(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], seq[i + 1]) then '[MASK]' else seq[i + 1] end) as masked,
+  cast(len(list_filter(generate_series(0, len(seq) - 1), lambda i: i % 5 = shift_index
+      and not list_contains(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], seq[i + 1]))) as integer) as n_masked
+from seq cross join (select cast(unnest(range(0, 5)) as integer) as shift_index) s""",
+    "requests", extra=[_seq_sql("requests")]))
+def q_stride_mask(spark, sf_dir):
+    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
+    t = tk.stride_expand(t.select("original_index", "seq"), 5)
+    masked, flags = tk.stride_mask(F.col("seq"), 5, F.col("shift_index"))
+    return t.select("original_index", "shift_index", masked.alias("masked"),
+                    F.aggregate(flags, F.lit(0), lambda a, x: a + x).alias("n_masked"))
+
+
+@register("causal_labels", with_views("""
+select original_index, list_transform(ids, lambda x: case when x = 0 then -100 else x end) as labels from (
+  select original_index, list_transform(seq, lambda x: case x when '[PAD]' then 0 when '[CLS]' then 2 when '[SEP]' then 3
+         else cast(5 + len(x) as integer) end) as ids from seq) s""", "requests", extra=[_seq_sql("requests")]))
+def q_causal_labels(spark, sf_dir):
+    """T10 on id sequences (ids here: specials 0..4, others ``5 + length``,
+    a stand-in vocabulary that needs no fitted table)."""
+    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
+    ids = F.transform("seq", lambda x: F.when(x == tk.PAD, 0).when(x == tk.CLS, 2).when(x == tk.SEP, 3)
+                      .otherwise(F.length(x) + 5))
+    return t.select("original_index", tk.causal_labels(ids).alias("labels"))
+
+
+@register("random_mask")
+def q_random_mask(spark, sf_dir):
+    """Seeded 30 % masking of the request tokens (the source's training
+    mask; mask token only). Rows-only check: the md5-derived uniform is the
+    same in any engine, but DuckDB lacks ``conv``."""
+    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request"))
+    return t.select("original_index", tk.random_mask(F.col("tokens"), F.col("original_index"), 0.30, 42).alias("masked"))
+
+
+@register("next_token_pairs", osql("select original_index, pos, prev, tok from lt where split = 'test' and pos >= 2"))
+def q_next_token_pairs(spark, sf_dir):
+    """(previous token, token) pairs of the test split."""
+    rows = lm.long_tokens(test_set(spark, sf_dir)).filter(F.col("pos") >= 2)
+    return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), "prev", "tok")
+
+
+@register("lm_fit_unigram", osql("select tok, c from uni"))
+def q_lm_fit_unigram(spark, sf_dir):
+    return model(spark, sf_dir).unigram
+
+
+@register("lm_fit_bigram", osql("select prev, tok, c from bi"))
+def q_lm_fit_bigram(spark, sf_dir):
+    return model(spark, sf_dir).bigram
+
+
+@register("lm_fit_context", osql("select prev, tok, nxt, c from ctx"))
+def q_lm_fit_context(spark, sf_dir):
+    return model(spark, sf_dir).context
+
+
+@register("sample_loss", osql("""
+select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores where split = 'test'"""))
+def q_sample_loss(spark, sf_dir):
+    """A18 (causal): per-request loss from token losses."""
+    t = test_set(spark, sf_dir)
+    s = lm.sample_loss_causal(t, lm.causal_token_nll(model(spark, sf_dir), t))
+    return s.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@register("score_causal", osql("""
+select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores
+where split in ('eval', 'test')"""))
+def q_score_causal(spark, sf_dir):
+    s = splits(spark, sf_dir).filter(F.col("split").isin("eval", "test"))
+    out = lm.score_causal(model(spark, sf_dir), s)
+    return out.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@register("causal_align", osql("""
+select original_index, list_concat([0.0], list(round(nll, 6) order by pos)) as losses
+from causal_tok where split = 'test' group by original_index"""))
+def q_causal_align(spark, sf_dir):
+    """Per-request loss arrays, first token padded with 0."""
+    t = test_set(spark, sf_dir)
+    nll = lm.causal_token_nll(model(spark, sf_dir), t)
+    arr = nll.groupBy("original_index").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.round("nll", 6).alias("nll")))).alias("a"))
+    return arr.select("original_index", tk.causal_align(F.col("a.nll")).alias("losses"))
+
+
+@register("stride_mean", osql("""
+select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores
+where split = 'test'"""))
+def q_stride_mean(spark, sf_dir):
+    t = test_set(spark, sf_dir)
+    p = lm.pass_losses(t, lm.masked_token_nll(model(spark, sf_dir), t, 5), 5)
+    m = lm.stride_mean(p)
+    return m.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@register("score_masked_strided", osql("""
+select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores
+where split in ('eval', 'test')"""))
+def q_score_masked_strided(spark, sf_dir):
+    s = splits(spark, sf_dir).filter(F.col("split").isin("eval", "test"))
+    out = lm.score_masked_strided(model(spark, sf_dir), s, 5)
+    return out.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@register("lm_finetune_counts", osql("""
+select tok, sum(c) as c from (select tok, cast(c as double) as c from uni
+  union all select tok, cast(count(*) as double) from lt where split = 'eval' group by tok) u group by tok"""))
+def q_lm_finetune_counts(spark, sf_dir):
+    """M7: base model counts plus the counts of new data (the eval split)."""
+    base = model(spark, sf_dir)
+    tuned = lm.finetune(base, splits(spark, sf_dir).filter(F.col("split") == "eval"))
+    return tuned.unigram
+
+
+def _pipeline_sql() -> str:
+    te = ("te", """select 'causal' as model, original_index, anomalous, loss from causal_scores where split = 'test'
+  union all select 'masked', original_index, anomalous, loss from masked_scores where split = 'test'""")
+    est = ("est", """select 'causal' as model, avg(loss) + 0.5 * stddev_pop(loss) as threshold from causal_scores
+  where split = 'eval' union all
+  select 'masked', avg(loss) + 0.5 * stddev_pop(loss) from masked_scores where split = 'eval'""")
+    cnt = ("cnt", """select te.model, max(e.threshold) as threshold,
+  count(*) filter (where loss > threshold and anomalous <> 0) as tp,
+  count(*) filter (where loss > threshold and anomalous = 0) as fp,
+  count(*) filter (where not (loss > threshold) and anomalous <> 0) as fn,
+  count(*) filter (where not (loss > threshold) and anomalous = 0) as tn
+  from te join est e on e.model = te.model group by te.model""")
+    auc = ("auc", """select model, sum(pos * (neg_before + neg / 2.0)) / (max(p) * max(n)) as auc_roc from (
+  select model, pos, neg,
+    coalesce(sum(neg) over (partition by model order by score rows between unbounded preceding and 1 preceding), 0) as neg_before,
+    cast(sum(pos) over (partition by model) as double) as p, cast(sum(neg) over (partition by model) as double) as n
+  from (select model, loss as score, count(*) filter (where anomalous = 1) as pos,
+               count(*) filter (where anomalous = 0) as neg from te group by model, loss) g) c group by model""")
+    return osql("""
+select c.model, round(c.threshold, 6) as threshold, c.tp as true_positives, c.fp as false_positives,
+  c.fn as false_negatives, c.tn as true_negatives,
+  round(2.0 * c.tp / (2 * c.tp + c.fp + c.fn), 6) as f1, round(a.auc_roc, 6) as auc_roc
+from cnt c join auc a on a.model = c.model""", te, est, cnt, auc)
+
+
+@register("pipeline_report", _pipeline_sql())
+def q_pipeline_report(spark, sf_dir):
+    """R13 flagship: rebuild -> split -> fit -> score -> threshold -> evaluate
+    (relabel stage off: the configuration the regression values hold for)."""
+    from reqlens.plans.pipeline import PipelineConfig, run
+    cfg = PipelineConfig(stages=("split", "fit", "score", "threshold", "evaluate"))
+    return run(spark, fx.requests(spark, sf_dir), cfg)
