@@ -18,7 +18,7 @@ from reqlens.sources import readers
 
 
 def joined(spark, sf_dir):
-    return ev.join_pred_truth(fx.predictions(spark, sf_dir), fx.requests(spark, sf_dir))
+    return ev.join_pred_truth(fx.predictions(spark, sf_dir), fx.request_table(spark, sf_dir))
 
 
 def estimated(spark, sf_dir, metric="loss", k=0.5):
@@ -31,10 +31,16 @@ def params(spark, sf_dir, metric="loss"):
     return ev.param_grid(spark, estimated(spark, sf_dir, metric), metric=metric)
 
 
-def evals(spark, sf_dir, metric="loss"):
+def sweep(spark, sf_dir, metric="loss"):
     return ev.threshold_sweep(joined(spark, sf_dir), params(spark, sf_dir, metric), metric)
 
 
+def evals(spark, sf_dir, metric="loss"):
+    """The stored evaluation table (K6), as the report functions read it."""
+    from reqlens.sources.stage import stage_table
+    return stage_table(spark, ("evals", sf_dir, metric), lambda: sweep(spark, sf_dir, metric))
+
+
 # ---------------------------------------------------------------- oracle side
 
 JOINED = ("joined", "select p.original_index, p.loss, p.perplexity, r.anomalous, r.ano_class "
@@ -201,14 +207,14 @@ def q_rolling_std_threshold(spark, sf_dir):
 
 @register("threshold_sweep", osql(f"select {EVAL_COLS} from evals_loss"))
 def q_threshold_sweep(spark, sf_dir):
-    return evals(spark, sf_dir)
+    return sweep(spark, sf_dir)
 
 
 @register("param_cross_join", osql(f"select {EVAL_COLS} from evals_perplexity", metric="perplexity"))
 def q_param_cross_join(spark, sf_dir):
     """Every parameter set against every prediction, via the one-pass
     bucket sweep (no row x parameter product is built)."""
-    return evals(spark, sf_dir, "perplexity")
+    return sweep(spark, sf_dir, "perplexity")
 
 
 @register("error_indexes", osql("""
@@ -383,8 +389,8 @@ def q_scan_evaluations(spark, sf_dir):
     from reqlens.plans.q_requests import scratch_path
     from reqlens.sources.sinks import write_evaluations
     p1, p2, missing = (scratch_path(spark, n) for n in ("eval-loss", "eval-ppl", "eval-missing"))
-    write_evaluations(evals(spark, sf_dir), p1)
-    write_evaluations(evals(spark, sf_dir, "perplexity"), p2)
+    write_evaluations(sweep(spark, sf_dir), p1)
+    write_evaluations(sweep(spark, sf_dir, "perplexity"), p2)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         both = readers.read_evaluations(spark, [p1, missing, p2], ["loss", "missing", "perplexity"])
@@ -400,7 +406,7 @@ def q_class_fn_rates(spark, sf_dir):
     j = joined(spark, sf_dir)
     t = estimated(spark, sf_dir).select("threshold").scalar()
     fn, fp = rp.errors_at_threshold(j, t)
-    return rp.class_fn_rates(fx.requests(spark, sf_dir), fn, fp).withColumn("fn_rate", F.round("fn_rate", 6))
+    return rp.class_fn_rates(fx.request_table(spark, sf_dir), fn, fp).withColumn("fn_rate", F.round("fn_rate", 6))
 
 
 def _fn_rates_sql(metric):
@@ -418,7 +424,7 @@ group by ano_class having count(*) filter (where not ({metric} > threshold)) / c
 def q_class_fn_rates_multi(spark, sf_dir):
     j = joined(spark, sf_dir)
     models = [(m, j, estimated(spark, sf_dir, m).select("threshold").scalar(), m) for m in ("loss", "perplexity")]
-    return rp.class_fn_rates_multi(fx.requests(spark, sf_dir), models) \
+    return rp.class_fn_rates_multi(fx.request_table(spark, sf_dir), models) \
         .select("model", "ano_class", "total", "fn_count", "fp_count", "fn_rate")
 
 

@@ -19,15 +19,28 @@ PATTERN_SQL = r"'[A-Za-z0-9]+|[^A-Za-z0-9\s]'"
 
 
 def splits(spark, sf_dir):
-    s = sp.stratified_split(fx.requests(spark, sf_dir))
-    return s.select("original_index", "anomalous", "ano_class", "request", "split")
+    from reqlens.plans.q_split import stored_splits
+    return stored_splits(spark, sf_dir).select("original_index", "anomalous", "ano_class", "request", "split")
 
 
-def model(spark, sf_dir):
+def fit_model(spark, sf_dir):
     s = splits(spark, sf_dir)
     return lm.fit(s.filter((F.col("split") == "train") & (F.col("anomalous") == 0)))
 
 
+def model(spark, sf_dir):
+    """The stored count model (K8) that scoring reads."""
+    from reqlens.sources.stage import stage_table
+    fitted = {}
+
+    def build(name):
+        if "m" not in fitted:
+            fitted["m"] = fit_model(spark, sf_dir)
+        return getattr(fitted["m"], name)
+    return lm.CountModel(*(stage_table(spark, ("model", sf_dir, n), lambda n=n: build(n))
+                           for n in ("unigram", "bigram", "context")))
+
+
 def test_set(spark, sf_dir):
     return splits(spark, sf_dir).filter(F.col("split") == "test")
 
@@ -124,7 +137,7 @@ def q_token_counts(spark, sf_dir):
     "select original_index, shift_index from requests cross join (select cast(unnest(range(0, 5)) as integer) as shift_index) s",
     "requests"))
 def q_stride_expand(spark, sf_dir):
-    return tk.stride_expand(fx.requests(spark, sf_dir).select("original_index"), 5)
+    return tk.stride_expand(fx.request_table(spark, sf_dir).select("original_index"), 5)
 
 
 @register("stride_mask", with_views("""
@@ -136,7 +149,7 @@ select original_index, shift_index,
 from seq cross join (select cast(unnest(range(0, 5)) as integer) as shift_index) s""",
     "requests", extra=[_seq_sql("requests")]))
 def q_stride_mask(spark, sf_dir):
-    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
+    t = tk.tokenize(fx.request_table(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
     t = tk.stride_expand(t.select("original_index", "seq"), 5)
     masked, flags = tk.stride_mask(F.col("seq"), 5, F.col("shift_index"))
     return t.select("original_index", "shift_index", masked.alias("masked"),
@@ -150,7 +163,7 @@ select original_index, list_transform(ids, lambda x: case when x = 0 then -100 e
 def q_causal_labels(spark, sf_dir):
     """T10 on id sequences (ids here: specials 0..4, others ``5 + length``,
     a stand-in vocabulary that needs no fitted table)."""
-    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
+    t = tk.tokenize(fx.request_table(spark, sf_dir).select("original_index", "request")).withColumn("seq", tk.padded())
     ids = F.transform("seq", lambda x: F.when(x == tk.PAD, 0).when(x == tk.CLS, 2).when(x == tk.SEP, 3)
                       .otherwise(F.length(x) + 5))
     return t.select("original_index", tk.causal_labels(ids).alias("labels"))
@@ -161,7 +174,7 @@ def q_random_mask(spark, sf_dir):
     """Seeded 30 % masking of the request tokens (the source's training
     mask; mask token only). Rows-only check: the md5-derived uniform is the
     same in any engine, but DuckDB lacks ``conv``."""
-    t = tk.tokenize(fx.requests(spark, sf_dir).select("original_index", "request"))
+    t = tk.tokenize(fx.request_table(spark, sf_dir).select("original_index", "request"))
     return t.select("original_index", tk.random_mask(F.col("tokens"), F.col("original_index"), 0.30, 42).alias("masked"))
 
 
@@ -174,17 +187,17 @@ def q_next_token_pairs(spark, sf_dir):
 
 @register("lm_fit_unigram", osql("select tok, c from uni"))
 def q_lm_fit_unigram(spark, sf_dir):
-    return model(spark, sf_dir).unigram
+    return fit_model(spark, sf_dir).unigram
 
 
 @register("lm_fit_bigram", osql("select prev, tok, c from bi"))
 def q_lm_fit_bigram(spark, sf_dir):
-    return model(spark, sf_dir).bigram
+    return fit_model(spark, sf_dir).bigram
 
 
 @register("lm_fit_context", osql("select prev, tok, nxt, c from ctx"))
 def q_lm_fit_context(spark, sf_dir):
-    return model(spark, sf_dir).context
+    return fit_model(spark, sf_dir).context
 
 
 @register("sample_loss", osql("""
@@ -241,7 +254,7 @@ select tok, sum(c) as c from (select tok, cast(c as double) as c from uni
   union all select tok, cast(count(*) as double) from lt where split = 'eval' group by tok) u group by tok"""))
 def q_lm_finetune_counts(spark, sf_dir):
     """M7: base model counts plus the counts of new data (the eval split)."""
-    base = model(spark, sf_dir)
+    base = fit_model(spark, sf_dir)
     tuned = lm.finetune(base, splits(spark, sf_dir).filter(F.col("split") == "eval"))
     return tuned.unigram
 

@@ -67,19 +67,19 @@ def q_assign_index(spark, sf_dir):
 
 @register("pattern_any", with_views(f"select original_index, {_lit_any_sql()} as hit from requests", "requests"))
 def q_pattern_any(spark, sf_dir):
-    return fx.requests(spark, sf_dir).select("original_index", rules.literal_hit().alias("hit"))
+    return fx.request_table(spark, sf_dir).select("original_index", rules.literal_hit().alias("hit"))
 
 
 @register("pattern_regex", with_views(f"select original_index, {_regex_any_sql()} as hit from requests", "requests"))
 def q_pattern_regex(spark, sf_dir):
-    return fx.requests(spark, sf_dir).select("original_index", rules.regex_hit().alias("hit"))
+    return fx.request_table(spark, sf_dir).select("original_index", rules.regex_hit().alias("hit"))
 
 
 @register("relabel_by_pattern", with_views(
     "select original_index, anomalous, ano_class, relabelled from relabelled", "requests",
     extra=[("relabelled", RELABELLED_SQL)]))
 def q_relabel_by_pattern(spark, sf_dir):
-    return rules.relabel(fx.requests(spark, sf_dir)).select(
+    return rules.relabel(fx.request_table(spark, sf_dir)).select(
         "original_index", "anomalous", "ano_class", "relabelled")
 
 
@@ -88,7 +88,7 @@ def q_relabel_by_pattern(spark, sf_dir):
     "(select original_index from relabelled where relabelled)", "requests",
     extra=[("relabelled", RELABELLED_SQL)]))
 def q_mislabeled_semi_join(spark, sf_dir):
-    req = fx.requests(spark, sf_dir)
+    req = fx.request_table(spark, sf_dir)
     idx = rules.mislabeled_indexes(rules.relabel(req))
     return rules.mislabeled_rows(req, idx).select("original_index", "ano_class")
 
@@ -98,7 +98,7 @@ def q_mislabeled_semi_join(spark, sf_dir):
     "round(count(*) filter (where relabelled) / count(*), 6) as share from relabelled", "requests",
     extra=[("relabelled", RELABELLED_SQL)]))
 def q_relabel_summary(spark, sf_dir):
-    return rules.relabel_summary(rules.relabel(fx.requests(spark, sf_dir)))
+    return rules.relabel_summary(rules.relabel(fx.request_table(spark, sf_dir)))
 
 
 def _hit_counts_sql() -> str:
@@ -114,7 +114,7 @@ from requests cross join unnest([{regs}]) t(p) where regexp_matches(request, p)
 
 @register("pattern_hit_counts", _hit_counts_sql())
 def q_pattern_hit_counts(spark, sf_dir):
-    return rules.pattern_hit_counts(fx.requests(spark, sf_dir))
+    return rules.pattern_hit_counts(fx.request_table(spark, sf_dir))
 
 
 @register("class_counts", with_views(
@@ -122,7 +122,7 @@ def q_pattern_hit_counts(spark, sf_dir):
     "group by ano_class order by total desc", "requests"))
 def q_class_counts(spark, sf_dir):
     from reqlens.operators.report import class_counts
-    return class_counts(fx.requests(spark, sf_dir))
+    return class_counts(fx.request_table(spark, sf_dir))
 
 
 @register("label_filter", with_views("""
@@ -132,7 +132,7 @@ union all select original_index, 'anomalous_only' from requests where anomalous
 union all select original_index, 'drop_normal_class' from requests where ano_class <> 'normal' and ano_class is not null""",
     "requests"))
 def q_label_filter(spark, sf_dir):
-    req = fx.requests(spark, sf_dir)
+    req = fx.request_table(spark, sf_dir)
     out = None
     for mode in ("hide_anomalous", "hide_normal", "anomalous_only", "drop_normal_class"):
         part = rq.label_filter(req, mode).select("original_index", F.lit(mode).alias("mode"))
@@ -160,7 +160,7 @@ def q_positional_slice(spark, sf_dir):
     "from predictions p join requests r on p.original_index = r.original_index", "predictions", "requests"))
 def q_sample_category(spark, sf_dir):
     from reqlens.operators.evaluate import join_pred_truth
-    j = join_pred_truth(fx.predictions(spark, sf_dir), fx.requests(spark, sf_dir))
+    j = join_pred_truth(fx.predictions(spark, sf_dir), fx.request_table(spark, sf_dir))
     return j.select("original_index", rq.sample_category(True).alias("category"))
 
 

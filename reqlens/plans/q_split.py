@@ -12,7 +12,14 @@ from reqlens.sources import readers, sinks
 
 
 def split_table(spark, sf_dir):
-    return sp.stratified_split(fx.requests(spark, sf_dir))
+    return sp.stratified_split(fx.request_table(spark, sf_dir))
+
+
+def stored_splits(spark, sf_dir):
+    """The stored split table (K3)."""
+    from reqlens.sources.stage import stage_table
+    return stage_table(spark, ("splits", sf_dir), lambda: split_table(spark, sf_dir).select(
+        "original_index", "anomalous", "ano_class", "request", "shuffle_key", "split"))
 
 
 def _frac(split: str) -> str:
@@ -45,9 +52,9 @@ def q_stratified_split(spark, sf_dir):
     "select original_index from split_keys where original_index not in "
     "(select original_index from split where split = 'train')"))
 def q_split_anti_join(spark, sf_dir):
-    s = split_table(spark, sf_dir)
+    s = stored_splits(spark, sf_dir)
     train = s.filter(F.col("split") == "train")
-    return sp.split_anti_join(fx.requests(spark, sf_dir), train).select("original_index")
+    return sp.split_anti_join(fx.request_table(spark, sf_dir), train).select("original_index")
 
 
 @register("split_sizes", with_views(f"""
@@ -57,7 +64,7 @@ select anomalous as cls, count(*) as n,
   cast(floor({_frac('test')} * count(*)) as bigint) as n_test
 from requests group by anomalous""", "requests"))
 def q_split_sizes(spark, sf_dir):
-    return sp.split_sizes(fx.requests(spark, sf_dir))
+    return sp.split_sizes(fx.request_table(spark, sf_dir))
 
 
 @register("split_stats", osql("""
@@ -68,7 +75,7 @@ select split, count(*) as rows, count(*) filter (where anomalous = 0) as normal,
   round(count(*) filter (where anomalous = 1) / count(*), 6) as anomalous_share
 from split group by split"""))
 def q_split_stats(spark, sf_dir):
-    st = sp.split_stats(split_table(spark, sf_dir))
+    st = sp.split_stats(stored_splits(spark, sf_dir))
     return st.select("split", "rows", "normal", "anomalous",
                      *[F.round(c, 6).alias(c) for c in ("split_share", "normal_share", "anomalous_share")])
 
@@ -76,7 +83,7 @@ def q_split_stats(spark, sf_dir):
 @register("seeded_shuffle", with_views(
     "select original_index, shuffle_key from split_keys order by shuffle_key", "split_keys"))
 def q_seeded_shuffle(spark, sf_dir):
-    return fx.requests(spark, sf_dir).select("original_index", sp.shuffle_key(42).alias("shuffle_key")) \
+    return fx.request_table(spark, sf_dir).select("original_index", sp.shuffle_key(42).alias("shuffle_key")) \
         .orderBy("shuffle_key")
 
 

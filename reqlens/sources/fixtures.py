@@ -63,30 +63,39 @@ def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_index(df: DataFrame) -> DataFrame:
+    """Hash-distribute a per-request table on ``original_index``, the key of
+    every later join and per-request aggregate (what bucketing the stored
+    table by that key gives); row-level work after it runs on every core
+    even when the source is a single file split."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "original_index")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request table built by the P1-P4 operators from ``http_raw``."""
     from reqlens.operators.requests import preprocess
-    return preprocess(http_raw(spark, sf_dir), normal_col=FIXTURE_NORMAL_COLUMN,
-                      class_cols=FIXTURE_CLASS_COLUMNS)
+    return by_index(preprocess(http_raw(spark, sf_dir), normal_col=FIXTURE_NORMAL_COLUMN,
+                               class_cols=FIXTURE_CLASS_COLUMNS))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with ties for the threshold and evaluation operators."""
     ev = table(spark, sf_dir, "events")
     loss = F.col("value") / 500
-    return ev.select((F.col("event_id") + 1).alias("original_index"), loss.alias("loss"),
-                     F.exp(loss).alias("perplexity"))
+    return by_index(ev.select((F.col("event_id") + 1).alias("original_index"), loss.alias("loss"),
+                              F.exp(loss).alias("perplexity")))
 
 
 def doc_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long, messy texts as requests (tokenising, packing, text filters)."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return d.join(lab, "doc_id", "left").select(
+    return by_index(d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("original_index"),
         F.coalesce(F.col("toxic"), F.lit(0)).alias("anomalous"),
         F.col("source").alias("ano_class"),
-        F.col("text").alias("request"))
+        F.col("text").alias("request")))
 
 
 def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +120,10 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("original_index"),
                      (F.col("l_quantity") / 1000).alias("time_taken"),
                      F.col("l_linenumber").alias("tokens_count"))
+
+
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request table as stored after preprocessing (K1): built by the
+    P1-P4 operators once per session and read back by later stages."""
+    from reqlens.sources.stage import stage_table
+    return stage_table(spark, ("requests", sf_dir), lambda: requests(spark, sf_dir))
