@@ -309,3 +309,18 @@ def confusion_matrix(entry: DataFrame, normalize: bool = False) -> DataFrame:
     w = Window.partitionBy("actual")
     return long.select("actual", "predicted",
                        F.round(F.col("n") / F.sum("n").over(w), 6).alias("value"))
+
+
+def validation_report(joined: DataFrame, prefix: str = "eval_", digits: int = 6) -> DataFrame:
+    """Mean loss, per-label mean loss and perplexity (0 when a label is
+    absent) and the ROC AUC of the perplexity (NULL when a class is empty)."""
+    auc = auc_scores(joined, "perplexity").select("auc_roc").scalar()
+    lab = F.col("anomalous")
+    r = lambda c: F.round(c, digits)
+    return joined.agg(
+        r(F.avg("loss")).alias(f"{prefix}loss"),
+        r(F.coalesce(F.avg(F.when(lab == 0, F.col("loss"))), F.lit(0.0))).alias(f"{prefix}loss_normal"),
+        r(F.coalesce(F.avg(F.when(lab == 1, F.col("loss"))), F.lit(0.0))).alias(f"{prefix}loss_anomalous"),
+        r(F.coalesce(F.avg(F.when(lab == 0, F.col("perplexity"))), F.lit(0.0))).alias(f"{prefix}perplexity_normal"),
+        r(F.coalesce(F.avg(F.when(lab == 1, F.col("perplexity"))), F.lit(0.0))).alias(f"{prefix}perplexity_anomalous"),
+    ).withColumn(f"{prefix}auc_roc", r(auc))

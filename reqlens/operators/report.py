@@ -97,3 +97,23 @@ def eval_curves(evals: DataFrame, x_metric: str = "threshold_offset", y_metric:
     e = M.with_metrics(evals)
     return e.select("model", "param_id", F.col(x_metric).alias("x"), F.col(y_metric).alias("y"),
                     F.col("estimated").alias("is_marker"))
+
+
+def k_sweep(spark, eval_scored: DataFrame, test_scored: DataFrame, metric: str = "loss") -> DataFrame:
+    """For k = 0.01..1.99 step 0.02 the threshold ``mu + k*sigma`` of the
+    eval scores; FPR on the eval rows, F1 on the test rows. Both are one
+    bucketed threshold sweep each (A2), whatever the grid size."""
+    from reqlens.functions import metrics as M
+    from reqlens.operators.evaluate import k_grid, threshold_sweep
+    from reqlens.operators.threshold import gaussian_threshold
+    st = gaussian_threshold(eval_scored, metric, 0.0)
+    mu, sd = st.select("mu").scalar(), st.select("sigma").scalar()
+    ks = k_grid(spark).withColumn("param_id", (F.col("k") * 100).cast("long"))
+    params = ks.select("param_id", F.lit(3000).alias("window_size"),
+                       (mu + F.col("k") * sd).alias("threshold_offset"), F.lit(metric).alias("metric"),
+                       F.lit(True).alias("average_anomalies"), F.lit(False).alias("use_std_as_offset"),
+                       F.lit(0.0).alias("std_multiplier"), F.lit(True).alias("estimated"))
+    fpr = M.with_metrics(threshold_sweep(eval_scored, params, metric), ["fpr"]).select("param_id", "fpr")
+    f1 = M.with_metrics(threshold_sweep(test_scored, params, metric), ["f1"]).select("param_id", "f1")
+    return ks.join(fpr, "param_id").join(f1, "param_id").select(
+        "k", F.col("fpr").alias("FPR"), F.col("f1").alias("F1"))

@@ -1 +1,226 @@
-"""Query keys (filled in as operators land)."""
+"""Query keys for explanation (M4, M5, F3, F5-F9, T7, T8), logits (F4),
+index lists (F2), density (A21), validation report (A14), k sweep (R6),
+explaining errors (R12) and the plug-in scorer (M6, M8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reqlens.operators import evaluate as ev
+from reqlens.operators import explain as xp
+from reqlens.operators import lm
+from reqlens.operators import threshold as th
+from reqlens.plans.catalog import register
+from reqlens.plans.oracle import with_views
+from reqlens.plans.q_evaluate import joined
+from reqlens.plans.q_evaluate import osql as eval_osql
+from reqlens.plans.q_model import LM_VIEWS, model, splits
+from reqlens.plans.q_model import osql as lm_osql
+from reqlens.sources import fixtures as fx
+from reqlens.sources.tables import table
+
+
+def _test(spark, sf_dir):
+    return splits(spark, sf_dir).filter(F.col("split") == "test")
+
+
+CAUSAL_ROWS_SQL = ("xrows", """select original_index, pos, tok, nll from causal_tok where split = 'test'
+  union all select original_index, pos, tok, 0.0 from lt where split = 'test' and pos = 1""")
+
+MASKED_ROWS_SQL = ("xrows", """select original_index, pos, tok,
+  -ln(case when coalesce(c_ab, 0) > 0 then 0.7 * cast(coalesce(c_atb, 0) as double) / c_ab + 0.3 * p_bi else p_bi end) as nll
+  from probs where split = 'test'""")
+
+
+def _terminal_sql():
+    return """select original_index, round(avg(exp(-nll)), 6) as mean_prob,
+  replace(string_agg(chr(27) || '[38;2;255;' || cast(cast(round_even(exp(-nll) * 255, 0) as integer) as varchar)
+    || ';255m' || tok || chr(27) || '[0m', '' order by pos) || chr(27) || '[0m', 'Ġ', ' ') as explained
+from xrows group by original_index"""
+
+
+@register("explain_causal", lm_osql(_terminal_sql(), CAUSAL_ROWS_SQL))
+def q_explain_causal(spark, sf_dir):
+    """M5 over the whole test split: per-token probabilities, gradient
+    colours, terminal markup and the mean probability of real tokens."""
+    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    out = xp.explain(rows, "terminal")
+    return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "explained")
+
+
+@register("explain_masked", lm_osql(_terminal_sql(), MASKED_ROWS_SQL))
+def q_explain_masked(spark, sf_dir):
+    """M4 over the whole test split (one masked position per token, T7/T8)."""
+    rows = xp.masked_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    out = xp.explain(rows, "terminal")
+    return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "explained")
+
+
+@register("single_position_rows", lm_osql(
+    "select original_index, pos, tok, round(nll, 6) as nll from xrows", MASKED_ROWS_SQL))
+def q_single_position_rows(spark, sf_dir):
+    """One row per explained (masked) position with its loss."""
+    rows = xp.masked_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), "tok",
+                       F.round("nll", 6).alias("nll"))
+
+
+@register("token_probability", lm_osql(
+    "select original_index, pos, round(exp(-nll), 6) as prob from xrows", CAUSAL_ROWS_SQL))
+def q_token_probability(spark, sf_dir):
+    """``exp(-loss)`` per token."""
+    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir)))
+    return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), F.round("prob", 6).alias("prob"))
+
+
+@register("explain_gradient", lm_osql("""
+select original_index, pos, lpad(lower(hex(cast(round_even(exp(-nll) * 255, 0) as integer))), 2, '0') as normal_hex,
+  lpad(lower(hex(cast(round_even((1 - exp(-nll)) * 255, 0) as integer))), 2, '0') as anomaly_hex from xrows""",
+    CAUSAL_ROWS_SQL))
+def q_explain_gradient(spark, sf_dir):
+    """F5 (+F7 with contrast 1): two-digit hex of the half-even rounded
+    ``p*255`` and ``(1-p)*255``."""
+    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir)))
+    return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"),
+                       xp.hex2(F.col("prob")).alias("normal_hex"), xp.hex2(1 - F.col("prob")).alias("anomaly_hex"))
+
+
+@register("explain_percentile", lm_osql("""
+select x.original_index, x.pos, case when exp(-x.nll) < q.l[1] then 'FF0000' when exp(-x.nll) < q.l[2] then 'FFA500'
+  when exp(-x.nll) < q.l[3] then 'FFFF00' end as colour
+from xrows x join (select original_index, quantile_cont(exp(-nll), [0.02, 0.06, 0.14]) as l from xrows
+                   group by original_index) q on q.original_index = x.original_index""", CAUSAL_ROWS_SQL))
+def q_explain_percentile(spark, sf_dir):
+    """per-request percentile colours."""
+    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    return xp.percentile_colours(rows).select("original_index", F.col("pos").cast("bigint").alias("pos"), "colour")
+
+
+@register("explain_markup", lm_osql("""
+select original_index, '<div style="background-color: #cccccc; color: white; padding: 20px; font-family: monospace; line-height: 1.5;">'
+  || string_agg('<span style="color: #' || lpad(lower(hex(cast(round_even((1 - exp(-nll)) * 255, 0) as integer))), 2, '0')
+     || '00' || lpad(lower(hex(cast(round_even(exp(-nll) * 255, 0) as integer))), 2, '0') || ';">'
+     || replace(replace(replace(replace(tok, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ' ', '&nbsp;') || '</span>', '' order by pos)
+  || '</div>' as explained
+from xrows group by original_index""", CAUSAL_ROWS_SQL))
+def q_explain_markup(spark, sf_dir):
+    """HTML markup (special tokens dropped, text escaped)."""
+    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    return xp.explain(rows, "html").select("original_index", "explained")
+
+
+@register("explain_errors", lm_osql("""
+select x.original_index, round(avg(exp(-x.nll)), 6) as mean_prob, max(e.kind) as kind
+from xrows x join (select original_index, case when anomalous = 0 then 'fp' else 'fn' end as kind
+                   from causal_scores cross join (select avg(loss) + 0.5 * stddev_pop(loss) as t from causal_scores
+                                                  where split = 'eval') th
+                   where split = 'test' and ((anomalous = 0 and loss > t) or (anomalous <> 0 and not (loss > t)))) e
+  on e.original_index = x.original_index group by x.original_index""", CAUSAL_ROWS_SQL))
+def q_explain_errors(spark, sf_dir):
+    """Explain the misclassified test requests at the estimated
+    threshold (FN/FP sets by J2-style semi joins, not driver lists)."""
+    m = model(spark, sf_dir)
+    s = splits(spark, sf_dir)
+    ev_scores = lm.score_causal(m, s.filter(F.col("split") == "eval"))
+    t = th.gaussian_threshold(ev_scores, "loss", 0.5).select("threshold").scalar()
+    test = s.filter(F.col("split") == "test")
+    scored = ev.join_pred_truth(lm.score_causal(m, test), test)
+    from reqlens.operators.report import errors_at_threshold
+    fn, fp = errors_at_threshold(scored, t)
+    errs = fn.withColumn("kind", F.lit("fn")).unionByName(fp.withColumn("kind", F.lit("fp")))
+    rows = xp.causal_token_rows(m, test.join(errs.select("original_index"), "original_index", "left_semi"))
+    out = xp.explain(rows, "terminal").join(errs, "original_index")
+    return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "kind")
+
+
+@register("token_nll_from_logits", with_views("""
+select original_index, pos, round(lse - cast(logits[label + 1] as double), 6) as nll from (
+  select original_index, pos, logits, label,
+    list_max(list_transform(logits, lambda x: cast(x as double)))
+    + ln(list_sum(list_transform(logits, lambda x: exp(cast(x as double) - list_max(list_transform(logits, lambda y: cast(y as double))))))) as lse
+  from token_logits where label <> -100) s""", "token_logits"))
+def q_token_nll_from_logits(spark, sf_dir):
+    """cross entropy ``logsumexp(logits) - logits[label]`` per token,
+    max-shifted, label -100 ignored."""
+    from reqlens.functions.logits import token_nll
+    t = fx.token_logits(spark, sf_dir)
+    return t.filter(F.col("label") != -100).select(
+        "original_index", "pos", F.round(token_nll(F.col("logits"), F.col("label")), 6).alias("nll"))
+
+
+@register("parse_index_list", """
+select event_id + 1 as original_index,
+  try_cast('[' || cast(user_id as varchar) || ', ' || cast(event_id as varchar) || ']' as bigint[]) as parsed,
+  try_cast(props as bigint[]) as parsed_bad from events""")
+def q_parse_index_list(spark, sf_dir):
+    """parse a list literal (``[a, b]``) into ``ARRAY<BIGINT>``; text that
+    is not a list (a JSON object here) gives NULL instead of an error."""
+    from reqlens.functions.lists import parse_index_list
+    e = table(spark, sf_dir, "events")
+    text = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", "), F.col("event_id").cast("string"),
+                    F.lit("]"))
+    return e.select((F.col("event_id") + 1).alias("original_index"), parse_index_list(text).alias("parsed"),
+                    parse_index_list(F.col("props")).alias("parsed_bad"))
+
+
+@register("kde_curve")
+def q_kde_curve(spark, sf_dir):
+    """Gaussian KDE of the normal losses over 200 points (binned; rows
+    only: the kernel sum over bins is checked against a brute-force sum on a
+    small fixture in the tests)."""
+    j = joined(spark, sf_dir).filter(F.col("anomalous") == 0)
+    return th.kde_curve(j, "loss", bins=1500, points=200)
+
+
+@register("validation_report", eval_osql("""
+select round(avg(loss), 6) as eval_loss,
+  round(coalesce(avg(loss) filter (where anomalous = 0), 0), 6) as eval_loss_normal,
+  round(coalesce(avg(loss) filter (where anomalous = 1), 0), 6) as eval_loss_anomalous,
+  round(coalesce(avg(perplexity) filter (where anomalous = 0), 0), 6) as eval_perplexity_normal,
+  round(coalesce(avg(perplexity) filter (where anomalous = 1), 0), 6) as eval_perplexity_anomalous,
+  (select round(sum(pos * (neg_before + neg / 2.0)) / (max(p) * max(n)), 6) from (
+     select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as neg_before,
+       cast(sum(pos) over () as double) as p, cast(sum(neg) over () as double) as n
+     from (select perplexity as score, count(*) filter (where anomalous = 1) as pos,
+                  count(*) filter (where anomalous = 0) as neg from joined group by perplexity) g) c) as eval_auc_roc
+from joined"""))
+def q_validation_report(spark, sf_dir):
+    """Validation metrics with the ``eval_`` prefix; per-label means are
+    0 when a label is absent, the AUC NULL when a class is empty."""
+    from reqlens.operators.evaluate import validation_report
+    return validation_report(joined(spark, sf_dir), prefix="eval_")
+
+
+@register("k_sweep", lm_osql("""
+select k, round(case when fp + tn = 0 then 0.0 else fp / (fp + tn) end, 6) as FPR,
+  round(case when 2 * tp2 + fp2 + fn2 <> 0 then 2.0 * tp2 / (2 * tp2 + fp2 + fn2) end, 6) as F1
+from (select g.k,
+        cast(count(*) filter (where c.split = 'eval' and c.anomalous = 0 and c.loss > s.mu + g.k * s.sd) as double) as fp,
+        cast(count(*) filter (where c.split = 'eval' and c.anomalous = 0 and not (c.loss > s.mu + g.k * s.sd)) as double) as tn,
+        count(*) filter (where c.split = 'test' and c.anomalous <> 0 and c.loss > s.mu + g.k * s.sd) as tp2,
+        count(*) filter (where c.split = 'test' and c.anomalous = 0 and c.loss > s.mu + g.k * s.sd) as fp2,
+        count(*) filter (where c.split = 'test' and c.anomalous <> 0 and not (c.loss > s.mu + g.k * s.sd)) as fn2
+      from (select cast(i as double) / 100.0 as k from range(1, 200, 2) t(i)) g
+      cross join (select avg(loss) as mu, stddev_pop(loss) as sd from causal_scores where split = 'eval') s
+      cross join causal_scores c where c.split in ('eval', 'test') group by g.k) a"""))
+def q_k_sweep(spark, sf_dir):
+    """Threshold ``mu + k*sigma`` (eval losses) for k = 0.01..1.99 step
+    0.02; FPR on the eval split and F1 on the test split, each one bucketed
+    sweep over its rows (no rows x k product)."""
+    from reqlens.operators.report import k_sweep
+    m = model(spark, sf_dir)
+    s = splits(spark, sf_dir)
+    ev_set = s.filter(F.col("split") == "eval")
+    te_set = s.filter(F.col("split") == "test")
+    ev_scored = ev.join_pred_truth(lm.score_causal(m, ev_set), ev_set)
+    te_scored = ev.join_pred_truth(lm.score_causal(m, te_set), te_set)
+    return k_sweep(spark, ev_scored, te_scored)
+
+
+@register("score_plugin")
+def q_score_plugin(spark, sf_dir):
+    """M6 + M8: a user-supplied scorer applied in Arrow batches
+    (``mapInArrow``; the scorer is built once per task). The demo scorer is
+    a character-class surprisal in numpy; rows only (model-defined)."""
+    from reqlens.operators.plugin import char_class_scorer, score_with
+    return score_with(fx.request_table(spark, sf_dir), char_class_scorer)
