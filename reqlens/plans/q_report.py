@@ -151,7 +151,7 @@ def q_token_nll_from_logits(spark, sf_dir):
 @register("parse_index_list", """
 select event_id + 1 as original_index,
   try_cast('[' || cast(user_id as varchar) || ', ' || cast(event_id as varchar) || ']' as bigint[]) as parsed,
-  try_cast(props as bigint[]) as parsed_bad from events""")
+  try_cast(props as bigint[]) is null as bad_is_null from events""")
 def q_parse_index_list(spark, sf_dir):
     """parse a list literal (``[a, b]``) into ``ARRAY<BIGINT>``; text that
     is not a list (a JSON object here) gives NULL instead of an error."""
@@ -160,7 +160,7 @@ def q_parse_index_list(spark, sf_dir):
     text = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", "), F.col("event_id").cast("string"),
                     F.lit("]"))
     return e.select((F.col("event_id") + 1).alias("original_index"), parse_index_list(text).alias("parsed"),
-                    parse_index_list(F.col("props")).alias("parsed_bad"))
+                    parse_index_list(F.col("props")).isNull().alias("bad_is_null"))
 
 
 @register("kde_curve")
