@@ -54,9 +54,12 @@ def long_tokens(df: DataFrame, max_tokens: int = 512) -> DataFrame:
 def fit(train: DataFrame, max_tokens: int = 512) -> CountModel:
     """M1: count tables from the training requests (normals in the pipeline)."""
     rows = long_tokens(train, max_tokens)
-    uni = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
-    bi = rows.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c"))
+    # One pass over the long token table: every occurrence is counted once in
+    # the context table, so the bigram and unigram tables are exact sums of
+    # it (aggregates of a table far smaller than the token stream).
     ctx = rows.groupBy("prev", "tok", "nxt").agg(F.count(F.lit(1)).alias("c"))
+    bi = ctx.groupBy("prev", "tok").agg(F.sum("c").alias("c"))
+    uni = ctx.groupBy("tok").agg(F.sum("c").alias("c"))
     return CountModel(uni, bi, ctx)
 
 

@@ -44,12 +44,13 @@ def _fracs(fr: dict, cls: int) -> list[float]:
     return out
 
 
-def split_sizes(df: DataFrame, fractions: dict | None = None) -> DataFrame:
+def split_sizes(df: DataFrame, fractions: dict | None = None, count_col: str | None = None) -> DataFrame:
     """per class its count and ``floor(frac * count)`` for each split
     (double arithmetic, as ``int()`` of a float; never a cast, which rounds
-    on some engines)."""
+    on some engines). ``count_col`` sums pre-aggregated counts instead."""
     fr = fractions or DEFAULT_FRACTIONS
-    counts = df.groupBy(F.col("anomalous").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counts = df.groupBy(F.col("anomalous").alias("cls")).agg(n.cast("long").alias("n"))
     cols = []
     for i, s in enumerate(SPLITS):
         f0, f1 = _fracs(fr, 0)[i], _fracs(fr, 1)[i]
@@ -68,8 +69,10 @@ def stratified_split(df: DataFrame, fractions: dict | None = None, seed: int = 4
     keyed = df.withColumn("shuffle_key", shuffle_key(seed)) \
         .withColumn("__b", F.substring("shuffle_key", 1, key_digits)) \
         .withColumn("cls", F.col("anomalous"))
-    sizes = split_sizes(df, fr)
     bucket_counts = keyed.groupBy("cls", "__b").agg(F.count(F.lit(1)).alias("__bn"))
+    # Class sizes from the bucket table (no second pass over the rows).
+    sizes = split_sizes(bucket_counts.groupBy(F.col("cls").alias("anomalous"))
+                        .agg(F.sum("__bn").alias("__n")), fr, count_col="__n")
     # Bounded: at most 2 classes x 16^key_digits buckets.
     w = Window.partitionBy("cls").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     ranges = bucket_counts.withColumn("__lo", F.coalesce(F.sum("__bn").over(w), F.lit(0))) \

@@ -1 +1,55 @@
-"""Query keys (filled in as operators land)."""
+"""Query keys for the subword vocabulary (T1, T2) and packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reqlens.operators import bpe, packing
+from reqlens.operators import tokens as tk
+from reqlens.plans.catalog import register
+from reqlens.plans.oracle import with_views
+from reqlens.sources import fixtures as fx
+
+PATTERN_SQL = r"'[A-Za-z0-9]+|[^A-Za-z0-9\s]'"
+FIXED_TOKENS = ["[r][n]", *tk.SPECIAL_TOKENS]
+
+
+def _corpus(spark, sf_dir):
+    return fx.request_table(spark, sf_dir).filter(F.col("anomalous") == 0)
+
+
+@register("bpe_pair_counts", with_views(f"""
+select substr(word, i, 1) as "left", substr(word, i + 1, 1) as "right", cast(sum(freq) as bigint) as freq
+from (select word, freq, unnest(range(1, length(word))) as i
+      from (select word, count(*) as freq
+            from (select unnest(regexp_extract_all(request, {PATTERN_SQL})) as word from requests where anomalous = 0) t
+            group by word) w) p
+group by 1, 2""", "requests"))
+def q_bpe_pair_counts(spark, sf_dir):
+    """T1, first round: adjacent symbol pairs of the corpus words, weighted."""
+    return bpe.pair_counts(bpe.word_counts(_corpus(spark, sf_dir)))
+
+
+@register("bpe_vocab")
+def q_bpe_vocab(spark, sf_dir):
+    """Merges learned over the whole normal corpus (rows only: the
+    merge loop is iterative)."""
+    merges, _ = bpe.learn(_corpus(spark, sf_dir), num_merges=200, merges_per_round=64)
+    return merges
+
+
+@register("vocab_with_fixed_tokens")
+def q_vocab_with_fixed_tokens(spark, sf_dir):
+    """Learned vocabulary plus the fixed tokens (rows only)."""
+    _, vocab = bpe.learn(_corpus(spark, sf_dir), num_merges=64, merges_per_round=64)
+    return bpe.vocab_with_fixed_tokens(vocab, FIXED_TOKENS)
+
+
+@register("pack_sequences")
+def q_pack_sequences(spark, sf_dir):
+    """Whole documents tokenised (no truncation), ids from a hashed
+    vocabulary, packed into 4096-token blocks with a separator (rows only)."""
+    d = fx.doc_requests(spark, sf_dir)
+    ids = F.transform(tk.all_tokens("request"), lambda t: (F.pmod(F.xxhash64(t), F.lit(50000)) + 5).cast("int"))
+    return packing.pack(d.select("original_index", ids.alias("ids")), "ids", block_size=4096,
+                        batch_rows=1000, sep_id=3)
