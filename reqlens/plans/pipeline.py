@@ -25,6 +25,7 @@ from reqlens.operators import threshold as th
 from reqlens.session import ensure_checkpoint_dir
 
 STAGES = ("relabel", "split", "fit", "score", "threshold", "evaluate")
+SCORE_DIGITS = 9
 
 
 @dataclass
@@ -77,7 +78,10 @@ def run(spark: SparkSession, requests: DataFrame, cfg: PipelineConfig | None = N
         thr = th.gaussian_threshold(eval_scores, "loss", cfg.k).select("threshold").scalar()
         test_scored = ev.join_pred_truth(test_scores, test)
         counts = ev.confusion_counts(test_scored, thr, "loss")
-        auc = ev.auc_scores(test_scored, "loss").select("auc_roc").scalar()
+        # Ties are decided on scores quantised to 1e-9: identical requests
+        # then tie whatever the (non-deterministic) float summation order.
+        auc = ev.auc_scores(test_scored.withColumn("loss", F.round("loss", SCORE_DIGITS)), "loss") \
+            .select("auc_roc").scalar()
         row = M.with_metrics(counts, ["f1"], digits=None).select(
             F.lit(kind).alias("model"),
             F.round("calculated_thresholds_avg", 6).alias("threshold"),

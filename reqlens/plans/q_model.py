@@ -275,8 +275,10 @@ def _pipeline_sql() -> str:
   select model, pos, neg,
     coalesce(sum(neg) over (partition by model order by score rows between unbounded preceding and 1 preceding), 0) as neg_before,
     cast(sum(pos) over (partition by model) as double) as p, cast(sum(neg) over (partition by model) as double) as n
-  from (select model, loss as score, count(*) filter (where anomalous = 1) as pos,
-               count(*) filter (where anomalous = 0) as neg from te group by model, loss) g) c group by model""")
+  from (select model, round(loss, 9) as score, count(*) filter (where anomalous = 1) as pos,
+               count(*) filter (where anomalous = 0) as neg from te group by model, round(loss, 9)) g) c group by model""")
+    global _PIPELINE_EXTRA
+    _PIPELINE_EXTRA = (te, est, cnt, auc)
     return osql("""
 select c.model, round(c.threshold, 6) as threshold, c.tp as true_positives, c.fp as false_positives,
   c.fn as false_negatives, c.tn as true_negatives,
@@ -291,3 +293,25 @@ def q_pipeline_report(spark, sf_dir):
     from reqlens.plans.pipeline import PipelineConfig, run
     cfg = PipelineConfig(stages=("split", "fit", "score", "threshold", "evaluate"))
     return run(spark, fx.requests(spark, sf_dir), cfg)
+
+
+def _pipeline_relabel_sql() -> str:
+    from reqlens.plans.q_requests import RELABELLED_SQL
+    base = _pipeline_sql()
+    # Same chain, but the split keys come from the relabelled request table.
+    body_start = base.index("\nselect c.model")
+    body = base[body_start:]
+    te, est, cnt, auc = _PIPELINE_EXTRA
+    return with_views(body, "requests", extra=[
+        ("relabelled", RELABELLED_SQL),
+        ("split_keys", "select original_index, anomalous, md5('42|' || cast(original_index as varchar)) as shuffle_key "
+                       "from relabelled"),
+        *LM_VIEWS, te, est, cnt, auc])
+
+
+@register("pipeline_report_relabel", _pipeline_relabel_sql())
+def q_pipeline_report_relabel(spark, sf_dir):
+    """R13 flagship with every stage: rebuild -> relabel -> split -> fit ->
+    score -> threshold -> evaluate."""
+    from reqlens.plans.pipeline import PipelineConfig, run
+    return run(spark, fx.requests(spark, sf_dir), PipelineConfig())

@@ -1,6 +1,4 @@
 """Streaming: intentionally empty.
 
-The source workflow has no streaming operators, so none are built. The
-scoring operators are stateless per request against static count tables, so
-they already accept a streaming DataFrame (stream-static joins) unchanged.
+The source workflow has no streaming operators, so none are built here.
 """
