@@ -13,7 +13,8 @@ is counted). Each round:
    (the pairs are symbol-disjoint, so the order of merges inside a round
    does not matter).
 
-The word table is checkpointed every ``checkpoint_every`` rounds to cut the
+The word table is stored once after the corpus pass and checkpointed every
+``checkpoint_every`` rounds (default each round: it is small) to cut the
 lineage. Deterministic for a given corpus.
 """
 
@@ -71,11 +72,13 @@ def apply_merges(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFr
 
 
 def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_freq: int = 2,
-          checkpoint_every: int = 10, col: str = "request") -> tuple[DataFrame, DataFrame]:
+          checkpoint_every: int = 1, col: str = "request") -> tuple[DataFrame, DataFrame]:
     """Returns (merges ``(rank, left, right, token, freq)``, vocabulary
     ``(token, kind)``: base characters then merged tokens)."""
     spark = df.sparkSession
-    words = word_counts(df, col)
+    # The corpus pass happens once: the (small) word table is stored, and
+    # each round reads and rewrites only it.
+    words = word_counts(df, col).checkpoint(eager=True)
     base = words.select(F.explode("symbols").alias("token")).distinct()
     merges: list[tuple[str, str, int]] = []
     rnd = 0
