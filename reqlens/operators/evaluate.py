@@ -188,19 +188,26 @@ def auc_scores(joined: DataFrame, score_col: str, label_col: str = "anomalous",
                n_buckets: int = 64) -> DataFrame:
     """A12 + A13 in one pass: ROC AUC (tie-corrected rank sum) and average
     precision (step sum over distinct scores, descending). NULL when a class
-    is empty. Running sums are bucketed (no single-task window)."""
-    counts = score_label_counts(joined, score_col, label_col)
-    P = counts.select(F.sum("pos").cast("double")).scalar()
-    N = counts.select(F.sum("neg").cast("double")).scalar()
-    g = prefix_sums(counts, "score", ["pos", "neg"], n_buckets)
-    tp = P - F.col("pos_before")
-    fp = N - F.col("neg_before")
-    return g.agg(
-        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("u"),
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * (tp / (tp + fp)))).alias("ap_num"),
-    ).select(
-        F.when((P > 0) & (N > 0), F.col("u") / (P * N)).alias("auc_roc"),
-        F.when(P > 0, F.col("ap_num") / P).alias("auc_pr"))
+    is empty.
+
+    Distinct scores are counted per label (ties and hot values become one
+    row), then one bucketed running sum in descending score order gives the
+    positives and negatives above each score: ``tp = pos_above + pos``,
+    ``fp = neg_above + neg`` and
+    ``AUC = (P*N - sum(pos * (neg_above + neg/2))) / (P*N)`` (half-integers,
+    exact in doubles); ``P`` and ``N`` come from the same final aggregate.
+    """
+    counts = score_label_counts(joined, score_col, label_col).withColumn("__desc", -F.col("score"))
+    g = prefix_sums(counts, "__desc", ["pos", "neg"], n_buckets)
+    tp = F.col("pos_before") + F.col("pos")
+    fp = F.col("neg_before") + F.col("neg")
+    agg = g.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),
+                F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("a"),
+                F.sum(F.when(F.col("pos") > 0, F.col("pos") * (tp / (tp + fp)))).alias("ap_num"))
+    pn = F.col("P") * F.col("N")
+    return agg.select(
+        F.when((F.col("P") > 0) & (F.col("N") > 0), (pn - F.col("a")) / pn).alias("auc_roc"),
+        F.when(F.col("P") > 0, F.col("ap_num") / F.col("P")).alias("auc_pr"))
 
 
 def best_result(evals: DataFrame, by: str = "f1") -> DataFrame:
