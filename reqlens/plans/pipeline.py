@@ -54,6 +54,11 @@ def run(spark: SparkSession, requests: DataFrame, cfg: PipelineConfig | None = N
     req = requests
     if "relabel" in cfg.stages:
         req = rules.relabel(req).drop("relabelled")
+    if cfg.materialize:
+        # K1/K2: the (relabelled) request table is stored once; the split
+        # reads it twice (bucket counts and assignment).
+        ensure_checkpoint_dir(spark)
+        req = req.checkpoint(eager=True)
     splits = sp.stratified_split(req, cfg.fractions, cfg.seed) \
         .select("original_index", "anomalous", "ano_class", "request", "split")
     if cfg.materialize:
