@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import quality
-from reqlens.llm.util import remainder
+from reqlens.llm import quality, token_counts
+from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -31,3 +31,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """Token counts of every document; a new cache unless one is given."""
+    import public_tokenizers
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                       cache or f"{work_dir(spark)}/token-cache")
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
