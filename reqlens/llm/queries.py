@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import quality, token_counts
+from reqlens.llm import byte_bpe, quality, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -40,3 +40,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                                        cache or f"{work_dir(spark)}/token-cache")
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@register("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document, as digests."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
