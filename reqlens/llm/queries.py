@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, quality, token_counts
+from reqlens.llm import byte_bpe, decontaminate, quality, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -48,3 +48,34 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+@register("op2_decontaminate", f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w, least(len(w), 13) as n from benchmark where item_id is not null),
+item_window as (
+  select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as k
+  from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as s from b where n > 0)),
+doc_window as (
+  select doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') as k
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s
+        from d cross join (select distinct n from item_window) where len(w) >= n)),
+hit as (select doc_id, s, n, item_id from doc_window join item_window using (n, k)),
+words_hit as (select doc_id, count(distinct p) as n_hit
+              from (select doc_id, unnest(range(s, s + n)) as p from hit) group by doc_id),
+items_hit as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
+              from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words_hit using (doc_id) left join items_hit using (doc_id)""")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                        decontaminate.items_digest().alias("items_sha256"), "contaminated")
