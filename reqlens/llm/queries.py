@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, decontaminate, neighbours, quality, token_counts
+from reqlens.llm import byte_bpe, decontaminate, near_dedup, neighbours, quality, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -95,3 +95,26 @@ from (select *, row_number() over (partition by query_id order by score, vec_id)
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every vector whose id is divisible by 100."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op8_near_dedup", r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingle as (
+  select distinct doc_id, array_to_string(w[s:s + n - 1], ' ') as k
+  from (select doc_id, w, least(len(w), 5) as n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from w where len(w) > 0)),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+link as (
+  select a, b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as both_have
+    from shingle x join shingle y on x.k = y.k and x.doc_id <> y.doc_id group by all)
+  join size p on p.doc_id = a join size q on q.doc_id = b
+  where 100 * both_have >= 75 * (p.n + q.n - both_have)),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select doc_id, b from reach join link on other = a)
+select doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(other) as component_id,
+       doc_id = min(other) as kept
+from reach left join size using (doc_id) group by doc_id""")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their sets of five-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
