@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, decontaminate, near_dedup, neighbours, quality, token_counts
+from reqlens.llm import byte_bpe, decontaminate, near_dedup, neighbours, quality, substring_dedup, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -118,3 +118,20 @@ from reach left join size using (doc_id) group by doc_id""")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by their sets of five-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as k
+            from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20)),
+later as (select doc_id, s from (select *, row_number() over (partition by k order by doc_id, s) as n from windows) where n > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from later),
+words as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(w[p], ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when repeated 20-word windows are removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.strip(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

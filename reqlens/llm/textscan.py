@@ -156,10 +156,18 @@ def combine(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out *= _STEP
         out += h[j:j + n]
-    return mix(out + np.uint64(k) * _LENGTH)
+    return mix(out + np.uint64(k * int(_LENGTH) % (1 << 64)))
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     """Hashes of separate words, equal to those ``Words.hashes`` gives."""
     w = Words(pa.array([b" ".join(words)], pa.binary()), NOT_SPACE, lower=False)
     return w.hashes()
+
+
+def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of h[start:end] for every pair, whatever the lengths."""
+    up, down = _power_tables(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[:len(h)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _LENGTH)
