@@ -7,16 +7,16 @@ Neighbouring windows with one anchor are a nonbranching piece of a path: they ar
 handled as one row, about a sixth of the windows.
 
 1. Anchors are counted over all documents. Those that come once can't lie in a
-   repeated window; a bitmap of the others (``BITMAP_BITS``, a fixed size,
+   repeated window; a bitmap of the others (at most ``2**BITMAP_BITS`` bits,
    broadcast) keeps most pieces of once-only text out. It may let some through,
    which costs time only.
 2. Pieces with equal words are one path piece; its source is its first
    occurrence. Where one anchor has different pieces, paths branch or end: there
-   (and only there) the pieces' windows are compared one by one.
+   (and only there) the source pieces' windows are compared one by one.
 3. Source pieces that follow one another and occur equally often are joined to
    paths, and a document's pieces along one path become one span.
-4. Each span is verified against the words at its source's coordinates by a
-   128-bit digest; a span that differs is not removed.
+4. Each repeated piece is verified against the words at its source's coordinates
+   by a second, independent 64-bit hash; one that differs is not removed.
 5. The documents join their spans and drop the covered words.
 
 A window is thus covered exactly if its words also start earlier: at a smaller
@@ -32,7 +32,6 @@ don't count as earlier. Other columns pass through ``strip`` as they are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,7 @@ from reqlens.llm.util import free_name, stored, work_dir
 
 WINDOW = 20
 ANCHOR = 10
-BITMAP_BITS = 25
+BITMAP_BITS = 28
 
 
 class Pieces:
@@ -82,6 +81,29 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _bitmap(hashes: DataFrame, name: str) -> np.ndarray:
+    """A bit for the first bits of every hash, about 16 times as many bits as
+    hashes and at most 2**BITMAP_BITS."""
+    n = hashes.count()
+    bits = min(max((16 * n - 1).bit_length() if n else 0, 12), BITMAP_BITS)
+    words = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("b")) \
+        .select(F.shiftright("b", 6).alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("b")) \
+        .groupBy("word").agg(F.bit_or("b").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    bit = hashes >> np.uint64(64 - (6 + (len(bitmap) - 1).bit_length()))
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _place(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + start.astype(np.uint64))
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,116 +113,95 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor bigint")
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
+def _pieces(docs: DataFrame, repeated) -> DataFrame:
+    """(anchor, key, proof, doc_id, start, n) of the pieces whose anchor is
+    marked in the broadcast bitmap; proof is an independent hash of the words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 p = Pieces(part.column("text"))
+                own = np.flatnonzero(_marked(repeated.value, p.anchor))
+                begin, n = p.words.first[p.doc[own]] + p.start[own], p.n[own]
+                proof = range_hashes(p.words.hashes(True), begin, begin + n + WINDOW - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(p.anchor), _signed(p.key), part.column("doc_id").take(pa.array(p.doc)),
-                     pa.array(p.start.astype(np.int32)), pa.array(p.n.astype(np.int32))],
-                    ["anchor", "key", "doc_id", "start", "n"])
+                    [_signed(p.anchor[own]), _signed(p.key[own]), _signed(proof), part.column("doc_id").take(pa.array(p.doc[own])),
+                     pa.array(p.start[own].astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["anchor", "key", "proof", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(run, "anchor bigint, key bigint, doc_id bigint, start int, n int")
+    return docs.mapInArrow(run, "anchor bigint, key bigint, proof bigint, doc_id bigint, start int, n int")
 
 
-def _at_source(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(window, doc_id, start): the windows of the wanted pieces (doc_id, start,
-    n), where the document is long enough."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("pieces"))
+def _windows(docs: DataFrame, repeated, places) -> DataFrame:
+    """(window, proof, doc_id, start): the windows of the pieces whose place is
+    marked in the broadcast bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(part.column("text"), NOT_SPACE, lower=False)
-                h = w.hashes()
-                doc, first = [], []
-                for d, pieces in enumerate(part.column("pieces").to_pylist()):
-                    for p in pieces:
-                        if p["start"] + p["n"] + WINDOW - 1 <= w.count[d]:
-                            first += range(w.first[d] + p["start"], w.first[d] + p["start"] + p["n"])
-                            doc += [d] * p["n"]
-                first, doc = np.array(first, np.int64), np.array(doc, np.int64)
+                p = Pieces(part.column("text"))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                own = np.flatnonzero(_marked(repeated.value, p.anchor) & _marked(places.value, _place(ids[p.doc], p.start)))
+                n, doc = p.n[own], np.repeat(p.doc[own], p.n[own])
+                start = np.repeat(p.start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin = p.words.first[doc] + start
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(range_hashes(h, first, first + WINDOW)), part.column("doc_id").take(pa.array(doc)),
-                     pa.array((first - w.first[doc]).astype(np.int32))], ["window", "doc_id", "start"])
+                    [_signed(range_hashes(p.hashes, begin, begin + WINDOW)),
+                     _signed(range_hashes(p.words.hashes(True), begin, begin + WINDOW)),
+                     pa.array(ids[doc], pa.int64()), pa.array(start.astype(np.int32))], ["window", "proof", "doc_id", "start"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "pieces") \
-        .mapInArrow(run, "window bigint, doc_id bigint, start int").distinct()
+    return docs.mapInArrow(run, "window bigint, proof bigint, doc_id bigint, start int")
 
 
 def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n, source_id, source_start): ``n`` consecutive windows
-    whose words also start earlier, at the source (before verification)."""
-    counted = _anchors(docs).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    low = 64 - BITMAP_BITS
-    bit = F.shiftrightunsigned("anchor", low)
-    bitmap = counted.select(bit.alias("b")) \
-        .select(F.shiftright("b", 6).alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("b")) \
-        .groupBy("word").agg(F.bit_or("b").alias("bits"))
-    bitmap = stored(bitmap, folder, "bitmap")
-    pieces = _pieces(docs).withColumn("b", bit).withColumn("word", F.shiftright("b", 6)) \
-        .join(F.broadcast(bitmap), "word").where(F.expr("shiftrightunsigned(bits, cast(b & 63 as int)) & 1 = 1")) \
-        .select("anchor", "key", "doc_id", "start", "n")
-    pieces = stored(pieces, folder, "pieces")
-
-    runs = pieces.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("n").alias("n"),
-                                               F.count("*").alias("c"))
-    runs = stored(runs.select("anchor", "key", F.col("s.doc_id").alias("source_id"), F.col("s.start").alias("source_start"), "n", "c"),
-                  folder, "runs")
+    """(doc_id, spans): per document the (start, n) of its runs of n windows
+    whose words also start earlier."""
+    context = docs.sparkSession.sparkContext
+    counted = stored(_anchors(docs).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), folder, "anchors")
+    repeated = context.broadcast(_bitmap(counted, "anchor"))
+    pieces = _pieces(docs, repeated)
+    first = F.min(F.struct("doc_id", "start", "proof")).alias("s")
+    runs = pieces.groupBy("anchor", "key").agg(first, F.max("n").alias("n"), F.count("*").alias("c")).select(
+        "anchor", "key", F.col("s.doc_id").alias("source_id"), F.col("s.start").alias("source_start"),
+        F.col("s.proof").alias("source_proof"), "n", "c")
+    runs = stored(runs, folder, "runs")
 
     # branches: one anchor, different pieces
     branching = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    wanted = runs.join(branching, "anchor").select(F.col("source_id").alias("doc_id"), F.col("source_start").alias("start"), "n")
-    windows = stored(_at_source(docs, wanted), folder, "windows")
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    at_branches = windows.join(first, "window") \
-        .select("doc_id", "start", F.lit(1).alias("n"), F.col("f.doc_id").alias("source_id"), F.col("f.start").alias("source_start")) \
-        .where("doc_id <> source_id or start <> source_start")
+    wanted = runs.join(branching, "anchor").select("source_id", "source_start")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [_signed(_place(batch.column("source_id").to_numpy(), batch.column("source_start").to_numpy()))], ["place"])
+
+    places = context.broadcast(_bitmap(stored(wanted.mapInArrow(place, "place bigint"), folder, "places"), "place"))
+    windows = stored(_windows(docs, repeated, places), folder, "windows")
+    least = windows.groupBy("window").agg(first, F.count("*").alias("c")).where("c > 1")
+    at_branches = windows.join(least, "window") \
+        .where("proof = s.proof and (doc_id <> s.doc_id or start <> s.start)") \
+        .select("doc_id", "start", F.lit(1).alias("n"), F.col("s.doc_id").alias("source_id"),
+                F.col("s.start").alias("path"), (F.col("start") - F.col("s.start")).alias("shift"))
 
     # paths: source pieces that follow one another and occur equally often
-    many = runs.where("c > 1").select("key", "source_id", "source_start", "n", "c")
+    many = runs.where("c > 1").select("key", "source_id", "source_start", "source_proof", "n", "c")
     follows = many.select("source_id", (F.col("source_start") + F.col("n")).alias("source_start"), "c").distinct() \
         .withColumn("follows", F.lit(True))
     order = "partition by source_id order by source_start"
     paths = many.join(follows, ["source_id", "source_start", "c"], "left").select(
-        "key", "source_id", "source_start",
+        "key", "source_id", "source_start", "source_proof",
         F.expr(f"max(case when follows is null then source_start end) over ({order})").alias("path"))
-    spans = pieces.join(paths, "key").where("doc_id <> source_id or start <> source_start") \
-        .withColumn("shift", F.col("start") - F.col("source_start")) \
+    along_paths = _pieces(docs, repeated).select("key", "proof", "doc_id", "start", "n").join(paths, "key") \
+        .where("proof = source_proof and (doc_id <> source_id or start <> source_start)") \
+        .select("doc_id", "start", "n", "source_id", "path", (F.col("start") - F.col("source_start")).alias("shift"))
+    # a document's pieces along one path are one span, if none is missing between
+    spans = along_paths.unionByName(at_branches).repartition("doc_id") \
         .groupBy("doc_id", "source_id", "path", "shift") \
         .agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("z"), F.sum("n").alias("all"),
              F.collect_list(F.struct("start", "n")).alias("each"))
     whole = F.array(F.struct(F.col("a").alias("start"), (F.col("z") - F.col("a")).alias("n")))
-    along_paths = spans.select("doc_id", "source_id", "shift", F.explode(F.when(F.expr("all = z - a"), whole).otherwise(F.col("each"))).alias("p")) \
-        .select("doc_id", "p.start", "p.n", "source_id", (F.col("p.start") - F.col("shift")).alias("source_start"))
-    return stored(along_paths.unionByName(at_branches), folder, "spans")
-
-
-def _digests(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, start, n, digest) of the words of each place."""
-    lists = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"), NOT_SPACE, lower=False)
-                squeezed, at = _squeezed(w, np.ones(len(w), bool))
-                raw = squeezed.tobytes()
-                doc, start, n, digest = [], [], [], []
-                for d, places in enumerate(part.column("places").to_pylist()):
-                    for p in places:
-                        a = int(w.first[d]) + p["start"]
-                        z = a + p["n"] + WINDOW - 1
-                        if z <= w.first[d + 1]:
-                            doc.append(d), start.append(p["start"]), n.append(p["n"])
-                            digest.append(hashlib.blake2b(raw[at[a]:at[z - 1] + w.end[z - 1] - w.start[z - 1]], digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(digest, pa.binary())], ["doc_id", "start", "n", "digest"])
-
-    return docs.join(lists, "doc_id").select("doc_id", "text", "places") \
-        .mapInArrow(run, "doc_id bigint, start int, n int, digest binary").distinct()
+    return spans.select("doc_id", F.when(F.expr("all = z - a"), whole).otherwise(F.col("each")).alias("each")) \
+        .groupBy("doc_id").agg(F.flatten(F.collect_list("each")).alias("spans"))
 
 
 def _squeezed(w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +226,8 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     docs = docs.select(*(c for c in docs.columns if c not in added))
     folder = work_dir(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    spans = repeated_spans(narrow, folder)
-
-    # the words of every span and of its source, by one exchange of the texts
-    source = spans.select(F.col("source_id").alias("doc_id"), F.col("source_start").alias("start"), "n")
-    digests = stored(_digests(narrow, spans.select("doc_id", "start", "n").unionByName(source)), folder, "digests")
-    proven = spans.join(digests.withColumnRenamed("digest", "own"), ["doc_id", "start", "n"]) \
-        .join(digests.toDF("source_id", "source_start", "n", "other"), ["source_id", "source_start", "n"]).where("own = other")
     name, other = free_name(docs, "span_list"), free_name(docs, "span_doc")
-    lists = proven.groupBy(F.col("doc_id").alias(other)).agg(F.collect_list(F.struct("start", "n")).alias(name))
+    lists = repeated_spans(narrow, folder).toDF(other, name)
     names = docs.columns
     joined = docs.join(lists, docs[doc_id].cast("bigint") == lists[other], "left").select(*(docs[c] for c in names), name)
 

@@ -90,6 +90,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start, end - start)
         start = end
 
+_VALUES = (np.arange(1, 257, dtype=np.uint64), mix(np.arange(1, 257, dtype=np.uint64)))
+
 
 class Words:
     """The words of a slice of texts: ``start``/``end`` byte positions in
@@ -124,7 +126,10 @@ class Words:
         """The text number of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """64-bit hashes of the words; the second family reads other values of
+        the bytes and is independent of the first."""
+        value = _VALUES[int(second)]
         out = np.empty(len(self.start), dtype=np.uint64)
         i = 0
         while i < len(self.start):  # pieces of about _PIECE bytes, cut between words
@@ -133,7 +138,7 @@ class Words:
             stop = int(self.end[j - 1])
             up, down = _power_tables(stop - base + 1)
             sums = np.zeros(stop - base + 1, dtype=np.uint64)
-            np.cumsum((self.buf[base:stop].astype(np.uint64) + np.uint64(1)) * up[:stop - base], out=sums[1:])
+            np.cumsum(value[self.buf[base:stop]] * up[:stop - base], out=sums[1:])
             s, e = self.start[i:j] - base, self.end[i:j] - base
             out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _LENGTH
             i = j
