@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, decontaminate, near_dedup, neighbours, quality, substring_dedup, token_counts
+from reqlens.llm import byte_bpe, decontaminate, lm_score, near_dedup, neighbours, quality, substring_dedup, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -135,3 +135,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document left when repeated 20-word windows are removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.strip(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; the fold of remainder 2 isn't learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder("doc_id", 7)
+    return lm_score.score(docs, (fold >= 0) & (fold != 2)).withColumn("held_out", fold == 2)
