@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, decontaminate, lm_score, near_dedup, neighbours, quality, substring_dedup, token_counts
+from reqlens.llm import byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, substring_dedup, token_counts
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -143,3 +143,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = remainder("doc_id", 7)
     return lm_score.score(docs, (fold >= 0) & (fold != 2)).withColumn("held_out", fold == 2)
+
+
+@register("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line up to two byte edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.strip_lines(docs, counts=True) \
+        .select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))

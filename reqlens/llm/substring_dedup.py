@@ -7,7 +7,7 @@ Neighbouring windows with one anchor are a nonbranching piece of a path: they ar
 handled as one row, about a sixth of the windows.
 
 1. Anchors are counted over all documents. Those that come once can't lie in a
-   repeated window; a bitmap of the others (at most ``2**BITMAP_BITS`` bits,
+   repeated window; a bitmap of the others (of bounded size,
    broadcast) keeps most pieces of once-only text out. It may let some through,
    which costs time only.
 2. Pieces with equal words are one path piece; its source is its first
@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reqlens.llm.bitmaps import bitmap, marked
 from reqlens.llm.textscan import NOT_SPACE, Words, combine, mix, range_hashes, slices
 from reqlens.llm.util import free_name, stored, work_dir
 
 WINDOW = 20
 ANCHOR = 10
-BITMAP_BITS = 28
 
 
 class Pieces:
@@ -81,25 +81,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _bitmap(hashes: DataFrame, name: str) -> np.ndarray:
-    """A bit for the first bits of every hash, about 16 times as many bits as
-    hashes and at most 2**BITMAP_BITS."""
-    n = hashes.count()
-    bits = min(max((16 * n - 1).bit_length() if n else 0, 12), BITMAP_BITS)
-    words = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("b")) \
-        .select(F.shiftright("b", 6).alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("b")) \
-        .groupBy("word").agg(F.bit_or("b").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash is set."""
-    bit = hashes >> np.uint64(64 - (6 + (len(bitmap) - 1).bit_length()))
-    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _place(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + start.astype(np.uint64))
 
@@ -121,7 +102,7 @@ def _pieces(docs: DataFrame, repeated) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 p = Pieces(part.column("text"))
-                own = np.flatnonzero(_marked(repeated.value, p.anchor))
+                own = np.flatnonzero(marked(repeated.value, p.anchor))
                 begin, n = p.words.first[p.doc[own]] + p.start[own], p.n[own]
                 proof = range_hashes(p.words.hashes(True), begin, begin + n + WINDOW - 1)
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +122,7 @@ def _windows(docs: DataFrame, repeated, places) -> DataFrame:
             for part in slices(batch, "text"):
                 p = Pieces(part.column("text"))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                own = np.flatnonzero(_marked(repeated.value, p.anchor) & _marked(places.value, _place(ids[p.doc], p.start)))
+                own = np.flatnonzero(marked(repeated.value, p.anchor) & marked(places.value, _place(ids[p.doc], p.start)))
                 n, doc = p.n[own], np.repeat(p.doc[own], p.n[own])
                 start = np.repeat(p.start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 begin = p.words.first[doc] + start
@@ -158,7 +139,7 @@ def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     whose words also start earlier."""
     context = docs.sparkSession.sparkContext
     counted = stored(_anchors(docs).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), folder, "anchors")
-    repeated = context.broadcast(_bitmap(counted, "anchor"))
+    repeated = context.broadcast(bitmap(counted, "anchor"))
     pieces = _pieces(docs, repeated)
     first = F.min(F.struct("doc_id", "start", "proof")).alias("s")
     runs = pieces.groupBy("anchor", "key").agg(first, F.max("n").alias("n"), F.count("*").alias("c")).select(
@@ -175,7 +156,7 @@ def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [_signed(_place(batch.column("source_id").to_numpy(), batch.column("source_start").to_numpy()))], ["place"])
 
-    places = context.broadcast(_bitmap(stored(wanted.mapInArrow(place, "place bigint"), folder, "places"), "place"))
+    places = context.broadcast(bitmap(stored(wanted.mapInArrow(place, "place bigint"), folder, "places"), "place"))
     windows = stored(_windows(docs, repeated, places), folder, "windows")
     least = windows.groupBy("window").agg(first, F.count("*").alias("c")).where("c > 1")
     at_branches = windows.join(least, "window") \
