@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlens.llm import quality
+from reqlens.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
 from reqlens.llm.util import remainder, stored, work_dir
 from reqlens.sources.tables import table
 
@@ -18,7 +18,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, model, 0.3)
 
 
-STAGES = [("quality classifier", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, up to two byte edits, go from the texts;
+    every document stays."""
+    return line_dedup.strip_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays."""
+    return near_dedup.deduplicate(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts that are left, as counts and digests."""
+    import public_tokenizers
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("MinHash near-dedup", near_stage),
+          ("benchmark decontamination", benchmark_stage), ("byte-level BPE", bpe_stage)]
 
 #: The classifier's scores and the token ids can't be stated in SQL.
 ORACLE_SQL = None

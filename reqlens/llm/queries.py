@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, substring_dedup, token_counts
+from reqlens.llm import (byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality,
+                         substring_dedup, surrogates, token_counts)
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -151,3 +152,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.strip_lines(docs, counts=True) \
         .select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op6_surrogates")
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, "corpus-release-key")
