@@ -242,14 +242,14 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
         for batch in batches:
             own.con.register("given", pa.table({"n": np.arange(batch.num_rows), "ids": batch.column(ids)}))
             got = own.con.execute("""
-                select any_value(g.ids is null) as missing, count(i.id) as n, count(v.id) as known,
+                select any_value(g.ids is null) as missing, count(i.pos) as total, count(v.id) as known,
                        coalesce(string_agg(v.hex, '' order by i.pos), '') as hex
                 from given g
-                left join (select n, unnest(ids) as id, generate_subscripts(ids, 1) as pos from given) i using (n)
+                left join (select n, unnest(ids) as id, generate_subscripts(ids, 1) as pos from given) i on i.n = g.n
                 left join vocabulary v on v.id = i.id
-                group by n order by n""").fetchall()
+                group by g.n order by g.n""").fetchall()
             own.con.unregister("given")
-            if any(n != known for _, n, known, _ in got):
+            if any(total != known for _, total, known, _ in got):
                 raise ValueError("an id is not in the vocabulary")
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array([None if m else bytes.fromhex(h) for m, _, _, h in got], pa.binary())],
