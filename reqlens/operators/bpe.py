@@ -6,16 +6,15 @@ is counted). Each round:
 
 1. explode the adjacent symbol pairs of every word, weighted by the word
    count, and sum per pair (map-side partial sums, one shuffle);
-2. take the best pairs in order (count desc, pair asc) that share no symbol
-   with a better pair, up to ``merges_per_round`` (a bounded top-k read by
-   the driver: the merge list is the model, not data);
+2. take the best pair (count desc, pair asc), and those after it that one
+   merge at a time would pick next (:func:`_next_merges`); the merge list is the
+   model, not data;
 3. rewrite each word's symbols with one left-to-right ``aggregate`` pass
    (the pairs are symbol-disjoint, so the order of merges inside a round
    does not matter).
 
 The word table is stored once after the corpus pass and checkpointed every
-``checkpoint_every`` rounds (default each round: it is small) to cut the
-lineage. Deterministic for a given corpus.
+``checkpoint_every`` rounds to cut the lineage. Deterministic for a given corpus.
 """
 
 from __future__ import annotations
@@ -45,17 +44,27 @@ def pair_counts(words: DataFrame) -> DataFrame:
         .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("freq").alias("freq"))
 
 
-def _select_disjoint(pairs: DataFrame, k: int) -> list[tuple[str, str, int]]:
-    top = pairs.orderBy(F.desc("freq"), "left", "right").limit(8 * k).collect()
+def _next_merges(pairs: DataFrame, k: int) -> list[tuple[str, str, int]]:
+    """The longest prefix, of at most ``k``, of the ranked pairs that one merge at
+    a time would pick one after another.
+
+    A pair follows the ones before it if it shares no symbol with them (its
+    count then stays) and no pair that those merges make can rank above it: a new
+    pair comes from one that touches a merged one, and so is at most as frequent
+    as the most frequent of these, which must be strictly rarer."""
+    top = pairs.orderBy(F.desc("freq"), "left", "right").limit(4 * k + 1).collect()
     used: set[str] = set()
-    out = []
-    for r in top:
-        if r.left in used or r.right in used:
-            continue
-        out.append((r.left, r.right, int(r.freq)))
-        used.update((r.left, r.right))
-        if len(out) == k:
+    out: list[tuple[str, str, int]] = []
+    for i, r in enumerate(top):
+        if r.left in used or r.right in used or len(out) == k:
             break
+        mine = used | {r.left, r.right}
+        rest = next((x for x in top[i + 1:] if x.left in mine or x.right in mine), None)
+        limit = rest.freq if rest else (top[-1].freq if len(top) > 4 * k else 0)
+        if out and limit >= r.freq:
+            break
+        out.append((r.left, r.right, int(r.freq)))
+        used = mine
     return out
 
 
@@ -71,10 +80,11 @@ def apply_merges(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFr
     return words.withColumn("symbols", F.aggregate("symbols", F.array().cast("array<string>"), step))
 
 
-def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_freq: int = 2,
-          checkpoint_every: int = 1, col: str = "request") -> tuple[DataFrame, DataFrame]:
+def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_freq: int = 1,
+          checkpoint_every: int = 8, col: str = "request") -> tuple[DataFrame, DataFrame]:
     """Returns (merges ``(rank, left, right, token, freq)``, vocabulary
-    ``(token, kind)``: base characters then merged tokens)."""
+    ``(token, kind)``: base characters then merged tokens). The merges are those
+    of one merge at a time; ``merges_per_round`` bounds a round's batch only."""
     spark = df.sparkSession
     # The corpus pass happens once: the (small) word table is stored, and
     # each round reads and rewrites only it.
@@ -83,7 +93,7 @@ def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_
     merges: list[tuple[str, str, int]] = []
     rnd = 0
     while len(merges) < num_merges:
-        picked = [m for m in _select_disjoint(pair_counts(words), min(merges_per_round, num_merges - len(merges)))
+        picked = [m for m in _next_merges(pair_counts(words), min(merges_per_round, num_merges - len(merges)))
                   if m[2] >= min_freq]
         if not picked:
             break
@@ -100,8 +110,7 @@ def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_
 
 
 def vocab_with_fixed_tokens(vocab: DataFrame, fixed_tokens: list[str]) -> DataFrame:
-    """The learned vocabulary plus fixed tokens (kept whole by the
-    splitter: longest first), without duplicates."""
+    """The learned vocabulary plus fixed tokens, without duplicates."""
     spark = vocab.sparkSession
     fixed = spark.createDataFrame([(t, "fixed") for t in fixed_tokens], "token string, kind string")
     return fixed.unionByName(vocab.join(fixed.select("token"), "token", "left_anti").select("token", "kind"))

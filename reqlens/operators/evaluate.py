@@ -102,8 +102,8 @@ def threshold_sweep(joined: DataFrame, params: DataFrame, metric: str = "loss",
 
     A row is anomalous at threshold t iff (#thresholds < score) >=
     (#thresholds <= t), so positives at t are a reverse running sum over
-    buckets. Parameter rows need ``use_std_as_offset = false``; the rolling
-    variant is :func:`rolling_threshold_counts`.
+    buckets. Parameter rows with ``use_std_as_offset`` are an error here:
+    :func:`rolling_threshold_sweep` takes them.
     """
     grid = params.select(F.array_sort(F.collect_list(F.col("threshold_offset").cast("double")))).scalar()
     s = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
@@ -112,7 +112,8 @@ def threshold_sweep(joined: DataFrame, params: DataFrame, metric: str = "loss",
                                                        is_normal().alias("n"))
     counts = per_row.groupBy("b").agg(F.count_if("n").alias("n_norm"), F.count_if(~F.col("n")).alias("n_anom"))
     keyed = params.withColumn("__grid", grid) \
-        .withColumn("b", F.size(F.filter("__grid", lambda x: x <= F.col("threshold_offset")))).drop("__grid")
+        .withColumn("b", F.when(F.col("use_std_as_offset"), F.raise_error(F.lit("a rolling threshold needs rolling_threshold_sweep")).cast("int"))
+                    .otherwise(F.size(F.filter("__grid", lambda x: x <= F.col("threshold_offset"))))).drop("__grid")
     cols = PARAM_COLUMNS
     stacked = counts.select("b", "n_norm", "n_anom", F.lit(False).alias("is_param"),
                             *[F.lit(None).alias(c) for c in cols]) \
@@ -144,6 +145,33 @@ def threshold_sweep(joined: DataFrame, params: DataFrame, metric: str = "loss",
     return res
 
 
+def rolling_threshold_sweep(joined: DataFrame, params: DataFrame, metric: str = "loss", digits: int | None = 6,
+                            order_col: str = "original_index") -> DataFrame:
+    """A2 + J5 + W1: the evaluation table of parameter rows of both kinds. With
+    ``use_std_as_offset`` a row's threshold is ``threshold_offset +
+    rolling_std * std_multiplier``, which it exceeds iff ``metric - rolling_std *
+    std_multiplier`` exceeds the offset: one sweep over that difference for each
+    (window, multiplier) of the bounded parameter table, whatever the number of
+    offsets. ``calculated_thresholds_avg`` is the mean of the rows' thresholds."""
+    from reqlens.operators.threshold import rolling_std
+
+    rolling = params.where("use_std_as_offset")
+    out = threshold_sweep(joined, params.where("not use_std_as_offset"), metric, digits)
+    for r in rolling.select("window_size", "std_multiplier").distinct().collect():
+        own = rolling.where((F.col("window_size") == r["window_size"]) & (F.col("std_multiplier") == r["std_multiplier"]))
+        m = F.lit(float(r["std_multiplier"]))
+        stds = rolling_std(joined, order_col, metric, r["window_size"], "__std")
+        mean = stds.select(F.avg("__std")).scalar()
+        part = threshold_sweep(stds.withColumn(metric, clean_score(metric) - F.col("__std") * m).drop("__std"),
+                               own.withColumn("use_std_as_offset", F.lit(False)), metric, None)
+        avg = F.col("threshold_offset") + mean * m
+        rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+        out = out.unionByName(part.withColumn("use_std_as_offset", F.lit(True))
+                              .withColumn("calculated_thresholds_avg", F.when(F.col("calculated_thresholds_avg").isNotNull(), rounded(avg)))
+                              .withColumn("threshold_offset", rounded(F.col("threshold_offset"))))
+    return out
+
+
 def error_indexes(joined: DataFrame, params: DataFrame, metric: str = "loss") -> DataFrame:
     """Long table ``(param_id, kind, original_index)`` of false positives
     and false negatives for every parameter row. Each row emits only the

@@ -45,7 +45,7 @@ def token_probabilities(token_nll: DataFrame, contrast: float = 1.0) -> DataFram
     return token_nll.withColumn("prob", p)
 
 
-def causal_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int = 512) -> DataFrame:
+def causal_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """M5 + W5: every real token; the first has no context, loss 0 (prob 1)."""
     nll = lm.causal_token_nll(model, df, max_tokens)
     firsts = lm.long_tokens(df, max_tokens).filter(F.col("pos") == 1) \
@@ -53,7 +53,7 @@ def causal_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int = 512
     return nll.unionByName(firsts)
 
 
-def masked_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int = 512) -> DataFrame:
+def masked_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """M4 + T7/T8: one masked position at a time, every other token visible;
     the loss is read at the masked position."""
     return lm.masked_token_nll(model, df, stride=2, max_tokens=max_tokens)

@@ -45,13 +45,13 @@ class CountModel:
         return CountModel(*(spark.read.parquet(f"{path}/{n}") for n in ("unigram", "bigram", "context")))
 
 
-def long_tokens(df: DataFrame, max_tokens: int = 512) -> DataFrame:
+def long_tokens(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """Tokenise (T3) and explode to one row per token with its neighbours."""
     t = tokenize(df.select("original_index", "request"), max_tokens=max_tokens)
     return token_rows(t).filter(F.col("tok").isNotNull())
 
 
-def fit(train: DataFrame, max_tokens: int = 512) -> CountModel:
+def fit(train: DataFrame, max_tokens: int | None = None) -> CountModel:
     """M1: count tables from the training requests (normals in the pipeline)."""
     rows = long_tokens(train, max_tokens)
     # One pass over the long token table: every occurrence is counted once in
@@ -64,7 +64,7 @@ def fit(train: DataFrame, max_tokens: int = 512) -> CountModel:
 
 
 def finetune(base: CountModel, new: DataFrame, base_weight: float = 1.0,
-             max_tokens: int = 512) -> CountModel:
+             max_tokens: int | None = None) -> CountModel:
     """M7: fine-tune = base counts (weighted) plus counts of the new data,
     summed per key (``unionByName`` + ``groupBy``)."""
     add = fit(new, max_tokens)
@@ -98,7 +98,7 @@ def _with_bigram(rows: DataFrame, model: CountModel) -> DataFrame:
                            .otherwise(F.col("p1")))
 
 
-def causal_token_nll(model: CountModel, df: DataFrame, max_tokens: int = 512) -> DataFrame:
+def causal_token_nll(model: CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """J7 + F4 for the causal model: ``(original_index, pos, tok, nll)`` for
     real tokens 2..n (the first token has no left context; D12)."""
     rows = long_tokens(df, max_tokens).filter(F.col("pos") >= 2)
@@ -106,7 +106,7 @@ def causal_token_nll(model: CountModel, df: DataFrame, max_tokens: int = 512) ->
     return rows.select("original_index", "pos", "tok", (-F.log(F.col("p_bi"))).alias("nll"))
 
 
-def masked_token_nll(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int = 512) -> DataFrame:
+def masked_token_nll(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int | None = None) -> DataFrame:
     """J7 + F4 for the masked model: ``(original_index, pos, tok, nll)`` for
     every real token, the sentinels serving as context."""
     rows = long_tokens(df, max_tokens)
@@ -153,12 +153,12 @@ def stride_mean(passes: DataFrame) -> DataFrame:
                                                  F.avg("perplexity").alias("perplexity"))
 
 
-def score_causal(model: CountModel, df: DataFrame, max_tokens: int = 512) -> DataFrame:
+def score_causal(model: CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """M3: ``(original_index, loss, perplexity)`` for every request."""
     return sample_loss_causal(df, causal_token_nll(model, df, max_tokens))
 
 
-def score_masked_strided(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int = 512) -> DataFrame:
+def score_masked_strided(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int | None = None) -> DataFrame:
     """M2: strided pseudo-log-likelihood: per-pass mean nll, then the mean
     over passes of loss and of perplexity."""
     return stride_mean(pass_losses(df, masked_token_nll(model, df, stride, max_tokens), stride))

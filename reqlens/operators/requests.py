@@ -7,6 +7,7 @@ whole-stage-codegen span, need no shuffle, and scale with the scan.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reqlens.schemas import (ANOMALY_CLASSES, BODY_COLUMN, ESSENTIAL_COLUMNS,
@@ -65,23 +66,31 @@ def anomalous_flag(df: DataFrame, normal_col: str = NORMAL_FLAG) -> Column:
 def assign_index(df: DataFrame, name: str = "original_index", start: int = 1) -> DataFrame:
     """P5: dense 1-based position in scan order, without a single-task window.
 
-    The row count of every input partition is aggregated (one row per
-    partition, so the table is bounded by the partition count and safe to
-    broadcast); its prefix sum is the offset of the partition, and the position
-    inside a partition comes from ``monotonically_increasing_id``. A file scan
-    splits the same way on recomputation, so positions are stable when an
-    executor is lost.
+    Scan order is the order of the files' paths and of the places in a file
+    (Spark deals splits to partitions by size, so partition order is another
+    one); a frame that isn't a file scan is numbered in partition order. The row
+    count of every split is aggregated (one row per split, a table bounded by
+    the number of splits), its prefix sum is the split's offset, and the
+    position inside a split comes from ``monotonically_increasing_id``. A file
+    scan splits the same way on recomputation, so positions are stable when an
+    executor is lost. Apply it to the scan itself, not after a shuffle.
     """
-    tagged = df.withColumn("__pid", F.spark_partition_id()) \
-        .withColumn("__mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("__row", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn(
-        "__off", F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
-    ).select("__pid", F.coalesce("__off", F.lit(0)).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), "__pid")
-    return out.withColumn(name, F.col("__off") + F.col("__row") + F.lit(start)) \
-        .drop("__pid", "__mid", "__row", "__off")
+    scan = bool(df.inputFiles())
+    path = F.col("_metadata.file_path") if scan else F.lit("")
+    block = F.col("_metadata.file_block_start") if scan else F.lit(0)
+    try:
+        tagged = df.select("*", path.alias("__path"), block.alias("__block"))
+        tagged.schema  # noqa: B018  a derived frame has no such column
+    except AnalysisException:
+        tagged = df.select("*", F.lit("").alias("__path"), F.lit(0).alias("__block"))
+    tagged = tagged.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    split = ["__path", "__block", "__pid"]
+    counts = tagged.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*split, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    out = tagged.join(F.broadcast(offsets), split)
+    return out.withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first") + F.lit(start)) \
+        .drop(*split, "__mid", "__first", "__off")
 
 
 def preprocess(df: DataFrame, normal_col: str = NORMAL_FLAG,

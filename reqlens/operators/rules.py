@@ -138,14 +138,6 @@ RELABEL_REGEXES = [
     r"(GET|POST|PUT)\s(/[^\n?]*?)([+/])?%(20|22|24|25|26|27|28|3B|60|7C|2F|00|2B|3C|40|5C|28|29).*HTTP/",
     r"/.+(\.bak|\.backup|\.log|\.swp|~|\.old)\s",
 ]
-
-# Fixed value: the single fused pattern the original list actually held (a
-# missing comma joined the two strings; its first half escapes backslashes
-# twice, so it practically never matches). Used with strict_reference=True.
-FUSED_REFERENCE_REGEX = (
-    r"(GET|POST|PUT)\\s(\\/[^\\n\\?]*?)([\\+/])?%(20|22|24|25|26|27|28|3B|60|7C|2F|00|2B|3C|40|5C|28|29).*HTTP\\/"
-    r"(\/.+)+(\.bak|\.backup|\.log|\.swp|~|\.old)\s"
-)
 # -----------------------------------------------------------------------------
 
 
@@ -161,10 +153,6 @@ def minimal_literals(literals: list[str] | None = None) -> list[str]:
     return [p for p in lits if not any(q != p and q in p for q in lits)]
 
 
-def regex_rules(strict_reference: bool = False) -> list[str]:
-    return [FUSED_REFERENCE_REGEX] if strict_reference else list(RELABEL_REGEXES)
-
-
 def literal_hit(col: str = "request", literals: list[str] | None = None) -> Column:
     """P10: any literal is a substring (``exists`` over an array literal keeps
     the generated code small, unlike a chain of 100 ``contains``)."""
@@ -173,26 +161,26 @@ def literal_hit(col: str = "request", literals: list[str] | None = None) -> Colu
     return F.exists(arr, lambda p: F.col(col).contains(p))
 
 
-def regex_hit(col: str = "request", strict_reference: bool = False) -> Column:
+def regex_hit(col: str = "request") -> Column:
     """Any regex rule finds a match (search, not full match)."""
     out = F.lit(False)
-    for r in regex_rules(strict_reference):
+    for r in RELABEL_REGEXES:
         out = out | F.col(col).rlike(r)
     return out
 
 
-def pattern_hit(col: str = "request", strict_reference: bool = False) -> Column:
+def pattern_hit(col: str = "request") -> Column:
     """P10 or P11; the cheap literal test comes first and short-circuits."""
-    return F.coalesce(literal_hit(col) | regex_hit(col, strict_reference), F.lit(False))
+    return F.coalesce(literal_hit(col) | regex_hit(col), F.lit(False))
 
 
-def relabel(df: DataFrame, strict_reference: bool = False) -> DataFrame:
+def relabel(df: DataFrame) -> DataFrame:
     """``anomalous=1`` where it was 0 and a rule hits; ``ano_class`` kept.
 
     Adds ``relabelled`` (true for the rows changed here) so the mislabeled
     list (K2/J4) and the summary (A19) come from the same projection.
     """
-    hit = (F.col("anomalous") != 1) & pattern_hit("request", strict_reference)
+    hit = (F.col("anomalous") != 1) & pattern_hit("request")
     return (df.withColumn("relabelled", F.coalesce(hit, F.lit(False)))
               .withColumn("anomalous", F.when(F.col("relabelled"), F.lit(1))
                           .otherwise(F.col("anomalous")).cast("int")))
@@ -217,8 +205,7 @@ def relabel_summary(relabelled: DataFrame) -> DataFrame:
     ).withColumn("share", F.round(F.col("relabelled") / F.col("total"), 6))
 
 
-def pattern_hit_counts(df: DataFrame, col: str = "request",
-                       strict_reference: bool = False) -> DataFrame:
+def pattern_hit_counts(df: DataFrame, col: str = "request") -> DataFrame:
     """How many rows each rule hits (distinct literals and regexes).
 
     No join: each row emits the patterns it contains (``filter`` over the rule
@@ -226,7 +213,7 @@ def pattern_hit_counts(df: DataFrame, col: str = "request",
     before its shuffle, so the shuffle carries at most rules x tasks rows.
     """
     lits = F.array(*[F.lit(x) for x in distinct_literals()])
-    regs = regex_rules(strict_reference)
+    regs = RELABEL_REGEXES
     lit_hits = F.transform(F.filter(lits, lambda p: F.col(col).contains(p)),
                            lambda p: F.struct(F.lit("literal").alias("kind"), p.alias("pattern")))
     reg_hits = F.array(*[F.when(F.col(col).rlike(r), F.struct(F.lit("regex").alias("kind"),

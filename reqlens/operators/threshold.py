@@ -12,12 +12,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlens.operators.evaluate import clean_score
 from reqlens.operators.ranking import DEFAULT_BUCKETS, prefix_sums
 
 
 def gaussian_threshold(df: DataFrame, col: str = "loss", k: float = 0.5) -> DataFrame:
-    """``mu + k * sigma`` with the MLE sigma (population std)."""
-    x = F.col(col).cast("double")
+    """``mu + k * sigma`` with the MLE sigma (population std); NaN scores
+    count as missing (D16)."""
+    x = clean_score(col)
     return df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma")) \
         .withColumn("threshold", F.col("mu") + F.lit(float(k)) * F.col("sigma"))
 
@@ -35,7 +37,7 @@ def exact_percentiles(df: DataFrame, col: str, qs: list[float],
     come from bucketed prefix sums, and each needed order statistic is found
     by the row whose count interval covers its rank. Returns ``(q, value)``.
     """
-    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    x = clean_score(col)
     counts = df.filter(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     n = counts.select(F.sum("c")).scalar()
     g = prefix_sums(counts, "v", ["c"], n_buckets)
@@ -69,7 +71,7 @@ def percentile_profile(df: DataFrame, col: str = "loss",
 def upside_deviation(df: DataFrame, col: str = "loss", target: float | None = None) -> DataFrame:
     """``sqrt(sum(max(0, x - t)^2) / (n - 1))``, t = mean by default,
     0 when fewer than two values."""
-    x = F.col(col).cast("double")
+    x = clean_score(col)
     t = F.lit(float(target)) if target is not None else df.select(F.avg(x)).scalar()
     return df.agg(F.count(x).alias("n"), F.sum(F.pow(F.greatest(x - t, F.lit(0.0)), 2)).alias("s")) \
         .select(F.when(F.col("n") < 2, F.lit(0.0))
@@ -80,7 +82,7 @@ def histogram(df: DataFrame, col: str = "loss", bins: int = 100, density: bool =
     """Equal-width histogram over ``[min, max]`` with ``bins`` bins, the
     last bin closed on the right; every bin is returned, empty ones with 0.
     ``density`` divides counts by ``n * width``."""
-    x = F.col(col).cast("double")
+    x = clean_score(col)
     stats = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"))
     mn0, mx0, n = (stats.select(c).scalar() for c in ("mn", "mx", "n"))
     mn = F.when(mn0 == mx0, mn0 - 0.5).otherwise(mn0)
@@ -100,8 +102,9 @@ def histogram(df: DataFrame, col: str = "loss", bins: int = 100, density: bool =
 
 def gaussian_curve(df: DataFrame, col: str = "loss", points: int = 1000, margin: float = 0.05) -> DataFrame:
     """normal density with the fitted (mu, sigma) at ``points`` evenly
-    spaced x between the plot limits (data range widened by ``margin``)."""
-    x = F.col(col).cast("double")
+    spaced x between the plot limits (data range widened by ``margin``). Scores
+    that are all equal have no density: the column is NULL."""
+    x = clean_score(col)
     st = df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
     mu, sd, mn, mx = (st.select(c).scalar() for c in ("mu", "sd", "mn", "mx"))
     lo = mn - (mx - mn) * margin
@@ -109,24 +112,29 @@ def gaussian_curve(df: DataFrame, col: str = "loss", points: int = 1000, margin:
     step = (hi - lo) / F.lit(float(points - 1))
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
     xs = lo + F.col("i") * step
+    sd = F.nullif(sd, F.lit(0.0))
     z = (xs - mu) / sd
     pdf = F.exp(F.lit(-0.5) * z * z) / (sd * F.lit(math.sqrt(2 * math.pi)))
     return grid.select("i", xs.alias("x"), pdf.alias("density"))
 
 
-def kde_curve(df: DataFrame, col: str = "loss", bins: int = 1500, points: int = 200) -> DataFrame:
+def kde_curve(df: DataFrame, col: str = "loss", bins: int | None = 1500, points: int = 200) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth ``n^(-1/5) * std``) over
     ``points`` x from min to max, evaluated on pre-binned data (bounded:
     bins x points kernel terms, whatever the row count; each bin's kernel sits
-    at the mean of its values, so the error is second order in the bin width)."""
-    x = F.col(col).cast("double")
+    at the mean of its values, so the error is second order in the bin width;
+    ``bins`` is the accuracy parameter, and ``bins=None`` takes every distinct
+    value as its own kernel, exactly). Scores that are all equal have no
+    bandwidth: the density is NULL."""
+    x = clean_score(col)
     st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"),
                 F.stddev_samp(x).alias("sd"))
     mn, mx, n, sd = (st.select(c).scalar() for c in ("mn", "mx", "n", "sd"))
-    h = sd * F.pow(n.cast("double"), F.lit(-0.2))
+    h = F.nullif(sd * F.pow(n.cast("double"), F.lit(-0.2)), F.lit(0.0))
     # Pre-bin: each non-empty bin becomes one kernel at the mean of its
     # values (first moment), weighted by its count.
-    b = F.least(F.floor((x - mn) * F.lit(float(bins)) / (mx - mn)), F.lit(bins - 1))
+    b = x if bins is None else F.coalesce(
+        F.least(F.floor((x - mn) * F.lit(float(bins)) / F.nullif(mx - mn, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
     hist = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(
         F.avg(x).alias("c"), F.count(F.lit(1)).alias("count"))
     step = (mx - mn) / F.lit(float(points - 1))
@@ -150,24 +158,27 @@ def rolling_std(df: DataFrame, order_col: str, value_col: str, window: int,
     O(n) at any window size: values are centred on the global mean, running
     sums of x and x^2 come from bucketed prefix sums, and the frame sum is the
     difference with the row ``window`` positions earlier (an equi-join on the
-    position, no single-task window and no per-row frame scan).
+    position, no single-task window and no per-row frame scan). A NULL or NaN
+    makes the frames that hold it incomplete.
     """
-    v = F.col(value_col).cast("double")
+    v = clean_score(value_col)
     mean = df.select(F.avg(v)).scalar()
     gstd = df.select(F.stddev_samp(v)).scalar()
-    c = df.withColumn("__x", v - mean).withColumn("__x2", F.col("__x") * F.col("__x")) \
-        .withColumn("__one", F.lit(1).cast("long"))
-    p = prefix_sums(c, order_col, ["__one", "__x", "__x2"], n_buckets) \
+    c = df.withColumn("__x", F.coalesce(v - mean, F.lit(0.0))).withColumn("__x2", F.col("__x") * F.col("__x")) \
+        .withColumn("__one", F.lit(1).cast("long")).withColumn("__has", v.isNotNull().cast("long"))
+    p = prefix_sums(c, order_col, ["__one", "__has", "__x", "__x2"], n_buckets) \
         .withColumn("__pos", F.col("__one_before") + 1)
-    p = p.withColumn("__s1", F.col("__x_before") + F.col("__x")) \
+    p = p.withColumn("__s0", F.col("__has_before") + F.col("__has")) \
+         .withColumn("__s1", F.col("__x_before") + F.col("__x")) \
          .withColumn("__s2", F.col("__x2_before") + F.col("__x2"))
-    prev = p.select((F.col("__pos") + window).alias("__pos"), F.col("__s1").alias("__p1"),
-                    F.col("__s2").alias("__p2"))
+    prev = p.select((F.col("__pos") + window).alias("__pos"), F.col("__s0").alias("__p0"),
+                    F.col("__s1").alias("__p1"), F.col("__s2").alias("__p2"))
     j = p.join(prev, "__pos", "left")
     s1 = F.col("__s1") - F.coalesce(F.col("__p1"), F.lit(0.0))
     s2 = F.col("__s2") - F.coalesce(F.col("__p2"), F.lit(0.0))
     var = (s2 - s1 * s1 / window) / (window - 1)
-    std = F.when(F.col("__pos") >= window, F.sqrt(F.greatest(var, F.lit(0.0))))
+    filled = F.col("__s0") - F.coalesce(F.col("__p0"), F.lit(0)) == window
+    std = F.when(filled, F.sqrt(F.greatest(var, F.lit(0.0))))
     return j.withColumn(name, F.coalesce(std, gstd)).drop(
-        "__x", "__x2", "__one", "__one_before", "__x_before", "__x2_before", "__s1", "__s2", "__p1",
+        "__x", "__x2", "__one", "__has", "__has_before", "__s0", "__p0", "__one_before", "__x_before", "__x2_before", "__s1", "__s2", "__p1",
         "__p2", "__pos")

@@ -1,7 +1,7 @@
 """Token-level dataflow.
 
-Requests are split by a regex into word and symbol tokens, truncated to the
-model window (``max_tokens`` including the two sentinels), and handled either
+Requests are split by a regex into word and symbol tokens, truncated only where
+a model window is asked for (``max_tokens`` including the two sentinels), and handled either
 as arrays (one row per request; higher-order functions, no shuffle) or in long
 form (one row per token, with its left and right neighbour zipped in from
 shifted array slices, so no window or self-join is needed).
@@ -26,20 +26,20 @@ def all_tokens(col: str = "request") -> Column:
     return F.regexp_extract_all(F.col(col), F.lit(TOKEN_PATTERN), 0)
 
 
-def tokens(col: str = "request", max_tokens: int = MAX_TOKENS) -> Column:
-    """Tokens of the whole text, truncated to ``max_tokens - 2`` (room for
-    the two sentinels)."""
-    return F.slice(all_tokens(col), 1, max_tokens - 2)
+def tokens(col: str = "request", max_tokens: int | None = None) -> Column:
+    """Tokens of the whole text; with ``max_tokens``, truncated to a model
+    window that has room for the two sentinels."""
+    return all_tokens(col) if max_tokens is None else F.slice(all_tokens(col), 1, max_tokens - 2)
 
 
-def tokenize(df: DataFrame, col: str = "request", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``tokens`` (truncated) and ``n_total`` (count over the whole text)."""
-    allt = all_tokens(col)
-    return df.withColumn("n_total", F.size(allt)).withColumn("tokens", F.slice(allt, 1, max_tokens - 2))
+def tokenize(df: DataFrame, col: str = "request", max_tokens: int | None = None) -> DataFrame:
+    """``tokens`` (truncated only if ``max_tokens`` is given) and ``n_total``
+    (count over the whole text)."""
+    return df.withColumn("n_total", F.size(all_tokens(col))).withColumn("tokens", tokens(col, max_tokens))
 
 
 def padded(tok_col: str = "tokens", max_tokens: int = MAX_TOKENS) -> Column:
-    """Fixed-width sequence ``[CLS] tokens [SEP] [PAD]...`` of ``max_tokens``."""
+    """``[CLS] tokens [SEP]``, padded with ``[PAD]`` to at least ``max_tokens``."""
     t = F.col(tok_col)
     return F.concat(F.array(F.lit(CLS)), t, F.array(F.lit(SEP)),
                     F.array_repeat(F.lit(PAD), F.greatest(F.lit(max_tokens) - F.size(t) - 2, F.lit(0))))

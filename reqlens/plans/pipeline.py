@@ -35,7 +35,7 @@ class PipelineConfig:
     stride: int = 5
     k: float = 0.5
     seed: int = 42
-    max_tokens: int = 512
+    max_tokens: int | None = None
     fractions: dict = field(default_factory=lambda: dict(sp.DEFAULT_FRACTIONS))
     materialize: bool = True
 

@@ -217,6 +217,30 @@ def q_param_cross_join(spark, sf_dir):
     return sweep(spark, sf_dir, "perplexity")
 
 
+@register("rolling_param_sweep", osql("""
+select p.param_id, p.window_size, round(p.threshold_offset, 6) as threshold_offset, p.metric, p.average_anomalies,
+  p.use_std_as_offset, p.std_multiplier, round(avg(p.threshold_offset + r.s * p.std_multiplier), 6) as calculated_thresholds_avg,
+  count(*) filter (where r.loss > p.threshold_offset + r.s * p.std_multiplier and r.anomalous = 0) as false_positives,
+  count(*) filter (where not (r.loss > p.threshold_offset + r.s * p.std_multiplier) and not (r.anomalous = 0)) as false_negatives,
+  count(*) filter (where not (r.loss > p.threshold_offset + r.s * p.std_multiplier) and r.anomalous = 0) as true_negatives,
+  count(*) filter (where r.loss > p.threshold_offset + r.s * p.std_multiplier and not (r.anomalous = 0)) as true_positives,
+  count(*) filter (where (r.loss > p.threshold_offset + r.s * p.std_multiplier) = not (r.anomalous = 0)) as correct, p.estimated
+from (select param_id + cast(100 * m as bigint) as param_id, cast(1000 as integer) as window_size, threshold_offset, metric,
+        average_anomalies, m > 0 as use_std_as_offset, cast(m as double) as std_multiplier, estimated
+      from params_loss cross join (select unnest([0.0, 0.5, 1.0]) as m)) p
+cross join (select loss, anomalous, coalesce(case when count(loss) over w = 1000 then stddev_samp(loss) over w end,
+              (select stddev_samp(loss) from joined)) as s
+            from joined window w as (order by original_index rows between 999 preceding and current row)) r
+group by all"""))
+def q_rolling_param_sweep(spark, sf_dir):
+    """Parameter rows with constant and with rolling-std thresholds."""
+    m = F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))
+    p = params(spark, sf_dir).drop("use_std_as_offset", "std_multiplier", "window_size").withColumn("std_multiplier", m) \
+        .withColumn("use_std_as_offset", F.col("std_multiplier") > 0).withColumn("window_size", F.lit(1000)) \
+        .withColumn("param_id", F.col("param_id") + (F.col("std_multiplier") * 100).cast("long"))
+    return ev.rolling_threshold_sweep(joined(spark, sf_dir), p)
+
+
 @register("error_indexes", osql("""
 select p.param_id, case when j.anomalous = 0 then 'fp' else 'fn' end as kind, j.original_index
 from params_loss p cross join joined j

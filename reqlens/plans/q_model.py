@@ -51,7 +51,7 @@ LM_VIEWS = [
     SPLIT_SQL,
     ("sp", "select s.original_index, s.anomalous, s.split, r.request from split s join requests r "
            "on s.original_index = r.original_index"),
-    ("tk", f"select original_index, split, anomalous, regexp_extract_all(request, {PATTERN_SQL})[1:510] as toks from sp"),
+    ("tk", f"select original_index, split, anomalous, regexp_extract_all(request, {PATTERN_SQL}) as toks from sp"),
     ("lt", """select original_index, split, anomalous, i as pos, toks[i] as tok,
   case when i = 1 then '[CLS]' else toks[i - 1] end as prev,
   case when i = len(toks) then '[SEP]' else toks[i + 1] end as nxt
@@ -103,14 +103,14 @@ select original_index, len(regexp_extract_all(request, {PATTERN_SQL})) as n_tota
 def q_tokenize_truncate(spark, sf_dir):
     """T3 on the long document texts: the whole text is tokenised
     (``n_total``) and the sequence truncated to the 512-position window."""
-    return tk.tokenize(fx.doc_requests(spark, sf_dir)).select(
+    return tk.tokenize(fx.doc_requests(spark, sf_dir), max_tokens=tk.MAX_TOKENS).select(
         "original_index", F.col("n_total").cast("long").alias("n_total"), "tokens")
 
 
 def _seq_sql(src="doc_requests"):
     return ("seq", f"""select original_index,
-  list_concat(['[CLS]'], regexp_extract_all(request, {PATTERN_SQL})[1:510], ['[SEP]'],
-              list_transform(range(0, greatest(510 - len(regexp_extract_all(request, {PATTERN_SQL})[1:510]), 0)), lambda x: '[PAD]')) as seq
+  list_concat(['[CLS]'], regexp_extract_all(request, {PATTERN_SQL}), ['[SEP]'],
+              list_transform(range(0, greatest(510 - len(regexp_extract_all(request, {PATTERN_SQL})), 0)), lambda x: '[PAD]')) as seq
   from {src}""")
 
 

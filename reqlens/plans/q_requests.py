@@ -27,7 +27,7 @@ def _lit_any_sql(col: str = "request") -> str:
 
 
 def _regex_any_sql(col: str = "request") -> str:
-    return "(" + " or ".join(f"regexp_matches({col}, {sql_str(r)})" for r in rules.regex_rules()) + ")"
+    return "(" + " or ".join(f"regexp_matches({col}, {sql_str(r)})" for r in rules.RELABEL_REGEXES) + ")"
 
 
 RELABELLED_SQL = f"""
@@ -103,7 +103,7 @@ def q_relabel_summary(spark, sf_dir):
 
 def _hit_counts_sql() -> str:
     lits = ", ".join(sql_str(p) for p in rules.distinct_literals())
-    regs = ", ".join(sql_str(r) for r in rules.regex_rules())
+    regs = ", ".join(sql_str(r) for r in rules.RELABEL_REGEXES)
     return with_views(f"""
 select 'literal' as kind, p as pattern, count(*) as hits
 from requests cross join unnest([{lits}]) t(p) where contains(request, p) group by p

@@ -7,7 +7,7 @@ grows with them. The same views exist as SQL text for the DuckDB oracle in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.sources.tables import table
@@ -63,39 +63,28 @@ def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def by_index(df: DataFrame) -> DataFrame:
-    """Hash-distribute a per-request table on ``original_index``, the key of
-    every later join and per-request aggregate (what bucketing the stored
-    table by that key gives); row-level work after it runs on every core
-    even when the source is a single file split."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "original_index")
-
-
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request table built by the P1-P4 operators from ``http_raw``."""
     from reqlens.operators.requests import preprocess
-    return by_index(preprocess(http_raw(spark, sf_dir), normal_col=FIXTURE_NORMAL_COLUMN,
-                               class_cols=FIXTURE_CLASS_COLUMNS))
+    return preprocess(http_raw(spark, sf_dir), normal_col=FIXTURE_NORMAL_COLUMN, class_cols=FIXTURE_CLASS_COLUMNS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with ties for the threshold and evaluation operators."""
     ev = table(spark, sf_dir, "events")
     loss = F.col("value") / 500
-    return by_index(ev.select((F.col("event_id") + 1).alias("original_index"), loss.alias("loss"),
-                              F.exp(loss).alias("perplexity")))
+    return ev.select((F.col("event_id") + 1).alias("original_index"), loss.alias("loss"), F.exp(loss).alias("perplexity"))
 
 
 def doc_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long, messy texts as requests (tokenising, packing, text filters)."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return by_index(d.join(lab, "doc_id", "left").select(
+    return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("original_index"),
         F.coalesce(F.col("toxic"), F.lit(0)).alias("anomalous"),
         F.col("source").alias("ano_class"),
-        F.col("text").alias("request")))
+        F.col("text").alias("request"))
 
 
 def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +98,9 @@ def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric log: a run is a user, its mtime the user's last event."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("run"),
-                    F.max("ts").over(Window.partitionBy("user_id")).alias("mtime"),
+    last = e.groupBy("user_id").agg(F.max("ts").alias("mtime"))  # combined map-side, however long a run is
+    return e.join(last, "user_id").select(
+                    F.col("user_id").alias("run"), "mtime",
                     F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value")
 
 

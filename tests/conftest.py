@@ -9,6 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from reqlens.session import build_session
-    s = build_session("local[4]", shuffle_partitions=8)
+    s = build_session("local[4]", shuffle_partitions=8, extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()

@@ -1,5 +1,7 @@
 """BPE rounds against a plain Python BPE; packing keeps every token once."""
 
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -7,33 +9,24 @@ from pyspark.sql import functions as F
 from reqlens.operators import bpe, packing
 
 
-def _python_bpe(words: Counter, num_merges: int, per_round: int):
+def _python_bpe(words: Counter, num_merges: int):
+    """One merge at a time."""
     syms = {w: list(w) for w in words}
     merges = []
     while len(merges) < num_merges:
         pc = Counter()
         for w, f in words.items():
-            s = syms[w]
-            for a, b in zip(s, s[1:]):
+            for a, b in zip(syms[w], syms[w][1:]):
                 pc[(a, b)] += f
-        ranked = sorted(pc.items(), key=lambda kv: (-kv[1], kv[0]))
-        used, picked = set(), []
-        for (a, b), f in ranked:
-            if a in used or b in used or f < 2:
-                continue
-            picked.append((a, b))
-            used |= {a, b}
-            if len(picked) == min(per_round, num_merges - len(merges)):
-                break
-        if not picked:
+        if not pc:
             break
-        merges += picked
-        keys = set(picked)
+        a, b = min(pc, key=lambda p: (-pc[p], p))
+        merges.append((a, b))
         for w in syms:
             out = []
             for s in syms[w]:
-                if out and (out[-1], s) in keys:
-                    out[-1] = out[-1] + s
+                if out and (out[-1], s) == (a, b):
+                    out[-1] = a + b
                 else:
                     out.append(s)
             syms[w] = out
@@ -41,14 +34,15 @@ def _python_bpe(words: Counter, num_merges: int, per_round: int):
 
 
 def test_bpe_matches_python(spark):
+    r = random.Random(1)
     texts = ["GET /index.html HTTP/1.1", "GET /index.php?id=1 HTTP/1.1", "POST /login HTTP/1.1",
              "GET /images/logo.png HTTP/1.1", "hello hello help helm"]
+    texts += [" ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 4))) for _ in range(40))]
     df = spark.createDataFrame([(t,) for t in texts], "request string")
-    merges, vocab = bpe.learn(df, num_merges=12, merges_per_round=3)
-    got = [(r.left, r.right) for r in merges.orderBy("rank").collect()]
-    import re
+    merges, vocab = bpe.learn(df, num_merges=25)
+    got = [(x.left, x.right) for x in merges.orderBy("rank").collect()]
     words = Counter(w for t in texts for w in re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]", t))
-    assert got == _python_bpe(words, 12, 3)
+    assert got == _python_bpe(words, 25)
     assert vocab.filter(F.col("kind") == "merge").count() == len(set(a + b for a, b in got))
 
 
