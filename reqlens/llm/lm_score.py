@@ -43,16 +43,17 @@ from pyspark.sql import functions as F
 from reqlens.llm.textscan import NOT_SPACE, Words, _power_tables, mix, slices
 from reqlens.llm.util import stored, work_dir
 
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: bytes in their contexts whose probability a task remembers
+REMEMBERED = 1 << 21
 END = 0xFF  # in no UTF-8 text
 LEAD = 4
 #: log2 of the slots: no context, 1, 2, 3, 4 bytes, the word so far
-TABLE_BITS = (8, 16, 19, 20, 21, 23)
+TABLE_BITS = (8, 16, 18, 20, 21, 24)
 CONTEXTS = len(TABLE_BITS)
 HEAD = 1 << 18
 TABLE_TASKS = 6
 CHUNK = 1 << 18
-PRIOR = 0.4
 GATES = 8 * 4 * 4
 MAP_STEPS = 24
 MAP_PRIOR = 32.0
@@ -150,22 +151,28 @@ def _choices(byte: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         node = 2 * node + bit
 
 
-#: a count's level, for counts up to the last
-_LEVEL = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 128, 1024], np.arange(1025), side="right").astype(np.int64)
+#: counts are kept in 16 bits: as they are below EXACT, their logarithms above
+EXACT = 4096
+_FINE = 1500.0
+_COUNT = np.where(np.arange(1 << 16) < EXACT, np.arange(1 << 16), EXACT * np.exp((np.arange(1 << 16) - EXACT) / 4000.0))
+_LOG = np.log(np.maximum(_COUNT, 1)).astype(np.float32)
+_LEVEL = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 128, 1024], _COUNT, side="right").astype(np.int64)
 LEVELS = int(_LEVEL[-1]) + 1
 STATES = LEVELS * LEVELS
-
-
 #: codes below are states; above, the log odds of counts that are all large
 DIRECT = 1 << 12
-_FINE = 1500.0
+
+
+def _kept(count: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits."""
+    large = EXACT + np.rint(4000.0 * np.log(np.maximum(count, EXACT) / EXACT))
+    return np.where(count < EXACT, np.rint(count), np.minimum(large, (1 << 16) - 1)).astype(np.uint16)
 
 
 def _code(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """What a mixer reads of a slot's counts."""
-    state = _LEVEL[np.minimum(zero, 1024).astype(np.int64)] * LEVELS + _LEVEL[np.minimum(one, 1024).astype(np.int64)]
-    odds = np.log(np.maximum(one, 1) / np.maximum(zero, 1))
-    direct = DIRECT + np.rint((np.clip(odds, -16, 16) + 16) * _FINE).astype(np.int64)
+    """What a mixer reads of a slot's counts, given in 16 bits (as integers)."""
+    state = _LEVEL[zero] * LEVELS + _LEVEL[one]
+    direct = DIRECT + ((np.clip(_LOG[one] - _LOG[zero], -16, 16) + 16) * _FINE).astype(np.int64)
     return np.where((np.minimum(zero, one) >= 4) & (zero + one >= 32), direct, state)
 
 
@@ -184,8 +191,9 @@ class Mixer:
     weights by gate, and the final map; all learned online."""
 
     def __init__(self, learned: dict[str, np.ndarray] | None = None) -> None:
+        self.memory = np.empty(0, np.uint64), np.empty(0)
         if learned is None:
-            low = np.array([float(np.flatnonzero(_LEVEL == i)[0]) for i in range(LEVELS)])
+            low = np.array([_COUNT[np.flatnonzero(_LEVEL == i)[0]] for i in range(LEVELS)])
             zero, one = (x.ravel() for x in np.meshgrid(low, low, indexing="ij"))
             middle = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) - (MAP_STEPS - 1) / 2)))
             learned = {
@@ -195,14 +203,13 @@ class Mixer:
                 "state_ones": np.tile(STATE_PRIOR * (one + 0.1) / (zero + one + 0.2), (CONTEXTS * 8, 1))}
         self.learned = learned
         self.__dict__.update(learned)
+        self.code_odds = np.empty((CONTEXTS * 8, 1 << 16), np.float32)
+        self.code_odds[:, DIRECT:] = (np.arange(DIRECT, 1 << 16) - DIRECT + 0.5) / _FINE - 16
         self.odds()
 
     def odds(self) -> None:
         p = np.clip(self.state_ones / self.state_seen, 1e-5, 1 - 1e-5)
-        direct = (np.arange(DIRECT, 1 << 16) - DIRECT) / _FINE - 16
-        self.code_odds = np.empty((CONTEXTS * 8, 1 << 16), np.float32)
         self.code_odds[:, :STATES] = np.log(p / (1 - p))
-        self.code_odds[:, DIRECT:] = direct
 
     def mixed(self, codes: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs, gate, log odds of a 1) from the codes of the contexts."""
@@ -239,8 +246,10 @@ class Mixer:
             for k, node, bit in _choices(byte[own].astype(np.int64)):
                 states = []
                 for s in _slots(contexts, node):
-                    zero, one = (np.rint(np.exp(t[s].astype(np.float32)) - PRIOR) for t in tables)
-                    states.append(_code(np.maximum(zero - (bit == 0), 0), np.maximum(one - (bit == 1), 0)))
+                    zero, one = (t[s].astype(np.int64) for t in tables)
+                    zero -= (bit == 0) & (zero > 0) & (zero < EXACT)
+                    one -= (bit == 1) & (one > 0) & (one < EXACT)
+                    states.append(_code(zero, one))
                 x, gate, z = self.mixed(states, k)
                 error = (bit - 1 / (1 + np.exp(-z))) * n
                 mass = np.bincount(gate, n, GATES)
@@ -258,6 +267,25 @@ class Mixer:
             if at % ODDS_ROWS == 0:
                 self.odds()
 
+    def remembered(self, table: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """``log10``, computed once for each byte in its context while the
+        mixer remembers it."""
+        key = mix(mix(last ^ word * _SPREAD) + byte)
+        kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
+        known, values = self.memory
+        at = np.searchsorted(known, kinds)
+        at[at == len(known)] = 0
+        new = known[at] != kinds if len(known) else np.ones(len(kinds), bool)
+        out = np.empty(len(kinds))
+        out[~new] = values[at[~new]]
+        pick = first[new]
+        out[new] = self.log10(table, last[pick], word[pick], byte[pick])
+        if len(known) + len(pick) <= REMEMBERED:
+            keys = np.concatenate((known, kinds[new]))
+            order = np.argsort(keys, kind="stable")
+            self.memory = keys[order], np.concatenate((values, out[new]))[order]
+        return out[of]
+
     def log10(self, table: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte, by the slots' codes."""
         out = np.zeros(len(last))
@@ -276,11 +304,10 @@ _STRENGTH[:STATES] = np.searchsorted([1, 3, 8], np.arange(STATES) // LEVELS + np
 
 
 def slot_codes(tables: np.ndarray) -> np.ndarray:
-    """The code of every slot (two bytes), from log(count + PRIOR)."""
+    """The code of every slot (two bytes)."""
     out = np.empty(tables.shape[1], np.uint16)
-    for at in range(0, len(out), 1 << 20):
-        zero, one = (np.rint(np.exp(t[at:at + (1 << 20)].astype(np.float32)) - PRIOR) for t in tables)
-        out[at:at + (1 << 20)] = _code(zero, one)
+    for at in range(0, len(out), 1 << 18):
+        out[at:at + (1 << 18)] = _code(*(t[at:at + (1 << 18)].astype(np.int64) for t in tables))
     return out
 
 
@@ -348,17 +375,18 @@ def _learning_rows(batch: pa.RecordBatch, limit: int = 20_000) -> Iterator[tuple
 
 
 def _bit_tables(rows: DataFrame) -> np.ndarray:
-    """log(count + PRIOR) of the zeros and the ones in every slot."""
+    """The counts of zeros and of ones in every slot, in 16 bits."""
     size = int(_BASE[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, size), np.float32)
+        table = np.zeros(2 * size, np.float32)
         for batch in batches:
             for last, word, byte, n in _learning_rows(batch):
                 contexts, n = _contexts(last, word), n.astype(np.float32)
                 for _, node, bit in _choices(byte.astype(np.int64)):
                     for s in _slots(contexts, node):
-                        np.add.at(table, (bit, s), n)
+                        np.add.at(table, bit * size + s, n)
+        table = table.reshape(2, size)
         for c in range(0, size, CHUNK):
             if table[:, c:c + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.ascontiguousarray(table[:, c:c + CHUNK]).tobytes()], pa.binary())],
@@ -366,13 +394,13 @@ def _bit_tables(rows: DataFrame) -> np.ndarray:
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in group.column("counts"))
-        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([np.log(total + PRIOR).astype(np.float16).tobytes()], pa.binary())})
+        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([_kept(total).tobytes()], pa.binary())})
 
     schema = "chunk bigint, counts binary"
     chunks = rows.coalesce(TABLE_TASKS).mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema)
-    out = np.full((2, size), math.log(PRIOR), np.float16)
+    out = np.zeros((2, size), np.uint16)
     for r in chunks.toLocalIterator():  # a fixed size in all
-        out[:, r["chunk"]:r["chunk"] + CHUNK] = np.frombuffer(r["counts"], np.float16).reshape(2, -1)
+        out[:, r["chunk"]:r["chunk"] + CHUNK] = np.frombuffer(r["counts"], np.uint16).reshape(2, -1)
     return out
 
 
@@ -442,8 +470,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
                 for p, q in stream.parts():
                     at, last, word, _ = stream.rows(p, q)
                     byte = stream.buf[at]
-                    _, first, of = np.unique(mix(mix(last ^ word * _SPREAD) + byte), return_index=True, return_inverse=True)
-                    sums = np.concatenate(([0.0], np.cumsum(m.log10(states, last[first], word[first], byte[first])[of])))
+                    sums = np.concatenate(([0.0], np.cumsum(m.remembered(states, last, word, byte))))
                     ends = np.searchsorted(at, np.concatenate(([-1], stream.end)), side="right")
                     total += sums[ends[1:]] - sums[ends[:-1]]
                 h = w.hashes().view(np.int64)
