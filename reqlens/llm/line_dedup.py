@@ -41,7 +41,9 @@ MIN_BYTES = 32
 THRESHOLD = 2
 #: lines of a part
 PART = 512
-PAIRS = 1 << 15
+#: rows that one call verifies, about, and pairs at once
+BUNDLE = 2000
+PAIRS = 1 << 12
 
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[0x0A] = False
@@ -138,90 +140,137 @@ def _texts(docs: DataFrame, wanted) -> DataFrame:
     return docs.select("text").mapInArrow(run, "line bigint, raw binary").dropDuplicates(["line"])
 
 
-def within(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether the rows of x (pairs, m) and y (pairs, n), m <= n <= m +
-    threshold, are within the threshold: the columns of the edit matrix in bit
-    vectors of the 2 * threshold + 1 cells around its diagonal."""
-    pairs, m = x.shape
-    n = y.shape[1]
-    if m <= threshold:
-        x = np.concatenate((np.zeros((pairs, threshold + 1), np.uint8), x), axis=1)
-        y = np.concatenate((np.zeros((pairs, threshold + 1), np.uint8), y), axis=1)
-        m, n = m + threshold + 1, n + threshold + 1
+def within(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
+    """Whether each pair (x, y), len(x) <= len(y) <= len(x) + threshold, is within
+    the threshold."""
+    out = np.zeros(len(xs), bool)
+    order = np.argsort([len(x) for x in xs], kind="stable")
+    for p in range(0, len(order), PAIRS):
+        own = order[p:p + PAIRS]
+        out[own] = _banded([xs[k] for k in own], [ys[k] for k in own], threshold)
+    return out
+
+
+def _padded(lines: list[bytes], lead: int, fill: int) -> np.ndarray:
+    """(bytes, lines): the lines as columns, after ``lead`` equal bytes and
+    before bytes that equal nothing."""
+    size = np.array([len(x) for x in lines])
+    out = np.full((len(lines), lead + int(size.max())), fill, np.uint16)
+    out[:, :lead] = 0
+    out[:, lead:][np.arange(int(size.max())) < size[:, None]] = np.frombuffer(b"".join(lines), np.uint8)
+    return np.ascontiguousarray(out.T)
+
+
+def _banded(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
+    """The columns of the edit matrices of all pairs at once, in bit vectors of
+    the 2 * threshold + 1 cells around the diagonal. Pairs whose distance can't
+    come down to the threshold any more are left out as they are found."""
+    lead = threshold + 1
+    m, n = (np.array([len(t) for t in z], np.int64) + lead for z in (xs, ys))
+    x, y = _padded(xs, lead, 300), _padded(ys, lead, 301)
     width = 2 * threshold + 1
     full = np.uint64((1 << width) - 1)
     one = np.uint64(1)
-    plus = np.full(pairs, ((1 << (threshold + 1)) - 1) << threshold, np.uint64)  # rows that are one more than the row above
-    minus = np.zeros(pairs, np.uint64)
-    score = np.full(pairs, threshold, np.int64)
-    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
-    for j in range(n):
-        match = np.zeros(pairs, np.uint64)
+    pair = np.arange(len(xs))
+    plus = np.full(len(xs), ((1 << (threshold + 1)) - 1) << threshold, np.uint64)  # rows that are one more than the row above
+    minus = np.zeros(len(xs), np.uint64)
+    score = np.full(len(xs), threshold, np.int64)
+    out = np.zeros(len(xs), bool)
+    for j in range(int(n.max())):
+        match = np.zeros(len(pair), np.uint64)
         for b in range(width):
             row = j - threshold + b
-            if 0 <= row < m:
-                match |= (xt[row] == yt[j]).astype(np.uint64) << np.uint64(b)
+            if 0 <= row < len(x):
+                match |= (x[row] == y[j]).astype(np.uint64) << np.uint64(b)
         same = ((((match & plus) + plus) ^ plus) | match | minus) & full  # equal to the cell up left
         right = (minus | ~(same | plus)) & full
         left = plus & same
-        if j < m - threshold:
-            score += 1 - ((same >> np.uint64(width - 1)) & one).astype(np.int64)
-        else:
-            b = np.uint64(m - 1 - j + threshold)
-            score += ((right >> b) & one).astype(np.int64) - ((left >> b) & one).astype(np.int64)
+        diagonal = j < m - threshold
+        last_row = np.clip(m - 1 - j + threshold, 0, width - 1).astype(np.uint64)
+        beside = ((right >> last_row) & one).astype(np.int64) - ((left >> last_row) & one).astype(np.int64)
+        score += np.where(diagonal, 1 - ((same >> np.uint64(width - 1)) & one).astype(np.int64), np.where(j < n, beside, 0))
         down = same >> one
         plus = (left | ~(down | right)) & full
         minus = down & right
-    return score <= threshold
-
-
-def _cell_links(lines: list[bytes], own: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that span the pairs (an indexed line and another one) of left and
-    right that are within the threshold."""
-    size = np.array([len(x) for x in lines])
-    bags = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64) for x in lines]).astype(np.int32)
-    root = list(range(len(lines)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    links: list[tuple[int, int]] = []
-
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        for m, n in sorted({(int(size[i]), int(size[j])) for i, j in zip(a, b)}):
-            pick = np.flatnonzero((size[a] == m) & (size[b] == n))
-            for p in range(0, len(pick), PAIRS):
-                i, j = a[pick[p:p + PAIRS]], b[pick[p:p + PAIRS]]
-                x = np.stack([np.frombuffer(lines[k], np.uint8) for k in i.tolist()])
-                y = np.stack([np.frombuffer(lines[k], np.uint8) for k in j.tolist()])
-                for u, v in zip(i[ok := within(x, y, threshold)].tolist(), j[ok].tolist()):
-                    if top(u) != top(v):
-                        root[top(u)] = top(v)
-                        links.append((u, v))
-
-    def open_pairs(x: int) -> tuple[np.ndarray, np.ndarray]:
-        others = right if x in inside_left else left
-        y = others[[top(int(k)) != top(x) for k in others]] if len(others) else others
-        y = y[(y != x) & (np.abs(size[y] - size[x]) <= threshold) & (own[y] | own[x])]
-        y = y[np.abs(bags[y] - bags[x]).sum(axis=1) <= 2 * threshold]
-        swap = size[y] < size[x]
-        return np.where(swap, y, x), np.where(swap, x, y)
-
-    inside_left = set(left.tolist())
-    if len(left):
-        compare(*open_pairs(int(left[0])))  # most of a group of copies is linked by one line
-    batch: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-    for x in left.tolist():
-        batch.append(open_pairs(x))
-        waiting += len(batch[-1][0])
-        if waiting >= PAIRS:
-            compare(*(np.concatenate(z) for z in zip(*batch)))
-            batch, waiting = [], 0
-    if waiting:
-        compare(*(np.concatenate(z) for z in zip(*batch)))
+        if j % 16 == 15:
+            open_ = (score <= 3 * threshold) & (j < n)
+            if 4 * open_.sum() < 3 * len(pair):
+                done = j >= n
+                out[pair[done]] = score[done] <= threshold
+                pair, plus, minus, score, m, n = (z[open_] for z in (pair, plus, minus, score, m, n))
+                if not len(pair):
+                    return out
+                x, y = x[:, open_], y[:, open_]
+    out[pair] = score <= threshold
+    return out
+
+
+class _Cell:
+    """The lines of a cell and which of them are joined."""
+
+    def __init__(self, lines: list[bytes], own: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        self.lines, self.own, self.left, self.right = lines, own, left, right
+        self.size = np.array([len(x) for x in lines])
+        self.bags = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64) for x in lines]).astype(np.int16)
+        self.part = np.arange(len(lines))
+
+    def open_pairs(self, rows: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of these lines of the left with lines of the right, at least one
+        of them indexed, that aren't joined and may be within the threshold."""
+        found = []
+        for x in rows.tolist():
+            y = self.right[(self.part[self.right] != self.part[x]) & (np.abs(self.size[self.right] - self.size[x]) <= threshold)
+                           & (self.own[self.right] | self.own[x])]
+            if len(y):
+                y = y[np.abs(self.bags[y] - self.bags[x]).sum(axis=1) <= 2 * threshold]
+                swap = self.size[y] < self.size[x]
+                found.append((np.where(swap, y, x), np.where(swap, x, y)))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = (np.concatenate(z) for z in zip(*found))
+        keep = np.unique(np.minimum(a, b) * len(self.lines) + np.maximum(a, b), return_index=True)[1]
+        return a[keep], b[keep]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        links = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            if self.part[x] != self.part[y]:
+                self.part[self.part == self.part[y]] = self.part[x]
+                links.append((x, y))
+        return links
+
+
+def _verified(pairs: list[tuple[_Cell, np.ndarray, np.ndarray]], threshold: int) -> list[list[tuple[int, int]]]:
+    """Joins the pairs of each cell that are within the threshold, all verified at
+    once; returns the links that joined something."""
+    xs = [c.lines[k] for c, a, _ in pairs for k in a.tolist()]
+    ys = [c.lines[k] for c, _, b in pairs for k in b.tolist()]
+    good = within(xs, ys, threshold) if xs else np.empty(0, bool)
+    out, at = [], 0
+    for c, a, b in pairs:
+        ok = good[at:at + len(a)]
+        at += len(a)
+        out.append(c.join(a[ok], b[ok]))
+    return out
+
+
+def cell_links(cells: list[_Cell], threshold: int) -> list[list[tuple[int, int]]]:
+    """For each cell, links that span its pairs within the threshold."""
+    # most of a group of copies is joined by comparing with one line
+    links = _verified([(c, *c.open_pairs(c.left[:1], threshold)) for c in cells], threshold)
+    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def verify() -> None:
+        for (k, _, _), more in zip(waiting, _verified([(cells[k], a, b) for k, a, b in waiting], threshold)):
+            links[k] += more
+        waiting.clear()
+
+    for k, c in enumerate(cells):
+        for at in range(0, len(c.left), 64):
+            waiting.append((k, *c.open_pairs(c.left[at:at + 64], threshold)))
+            if sum(len(a) for _, a, _ in waiting) >= PAIRS:
+                verify()
+    verify()
     return links
 
 
@@ -238,17 +287,22 @@ def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
     texts = stored(_texts(docs, context.broadcast(bitmap(wanted, "line"))), folder, "texts")
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
                        lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
+    bundles = max(1, dealt.count() // BUNDLE)
     cells = dealt.select("key", "line", "own", "part", F.explode(pair).alias("cell")) \
-        .select("key", "line", "own", "part", "cell.i", "cell.j").join(texts, "line")
-
-    def verify(cell: pa.Table) -> pa.Table:
-        part, ids = cell.column("part").to_numpy(), cell.column("line").to_numpy()
-        left = np.flatnonzero(part == cell.column("i")[0].as_py())
-        right = np.flatnonzero(part == cell.column("j")[0].as_py())
-        links = _cell_links(cell.column("raw").to_pylist(), cell.column("own").to_numpy(), left, right, threshold)
-        return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
-
-    return stored(cells.groupBy("key", "i", "j").applyInArrow(verify, "a bigint, b bigint").distinct(), folder, "links")
+        .select("key", "line", "own", "part", "cell.i", "cell.j").join(texts, "line") \
+        .withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles)))
+
+    def verify(bundle: pa.Table) -> pa.Table:
+        key, i, j, part, own, ids = (bundle.column(c).to_numpy() for c in ("key", "i", "j", "part", "own", "line"))
+        raw = bundle.column("raw").to_pylist()
+        order = np.lexsort((ids, j, i, key))
+        change = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        groups = np.split(order, change)
+        cells = [_Cell([raw[k] for k in g], own[g], np.flatnonzero(part[g] == i[g]), np.flatnonzero(part[g] == j[g])) for g in groups]
+        links = [(ids[g[x]], ids[g[y]]) for g, found in zip(groups, cell_links(cells, threshold)) for x, y in found]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return stored(cells.groupBy("bundle").applyInArrow(verify, "a bigint, b bigint").distinct(), folder, "links")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | None = None) -> DataFrame:
