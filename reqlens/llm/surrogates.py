@@ -84,44 +84,47 @@ def _canonical(kind: Column, match: Column, prefix: Column) -> Column:
         .when(kind.isin("email", "ipv6", "name"), F.lower(rest)).otherwise(rest)
 
 
-def _drawn(key: str, kind: Column, scope: Column, canonical: Column, attempt: Column, luhn: Column) -> Column:
-    """The canonical surrogate."""
-    seed = F.concat_ws("|", F.lit(key), kind, scope, canonical, attempt.cast("string"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(canonical) / 16).cast("int")),
-                         lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256))
-    stream = F.array_join(blocks, "")
+def _drawn(df: DataFrame, key: str) -> DataFrame:
+    """``drawn``, the canonical surrogate, from kind, scope, canonical, luhn and
+    attempt. Each step is a column of its own, so it is computed once a row."""
+    kind, scope, canonical = F.col("kind"), F.col("scope"), F.col("canonical")
     n = F.length(canonical)
-
-    def at(i: Column) -> Column:
-        return F.conv(stream.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int")
-
-    hexadecimal = canonical.rlike("^[0-9a-f]+$") & (kind != "card") & (kind != "phone") | (kind == "ipv6")
-    domain_end = F.when(kind == "email", n - F.length(F.substring_index(canonical, ".", -1))).otherwise(n)
+    df = df.withColumn("seed", F.concat_ws("|", F.lit(key), kind, scope, canonical, F.col("attempt").cast("string")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")),
+                         lambda b: F.sha2(F.concat_ws("|", F.col("seed"), b.cast("string")), 256))
+    df = df.withColumn("stream", F.array_join(blocks, ""))
+    df = df.withColumn("values", F.transform(F.sequence(F.lit(0), n), lambda i: F.conv(
+        F.col("stream").substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))) \
+        .withColumn("chars", F.filter(F.split(canonical, ""), lambda c: c != "")) \
+        .withColumn("hexadecimal", (canonical.rlike("^[0-9a-f]+$") & ~kind.isin("card", "phone")) | (kind == "ipv6")) \
+        .withColumn("open_end", F.when(kind == "email", n - F.length(F.substring_index(canonical, ".", -1))).otherwise(n)) \
+        .withColumn("name_end", F.when(kind == "name", F.length(F.regexp_extract(canonical, r"^\p{L}+", 0)) - 1).otherwise(-1))
 
     def char(c: Column, i: Column) -> Column:
-        r = at(i)
-        out = c
-        for first, last, start, size in reversed(_SCRIPTS):
+        r = F.get("values", i)
+        out = F.when(F.lit(False), c)
+        out = out.when(i >= F.col("open_end"), c)
+        out = out.when((i == F.col("name_end")) & c.between("a", "z"),
+                       F.when(scope == "f", "a").otherwise(F.lit("bdklmnrst").substr(1 + r % 9, F.lit(1))))
+        out = out.when(F.col("hexadecimal") & (c.between("0", "9") | c.between("a", "f")), F.lower(F.hex((r % 16).cast("bigint"))))
+        for first, last, start, size in _SCRIPTS:
             # chr() knows the first 256 code points only: the others are cut from a text
-            drawn = F.chr((r % size + ord(start)).cast("bigint")) if ord(start) < 256 else \
+            letter = F.chr((r % size + ord(start)).cast("bigint")) if ord(start) < 256 else \
                 F.decode(F.unhex(F.lpad(F.hex((r % size + ord(start)).cast("bigint")), 4, "0")), "UTF-16BE")
-            out = F.when((c >= F.lit(first)) & (c <= F.lit(last)), drawn).otherwise(out)
-        out = F.when(hexadecimal & c.rlike("^[0-9a-f]$"), F.lower(F.hex((r % 16).cast("bigint")))).otherwise(out)
-        out = F.when((kind == "name") & (i == F.length(F.regexp_extract(canonical, r"^\p{L}+", 0)) - 1) & c.rlike("^[a-z]$"),
-                     F.when(scope == "f", "a").otherwise(F.lit("bdklmnrst").substr(1 + r % 9, F.lit(1)))).otherwise(out)
-        return F.when(i >= domain_end, c).otherwise(out)
-
-    chars = F.filter(F.split(canonical, ""), lambda c: c != "")
-    plain = F.array_join(F.transform(chars, char), "")
-    octets = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, at(i) % 9 + 1)
-                                      .when(F.length(o) == 2, at(i) % 90 + 10).otherwise(at(i) % 156 + 100).cast("string")), ".")
-    body = plain.substr(F.lit(1), n - 1)
-    digits = F.reverse(F.filter(F.split(body, ""), lambda c: c != ""))
-    total = F.aggregate(F.transform(digits, lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9)
-                                                               .otherwise(c.cast("int") * 2)).otherwise(c.cast("int"))),
-                        F.lit(0), lambda a, x: a + x)
-    checked = F.concat(body, F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string"))
-    return F.when(kind == "ipv4", octets).when(luhn, checked).otherwise(plain)
+            out = out.when(c.between(first, last), letter)
+        return out.otherwise(c)
+
+    df = df.withColumn("plain", F.array_join(F.transform("chars", char), ""))
+    octets = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, F.get("values", i) % 9 + 1)
+                                      .when(F.length(o) == 2, F.get("values", i) % 90 + 10)
+                                      .otherwise(F.get("values", i) % 156 + 100).cast("string")), ".")
+    df = df.withColumn("body", F.col("plain").substr(F.lit(1), n - 1)) \
+        .withColumn("digits", F.transform(F.reverse(F.filter(F.split("body", ""), lambda c: c.between("0", "9"))), lambda c: c.cast("int")))
+    double = F.transform("digits", lambda d, i: F.when(i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
+    df = df.withColumn("total", F.aggregate(double, F.lit(0), lambda a, x: a + x))
+    checked = F.concat("body", F.pmod(F.lit(10) - F.col("total") % 10, F.lit(10)).cast("string"))
+    return df.withColumn("drawn", F.when(kind == "ipv4", octets).when(F.col("luhn"), checked).otherwise(F.col("plain"))) \
+        .drop("seed", "stream", "values", "chars", "hexadecimal", "open_end", "name_end", "plain", "body", "digits", "total")
 
 
 def _poured(kind: Column, match: Column, prefix: Column, drawn: Column) -> Column:
@@ -151,11 +154,9 @@ def attempts(entities: DataFrame, key: str, folder: str, draws: int = 30) -> Dat
     the first draw."""
     own = ["kind", "scope", "canonical", "luhn"]
     real = stored(entities.select(*own).distinct(), folder, "entities")
-    drawn = F.col("drawn")
     redrawn = stored(real.limit(0).withColumn("attempt", F.lit(1)), folder, "attempts-0")
     for k in range(1, draws + 1):
-        state = real.join(redrawn, own, "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))) \
-            .withColumn("drawn", _drawn(key, *(F.col(c) for c in own[:3]), F.col("attempt"), F.col("luhn")))
+        state = _drawn(real.join(redrawn, own, "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key)
         state = stored(state, folder, f"drawn-{k}")
         same = state.groupBy("kind", "scope", "drawn").agg(F.count("*").alias("n"), F.min("canonical").alias("first")).where("n > 1")
         clash = state.join(same, ["kind", "scope", "drawn"]).where("canonical <> first").select(*own)
@@ -177,15 +178,18 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     plain = {f"column_{i}": c for i, c in enumerate(docs.columns)}  # no name can clash below
     own = next(k for k, c in plain.items() if c == text)
     renamed = docs.toDF(*plain)
-    has = F.coalesce(F.col(own).rlike(PATTERN), F.lit(False))
+    # every entity holds one of these; a search for them is much cheaper
+    may = F.col(own).rlike("[0-9@=:]")
+    for title in f"{_TITLES_F}|{_TITLES_M}".split("|"):
+        may = may | F.col(own).contains(title)
+    has = F.coalesce(may & F.col(own).rlike(PATTERN), F.lit(False))
     found = renamed.where(has).withColumn("row", F.monotonically_increasing_id()) \
         .withColumn("matches", F.regexp_extract_all(own, F.lit(PATTERN), F.lit(0))) \
         .withColumn("parts", F.split(own, PATTERN, -1))
     found = stored(found, folder, "found")
     each = _described(found.select("row", F.posexplode("matches").alias("pos", "match")))
     redrawn = attempts(each, key, folder)
-    replaced = each.join(redrawn, ["kind", "scope", "canonical"], "left") \
-        .withColumn("drawn", _drawn(key, F.col("kind"), F.col("scope"), F.col("canonical"), F.coalesce("attempt", F.lit(0)), F.col("luhn"))) \
+    replaced = _drawn(each.join(redrawn, ["kind", "scope", "canonical"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key) \
         .withColumn("new", _poured(F.col("kind"), F.col("match"), F.col("prefix"), F.col("drawn")))
     by_row = replaced.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("new"),
                                          F.array_sort(F.collect_set("kind")).alias("types"))
