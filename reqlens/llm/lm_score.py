@@ -33,6 +33,7 @@ token and the model uninformed. Repeated rows keep their rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -404,23 +405,33 @@ def _bit_tables(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """Most slots of a small corpus are empty."""
+    return zlib.compress(np.ascontiguousarray(table).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint16)
+
+
 def _fit(rows: DataFrame, tables: np.ndarray) -> dict[str, np.ndarray]:
     """What the mixers learned in all partitions: weights averaged by how much
     each gate was used, counts summed."""
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(tables))
     begin = Mixer().learned
     sizes = {k: v.size for k, v in begin.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer({k: v.copy() for k, v in begin.items()})
+        m, tables = Mixer({k: v.copy() for k, v in begin.items()}), _unpacked(shared.value).reshape(2, -1)
         for batch in batches:
             for part in _learning_rows(batch):
                 mixed = np.random.default_rng(len(part[0])).permutation(len(part[0]))
-                m.learn(shared.value, *(x[mixed] for x in part))
+                m.learn(tables, *(x[mixed] for x in part))
         values = np.concatenate([(m.weights * m.mass[:, None] if k == "weights" else m.learned[k] - begin[k]).ravel() for k in sizes])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
     got = rows.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
+    shared.destroy()
     if not got.num_rows:
         return begin
     split = np.split(got.column("v").to_numpy(), np.cumsum(list(sizes.values()))[:-1])
@@ -458,11 +469,11 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
             break
         least = 1 << r["k"]
     head = tokens.where(F.col("c") >= least).groupBy("hash").agg(F.sum("c").alias("c")).toArrow().sort_by("hash")
-    shared = context.broadcast((slot_codes(tables), fitted, head.column("hash").to_numpy(), head.column("c").to_numpy(), n_texts))
+    shared = context.broadcast((_packed(slot_codes(tables)), fitted, head.column("hash").to_numpy(), head.column("c").to_numpy(), n_texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, fitted, known, counts, n_texts = shared.value
-        m = Mixer(fitted)
+        packed, fitted, known, counts, n_texts = shared.value
+        m, states = Mixer(fitted), _unpacked(packed)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 w = Words(part.column("text"), NOT_SPACE)
