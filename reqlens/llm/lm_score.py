@@ -59,8 +59,8 @@ GATES = 8 * 4 * 4
 MAP_STEPS = 24
 MAP_PRIOR = 32.0
 STATE_PRIOR = 4.0
-STEP_ROWS = 1024
-ODDS_ROWS = 16 * STEP_ROWS
+STEP_ROWS = 4096
+ODDS_ROWS = 4 * STEP_ROWS
 RATE = 0.1
 END_TOKEN = int(mix(np.array([0x656E64], np.uint64)).view(np.int64)[0])
 
@@ -289,14 +289,14 @@ class Mixer:
 
     def log10(self, table: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte, by the slots' codes."""
-        out = np.zeros(len(last))
+        out = np.ones(len(last))  # eight factors of 1e-6 at least
         for at in range(0, len(last), 1 << 15):
             own = slice(at, at + (1 << 15))
             contexts = _contexts(last[own], word[own])
             for k, node, bit in _choices(byte[own].astype(np.int64)):
                 p = self.refined(self.mixed([table[s].astype(np.int64) for s in _slots(contexts, node)], k)[2], last[own])
-                out[own] += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
+                out[own] *= np.where(bit == 1, p, 1 - p)
+        return np.log10(out)
 
 
 #: how often a slot of this code was seen: never, 1 or 2 times, some, many times
