@@ -35,8 +35,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: (name, pattern) in order of precedence; groups don't capture
 TYPES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?i:(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,256})"),
-    ("key", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})(?![A-Za-z0-9])"),
+    ("secret", r"(?i:(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+)"),
+    ("key", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
@@ -92,9 +92,9 @@ def _drawn(df: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("seed", F.concat_ws("|", F.lit(key), kind, scope, canonical, F.col("attempt").cast("string")))
     blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")),
                          lambda b: F.sha2(F.concat_ws("|", F.col("seed"), b.cast("string")), 256))
-    df = df.withColumn("stream", F.array_join(blocks, ""))
-    df = df.withColumn("values", F.transform(F.sequence(F.lit(0), n), lambda i: F.conv(
-        F.col("stream").substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))) \
+    # cut from the blocks, not from one text: linear in the length of a long secret
+    df = df.withColumn("values", F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(
+        b.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))))) \
         .withColumn("chars", F.filter(F.split(canonical, ""), lambda c: c != "")) \
         .withColumn("hexadecimal", (canonical.rlike("^[0-9a-f]+$") & ~kind.isin("card", "phone")) | (kind == "ipv6")) \
         .withColumn("open_end", F.when(kind == "email", n - F.length(F.substring_index(canonical, ".", -1))).otherwise(n)) \
@@ -124,7 +124,7 @@ def _drawn(df: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("total", F.aggregate(double, F.lit(0), lambda a, x: a + x))
     checked = F.concat("body", F.pmod(F.lit(10) - F.col("total") % 10, F.lit(10)).cast("string"))
     return df.withColumn("drawn", F.when(kind == "ipv4", octets).when(F.col("luhn"), checked).otherwise(F.col("plain"))) \
-        .drop("seed", "stream", "values", "chars", "hexadecimal", "open_end", "name_end", "plain", "body", "digits", "total")
+        .drop("seed", "values", "chars", "hexadecimal", "open_end", "name_end", "plain", "body", "digits", "total")
 
 
 def _poured(kind: Column, match: Column, prefix: Column, drawn: Column) -> Column:
@@ -179,7 +179,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     own = next(k for k, c in plain.items() if c == text)
     renamed = docs.toDF(*plain)
     # every entity holds one of these; a search for them is much cheaper
-    may = F.col(own).rlike("[0-9@=:]")
+    may = F.col(own).rlike("[0-9@=:]") | F.col(own).contains("AKIA") | F.col(own).contains("sk-") | F.col(own).rlike("gh[pousr]_")
     for title in f"{_TITLES_F}|{_TITLES_M}".split("|"):
         may = may | F.col(own).contains(title)
     has = F.coalesce(may & F.col(own).rlike(PATTERN), F.lit(False))

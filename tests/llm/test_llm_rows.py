@@ -198,6 +198,20 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(ips) and not set(got) & set(ips)
 
 
+def test_surrogates_of_letters_only_keys_and_long_secrets(spark):
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghij" * 2, "sk-" + "ABCDEFGHijklmnop", "gho_" + "Zyxwvutsrq" * 30]
+    r = random.Random(4)
+    secret = "".join(r.choice("ABCDEFghijkl_-.") for _ in range(1000))
+    rows = [(i, f"use {k} here") for i, k in enumerate(keys)] + [(9, f"token: {secret} end")]
+    got = {x.doc_id: x for x in surrogates.replace(table(spark, rows), "k").collect()}
+    for i, k in enumerate(keys):
+        new = got[i].text.split()[1]
+        assert got[i].entity_types == ["key"] and len(new) == len(k) and new[:3] == k[:3] and new[4:] != k[4:]
+    new = got[9].text.split()[1]
+    assert got[9].entity_types == ["secret"] and len(new) == 1000
+    assert not any(secret[i:i + 20] in new for i in range(0, 980))
+
+
 def test_readable_plan_has_no_python_in_surrogates(spark):
     plan = surrogates.replace(table(spark, [(1, "a@b.example.com")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan), json.dumps(plan[:300])
