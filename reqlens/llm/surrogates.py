@@ -96,7 +96,7 @@ def _drawn(df: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("values", F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(
         b.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int"))))) \
         .withColumn("chars", F.filter(F.split(canonical, ""), lambda c: c != "")) \
-        .withColumn("hexadecimal", (canonical.rlike("^[0-9a-f]+$") & ~kind.isin("card", "phone")) | (kind == "ipv6")) \
+        .withColumn("hexadecimal", (kind.isin("secret", "key") & canonical.rlike("^[0-9a-f]+$") & canonical.rlike("[a-f]")) | (kind == "ipv6")) \
         .withColumn("open_end", F.when(kind == "email", n - F.length(F.substring_index(canonical, ".", -1))).otherwise(n)) \
         .withColumn("name_end", F.when(kind == "name", F.length(F.regexp_extract(canonical, r"^\p{L}+", 0)) - 1).otherwise(-1))
 

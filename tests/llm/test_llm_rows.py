@@ -212,6 +212,21 @@ def test_surrogates_of_letters_only_keys_and_long_secrets(spark):
     assert not any(secret[i:i + 20] in new for i in range(0, 980))
 
 
+def test_surrogates_keep_the_format_of_their_type(spark):
+    cases = {"email": "abe@cafe.example.com", "secret": "token=0123456789abcdef", "key": "sk-abcdefabcdef0123", "iban": "DE89 3704 0044 0532 0130 00",
+             "ssn": "123-45-6789", "phone": "+1 (017) 555-7713", "card": "4111 1111 1111 1111", "ipv4": "10.2.33.254",
+             "ipv6": "2001:0db8:0000:0000:0000:ff00:0042:8329", "name": "Ms Ada Abe"}
+    cases = [(k, v) for k, v in cases.items()] + [("ssn", f"{a}-{a % 90 + 10}-{a * 9}") for a in range(200, 230)] \
+        + [("name", f"Mr {n}") for n in ("Abe", "Ed", "Dee", "Bea")] + [("secret", "password=20240117")]
+    got = {x.doc_id: x for x in surrogates.replace(table(spark, [(i, v) for i, (_, v) in enumerate(cases)]), "k").collect()}
+    patterns = {k: re.sub(r"\\p\{Lu\}", "[A-Z]", re.sub(r"\\p\{L\}", "[A-Za-z]", p)) for k, p in surrogates.TYPES}
+    for i, (kind, old) in enumerate(cases):
+        assert got[i].entity_types == [kind] and got[i].text != old
+        assert re.fullmatch(patterns[kind], got[i].text), (kind, old, got[i].text)
+        if kind in ("ssn", "iban", "phone", "card", "ipv4") or old == "password=20240117":  # digits for digits, nothing else
+            assert re.sub("[0-9]", "0", got[i].text) == re.sub("[0-9]", "0", old)
+
+
 def test_readable_plan_has_no_python_in_surrogates(spark):
     plan = surrogates.replace(table(spark, [(1, "a@b.example.com")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan), json.dumps(plan[:300])
