@@ -227,6 +227,25 @@ def test_surrogates_keep_the_format_of_their_type(spark):
             assert re.sub("[0-9]", "0", got[i].text) == re.sub("[0-9]", "0", old)
 
 
+def test_surrogates_of_used_up_forms(spark):
+    """More entities than their form has values: a free one each, then longer ones."""
+    r = random.Random(8)
+    pairs = [a + b for a in "BCDFGHJKLM" for b in "eiouy"] + ["Xa", "Za", "Na", "Ta", "Qa", "Ra", "Va", "Wa", "Pa", "Ya"]
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(0, 10) for b in range(0, 10) for c in range(0, 10) for d in range(0, 10)]
+    dotted = ["password: ________", "password: ........"]
+    rows = [(i, f"Ms {n}") for i, n in enumerate(pairs)] + [(100, " ".join(r.sample(ips, len(ips))))] + [(200 + i, t) for i, t in enumerate(dotted)]
+    got = {x.doc_id: x.text for x in surrogates.replace(table(spark, rows), "k").collect()}
+    names = [got[i] for i in range(len(pairs))]
+    assert len(set(names)) == 60 and not set(names) & {f"Ms {n}" for n in pairs}
+    assert all(re.fullmatch("Ms [A-Z][a-z]*a", n) for n in names)
+    # 16 of the 26 values Aa, Ba, ... are no real names
+    assert sum(len(n) == 5 for n in names) == 16
+    new = got[100].split()
+    assert len(set(new)) == len(ips) and not set(new) & set(ips)
+    assert all(re.fullmatch(surrogates.TYPES[7][1], x) for x in new)
+    assert got[200] != dotted[0] and got[201] != dotted[1] and got[200].startswith("password: ")
+
+
 def test_readable_plan_has_no_python_in_surrogates(spark):
     plan = surrogates.replace(table(spark, [(1, "a@b.example.com")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan), json.dumps(plan[:300])
