@@ -274,6 +274,30 @@ def cell_links(cells: list[_Cell], threshold: int) -> list[list[tuple[int, int]]
     return links
 
 
+def _batches(groups: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The groups in runs of about BUNDLE rows: so many are held as cells at once."""
+    some, rows = [], 0
+    for g in groups:
+        some.append(g)
+        rows += len(g)
+        if rows >= BUNDLE:
+            yield some
+            some, rows = [], 0
+    if some:
+        yield some
+
+
+def _cells(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of all cells, in bundles of about BUNDLE rows."""
+    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
+                       lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
+    # every row is copied into as many cells as its key has parts
+    bundles = max(1, (dealt.agg(F.sum("parts").alias("n")).first()["n"] or 0) // BUNDLE)
+    return dealt.select("key", "line", "own", "part", F.explode(pair).alias("cell")) \
+        .select("key", "line", "own", "part", "cell.i", "cell.j").join(texts, "line") \
+        .withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles)))
+
+
 def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
     """(a, b): links that span the lines within the threshold of each other."""
     context = docs.sparkSession.sparkContext
@@ -285,12 +309,7 @@ def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
     dealt = stored(rows.join(useful, "key").withColumn("part", F.pmod(F.xxhash64("line"), "parts")), folder, "dealt")
     wanted = stored(dealt.select("line").distinct().select("line"), folder, "wanted")
     texts = stored(_texts(docs, context.broadcast(bitmap(wanted, "line"))), folder, "texts")
-    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
-                       lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
-    bundles = max(1, dealt.count() // BUNDLE)
-    cells = dealt.select("key", "line", "own", "part", F.explode(pair).alias("cell")) \
-        .select("key", "line", "own", "part", "cell.i", "cell.j").join(texts, "line") \
-        .withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles)))
+    cells = _cells(dealt, texts)
 
     def verify(bundle: pa.Table) -> pa.Table:
         key, i, j, part, own, ids = (bundle.column(c).to_numpy() for c in ("key", "i", "j", "part", "own", "line"))
@@ -298,8 +317,10 @@ def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
         order = np.lexsort((ids, j, i, key))
         change = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         groups = np.split(order, change)
-        cells = [_Cell([raw[k] for k in g], own[g], np.flatnonzero(part[g] == i[g]), np.flatnonzero(part[g] == j[g])) for g in groups]
-        links = [(ids[g[x]], ids[g[y]]) for g, found in zip(groups, cell_links(cells, threshold)) for x, y in found]
+        links = []
+        for some in _batches(groups):
+            cells = [_Cell([raw[k] for k in g], own[g], np.flatnonzero(part[g] == i[g]), np.flatnonzero(part[g] == j[g])) for g in some]
+            links += [(ids[g[x]], ids[g[y]]) for g, found in zip(some, cell_links(cells, threshold)) for x, y in found]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return stored(cells.groupBy("bundle").applyInArrow(verify, "a bigint, b bigint").distinct(), folder, "links")

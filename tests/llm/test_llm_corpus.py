@@ -233,6 +233,18 @@ def test_line_dedup_brute_force(spark, monkeypatch):
     assert line_dedup.strip_lines(table(spark, [])).count() == 0
 
 
+def test_line_bundles_hold_about_so_many_rows(spark):
+    """2,000 lines of one key in 200 parts are 400,000 rows of cells."""
+    lines = spark.range(2000).withColumnRenamed("id", "line")
+    dealt = lines.select(F.lit(7).cast("bigint").alias("key"), "line", F.lit(True).alias("own"),
+                         F.lit(200).cast("bigint").alias("parts"), F.pmod("line", F.lit(200).cast("bigint")).alias("part"))
+    cells = line_dedup._cells(dealt, lines.select("line", F.col("line").cast("string").cast("binary").alias("raw")))
+    sizes = [r["count"] for r in cells.groupBy("bundle").count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 2 * line_dedup.BUNDLE
+    groups = [np.arange(900)] * 7
+    assert [len(b) for b in line_dedup._batches(groups)] == [3, 3, 1]
+
+
 def test_lm_scores(spark):
     docs = corpus(3, 60) + [(None, "De De")]
     fold = remainder("doc_id", 7)
