@@ -4,9 +4,12 @@ Batch-local next-fit, as the source's map over batches of 1000 samples: the
 dense position of each sample (bucketed prefix sums, no single-task window)
 gives ``batch = (pos - 1) // batch_rows``; each batch is one group of at most
 ``batch_rows`` samples, packed in position order by a small pandas helper
-(``applyInPandas``). A sample is never split; a sample longer than a block is
-truncated into its own block; an optional separator follows each sample;
-blocks are padded with ``pad_id`` and labels ``-100``.
+(``applyInPandas``). A sample that fits a block is never split; with
+``split_long`` a longer one fills blocks of its own, and what is left over
+begins the next block, so no token is lost; without, it is truncated into one
+block, as in the source. An optional separator follows each sample; blocks are
+padded with ``pad_id`` and labels ``-100``. ``n_samples`` counts the samples
+with tokens in a block.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ OUTPUT_SCHEMA = ("batch long, block int, n_samples int, input_ids array<int>, at
 
 
 def pack(df: DataFrame, ids_col: str = "ids", block_size: int = 4096, batch_rows: int = 1000,
-         sep_id: int | None = None, pad_id: int = 0) -> DataFrame:
+         sep_id: int | None = None, pad_id: int = 0, split_long: bool = False) -> DataFrame:
     pos = global_position(df.select("original_index", ids_col), "original_index", "pos")
     batched = pos.withColumn("batch", F.floor((F.col("pos") - 1) / batch_rows).cast("long"))
 
@@ -35,8 +38,10 @@ def pack(df: DataFrame, ids_col: str = "ids", block_size: int = 4096, batch_rows
             if len(seq) > block_size:
                 if cur:
                     blocks.append((cur, cur_n))
-                blocks.append((seq[:block_size], 1))
-                cur, cur_n = [], 0
+                whole = len(seq) // block_size * block_size if split_long else block_size
+                blocks += [(seq[at:at + block_size], 1) for at in range(0, whole, block_size)]
+                cur = seq[whole:] if split_long else []
+                cur_n = int(bool(cur))
                 continue
             if len(cur) + len(seq) > block_size:
                 blocks.append((cur, cur_n))

@@ -48,8 +48,9 @@ def q_vocab_with_fixed_tokens(spark, sf_dir):
 @register("pack_sequences")
 def q_pack_sequences(spark, sf_dir):
     """Whole documents tokenised (no truncation), ids from a hashed
-    vocabulary, packed into 4096-token blocks with a separator (rows only)."""
+    vocabulary, packed into 4096-token blocks with a separator; longer
+    documents go on in further blocks (rows only)."""
     d = fx.doc_requests(spark, sf_dir)
     ids = F.transform(tk.all_tokens("request"), lambda t: (F.pmod(F.xxhash64(t), F.lit(50000)) + 5).cast("int"))
     return packing.pack(d.select("original_index", ids.alias("ids")), "ids", block_size=4096,
-                        batch_rows=1000, sep_id=3)
+                        batch_rows=1000, sep_id=3, split_long=True)

@@ -55,3 +55,22 @@ def test_packing_keeps_every_token(spark):
     assert sorted(seen) == sorted(expected)
     assert all(len(r.input_ids) == 16 and sum(r.attention_mask) <= 16 for r in out)
     assert {r.batch for r in out} == {0, 1, 2}
+
+
+def test_packing_splits_long_samples(spark):
+    rows = [(i, list(range(i * 100, i * 100 + n))) for i, n in enumerate([5, 40, 9, 16, 15, 32, 3, 0, 33], start=1)]
+    df = spark.createDataFrame(rows, "original_index long, ids array<int>")
+    out = packing.pack(df, "ids", block_size=16, batch_rows=4, sep_id=7, split_long=True).orderBy("batch", "block").collect()
+    seen = [x for r in out for x, m in zip(r.input_ids, r.attention_mask) if m == 1]
+    assert seen == [x for _, ids in rows for x in [*ids, 7]]
+    assert all(len(r.input_ids) == 16 and r.n_samples > 0 for r in out)
+    assert all(len(r.labels) == 16 and r.labels[:sum(r.attention_mask)] == r.input_ids[:sum(r.attention_mask)] for r in out)
+
+
+def test_pack_sequences_keeps_long_documents(spark, tmp_path):
+    from reqlens.plans.q_tokens import q_pack_sequences
+    spark.createDataFrame([(1, "ab " * 5000, "en", "s", 15000), (2, "ab cd", "en", "s", 5)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = q_pack_sequences(spark, str(tmp_path)).collect()
+    assert len(out) == 2 and sum(sum(r.attention_mask) for r in out) > 5000
