@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
 Lines of at least ``MIN_BYTES`` bytes are compared; their distance counts
-inserted, deleted and replaced bytes. A line is cut into ``threshold + 1``
+inserted, deleted and replaced bytes. Shorter ones, if asked for, go when they
+equal an earlier line. A line is cut into ``threshold + 1``
 segments; a line within the threshold holds one of them unchanged, at a place
 that the edits before and after it allow. So every line is indexed by its
 segments (with its length and their number), and probes, for its own and each
@@ -16,8 +17,8 @@ Linked lines are one class (connected components); equal lines are one line.
 Of every class the first occurrence, by (doc_id, line number), stays.
 
 Lines are told apart by a 64-bit hash; an occurrence whose second, independent
-hash differs from its line's is not removed. Defined results: shorter lines always
-stay; null texts have no lines and stay null; documents without id neither lose
+hash differs from its line's is not removed. Defined results: shorter lines
+stay unless asked for, empty ones always; null texts have no lines and stay null; documents without id neither lose
 lines nor make others lose some; rows that share an id share their lines' places.
 Other columns pass through ``strip_lines`` as they are.
 """
@@ -91,16 +92,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(line, proof, doc_id, number) of every long line."""
+def _occurrences(docs: DataFrame, short: bool) -> DataFrame:
+    """(line, proof, doc_id, number) of every long line, or of every non-empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = Lines(part.column("text"))
+                own = np.arange(len(x.size)) if short else x.long
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(x.hashes()[x.long]), _signed(x.hashes(True)[x.long]),
-                     part.column("doc_id").take(pa.array(x.text_of()[x.long])), pa.array(x.number[x.long].astype(np.int32))],
+                    [_signed(x.hashes()[own]), _signed(x.hashes(True)[own]),
+                     part.column("doc_id").take(pa.array(x.text_of()[own])), pa.array(x.number[own].astype(np.int32))],
                     ["line", "proof", "doc_id", "number"])
 
     return docs.mapInArrow(run, "line bigint, proof bigint, doc_id bigint, number int")
@@ -326,11 +328,12 @@ def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
     return stored(cells.groupBy("bundle").applyInArrow(verify, "a bigint, b bigint").distinct(), folder, "links")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | None = None, short: bool = False) -> DataFrame:
     """(doc_id, number, first_id, first_number, near): the lines that go, the
-    first of their class, and whether they differ from all earlier lines."""
+    first of their class, and whether they differ from all earlier lines; with
+    ``short``, lines too short for the edit join go if they equal an earlier one."""
     folder = folder or work_dir(docs.sparkSession)
-    seen = stored(_occurrences(docs), folder, "occurrences")
+    seen = stored(_occurrences(docs, short), folder, "occurrences")
     lines = stored(seen.groupBy("line").agg(F.min(F.struct("doc_id", "number", "proof")).alias("s"), F.count("*").alias("c"))
                    .select("line", "s.doc_id", "s.number", "s.proof", "c"), folder, "lines")
     labels = components(line_links(docs, threshold, folder), f"{folder}/classes").withColumnRenamed("node", "line")
@@ -346,7 +349,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | Non
 
 
 def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
-                counts: bool = False) -> DataFrame:
+                counts: bool = False, short: bool = False) -> DataFrame:
     """The documents without the lines that go, and without their line breaks;
     with n_lines, n_removed and n_near (removed though no equal line came
     earlier) if asked for (columns named so are then replaced)."""
@@ -354,7 +357,7 @@ def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_
     docs = docs.select(*(c for c in docs.columns if c not in named))
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     name, other = free_name(docs, "line_list"), free_name(docs, "line_doc")
-    lists = removed_lines(narrow, threshold).groupBy(F.col("doc_id").alias(other)) \
+    lists = removed_lines(narrow, threshold, short=short).groupBy(F.col("doc_id").alias(other)) \
         .agg(F.collect_set(F.struct("number", "near")).alias(name))
     names = docs.columns
     joined = docs.join(lists, docs[doc_id].cast("bigint") == lists[other], "left").select(*(docs[c] for c in names), name)

@@ -233,6 +233,23 @@ def test_line_dedup_brute_force(spark, monkeypatch):
     assert line_dedup.strip_lines(table(spark, [])).count() == 0
 
 
+def test_short_equal_lines(spark, tmp_path):
+    """The query and the pipeline's stage drop repeats of every non-empty line."""
+    import corpus_pipeline
+    from reqlens.llm.queries import QUERIES
+    menu, long = "Read more", "a line that is long enough to be compared by edits"
+    docs = [(1, f"{menu}\nReed more\n\n{long}"), (2, f"x\n{menu}\n\n{long[:-1]}"), (3, "短行\n短行\nx"), (None, menu), (4, None)]
+    expected = {1: docs[0][1], 2: "x\n", 3: "短行", 4: None}
+    df = table(spark, docs)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert got == {**expected, None: menu}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.n_removed, r.n_near) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == {1: (0, 0), 2: (2, 1), 3: (2, 0), 4: (0, 0), None: (0, 0)}
+    assert {(r.doc_id, r.number) for r in line_dedup.removed_lines(df.select("doc_id", "text").where("doc_id is not null"), short=True).collect()} \
+        == {(2, 1), (2, 3), (3, 1), (3, 2)}
+
+
 def test_line_bundles_hold_about_so_many_rows(spark):
     """2,000 lines of one key in 200 parts are 400,000 rows of cells."""
     lines = spark.range(2000).withColumnRenamed("id", "line")
