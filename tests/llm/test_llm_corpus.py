@@ -105,6 +105,17 @@ def test_near_duplicates_across_cells(spark, monkeypatch):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_small_sets_skip_the_estimate(spark):
+    """Registers that agree nowhere rule out a pair of large sets only."""
+    unlike = [np.full(near_dedup.BUCKETS, k, np.uint16).tobytes() for k in range(4)]
+    nodes = spark.createDataFrame([(b"a", bytearray(unlike[0]), 3), (b"b", bytearray(unlike[1]), 4),
+                                   (b"c", bytearray(unlike[2]), 500), (b"d", bytearray(unlike[3]), 600)],
+                                  "node binary, registers binary, n_shingles bigint")
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"c", b"d"), (b"a", b"c")], "a binary, b binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup._likely(pairs, nodes, 0.75).collect()}
+    assert got == {(b"a", b"b"), (b"a", b"c")}
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(1)
     for n, share in ((4, 0.75), (40, 0.8), (2000, 0.5), (2000, 0.9)):
