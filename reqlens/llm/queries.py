@@ -3,11 +3,11 @@ them. Every query reads whole tables and whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import (byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality,
-                         substring_dedup, surrogates, token_counts)
+from reqlens.llm import (byte_bpe, decontaminate, line_dedup, lm_score, near_dedup, neighbours, quality, secrets,
+                         substring_dedup, surrogates, token_counts, vector_codes, whitening)
 from reqlens.llm.util import remainder, work_dir
 from reqlens.sources.tables import table
 
@@ -159,3 +159,153 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data and secrets replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(docs, "corpus-release-key")
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(?:" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) \
+    + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+
+
+def _positions(kind: int, pattern: str) -> str:
+    return f"""select rn, {kind} as kind, m[i] as m, cast(length(m[i]) as bigint) as size,
+      cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+    from (select rn, m, p, unnest(range(1, len(m) + 1)) as i
+          from (select rn, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p from t))"""
+
+
+def _upper_tail(z: str) -> str:
+    """Bryc's approximation of the normal distribution's upper tail."""
+    a = f"abs({z})"
+    top = f"({a} * {a} + 5.575192695 * {a} + 12.77436324)"
+    bottom = f"(2.5066282746310002 * {a} * {a} * {a} + 14.38718147 * {a} * {a} + 31.53531977 * {a} + 25.548726)"
+    q = f"exp(-{a} * {a} / 2) * {top} / {bottom}"
+    return f"(case when {z} < 0 then 1 - {q} else {q} end)"
+
+
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_LATIN = _LOWER.upper() + _LOWER
+
+_SECRETS_SQL = f"""
+with t as (select row_number() over () as rn, doc_id, coalesce(text, '') as t from documents),
+assign as ({_positions(0, _ASSIGN)}),
+access as ({_positions(1, "AKIA[A-Z0-9]+")}),
+hexa as ({_positions(2, "[0-9a-f]+")}),
+run as ({_positions(3, "[A-Za-z0-9+/_-]{20,}={0,2}")}),
+base as (
+  select rn, kind, 'assign' as name, start, start + size as stop from assign where length(regexp_extract(m, '{_ASSIGN}', 1)) >= 6
+  union all select rn, kind, 'access', start, start + size from access where size >= 20
+  union all select rn, kind, 'hex', start, start + size from hexa where size >= 24),
+classes as (
+  select *, regexp_matches(b, '[0-9]') as d, regexp_matches(b, '[a-z]') as lo, regexp_matches(b, '[A-Z]') as up,
+         regexp_matches(b, '[+/]') as plain, regexp_matches(b, '[_-]') as url
+  from (select rn, start, size, rtrim(m, '=') as b from run)),
+coded as (
+  select rn, start, size, b, length(b) as n, case
+    when d and not up and not plain and not url and regexp_matches(b, '[a-f]') and not regexp_matches(b, '[g-z]') then '0123456789abcdef'
+    when d and not lo and not plain and not url and regexp_matches(b, '[A-F]') and not regexp_matches(b, '[G-Z]') then '0123456789ABCDEF'
+    when not lo and not plain and not url and up and regexp_matches(b, '[2-7]') and not regexp_matches(b, '[0189]') then '{_LOWER.upper()}234567'
+    when d and lo and not up and not plain and not url then '0123456789{_LOWER}'
+    when d and up and not lo and not plain and not url then '0123456789{_LOWER.upper()}'
+    when d and up and lo and not plain and not url then '0123456789{_LATIN}'
+    when d and up and lo and not url then '{_LATIN}0123456789+/'
+    when d and up and lo and not plain then '{_LATIN}0123456789-_' end as a
+  from classes),
+long_enough as (
+  select *, length(a) as k from coded where a is not null
+    and not (n >= 24 and a = '0123456789abcdef')
+    and n >= (select coalesce(min(x), 20) from (select unnest(range(20, 200)) as x)
+              where length(a) <= 16 or (length(a) * (1 + (x - 1) * 0.066) - x - (length(a) - 1)) / sqrt(2.0 * (length(a) - 1) * (x - 1) / x) >= 4)),
+counted as (
+  select *,
+    list_sum(list_transform(string_split(a, ''), lambda c: (n - length(replace(b, c, ''))) * (n - length(replace(b, c, ''))))) as squares,
+    list_transform(range(1, n + 1), lambda i: 2 * instr(a, b[i]) - 1 - k) as places
+  from long_enough),
+summed as (
+  select *, cast(len(list_filter(places, lambda x: x > 0)) as double) as ones,
+    cast(1 + len(list_filter(range(1, n), lambda i: (places[i] > 0) <> (places[i + 1] > 0))) as double) as runs,
+    cast(list_sum(list_transform(range(1, n), lambda i: places[i] * places[i + 1])) as double) as products
+  from counted),
+spread as (
+  select *, (power((cast(k * squares as double) / n - n) / (k - 1), 1.0 / 3) - (1 - 2.0 / (9 * (k - 1)))) / sqrt(2.0 / (9 * (k - 1))) as z_chi,
+    2 * ones * (n - ones) / n + 1 as mean_runs, 2 * ones * (n - ones) * (2 * ones * (n - ones) - n) / (cast(n as double) * n * (n - 1)) as v,
+    abs(products) / (sqrt(n - 1) * (cast(k as double) * k - 1) / 3) as z_serial
+  from summed),
+scored as (
+  select *, case when v > 0 then abs(runs - mean_runs) / sqrt(v) else 1000 end as z_runs from spread),
+tested as (
+  select rn, start, size, a || ' ' || cast(cast(floor(log2(n)) as integer) as varchar) as family,
+    cast(least(2400, floor(-log10(greatest(least(1, 3 * least({_upper_tail("z_chi")}, 2 * {_upper_tail("z_runs")}, 2 * {_upper_tail("z_serial")})), 1e-300)) * 8)) as integer) as class
+  from scored),
+ranked as (select family, class, count(*) over (partition by family) as m,
+                  count(*) over (partition by family order by class desc range between unbounded preceding and current row) as extreme from tested),
+limits as (select family, min(class) as lim from ranked where power(10.0, -class / 8.0) * m <= 0.01 * extreme group by family),
+spans as (
+  select * from base
+  union all select rn, 3, 'random', start, start + size from tested left join limits using (family) where lim is null or class < lim),
+texts as (
+  select rn, string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) as spans,
+    string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (where kind < 3) as base,
+    count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex
+  from spans group by rn)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join texts using (rn)"""
+
+
+@register("op11_secrets", _SECRETS_SQL)
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans, and runs that pass for random."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def number(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+
+    kinds = [number(k).alias(f"n_{name[0]}") for k, name in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *kinds, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+                        secrets.written(F.col("spans")).alias("spans"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assigning and averaging; ``d * 256 + j`` orders by distance, then index."""
+    def assigned(book: str) -> str:
+        return f"""select v.p, v.r, min(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) * 256 + c.j) as best
+  from piece v join {book} c on v.p = c.p group by v.p, v.r"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} as materialized ({assigned(f'book{k}')})")
+        steps.append(f"""book{k + 1} as materialized (
+  select b.p, b.j, coalesce(m.x, b.x) as x from book{k} b left join (
+    select p, j, list((s - ((s % n) + n) % n) // n order by i) as x
+    from (select v.p, a.best % 256 as j, i, cast(sum(v.x[i]) as bigint) as s, count(*) as n
+          from a{k} a join piece v on a.p = v.p and a.r = v.r cross join (select unnest(range(1, 1 + (select max(len(x)) from piece))) as i)
+          group by all) group by p, j) m on b.p = m.p and b.j = m.j)""")
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id) - 1 as r, vec_id, label,
+         list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+piece as materialized (select p, r, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] as x from kept cross join (select unnest(range(0, 4)) as p)),
+book0 as materialized (select p, r as j, x from piece where r < 256),
+{", ".join(steps)},
+last as materialized ({assigned(f'book{rounds}')}),
+coded as (
+  select r, string_agg(lpad(lower(hex(best % 256)), 2, '0'), '' order by p) as code, cast(sum(best // 256) as bigint) as error
+  from last group by r),
+digest as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, j)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join coded using (r) cross join digest"""
+
+
+@register("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every usable vector, with errors."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on 32 principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
