@@ -1,46 +1,78 @@
-"""Subword vocabulary learning (T1) and fixed tokens (T2), byte-pair style.
+"""Subword vocabulary learning (T1), fixed tokens (T2) and encoding with the
+learned merges (T3), byte-pair style.
 
-The corpus is reduced to its distinct words with counts (the word table is
-small against the corpus and shrinks nothing: every word of every whole text
-is counted). Each round:
+Learning. The corpus is reduced to its distinct words with counts. A word's
+symbols are kept as one text in which every symbol stands between two marks, so
+merging a pair is one linear ``replace``, from the left and without overlap. Each round:
 
-1. explode the adjacent symbol pairs of every word, weighted by the word
-   count, and sum per pair (map-side partial sums, one shuffle);
-2. take the best pair (count desc, pair asc), and those after it that one
+1. the pairs of every word are summed, weighted by the word's count (map-side
+   partial sums, one shuffle);
+2. the best pair (count desc, pair asc) is taken, and those after it that one
    merge at a time would pick next (:func:`_next_merges`); the merge list is the
    model, not data;
-3. rewrite each word's symbols with one left-to-right ``aggregate`` pass
-   (the pairs are symbol-disjoint, so the order of merges inside a round
+3. the words are rewritten (the pairs of a round share no symbol, so their order
    does not matter).
 
 The word table is stored once after the corpus pass and checkpointed every
 ``checkpoint_every`` rounds to cut the lineage. Deterministic for a given corpus.
+
+Encoding. A merge can touch a word only if its token is a substring of it, so
+distinct words meet the merge table on their substrings (no longer than the
+longest token), and a word contracts its few merges in rank order: a pair can
+only appear after the merges that make its symbols, so that is the same as
+always merging the best pair. Ids come from a join of the distinct pieces with the
+vocabulary, and one join on the word brings them back to the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.operators.tokens import TOKEN_PATTERN
+from reqlens.operators.tokens import SPECIAL_TOKENS, TOKEN_PATTERN, UNK
+
+#: around each symbol; neither can be part of a word
+OPEN, CLOSE = "\u0001", "\u0002"
+#: words held by more than one in so many token rows are joined apart
+HOT_SHARE = 1000
+
+
+def fixed_pattern(fixed_tokens: list[str]) -> str:
+    """The splitter that keeps fixed tokens whole, longest first."""
+    whole = sorted({t for t in fixed_tokens if t}, key=lambda t: (-len(t), t))
+    return "|".join([*(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in whole), TOKEN_PATTERN])
+
+
+def wrapped(word: Column) -> Column:
+    """The word's characters, each between the marks."""
+    return F.regexp_replace(word, "(?s)(.)", f"{OPEN}$1{CLOSE}")
+
+
+def merged(symbols: Column, left: Column, right: Column) -> Column:
+    """The symbols with all occurrences of the pair joined."""
+    pair = F.concat(F.lit(OPEN), left, F.lit(CLOSE + OPEN), right, F.lit(CLOSE))
+    return F.replace(symbols, pair, F.concat(F.lit(OPEN), left, right, F.lit(CLOSE)))
+
 
-SEP = "\u0001"
+def pieces(symbols: Column) -> Column:
+    """The symbols as an array."""
+    inner = F.substring(symbols, F.lit(2), F.length(symbols) - 2)
+    return F.when(F.length(symbols) > 0, F.split(inner, CLOSE + OPEN, -1)).otherwise(F.array().cast("array<string>"))
 
 
 def word_counts(df: DataFrame, col: str = "request") -> DataFrame:
-    """Distinct words of the whole texts with their counts and initial
-    single-character symbols."""
+    """Distinct words of the whole texts with their counts and symbols."""
     words = df.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(TOKEN_PATTERN), 0)).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")) \
-        .withColumn("symbols", F.split(F.col("word"), ""))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).withColumn("symbols", wrapped(F.col("word")))
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """One round's pair table ``(left, right, freq)``."""
-    s = F.col("symbols")
-    pairs = F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("l"),
-                         F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(1))).alias("r"))
-    return words.filter(F.size(s) > 1).select("freq", F.explode(pairs).alias("p")) \
+    """The pair table ``(left, right, freq)`` of the words' symbols."""
+    s = words.select("freq", pieces(F.col("symbols")).alias("s")).filter(F.size("s") > 1)
+    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("l"), F.slice("s", 2, F.size("s") - 1).alias("r"))
+    return s.select("freq", F.explode(pairs).alias("p")) \
         .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("freq").alias("freq"))
 
 
@@ -49,35 +81,29 @@ def _next_merges(pairs: DataFrame, k: int) -> list[tuple[str, str, int]]:
     a time would pick one after another.
 
     A pair follows the ones before it if it shares no symbol with them (its
-    count then stays) and no pair that those merges make can rank above it: a new
-    pair comes from one that touches a merged one, and so is at most as frequent
-    as the most frequent of these, which must be strictly rarer."""
+    count then stays) and no pair that those merges make can rank above it:
+    merging (a, b) makes pairs only where a pair ends with a or begins with b, and they are at most as
+    frequent as that one, which must be strictly rarer."""
     top = pairs.orderBy(F.desc("freq"), "left", "right").limit(4 * k + 1).collect()
+    unseen = top[-1].freq if len(top) > 4 * k else 0
     used: set[str] = set()
     out: list[tuple[str, str, int]] = []
-    for i, r in enumerate(top):
-        if r.left in used or r.right in used or len(out) == k:
-            break
-        mine = used | {r.left, r.right}
-        rest = next((x for x in top[i + 1:] if x.left in mine or x.right in mine), None)
-        limit = rest.freq if rest else (top[-1].freq if len(top) > 4 * k else 0)
-        if out and limit >= r.freq:
+    made = 0  # no new pair is more frequent
+    for r in top:
+        if r.left in used or r.right in used or len(out) == k or (out and made >= r.freq):
             break
         out.append((r.left, r.right, int(r.freq)))
-        used = mine
+        used |= {r.left, r.right}
+        made = max([made, unseen, *(x.freq for x in top if x.right == r.left or x.left == r.right)])
     return out
 
 
 def apply_merges(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
-    keys = F.array(*[F.lit(a + SEP + b) for a, b, _ in merges])
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & F.array_contains(keys, F.concat(last, F.lit(SEP), s))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, s)))) \
-            .otherwise(F.concat(acc, F.array(s)))
-
-    return words.withColumn("symbols", F.aggregate("symbols", F.array().cast("array<string>"), step))
+    """The words with pairs that share no symbol merged."""
+    s = F.col("symbols")
+    for a, b, _ in merges:
+        s = merged(s, F.lit(a), F.lit(b))
+    return words.withColumn("symbols", s)
 
 
 def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_freq: int = 1,
@@ -89,12 +115,11 @@ def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_
     # The corpus pass happens once: the (small) word table is stored, and
     # each round reads and rewrites only it.
     words = word_counts(df, col).checkpoint(eager=True)
-    base = words.select(F.explode("symbols").alias("token")).distinct()
+    base = words.select(F.explode(pieces(F.col("symbols"))).alias("token")).distinct()
     merges: list[tuple[str, str, int]] = []
     rnd = 0
     while len(merges) < num_merges:
-        picked = [m for m in _next_merges(pair_counts(words), min(merges_per_round, num_merges - len(merges)))
-                  if m[2] >= min_freq]
+        picked = [m for m in _next_merges(pair_counts(words), min(merges_per_round, num_merges - len(merges))) if m[2] >= min_freq]
         if not picked:
             break
         merges.extend(picked)
@@ -111,6 +136,68 @@ def learn(df: DataFrame, num_merges: int = 200, merges_per_round: int = 64, min_
 
 def vocab_with_fixed_tokens(vocab: DataFrame, fixed_tokens: list[str]) -> DataFrame:
     """The learned vocabulary plus fixed tokens, without duplicates."""
-    spark = vocab.sparkSession
-    fixed = spark.createDataFrame([(t, "fixed") for t in fixed_tokens], "token string, kind string")
+    fixed = vocab.sparkSession.createDataFrame([(t, "fixed") for t in dict.fromkeys(fixed_tokens)], "token string, kind string")
     return fixed.unionByName(vocab.join(fixed.select("token"), "token", "left_anti").select("token", "kind"))
+
+
+def token_ids(merges: DataFrame, vocab: DataFrame, fixed_tokens: list[str]) -> DataFrame:
+    """The vocabulary with ids (T2, T3): special tokens, other fixed tokens as
+    given, base characters by code point, merged tokens by rank. The vocabulary is the model: its
+    size is set by the number of merges and the alphabet."""
+    spark = vocab.sparkSession
+    fixed = list(dict.fromkeys([*SPECIAL_TOKENS, *fixed_tokens]))
+    base = vocab.filter("kind = 'base'").join(spark.createDataFrame([(t,) for t in fixed], "token string"), "token", "left_anti") \
+        .agg(F.array_sort(F.collect_set("token")).alias("t")).select(F.posexplode("t").alias("id", "token"))
+    n_base = vocab.filter("kind = 'base'").count()
+    ranked = merges.groupBy("token").agg(F.min("rank").alias("rank"))
+    return spark.createDataFrame([(i, t, "fixed") for i, t in enumerate(fixed)], "id int, token string, kind string") \
+        .unionByName(base.select((F.col("id") + len(fixed)).alias("id"), "token", F.lit("base").alias("kind"))) \
+        .unionByName(ranked.select((F.col("rank") - 1 + len(fixed) + n_base).cast("int").alias("id"), "token", F.lit("merge").alias("kind")))
+
+
+def contracted(words: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(word, pieces)`` of distinct words: each with the merges whose token it
+    holds, applied in rank order."""
+    longest = merges.select(F.max(F.length("token"))).scalar()
+    at = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    last = F.least("longest", F.length("word") - F.col("i") + 1)
+    parts = at.withColumn("longest", longest).withColumn("n", F.explode(F.when(last >= 2, F.sequence(F.lit(2), last)))) \
+        .select("word", F.substring("word", F.col("i"), F.col("n")).alias("token"))
+    found = parts.join(merges.select("rank", "left", "right", "token"), "token").groupBy("word") \
+        .agg(F.array_sort(F.collect_set(F.struct("rank", "left", "right"))).alias("merges"))
+    joined = words.select("word").join(found, "word", "left")
+    symbols = F.aggregate(F.coalesce("merges", F.array().cast("array<struct<rank:int,left:string,right:string>>")),
+                          wrapped(F.col("word")), lambda s, m: merged(s, m["left"], m["right"]))
+    return joined.select("word", pieces(symbols).alias("pieces"))
+
+
+def encode(df: DataFrame, merges: DataFrame, vocabulary: DataFrame, fixed_tokens: list[str], col: str = "request",
+           key: str = "original_index") -> DataFrame:
+    """``(key, ids)`` of every text, whole: fixed tokens stay whole, the other
+    words are contracted once each, unknown characters become ``[UNK]``.
+
+    Texts are split into (key, position, word) rows; the distinct words get
+    their ids, and the rows one join back. A word that makes up more than a
+    thousandth of the rows (there are fewer than a thousand of those) comes from a broadcast
+    table, so no task gets all its rows."""
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(fixed_pattern(fixed_tokens)), 0)).alias("pos", "word"))
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    whole = vocabulary.filter("kind = 'fixed'").select(F.col("token").alias("word"), F.array("id").alias("ids"))
+    cut = contracted(counts.join(whole.select("word"), "word", "left_anti"), merges)
+    unknown = vocabulary.filter(F.col("token") == UNK).select("id").scalar()
+    ids = cut.select("word", F.posexplode("pieces").alias("i", "token")).join(vocabulary.select("token", "id"), "token", "left") \
+        .withColumn("id", F.coalesce("id", unknown)) \
+        .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("p")) \
+        .select("word", F.col("p.id").alias("ids"))
+    coded = counts.join(ids.unionByName(whole), "word").checkpoint(eager=True)
+    total = counts.select(F.sum("n")).scalar()
+    hot = F.col("n") * HOT_SHARE > total
+    frequent = F.broadcast(coded.filter(hot).select("word", F.col("ids").alias("hot_ids")))
+    seldom = coded.filter(~hot).select("word", "ids")
+    marked = rows.join(frequent, "word", "left")
+    # a hot word's rows are spread over the tasks, as they need no partner
+    spread = F.when(F.col("hot_ids").isNull(), F.col("word")).otherwise(F.concat(F.lit(OPEN), F.col(key).cast("string")))
+    joined = marked.withColumn("partner", spread).join(seldom.withColumnRenamed("word", "partner"), "partner", "left")
+    out = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hot_ids", "ids").alias("ids")))).alias("p"))
+    return df.select(key).join(out, key, "left") \
+        .select(key, F.coalesce(F.flatten(F.col("p.ids")), F.array().cast("array<int>")).alias("ids"))

@@ -68,8 +68,8 @@ def stride_expand(df: DataFrame, stride: int = 5) -> DataFrame:
 
 def stride_mask(seq: Column, stride: int, shift: Column) -> tuple[Column, Column]:
     """Pass ``shift`` masks the non-special positions ``i`` with
-    ``i % stride == shift``; labels keep the token there and -1 (ignored)
-    elsewhere as position markers. Returns (masked tokens, masked flags)."""
+    ``i % stride == shift``. Returns (masked tokens, 0/1 flags of the masked
+    positions); :func:`stride_ids` gives ids and labels."""
     specials = F.array(*[F.lit(s) for s in SPECIAL_TOKENS])
     hit = lambda x, i: ((i % stride) == shift) & ~F.array_contains(specials, x)
     masked = F.transform(seq, lambda x, i: F.when(hit(x, i), F.lit(MASK)).otherwise(x))
@@ -77,6 +77,17 @@ def stride_mask(seq: Column, stride: int, shift: Column) -> tuple[Column, Column
     return masked, flags
 
 
+def stride_ids(ids: Column, stride: int, shift: Column, mask_id: int = SPECIAL_TOKENS.index(MASK),
+               n_special: int = len(SPECIAL_TOKENS), first: int = 1) -> tuple[Column, Column]:
+    """T6 on ids, whose special tokens are 0 to ``n_special - 1``: (masked ids,
+    labels). Labels keep the id at masked positions and are -100 elsewhere; the
+    array's first element is at position ``first``."""
+    def hit(x: Column, i: Column) -> Column:
+        return ((i + first) % stride == shift) & (x >= n_special)
+    return (F.transform(ids, lambda x, i: F.when(hit(x, i), F.lit(mask_id)).otherwise(x)),
+            F.transform(ids, lambda x, i: F.when(hit(x, i), x).otherwise(F.lit(IGNORE_LABEL))))
+
+
 def causal_labels(ids: Column, pad_id: int = 0) -> Column:
     """Labels are the ids, with padding replaced by -100."""
     return F.transform(ids, lambda x: F.when(x == pad_id, F.lit(IGNORE_LABEL)).otherwise(x))

@@ -49,7 +49,7 @@ def test_bpe_matches_python(spark):
 def test_packing_keeps_every_token(spark):
     rows = [(i, list(range(i * 100, i * 100 + n))) for i, n in enumerate([5, 9, 3, 12, 1, 7, 20, 2], start=1)]
     df = spark.createDataFrame(rows, "original_index long, ids array<int>")
-    out = packing.pack(df, "ids", block_size=16, batch_rows=3, sep_id=None).collect()
+    out = packing.pack(df, "ids", block_size=16, batch_rows=3, sep_id=None, truncate=True).collect()
     seen = [x for r in out for x, m in zip(r.input_ids, r.attention_mask) if m == 1]
     expected = [x for _, ids in rows for x in (ids if len(ids) <= 16 else ids[:16])]
     assert sorted(seen) == sorted(expected)
@@ -60,7 +60,7 @@ def test_packing_keeps_every_token(spark):
 def test_packing_splits_long_samples(spark):
     rows = [(i, list(range(i * 100, i * 100 + n))) for i, n in enumerate([5, 40, 9, 16, 15, 32, 3, 0, 33], start=1)]
     df = spark.createDataFrame(rows, "original_index long, ids array<int>")
-    out = packing.pack(df, "ids", block_size=16, batch_rows=4, sep_id=7, split_long=True).orderBy("batch", "block").collect()
+    out = packing.pack(df, "ids", block_size=16, batch_rows=4, sep_id=7).orderBy("batch", "block").collect()
     seen = [x for r in out for x, m in zip(r.input_ids, r.attention_mask) if m == 1]
     assert seen == [x for _, ids in rows for x in [*ids, 7]]
     assert all(len(r.input_ids) == 16 and r.n_samples > 0 for r in out)
