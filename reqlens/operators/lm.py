@@ -10,9 +10,9 @@ Model (smoothed n-gram counts; additive and Jelinek-Mercer smoothing):
 
 Fitting is three ``groupBy`` counts over the long token table (map-side
 partial counts, so a hot token costs one row per task before the shuffle).
-Scoring joins the long token table of the scored requests to the count
-tables; AQE broadcasts a count table when its runtime size is small and
-splits skewed partitions of a sort-merge join otherwise.
+Scoring joins the distinct token types (token and neighbours) of the scored
+requests to the count tables and brings the losses back to the long token table
+in one join (:func:`with_losses`); AQE broadcasts a table when its runtime size is small.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from reqlens.operators.tokens import CLS, tokenize, token_rows
 ALPHA = 1.0
 LAMBDA = 0.7
 CAUSAL_EPS = 1e-9
+#: types held by more than one in so many token rows are joined apart
+HOT_SHARE = 1000
 
 
 @dataclass
@@ -85,43 +87,83 @@ def _p1(model: CountModel, c_t: Column) -> Column:
     return (F.coalesce(c_t, F.lit(0)).cast("double") + ALPHA) / (n + ALPHA * (v + 1))
 
 
-def _with_bigram(rows: DataFrame, model: CountModel) -> DataFrame:
+def _with_bigram(types: DataFrame, model: CountModel) -> DataFrame:
     ctx_tot = model.bigram.groupBy("prev").agg(F.sum("c").alias("c_a"))
-    rows = rows.join(model.unigram.withColumnRenamed("c", "c_t"), "tok", "left") \
+    types = types.join(model.unigram.withColumnRenamed("c", "c_t"), "tok", "left") \
         .join(model.bigram.withColumnRenamed("c", "c_at"), ["prev", "tok"], "left") \
         .join(ctx_tot, "prev", "left")
     p1 = _p1(model, F.col("c_t"))
-    rows = rows.withColumn("p1", p1)
-    return rows.withColumn("p_bi", F.when(F.coalesce(F.col("c_a"), F.lit(0)) > 0,
-                                          F.lit(LAMBDA) * F.coalesce(F.col("c_at"), F.lit(0)).cast("double") / F.col("c_a")
-                                          + F.lit(1 - LAMBDA) * F.col("p1"))
-                           .otherwise(F.col("p1")))
+    types = types.withColumn("p1", p1)
+    return types.withColumn("p_bi", F.when(F.coalesce(F.col("c_a"), F.lit(0)) > 0,
+                                           F.lit(LAMBDA) * F.coalesce(F.col("c_at"), F.lit(0)).cast("double") / F.col("c_a")
+                                           + F.lit(1 - LAMBDA) * F.col("p1"))
+                            .otherwise(F.col("p1")))
+
+
+def _causal_loss(types: DataFrame, model: CountModel) -> DataFrame:
+    return _with_bigram(types, model).withColumn("nll", -F.log("p_bi"))
+
+
+def _masked_loss(types: DataFrame, model: CountModel) -> DataFrame:
+    pair_tot = model.context.groupBy("prev", "nxt").agg(F.sum("c").alias("c_ab"))
+    types = _with_bigram(types, model) \
+        .join(model.context.withColumnRenamed("c", "c_atb"), ["prev", "tok", "nxt"], "left") \
+        .join(pair_tot, ["prev", "nxt"], "left")
+    p = F.when(F.coalesce(F.col("c_ab"), F.lit(0)) > 0,
+               F.lit(LAMBDA) * F.coalesce(F.col("c_atb"), F.lit(0)).cast("double") / F.col("c_ab")
+               + F.lit(1 - LAMBDA) * F.col("p_bi")).otherwise(F.col("p_bi"))
+    return types.withColumn("nll", -F.log(p))
+
+
+def _unmasked_loss(types: DataFrame, model: CountModel) -> DataFrame:
+    return types.join(model.unigram.withColumnRenamed("c", "c_t"), "tok", "left") \
+        .withColumn("nll", -F.log(_p1(model, F.col("c_t"))))
+
+
+#: what a token's loss depends on, and how it is computed for distinct values of that
+LOSSES = {"causal": (["prev", "tok"], _causal_loss), "masked": (["prev", "tok", "nxt"], _masked_loss), "alone": (["tok"], _unmasked_loss)}
+
+
+def with_losses(rows: DataFrame, model: CountModel, losses: dict[str, str]) -> DataFrame:
+    """The token rows with a loss column for each (column, kind of ``LOSSES``).
+
+    A loss depends on a token and its neighbours alone, so it is computed once per
+    distinct type: the count tables meet the types, never the token rows. The types are
+    stored (a reliable checkpoint) and come back to the rows in one join. A type that makes
+    up more than a thousandth of the rows (there are fewer than a thousand of those)
+    comes from a broadcast table, and its rows are spread over the tasks."""
+    keys = max((LOSSES[k][0] for k in losses.values()), key=len)
+    types = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    scored = types
+    for name, kind in losses.items():
+        scored = LOSSES[kind][1](scored.select(*keys, "n", *[c for c in losses if c in scored.columns]), model).withColumnRenamed("nll", name)
+    scored = scored.select(*keys, "n", *losses).checkpoint(eager=True)
+    total = scored.select(F.sum("n")).scalar()
+    hot = F.col("n") * HOT_SHARE > total
+    frequent = F.broadcast(scored.filter(hot).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in losses], F.lit(True).alias("hot")))
+    seldom = scored.filter(~hot).select(*[F.col(k).alias(f"type_{k}") for k in keys], *losses)
+    marked = rows.join(frequent, keys, "left")
+    # a null partner key is dealt by the row's own id, so hot rows don't meet in one task
+    partner = {f"row_{k}": F.when(F.col("hot").isNull(), F.col(k)) for k in keys}
+    spread = F.when(F.col("hot").isNotNull(), F.xxhash64("original_index", "pos"))
+    joined = marked.withColumns({**partner, "spread": F.coalesce(spread, F.lit(0))}) \
+        .join(seldom.withColumn("type_spread", F.lit(0).cast("bigint")),
+              [F.col(f"row_{k}") == F.col(f"type_{k}") for k in keys] + [F.col("spread") == F.col("type_spread")], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in losses])
 
 
 def causal_token_nll(model: CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """J7 + F4 for the causal model: ``(original_index, pos, tok, nll)`` for
     real tokens 2..n (the first token has no left context; D12)."""
     rows = long_tokens(df, max_tokens).filter(F.col("pos") >= 2)
-    rows = _with_bigram(rows, model)
-    return rows.select("original_index", "pos", "tok", (-F.log(F.col("p_bi"))).alias("nll"))
+    return with_losses(rows, model, {"nll": "causal"}).select("original_index", "pos", "tok", "nll")
 
 
 def masked_token_nll(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int | None = None) -> DataFrame:
     """J7 + F4 for the masked model: ``(original_index, pos, tok, nll)`` for
-    every real token, the sentinels serving as context."""
+    every real token, the sentinels serving as context; with stride 1 the context is masked, too."""
     rows = long_tokens(df, max_tokens)
-    if stride == 1:
-        rows = rows.join(model.unigram.withColumnRenamed("c", "c_t"), "tok", "left")
-        p = _p1(model, F.col("c_t"))
-    else:
-        pair_tot = model.context.groupBy("prev", "nxt").agg(F.sum("c").alias("c_ab"))
-        rows = _with_bigram(rows, model) \
-            .join(model.context.withColumnRenamed("c", "c_atb"), ["prev", "tok", "nxt"], "left") \
-            .join(pair_tot, ["prev", "nxt"], "left")
-        p = F.when(F.coalesce(F.col("c_ab"), F.lit(0)) > 0,
-                   F.lit(LAMBDA) * F.coalesce(F.col("c_atb"), F.lit(0)).cast("double") / F.col("c_ab")
-                   + F.lit(1 - LAMBDA) * F.col("p_bi")).otherwise(F.col("p_bi"))
-    return rows.select("original_index", "pos", "tok", (-F.log(p)).alias("nll"))
+    return with_losses(rows, model, {"nll": "alone" if stride == 1 else "masked"}).select("original_index", "pos", "tok", "nll")
 
 
 def sample_loss_causal(df: DataFrame, token_nll: DataFrame) -> DataFrame:
@@ -153,16 +195,38 @@ def stride_mean(passes: DataFrame) -> DataFrame:
                                                  F.avg("perplexity").alias("perplexity"))
 
 
+def score_all(model: CountModel, df: DataFrame, kinds: tuple[str, ...] = ("causal", "masked"), stride: int = 5,
+              max_tokens: int | None = None) -> DataFrame:
+    """M2 and M3 in one pass: ``(original_index, model, loss, perplexity)``. The
+    requests are tokenised once and their tokens meet the types' losses of all models in one join."""
+    losses = {k: "alone" if k == "masked" and stride == 1 else k for k in kinds}
+    rows = with_losses(long_tokens(df, max_tokens), model, losses)
+    per = rows.groupBy("original_index").agg(
+        *([F.sum(F.when(F.col("pos") >= 2, F.col("causal"))).alias("s"), F.count_if(F.col("pos") >= 2).alias("n")] if "causal" in kinds else []),
+        *[x for i in range(stride if "masked" in kinds else 0)
+          for x in (F.sum(F.when(F.col("pos") % stride == i, F.col("masked"))).alias(f"s{i}"), F.count_if(F.col("pos") % stride == i).alias(f"n{i}"))])
+    j = df.select("original_index").join(per, "original_index", "left")
+    scores = []
+    if "causal" in kinds:
+        loss = F.coalesce("s", F.lit(0.0)) / (F.coalesce("n", F.lit(0)) + F.lit(CAUSAL_EPS))
+        scores.append(F.struct(F.lit("causal").alias("model"), loss.alias("loss"), F.exp(loss).alias("perplexity")))
+    if "masked" in kinds:  # a pass without a masked token counts as loss 0 (D11)
+        passes = [F.when(F.coalesce(f"n{i}", F.lit(0)) > 0, F.col(f"s{i}") / F.col(f"n{i}")).otherwise(F.lit(0.0)) for i in range(stride)]
+        scores.append(F.struct(F.lit("masked").alias("model"), (sum(passes[1:], passes[0]) / stride).alias("loss"),
+                               (sum([F.exp(p) for p in passes[1:]], F.exp(passes[0])) / stride).alias("perplexity")))
+    return j.select("original_index", F.explode(F.array(*scores)).alias("x")).select("original_index", "x.*")
+
+
 def score_causal(model: CountModel, df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """M3: ``(original_index, loss, perplexity)`` for every request."""
-    return sample_loss_causal(df, causal_token_nll(model, df, max_tokens))
+    return score_all(model, df, ("causal",), max_tokens=max_tokens).drop("model")
 
 
 def score_masked_strided(model: CountModel, df: DataFrame, stride: int = 5, max_tokens: int | None = None) -> DataFrame:
     """M2: strided pseudo-log-likelihood: per-pass mean nll, then the mean
     over passes of loss and of perplexity."""
-    return stride_mean(pass_losses(df, masked_token_nll(model, df, stride, max_tokens), stride))
+    return score_all(model, df, ("masked",), stride, max_tokens).drop("model")
 
 
 __all__ = ["CountModel", "fit", "finetune", "score_causal", "score_masked_strided", "causal_token_nll",
-           "masked_token_nll", "sample_loss_causal", "pass_losses", "stride_mean", "long_tokens", "CLS"]
+           "masked_token_nll", "sample_loss_causal", "pass_losses", "stride_mean", "long_tokens", "score_all", "with_losses", "CLS"]
