@@ -27,6 +27,8 @@ from reqlens.operators.tokens import CLS, tokenize, token_rows
 ALPHA = 1.0
 LAMBDA = 0.7
 CAUSAL_EPS = 1e-9
+#: losses are multiples of 1 / GRAIN: sums below 2**53 / GRAIN are exact, whatever their order
+GRAIN = float(1 << 38)
 #: types held by more than one in so many token rows are joined apart
 HOT_SHARE = 1000
 
@@ -42,6 +44,12 @@ class CountModel:
         for name in ("unigram", "bigram", "context"):
             getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
 
+    @staticmethod
+    def of_context(ctx: DataFrame) -> "CountModel":
+        """The model of a context table: the other tables are its sums."""
+        bi = ctx.groupBy("prev", "tok").agg(F.sum("c").alias("c"))
+        return CountModel(ctx.groupBy("tok").agg(F.sum("c").alias("c")), bi, ctx)
+
     @staticmethod
     def read(spark, path: str) -> "CountModel":
         return CountModel(*(spark.read.parquet(f"{path}/{n}") for n in ("unigram", "bigram", "context")))
@@ -59,10 +67,7 @@ def fit(train: DataFrame, max_tokens: int | None = None) -> CountModel:
     # One pass over the long token table: every occurrence is counted once in
     # the context table, so the bigram and unigram tables are exact sums of
     # it (aggregates of a table far smaller than the token stream).
-    ctx = rows.groupBy("prev", "tok", "nxt").agg(F.count(F.lit(1)).alias("c"))
-    bi = ctx.groupBy("prev", "tok").agg(F.sum("c").alias("c"))
-    uni = ctx.groupBy("tok").agg(F.sum("c").alias("c"))
-    return CountModel(uni, bi, ctx)
+    return CountModel.of_context(rows.groupBy("prev", "tok", "nxt").agg(F.count(F.lit(1)).alias("c")))
 
 
 def finetune(base: CountModel, new: DataFrame, base_weight: float = 1.0,
@@ -137,7 +142,7 @@ def with_losses(rows: DataFrame, model: CountModel, losses: dict[str, str]) -> D
     scored = types
     for name, kind in losses.items():
         scored = LOSSES[kind][1](scored.select(*keys, "n", *[c for c in losses if c in scored.columns]), model).withColumnRenamed("nll", name)
-    scored = scored.select(*keys, "n", *losses).checkpoint(eager=True)
+    scored = scored.select(*keys, "n", *[(F.rint(F.col(c) * GRAIN) / GRAIN).alias(c) for c in losses]).checkpoint(eager=True)
     total = scored.select(F.sum("n")).scalar()
     hot = F.col("n") * HOT_SHARE > total
     frequent = F.broadcast(scored.filter(hot).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in losses], F.lit(True).alias("hot")))

@@ -315,3 +315,45 @@ def q_pipeline_report_relabel(spark, sf_dir):
     score -> threshold -> evaluate."""
     from reqlens.plans.pipeline import PipelineConfig, run
     return run(spark, fx.requests(spark, sf_dir), PipelineConfig())
+
+
+def _experiment_sql(body: str) -> str:
+    """The pipeline's scores, a 99th percentile threshold and the grid."""
+    pipeline = _pipeline_sql()
+    te = _PIPELINE_EXTRA[0]
+    del pipeline
+    est = ("est", "select model, quantile_cont(loss, 0.99) as threshold from (select 'causal' as model, loss from causal_scores where split = 'eval' "
+                  "union all select 'masked', loss from masked_scores where split = 'eval') e group by model")
+    grid = ("grid", "select model, cast(i - 1 as bigint) as param_id, cast(i as double) * 0.01::double as t, false as estimated "
+                    "from range(1, 100) g(i) cross join est union all select model, 99, threshold, true from est")
+    cnt = ("cnt", """select g.model, g.param_id, g.t, g.estimated,
+  count(*) filter (where te.loss > g.t and te.anomalous <> 0) as tp, count(*) filter (where te.loss > g.t and te.anomalous = 0) as fp,
+  count(*) filter (where not (te.loss > g.t) and te.anomalous <> 0) as fn, count(*) filter (where not (te.loss > g.t) and te.anomalous = 0) as tn
+  from grid g join te on te.model = g.model group by g.model, g.param_id, g.t, g.estimated""")
+    return osql(body, te, est, grid, cnt)
+
+
+_EXPERIMENT = dict(stages=("split", "fit", "score", "threshold", "evaluate"), method="percentile", grid=True, best_by="f1fn")
+
+
+@register("pipeline_evaluations", _experiment_sql("""
+select model, param_id, round(t, 6) as threshold_offset, estimated, tp as true_positives, fp as false_positives,
+  fn as false_negatives, tn as true_negatives from cnt"""))
+def q_pipeline_evaluations(spark, sf_dir):
+    """The evaluation table of a run with a percentile threshold and the grid."""
+    from reqlens.plans.pipeline import PipelineConfig, run_stages
+    e = run_stages(spark, fx.requests(spark, sf_dir), PipelineConfig(**_EXPERIMENT))["evaluations"]
+    return e.select("model", "param_id", F.round("threshold_offset", 6).alias("threshold_offset"), "estimated", "true_positives",
+                    "false_positives", "false_negatives", "true_negatives")
+
+
+@register("pipeline_best", _experiment_sql("""
+select model, param_id, round(t, 6) as threshold_offset, tp as true_positives, fp as false_positives from (
+  select *, row_number() over (partition by model order by f1 - fnr desc, tp + tn, param_id) as k from (
+    select *, 2.0 * tp / (2 * tp + fp + fn) as f1, case when tp + fn = 0 then 0.0 else fn / (tp + fn) end as fnr from cnt) m
+  where f1 - fnr > 0) r where k = 1"""))
+def q_pipeline_best(spark, sf_dir):
+    """R13 + R1: each model's entry with the best F1 - FNR."""
+    from reqlens.plans.pipeline import PipelineConfig, run_stages
+    b = run_stages(spark, fx.requests(spark, sf_dir), PipelineConfig(**_EXPERIMENT))["best"]
+    return b.select("model", "param_id", F.round("threshold_offset", 6).alias("threshold_offset"), "true_positives", "false_positives")
