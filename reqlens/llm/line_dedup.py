@@ -1,12 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``MIN_BYTES`` bytes are compared; their distance counts
-inserted, deleted and replaced bytes. Shorter ones, if asked for, go when they
-equal an earlier line. A line is cut into ``threshold + 1``
-segments; a line within the threshold holds one of them unchanged, at a place
+Two lines are alike if inserting, deleting and replacing bytes turns one into the
+other in as many steps as the shorter one allows: one for every ``EDIT_BYTES``
+bytes, ``threshold`` at most (lines shorter than that are alike if equal). A line
+that allows t steps is cut into t + 1
+segments; a line within t holds one of them unchanged, at a place
 that the edits before and after it allow. So every line is indexed by its
 segments (with its length and their number), and probes, for its own and each
-smaller length within the threshold, the substrings at those places. A broadcast
+smaller length that allows the difference, the substrings at those places. A broadcast
 bitmap of the index (of bounded size) drops nearly all probes at once.
 
 Lines that meet under a key are dealt into parts, every pair of parts is a cell,
@@ -17,8 +18,7 @@ Linked lines are one class (connected components); equal lines are one line.
 Of every class the first occurrence, by (doc_id, line number), stays.
 
 Lines are told apart by a 64-bit hash; an occurrence whose second, independent
-hash differs from its line's is not removed. Defined results: shorter lines
-stay unless asked for, empty ones always; null texts have no lines and stay null; documents without id neither lose
+hash differs from its line's is not removed. Defined results: empty lines always stay; null texts have no lines and stay null; documents without id neither lose
 lines nor make others lose some; rows that share an id share their lines' places.
 Other columns pass through ``strip_lines`` as they are.
 """
@@ -36,10 +36,13 @@ from pyspark.sql import types as T
 from reqlens.llm.bitmaps import bitmap, marked
 from reqlens.llm.graph import components
 from reqlens.llm.textscan import Words, mix, range_hashes, slices
-from reqlens.llm.util import free_name, stored, work_dir
+from reqlens.llm.util import free_name, frugal, stored, work_dir
 
-MIN_BYTES = 32
 THRESHOLD = 2
+#: bytes of the shorter line for each edit
+EDIT_BYTES = 8
+#: text bytes whose keys are made at once (some 100 bytes of memory each)
+SLICE = 1 << 18
 #: lines of a part
 PART = 512
 #: rows that one call verifies, about, and pairs at once
@@ -50,40 +53,46 @@ _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[0x0A] = False
 
 
+def allowed(size: np.ndarray, threshold: int) -> np.ndarray:
+    """Edits between lines of which the shorter one has so many bytes."""
+    return np.minimum(size // EDIT_BYTES, threshold)
+
+
 class Lines(Words):
     """The non-empty lines of a slice of texts, as words cut at line breaks."""
 
     def __init__(self, column: pa.Array) -> None:
         super().__init__(column, _NOT_BREAK, lower=False)
         self.size = self.end - self.start
-        self.long = np.flatnonzero(self.size >= MIN_BYTES)
         breaks = np.concatenate(([0], np.cumsum(self.buf == 0x0A)))
         doc = self.text_of()
         self.number = breaks[self.start] - breaks[self.offsets[:-1]][doc]  # empty lines count
 
-    def keys(self, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, key, whether it's the line's own segment) of all long lines."""
+    def keys(self, threshold: int, own_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, whether it's the line's own segment) of all lines that allow
+        an edit; the lines' own segments alone if asked for."""
         prefix = self.buf.astype(np.uint64) + np.uint64(1)
-        start, size = self.start[self.long], self.size[self.long]
         line, begin, end, tag, own = [], [], [], [], []
-        for less in range(threshold + 1):  # the other line is shorter by so much
-            n = size - less
-            short, extra = n // (threshold + 1), n % (threshold + 1)
-            for i in range(threshold + 1):
-                # the last ``extra`` segments are one longer
-                length = short + (i >= threshold + 1 - extra)
-                place = i * short + np.maximum(0, i - (threshold + 1 - extra))
-                low = np.maximum(place - i, place + less - (threshold - i))
-                high = np.minimum(place + i, place + less + (threshold - i))
-                for shift in range(-threshold, threshold + less + 1):
-                    at = place + shift
-                    fits = (at >= np.maximum(low, 0)) & (at <= np.minimum(high, size - length)) & (n >= MIN_BYTES)
-                    k = np.flatnonzero(fits)
-                    line.append(self.long[k])
-                    begin.append(start[k] + at[k])
-                    end.append(start[k] + at[k] + length[k])
-                    tag.append((n[k].astype(np.uint64) << np.uint64(8)) | np.uint64(i))
-                    own.append(np.full(len(k), less == 0 and shift == 0))
+        for edits in range(1, threshold + 1):
+            for less in range(1 if own_only else edits + 1):  # the other line is shorter by so much
+                mine = np.flatnonzero(allowed(self.size - less, threshold) == edits)
+                start, size = self.start[mine], self.size[mine]
+                n = size - less
+                short, extra = n // (edits + 1), n % (edits + 1)
+                for i in range(edits + 1):
+                    # the last ``extra`` segments are one longer
+                    length = short + (i >= edits + 1 - extra)
+                    place = i * short + np.maximum(0, i - (edits + 1 - extra))
+                    low = np.maximum(place - i, place + less - (edits - i))
+                    high = np.minimum(place + i, place + less + (edits - i))
+                    for shift in (0,) if own_only else range(-edits, edits + less + 1):
+                        at = place + shift
+                        k = np.flatnonzero((at >= np.maximum(low, 0)) & (at <= np.minimum(high, size - length)))
+                        line.append(mine[k])
+                        begin.append(start[k] + at[k])
+                        end.append(start[k] + at[k] + length[k])
+                        tag.append((n[k].astype(np.uint64) << np.uint64(8)) | np.uint64(i))
+                        own.append(np.full(len(k), less == 0 and shift == 0))
         line, begin, end, tag, own = (np.concatenate(x) for x in (line, begin, end, tag, own))
         return line, mix(range_hashes(prefix, begin, end) ^ mix(tag)), own
 
@@ -92,20 +101,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _occurrences(docs: DataFrame, short: bool) -> DataFrame:
-    """(line, proof, doc_id, number) of every long line, or of every non-empty one."""
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(line, proof, doc_id, number) of every line that isn't empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 x = Lines(part.column("text"))
-                own = np.arange(len(x.size)) if short else x.long
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(x.hashes()[own]), _signed(x.hashes(True)[own]),
-                     part.column("doc_id").take(pa.array(x.text_of()[own])), pa.array(x.number[own].astype(np.int32))],
-                    ["line", "proof", "doc_id", "number"])
+                    [_signed(x.hashes()), _signed(x.hashes(True)), part.column("doc_id").take(pa.array(x.text_of())),
+                     pa.array(x.number.astype(np.int32))], ["line", "proof", "doc_id", "number"])
 
-    return docs.mapInArrow(run, "line bigint, proof bigint, doc_id bigint, number int")
+    return docs.mapInArrow(frugal(run), "line bigint, proof bigint, doc_id bigint, number int")
 
 
 def _keys(docs: DataFrame, threshold: int, index=None) -> DataFrame:
@@ -114,14 +121,14 @@ def _keys(docs: DataFrame, threshold: int, index=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 x = Lines(part.column("text"))
-                line, key, own = x.keys(threshold)
+                line, key, own = x.keys(threshold, own_only=index is None)
                 keep = own if index is None else own | marked(index.value, key)
                 yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(x.hashes()[line[keep]]), pa.array(own[keep])],
                                                  ["key", "line", "own"])
 
-    return docs.mapInArrow(run, "key bigint, line bigint, own boolean")
+    return docs.mapInArrow(frugal(run), "key bigint, line bigint, own boolean")
 
 
 def _texts(docs: DataFrame, wanted) -> DataFrame:
@@ -129,27 +136,28 @@ def _texts(docs: DataFrame, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 x = Lines(part.column("text"))
-                h = x.hashes()[x.long]
+                h = x.hashes()
                 _, first = np.unique(h, return_index=True)
-                first = first[marked(wanted.value, h[first])]
-                raw, own = x.buf.tobytes(), x.long[first]
+                own = first = first[marked(wanted.value, h[first])]
+                raw = x.buf.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [_signed(h[first]), pa.array([raw[a:b] for a, b in zip(x.start[own].tolist(), x.end[own].tolist())], pa.binary())],
                     ["line", "raw"])
 
-    return docs.select("text").mapInArrow(run, "line bigint, raw binary").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(frugal(run), "line bigint, raw binary").dropDuplicates(["line"])
 
 
-def within(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
+def within(xs: list[bytes], ys: list[bytes], threshold: int, limit: np.ndarray | None = None) -> np.ndarray:
     """Whether each pair (x, y), len(x) <= len(y) <= len(x) + threshold, is within
-    the threshold."""
+    the threshold, or within its own limit, which is no larger."""
     out = np.zeros(len(xs), bool)
+    limit = np.full(len(xs), threshold) if limit is None else limit
     order = np.argsort([len(x) for x in xs], kind="stable")
     for p in range(0, len(order), PAIRS):
         own = order[p:p + PAIRS]
-        out[own] = _banded([xs[k] for k in own], [ys[k] for k in own], threshold)
+        out[own] = _banded([xs[k] for k in own], [ys[k] for k in own], threshold) <= limit[own]
     return out
 
 
@@ -164,7 +172,8 @@ def _padded(lines: list[bytes], lead: int, fill: int) -> np.ndarray:
 
 
 def _banded(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
-    """The columns of the edit matrices of all pairs at once, in bit vectors of
+    """The distances, right up to the threshold and larger beyond it: the columns
+    of the edit matrices of all pairs at once, in bit vectors of
     the 2 * threshold + 1 cells around the diagonal. Pairs whose distance can't
     come down to the threshold any more are left out as they are found."""
     lead = threshold + 1
@@ -177,7 +186,7 @@ def _banded(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
     plus = np.full(len(xs), ((1 << (threshold + 1)) - 1) << threshold, np.uint64)  # rows that are one more than the row above
     minus = np.zeros(len(xs), np.uint64)
     score = np.full(len(xs), threshold, np.int64)
-    out = np.zeros(len(xs), bool)
+    out = np.full(len(xs), threshold + 1)
     for j in range(int(n.max())):
         match = np.zeros(len(pair), np.uint64)
         for b in range(width):
@@ -198,12 +207,12 @@ def _banded(xs: list[bytes], ys: list[bytes], threshold: int) -> np.ndarray:
             open_ = (score <= 3 * threshold) & (j < n)
             if 4 * open_.sum() < 3 * len(pair):
                 done = j >= n
-                out[pair[done]] = score[done] <= threshold
+                out[pair[done]] = score[done]
                 pair, plus, minus, score, m, n = (z[open_] for z in (pair, plus, minus, score, m, n))
                 if not len(pair):
                     return out
                 x, y = x[:, open_], y[:, open_]
-    out[pair] = score <= threshold
+    out[pair] = score
     return out
 
 
@@ -221,10 +230,12 @@ class _Cell:
         of them indexed, that aren't joined and may be within the threshold."""
         found = []
         for x in rows.tolist():
-            y = self.right[(self.part[self.right] != self.part[x]) & (np.abs(self.size[self.right] - self.size[x]) <= threshold)
-                           & (self.own[self.right] | self.own[x])]
+            limit = allowed(np.minimum(self.size[self.right], self.size[x]), threshold)
+            fits = (self.part[self.right] != self.part[x]) & (np.abs(self.size[self.right] - self.size[x]) <= limit) \
+                & (self.own[self.right] | self.own[x])
+            y, limit = self.right[fits], limit[fits]
             if len(y):
-                y = y[np.abs(self.bags[y] - self.bags[x]).sum(axis=1) <= 2 * threshold]
+                y = y[np.abs(self.bags[y] - self.bags[x]).sum(axis=1) <= 2 * limit]
                 swap = self.size[y] < self.size[x]
                 found.append((np.where(swap, y, x), np.where(swap, x, y)))
         if not found:
@@ -247,7 +258,7 @@ def _verified(pairs: list[tuple[_Cell, np.ndarray, np.ndarray]], threshold: int)
     once; returns the links that joined something."""
     xs = [c.lines[k] for c, a, _ in pairs for k in a.tolist()]
     ys = [c.lines[k] for c, _, b in pairs for k in b.tolist()]
-    good = within(xs, ys, threshold) if xs else np.empty(0, bool)
+    good = within(xs, ys, threshold, allowed(np.array([len(x) for x in xs]), threshold)) if xs else np.empty(0, bool)
     out, at = [], 0
     for c, a, b in pairs:
         ok = good[at:at + len(a)]
@@ -328,12 +339,11 @@ def line_links(docs: DataFrame, threshold: int, folder: str) -> DataFrame:
     return stored(cells.groupBy("bundle").applyInArrow(verify, "a bigint, b bigint").distinct(), folder, "links")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | None = None, short: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | None = None) -> DataFrame:
     """(doc_id, number, first_id, first_number, near): the lines that go, the
-    first of their class, and whether they differ from all earlier lines; with
-    ``short``, lines too short for the edit join go if they equal an earlier one."""
+    first of their class, and whether they differ from all earlier lines."""
     folder = folder or work_dir(docs.sparkSession)
-    seen = stored(_occurrences(docs, short), folder, "occurrences")
+    seen = stored(_occurrences(docs), folder, "occurrences")
     lines = stored(seen.groupBy("line").agg(F.min(F.struct("doc_id", "number", "proof")).alias("s"), F.count("*").alias("c"))
                    .select("line", "s.doc_id", "s.number", "s.proof", "c"), folder, "lines")
     labels = components(line_links(docs, threshold, folder), f"{folder}/classes").withColumnRenamed("node", "line")
@@ -349,7 +359,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | Non
 
 
 def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
-                counts: bool = False, short: bool = False) -> DataFrame:
+                counts: bool = False) -> DataFrame:
     """The documents without the lines that go, and without their line breaks;
     with n_lines, n_removed and n_near (removed though no equal line came
     earlier) if asked for (columns named so are then replaced)."""
@@ -357,7 +367,7 @@ def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_
     docs = docs.select(*(c for c in docs.columns if c not in named))
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     name, other = free_name(docs, "line_list"), free_name(docs, "line_doc")
-    lists = removed_lines(narrow, threshold, short=short).groupBy(F.col("doc_id").alias(other)) \
+    lists = removed_lines(narrow, threshold).groupBy(F.col("doc_id").alias(other)) \
         .agg(F.collect_set(F.struct("number", "near")).alias(name))
     names = docs.columns
     joined = docs.join(lists, docs[doc_id].cast("bigint") == lists[other], "left").select(*(docs[c] for c in names), name)
@@ -377,4 +387,4 @@ def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_
             columns = [pa.array(texts, kind) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (n, gone, near)][:len(named)]], [*names, *named])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in named)]))
+    return joined.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in named)]))

@@ -148,9 +148,9 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that repeat an earlier line, long ones up to two byte edits."""
+    """Lines of every document that repeat an earlier line up to two byte edits (one per eight bytes)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.strip_lines(docs, counts=True, short=True) \
+    return line_dedup.strip_lines(docs, counts=True) \
         .select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -210,29 +210,30 @@ def test_banded_distance(threshold):
 def test_line_dedup_brute_force(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PART", 8)
     r = random.Random(6)
-    bases = [bytes(r.choice(b"abcdefgh ") for _ in range(r.randint(28, 60))) for _ in range(25)]
-    lines = [changed(r, r.choice(bases), r.choice([0, 0, 1, 1, 2, 3, 5])).decode() for _ in range(160)]
-    docs = [(i, "\n".join(lines[i * 5:i * 5 + 5])) for i in range(32)]
-    docs += [(40, None), (41, ""), (42, "\n\n" + lines[0] + "\n"), (43, "short\nshort")]
-    long = sorted({x for x in lines if len(x) >= 32})
-    root = {x: x for x in long}
+    bases = [bytes(r.choice(b"abcdefgh ") for _ in range(n)) for n in [*range(1, 41), *range(42, 62, 4)]]
+    lines = [changed(r, r.choice(bases), r.choice([0, 0, 1, 1, 2, 3, 5])).decode() for _ in range(400)]
+    docs = [(i, "\n".join(lines[i * 5:i * 5 + 5])) for i in range(80)]
+    docs += [(140, None), (141, ""), (142, "\n\n" + lines[0] + "\n"), (143, "short\nshort"), (144, "y" * 200_000), (145, "z" + "y" * 200_000)]
+    all_lines = sorted({x for _, t in docs for x in (t or "").split("\n") if x})
+    root = {x: x for x in all_lines}
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, x in enumerate(long):
-        for y in long[:i]:
-            if abs(len(x) - len(y)) <= 2 and distance(x.encode(), y.encode()) <= 2:
+    for i, x in enumerate(all_lines):
+        for y in all_lines[:i]:
+            limit = min(len(x) // 8, len(y) // 8, 2)
+            if abs(len(x) - len(y)) <= limit and (len(x) > 1000 or distance(x.encode(), y.encode()) <= limit):
                 root[top(x)] = top(y)
     seen, expected = set(), {}
     for d, t in docs:
         out = []
         for x in (t or "").split("\n"):
-            if len(x) < 32 or top(x) not in seen:
+            if not x or top(x) not in seen:
                 out.append(x)
-            if len(x) >= 32:
+            if x:
                 seen.add(top(x))
         expected[d] = None if t is None else "\n".join(out)
     got = line_dedup.strip_lines(table(spark, docs + [(None, lines[0])]), counts=True).collect()
@@ -244,21 +245,21 @@ def test_line_dedup_brute_force(spark, monkeypatch):
     assert line_dedup.strip_lines(table(spark, [])).count() == 0
 
 
-def test_short_equal_lines(spark, tmp_path):
-    """The query and the pipeline's stage drop repeats of every non-empty line."""
+def test_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage drop repeats of lines of any length."""
     import corpus_pipeline
     from reqlens.llm.queries import QUERIES
     menu, long = "Read more", "a line that is long enough to be compared by edits"
-    docs = [(1, f"{menu}\nReed more\n\n{long}"), (2, f"x\n{menu}\n\n{long[:-1]}"), (3, "短行\n短行\nx"), (None, menu), (4, None)]
-    expected = {1: docs[0][1], 2: "x\n", 3: "短行", 4: None}
+    docs = [(1, f"{menu}\nReed more\n\n{long}\nMenu"), (2, f"x\n{menu}\nMenü\n\n{long[:-1]}"), (3, "短行\n短行\nx"), (None, menu), (4, None)]
+    expected = {1: f"{menu}\n\n{long}\nMenu", 2: "x\nMenü\n", 3: "短行", 4: None}
     df = table(spark, docs)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
     assert got == {**expected, None: menu}
     df.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: (r.n_removed, r.n_near) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
-    assert rows == {1: (0, 0), 2: (2, 1), 3: (2, 0), 4: (0, 0), None: (0, 0)}
-    assert {(r.doc_id, r.number) for r in line_dedup.removed_lines(df.select("doc_id", "text").where("doc_id is not null"), short=True).collect()} \
-        == {(2, 1), (2, 3), (3, 1), (3, 2)}
+    assert rows == {1: (1, 1), 2: (2, 1), 3: (2, 0), 4: (0, 0), None: (0, 0)}
+    assert {(r.doc_id, r.number) for r in line_dedup.removed_lines(df.select("doc_id", "text").where("doc_id is not null")).collect()} \
+        == {(1, 1), (2, 1), (2, 4), (3, 1), (3, 2)}
 
 
 def test_line_bundles_hold_about_so_many_rows(spark):
