@@ -14,11 +14,12 @@ What is learned, over all training texts:
 * counts of tokens, and of the first bytes of words with the four bytes before
   them (with those, later bytes of words depend on the token alone). Both are
   combined in each task and grow with the corpus; they are kept as Parquet;
-* from them the bit counts, hashed into tables of a fixed size (``TABLE_BITS``),
-  summed by a fixed number of tasks and then by chunks of the tables;
+* from them the bit counts, hashed into tables of a fixed size (``TABLE_BITS``):
+  a task counts for one section of the slots, then chunks are summed, in 64 bits;
 * maps and weights, by online gradient steps over the same counts in every
   partition, each occurrence predicted without itself; the partitions' weights are
-  averaged, the maps' counts summed.
+  averaged, the maps' counts summed. The number of partitions follows the number
+  of counts, rows are dealt and ordered by hashes: the number of cores plays no part.
 
 Tables and weights have a fixed size and are broadcast. Tokens of the scored texts
 are looked up among the most frequent ones (at most ``HEAD``, broadcast); the rest
@@ -42,9 +43,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.llm.textscan import NOT_SPACE, Words, _power_tables, mix, slices
-from reqlens.llm.util import stored, work_dir
+from reqlens.llm.util import frugal, stored, work_dir
 
 SLICE = 1 << 20
+#: bytes whose contexts are computed at once (some 100 bytes of memory each)
+PART_BYTES = 1 << 18
 #: bytes in their contexts whose probability a task remembers
 REMEMBERED = 1 << 21
 END = 0xFF  # in no UTF-8 text
@@ -53,8 +56,13 @@ LEAD = 4
 TABLE_BITS = (8, 16, 18, 20, 21, 24)
 CONTEXTS = len(TABLE_BITS)
 HEAD = 1 << 18
-TABLE_TASKS = 6
-CHUNK = 1 << 18
+#: slots are counted in sections, a task holds one
+SECTION = 1 << 22
+#: rows for a counting task of a section, and the most such tasks
+COUNT_ROWS, COUNT_TASKS = 1_000_000, 64
+CHUNK = 1 << 16
+#: rows that one mixer learns from
+LESSON = 50_000
 GATES = 8 * 4 * 4
 MAP_STEPS = 24
 MAP_PRIOR = 32.0
@@ -92,14 +100,14 @@ class Stream:
         self.scored[(begin[:, None] + np.arange(LEAD)).ravel()] = False
 
     def parts(self) -> Iterator[tuple[int, int]]:
-        """Ranges of about ``SLICE`` bytes that begin with a word or a text."""
+        """Ranges of about ``PART_BYTES`` bytes that begin with a word or a text."""
         cuts = np.concatenate((self.word, self.end))
         cuts.sort()
         p = 0
         while p < len(self.buf):
             q = len(self.buf)
-            if q - p > 2 * SLICE:
-                k = int(np.searchsorted(cuts, p + SLICE))
+            if q - p > 2 * PART_BYTES:
+                k = int(np.searchsorted(cuts, p + PART_BYTES))
                 q = int(cuts[k]) if k < len(cuts) and cuts[k] > p else q
             yield p, q
             p = q
@@ -133,10 +141,11 @@ def _contexts(last: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
     return [mix(c ^ _SALT[i]) if i else np.zeros(len(last), np.uint64) for i, c in enumerate(plain)]
 
 
-def _slots(contexts: list[np.ndarray], node: np.ndarray) -> Iterator[np.ndarray]:
-    """Per context the place in the tables of the choice ``node``."""
+def _slots(contexts: list[np.ndarray], node: np.ndarray, wanted: list[int] | None = None) -> Iterator[np.ndarray]:
+    """Per (wanted) context the place in the tables of the choice ``node``."""
     step = node.astype(np.uint64) * _NODE
-    for i, c in enumerate(contexts):
+    for i in range(CONTEXTS) if wanted is None else wanted:
+        c = contexts[i]
         if i == 0:
             yield node.astype(np.int64)
         else:
@@ -325,7 +334,7 @@ def _token_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(words, pa.binary()), pa.array(n)],
                                                  ["hash", "token", "c"])
 
-    return docs.mapInArrow(run, "hash bigint, token binary, c bigint").groupBy("hash", "token").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(frugal(run), "hash bigint, token binary, c bigint").groupBy("hash", "token").agg(F.sum("c").alias("c"))
 
 
 def _start_counts(docs: DataFrame) -> DataFrame:
@@ -342,7 +351,7 @@ def _start_counts(docs: DataFrame) -> DataFrame:
                     key, n = np.unique(last[near] << np.uint64(8) | stream.buf[at[near]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "c"])
 
-    return docs.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(frugal(run), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _learning_rows(batch: pa.RecordBatch, limit: int = 20_000) -> Iterator[tuple[np.ndarray, ...]]:
@@ -375,33 +384,56 @@ def _learning_rows(batch: pa.RecordBatch, limit: int = 20_000) -> Iterator[tuple
                 yield last[far], word[far], stream.buf[at[far]], times[~starts][of]
 
 
-def _bit_tables(rows: DataFrame) -> np.ndarray:
+def _bit_tables(rows: DataFrame, n_rows: int) -> np.ndarray:
     """The counts of zeros and of ones in every slot, in 16 bits."""
     size = int(_BASE[-1])
+    sections = -(-size // SECTION)
+    tasks = min(max(1, -(-n_rows // COUNT_ROWS)), COUNT_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * size, np.float32)
+        tables: dict[int, np.ndarray] = {}  # one at a time: rows come ordered by section
         for batch in batches:
-            for last, word, byte, n in _learning_rows(batch):
-                contexts, n = _contexts(last, word), n.astype(np.float32)
-                for _, node, bit in _choices(byte.astype(np.int64)):
-                    for s in _slots(contexts, node):
-                        np.add.at(table, bit * size + s, n)
-        table = table.reshape(2, size)
-        for c in range(0, size, CHUNK):
-            if table[:, c:c + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.ascontiguousarray(table[:, c:c + CHUNK]).tobytes()], pa.binary())],
-                                                 ["chunk", "counts"])
+            section = batch.column("section").to_numpy()
+            for own in np.unique(section).tolist():
+                if own not in tables:
+                    yield from emptied(tables)
+                    tables[own] = np.zeros(2 * SECTION, np.int64)
+                table, low = tables[own], own * SECTION
+                for last, word, byte, n in _learning_rows(batch.filter(pa.array(section == own))):
+                    contexts, n = _contexts(last, word), n.astype(np.int64)
+                    wanted = [i for i in range(CONTEXTS) if _BASE[i] < low + SECTION and _BASE[i + 1] > low]
+                    for _, node, bit in _choices(byte.astype(np.int64)):
+                        for s in _slots(contexts, node, wanted):
+                            s = s - low
+                            inside = np.flatnonzero((s >= 0) & (s < SECTION))
+                            np.add.at(table, bit[inside] * SECTION + s[inside], n[inside])
+        yield from emptied(tables)
+
+    def emptied(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while tables:
+            own, table = tables.popitem()
+            table = table.reshape(2, SECTION)
+            for c in range(0, min(SECTION, size - own * SECTION), CHUNK):
+                part = np.ascontiguousarray(table[:, c:c + CHUNK])
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([own * SECTION + c]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                                                     ["chunk", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in group.column("counts"))
-        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([_kept(total).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in group.column("counts"))
+        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([_kept(total.astype(np.float64)).tobytes()], pa.binary())})
 
     schema = "chunk bigint, counts binary"
-    chunks = rows.coalesce(TABLE_TASKS).mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema)
+    # all rows go to the tasks of every section: tokens and beginnings, not texts
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "token"), F.lit(tasks))) \
+        .withColumn("section", F.explode(F.sequence(F.lit(0), F.lit(sections - 1)))) \
+        .repartition(4 * sections * tasks, "section", "bucket").sortWithinPartitions("section")
+    chunks = dealt.mapInArrow(frugal(count), schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros((2, size), np.uint16)
     for r in chunks.toLocalIterator():  # a fixed size in all
-        out[:, r["chunk"]:r["chunk"] + CHUNK] = np.frombuffer(r["counts"], np.uint16).reshape(2, -1)
+        counts = np.frombuffer(r["counts"], np.uint16).reshape(2, -1)
+        width = min(CHUNK, size - r["chunk"])
+        out[:, r["chunk"]:r["chunk"] + width] = counts[:, :width]
     return out
 
 
@@ -430,7 +462,7 @@ def _fit(rows: DataFrame, tables: np.ndarray) -> dict[str, np.ndarray]:
         values = np.concatenate([(m.weights * m.mass[:, None] if k == "weights" else m.learned[k] - begin[k]).ravel() for k in sizes])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
-    got = rows.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
+    got = rows.mapInArrow(frugal(run), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
     shared.destroy()
     if not got.num_rows:
         return begin
@@ -447,18 +479,21 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     the model is learned from the rows where ``training`` holds."""
     folder = work_dir(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    lessons = docs.where(training).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens = stored(_token_counts(lessons), folder, "tokens")
-    starts = stored(_start_counts(lessons), folder, "starts")
-    n_texts = lessons.count()
+    texts = docs.where(training).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    tokens = stored(_token_counts(texts), folder, "tokens")
+    starts = stored(_start_counts(texts), folder, "starts")
+    n_texts = texts.count()
     words, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + n_texts, kinds + (n_texts > 0)
     unseen = math.log10(n + v + 1)
 
     rows = starts.select("key", F.lit(None).cast("binary").alias("token"), "c") \
         .unionByName(tokens.where(F.octet_length("token") >= LEAD).select(F.lit(None).cast("bigint").alias("key"), "token", "c"))
-    tables = _bit_tables(rows)
-    fitted = _fit(rows.repartition(max(2 * context.defaultParallelism, rows.rdd.getNumPartitions())), tables)
+    n_rows = rows.count()
+    tables = _bit_tables(rows, n_rows)
+    order = F.xxhash64("key", "token")
+    lessons = rows.repartition(max(1, -(-n_rows // LESSON)), order).sortWithinPartitions(order, "key", "token")
+    fitted = _fit(lessons, tables)
 
     # the frequent tokens: as many powers of two of the count as fit
     sizes = tokens.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
@@ -501,7 +536,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
                     ["doc_id", "n_tokens", "n_known", "logs", "score", "rest"])
 
     first = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")) \
-        .mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens bigint, n_known bigint, "
+        .mapInArrow(frugal(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens bigint, n_known bigint, "
                          "logs double, score double, rest array<bigint>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), folder, "scored")
     by_hash = tokens.where(F.col("c") < least).groupBy("hash").agg(F.sum("c").alias("c"))
