@@ -19,9 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, long ones up to two byte edits, go from
+    """Lines that repeat an earlier one up to two byte edits (one per eight bytes) go from
     the texts; every document stays."""
-    return line_dedup.strip_lines(docs, short=True)
+    return line_dedup.strip_lines(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
