@@ -213,20 +213,20 @@ def score_label_counts(joined: DataFrame, score_col: str, label_col: str = "anom
 
 
 def auc_scores(joined: DataFrame, score_col: str, label_col: str = "anomalous",
-               n_buckets: int = 64) -> DataFrame:
+               part_rows: int | None = None) -> DataFrame:
     """A12 + A13 in one pass: ROC AUC (tie-corrected rank sum) and average
     precision (step sum over distinct scores, descending). NULL when a class
     is empty.
 
     Distinct scores are counted per label (ties and hot values become one
-    row), then one bucketed running sum in descending score order gives the
+    row), then one running sum in descending score order gives the
     positives and negatives above each score: ``tp = pos_above + pos``,
     ``fp = neg_above + neg`` and
     ``AUC = (P*N - sum(pos * (neg_above + neg/2))) / (P*N)`` (half-integers,
     exact in doubles); ``P`` and ``N`` come from the same final aggregate.
     """
     counts = score_label_counts(joined, score_col, label_col).withColumn("__desc", -F.col("score"))
-    g = prefix_sums(counts, "__desc", ["pos", "neg"], n_buckets)
+    g = prefix_sums(counts, "__desc", ["pos", "neg"], part_rows)
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
     agg = g.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),

@@ -1,15 +1,15 @@
 """Global-order operators without a single-task window.
 
 A window with ``orderBy`` but no ``partitionBy`` moves every row to one task.
-The operators here split the order into equal-depth buckets instead:
+The operators here deal the order into ranges instead:
 
-1. cut points: one ``percentile_approx`` scalar subquery (an array of at most
-   ``n_buckets - 1`` values, evaluated once per query, so every use in the
-   plan sees the same cuts);
-2. bucket id per row = number of cuts below the value (monotone in the value);
-3. per-bucket totals (at most ``n_buckets`` rows, a bounded table) and their
-   prefix sums, broadcast back;
-4. a window partitioned by bucket for the in-bucket part.
+1. the rows are stored once (a reliable checkpoint) and counted, and range
+   partitioned by the order column into as many parts as that count asks for
+   (``PART_ROWS`` rows each); the parts are stored with their number, since everything after must see the
+   same borders;
+2. per-part totals (one row a part) and their prefix sums are a small table,
+   broadcast back;
+3. a window partitioned by part gives the sums inside it.
 
 Skew: callers pre-aggregate by distinct value first, so a value held by a
 third of all rows is one row here.
@@ -17,61 +17,79 @@ third of all rows is one row here.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+#: rows of a part, about
+PART_ROWS = 1_000_000
+PART = "__part"
+
+
+@dataclass
+class Ranges:
+    """Rows dealt into ranges of an order column, and the totals of the ranges."""
+    rows: DataFrame     # with PART
+    order_col: str
+    totals: DataFrame   # PART, rows, and a total for each summed column, one row a part
 
+    def total(self, col: str = "__rows") -> Column:
+        """Sum over all rows (scalar subquery over the totals)."""
+        return self.totals.select(F.sum(f"{col}_total")).scalar()
 
-def bucket_cuts(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
-                accuracy: int = 10000) -> Column:
-    """Sorted distinct cut points (scalar subquery) for equal-depth buckets."""
-    if n_buckets <= 1:
-        return F.array().cast("array<double>")
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.select(F.array_distinct(F.percentile_approx(F.col(col).cast("double"),
-                                                          F.array(*[F.lit(q) for q in qs]),
-                                                          accuracy)).alias("c"))
-    return cuts.scalar()
+    def before(self, cols: list[str]) -> DataFrame:
+        """Per part the sums of all parts before it."""
+        w = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+        return self.totals.select(PART, *[F.coalesce(F.sum(f"{c}_total").over(w), F.lit(0)).alias(f"{c}_offset") for c in cols])
 
 
-def bucket_of(value: Column, cuts: Column) -> Column:
-    """Bucket id in ``[0, len(cuts)]``: the number of cuts strictly below."""
-    return F.size(F.filter(cuts, lambda c: c < value))
+def ranges(df: DataFrame, order_col: str, sum_cols: list[str], part_rows: int | None = None) -> Ranges:
+    stored = df.checkpoint(eager=True)
+    parts = max(1, -(-stored.count() // (part_rows or PART_ROWS)))
+    rows = stored.repartitionByRange(parts, order_col).withColumn(PART, F.spark_partition_id()).checkpoint(eager=True)
+    totals = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__rows_total"), *[F.sum(c).alias(f"{c}_total") for c in sum_cols])
+    return Ranges(rows, order_col, totals.checkpoint(eager=True))
 
 
-def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
-                n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def running(r: Ranges, sum_cols: list[str]) -> DataFrame:
+    """The rows with ``<c>_before`` = sum of ``c`` over all rows whose order
+    column is strictly smaller."""
+    w = Window.partitionBy(PART).orderBy(r.order_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = r.rows.join(F.broadcast(r.before(sum_cols)), PART)
+    for c in sum_cols:
+        out = out.withColumn(f"{c}_before", F.col(f"{c}_offset") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop(PART, *[f"{c}_offset" for c in sum_cols])
+
+
+def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], part_rows: int | None = None) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over all rows whose ``order_col`` is
     strictly smaller. ``order_col`` must be unique (pre-aggregate first)."""
-    cuts = bucket_cuts(df, order_col, n_buckets)
-    # A scalar subquery cannot sit inside a lambda: project it first.
-    b = df.withColumn("__cuts", cuts) \
-        .withColumn("__bucket", bucket_of(F.col(order_col).cast("double"), F.col("__cuts"))).drop("__cuts")
-    totals = b.groupBy("__bucket").agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
-    # Bounded table (<= n_buckets rows): a window over it is cheap.
-    w_all = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__bucket", *[
-        F.coalesce(F.sum(f"__tot_{c}").over(w_all), F.lit(0)).alias(f"__off_{c}") for c in sum_cols])
-    w_in = Window.partitionBy("__bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(F.broadcast(offsets), "__bucket")
-    for c in sum_cols:
-        out = out.withColumn(f"{c}_before",
-                             F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)))
-    return out.drop("__bucket", *[f"__off_{c}" for c in sum_cols])
+    return running(ranges(df, order_col, sum_cols, part_rows), sum_cols)
+
+
+def global_position(df: DataFrame, order_col: str, name: str = "pos", part_rows: int | None = None) -> DataFrame:
+    """Dense 1-based position by ``order_col`` (ties in any order), part by part."""
+    r = ranges(df, order_col, [], part_rows)
+    w = Window.partitionBy(PART).orderBy(order_col)
+    return r.rows.join(F.broadcast(r.before(["__rows"])), PART) \
+        .withColumn(name, (F.col("__rows_offset") + F.row_number().over(w)).cast("long")).drop(PART, "__rows_offset")
 
 
-def global_position(df: DataFrame, order_col: str, name: str = "pos",
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Dense 1-based position by ``order_col`` (unique), computed bucket-wise."""
-    ones = df.withColumn("__one", F.lit(1).cast("long"))
-    out = prefix_sums(ones, order_col, ["__one"], n_buckets)
-    return out.withColumn(name, F.col("__one_before") + 1).drop("__one", "__one_before")
+def slice_of(df: DataFrame, order_col: str, offset: int, window: int, part_rows: int | None = None) -> DataFrame:
+    """Rows ``[offset, offset + window)`` in order: only the parts that the slice
+    touches are read and ranked, however far the offset."""
+    r = ranges(df, order_col, [], part_rows)
+    touched = r.totals.join(r.before(["__rows"]), PART).filter(
+        (F.col("__rows_offset") < offset + window) & (F.col("__rows_offset") + F.col("__rows_total") > offset)).select(PART, "__rows_offset")
+    w = Window.partitionBy(PART).orderBy(order_col)
+    return r.rows.join(F.broadcast(touched), PART).withColumn("__pos", F.col("__rows_offset") + F.row_number().over(w) - 1) \
+        .filter((F.col("__pos") >= offset) & (F.col("__pos") < offset + window)).drop(PART, "__rows_offset", "__pos")
 
 
 def rolling_stddev(df: DataFrame, order_col: str, value_col: str, window: int,
                    chunk_rows: int | None = None, name: str = "rolling_std",
-                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   part_rows: int | None = None) -> DataFrame:
     """Sample std over the trailing ``window`` rows (by ``order_col``); NULL
     when fewer than ``window`` values are in the frame (as a pandas rolling
     std with default ``min_periods``).
@@ -84,7 +102,7 @@ def rolling_stddev(df: DataFrame, order_col: str, value_col: str, window: int,
     chunk = chunk_rows or max(4 * window, 50000)
     if chunk < window:
         raise ValueError("chunk_rows must be at least the window size")
-    pos = global_position(df, order_col, "__pos", n_buckets)
+    pos = global_position(df, order_col, "__pos", part_rows)
     pos = pos.withColumn("__chunk", F.floor((F.col("__pos") - 1) / chunk).cast("long"))
     halo = (pos.filter(((F.col("__pos") - 1) % chunk) >= chunk - (window - 1))
                .withColumn("__chunk", F.col("__chunk") + 1)

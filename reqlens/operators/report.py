@@ -74,7 +74,7 @@ def sample_distribution(joined: DataFrame, metric: str = "loss", window: int = 1
                         hide_anomalous: bool = False, hide_normal: bool = False) -> DataFrame:
     """A positional slice of the scored rows (in index order), optionally
     sorted by the metric and renumbered, with the display category (P8, P9,
-    O4, P14). The slice is a distributed top-k of ``w_offset + window`` rows."""
+    O4, P14); ``window=0`` takes all rows."""
     from reqlens.operators.requests import positional_slice, sample_category
     df = joined
     if hide_anomalous:
@@ -84,9 +84,9 @@ def sample_distribution(joined: DataFrame, metric: str = "loss", window: int = 1
     sl = positional_slice(df, "original_index", w_offset, window)
     sl = sl.select("original_index", F.col(metric).alias("value"), sample_category(True).alias("category"))
     if sort:
-        from pyspark.sql import Window
-        # The slice holds at most ``window`` rows (bounded by the parameter).
-        sl = sl.withColumn("rank", (F.row_number().over(Window.orderBy("value", "original_index")) - 1).cast("long"))
+        from reqlens.operators.ranking import global_position
+        sl = global_position(sl.withColumn("__order", F.struct("value", "original_index")), "__order", "rank") \
+            .withColumn("rank", F.col("rank") - 1).drop("__order")
     return sl
 
 

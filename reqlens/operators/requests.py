@@ -130,13 +130,11 @@ def label_filter(df: DataFrame, mode: str) -> DataFrame:
 
 def positional_slice(df: DataFrame, order_col: str, offset: int, window: int) -> DataFrame:
     """Rows ``[offset, offset+window)`` in ``order_col`` order; ``window=0`` = all.
-
-    Spark plans ``offset`` + ``limit`` over a sort as a distributed top-k
-    (TakeOrderedAndProject), so only ``offset+window`` rows reach one task.
-    """
+    Only the ranges that the slice touches are ranked (:func:`ranking.slice_of`)."""
     if window == 0:
         return df
-    return df.orderBy(order_col).limit(offset + window).offset(offset)
+    from reqlens.operators.ranking import slice_of
+    return slice_of(df, order_col, offset, window)
 
 
 def sample_category(has_truth: bool = True) -> Column:

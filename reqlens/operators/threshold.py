@@ -1,7 +1,7 @@
 """Threshold estimation and score statistics.
 
 Every statistic is an aggregate with map-side partials; exact percentiles use
-bucketed prefix sums over the distinct values instead of one task holding
+range-partitioned prefix sums over the distinct values instead of one task holding
 every value.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.operators.evaluate import clean_score
-from reqlens.operators.ranking import DEFAULT_BUCKETS, prefix_sums
+from reqlens.operators.ranking import prefix_sums, ranges, running
 
 
 def gaussian_threshold(df: DataFrame, col: str = "loss", k: float = 0.5) -> DataFrame:
@@ -30,17 +30,17 @@ def gaussian_threshold_value(df: DataFrame, col: str = "loss", k: float = 0.5) -
 
 
 def exact_percentiles(df: DataFrame, col: str, qs: list[float],
-                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      part_rows: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation (as numpy's default).
 
     Distinct values are counted (a hot value is one row), their running counts
-    come from bucketed prefix sums, and each needed order statistic is found
+    come from range-partitioned prefix sums, and each needed order statistic is found
     by the row whose count interval covers its rank. Returns ``(q, value)``.
     """
     x = clean_score(col)
     counts = df.filter(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.select(F.sum("c")).scalar()
-    g = prefix_sums(counts, "v", ["c"], n_buckets)
+    r = ranges(counts, "v", ["c"], part_rows)
+    n, g = r.total("c"), running(r, ["c"])
     h = [(n - 1) * F.lit(float(q)) for q in qs]
     ranks = F.array(*[F.floor(e) for e in h], *[F.ceil(e) for e in h])
     hits = g.withColumn("__ranks", ranks).select(
@@ -151,12 +151,12 @@ def kde_curve(df: DataFrame, col: str = "loss", bins: int | None = 1500, points:
 
 
 def rolling_std(df: DataFrame, order_col: str, value_col: str, window: int,
-                name: str = "rolling_std", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                name: str = "rolling_std", part_rows: int | None = None) -> DataFrame:
     """Sample std over the trailing ``window`` rows by ``order_col``;
     incomplete windows get the global sample std (A10).
 
     O(n) at any window size: values are centred on the global mean, running
-    sums of x and x^2 come from bucketed prefix sums, and the frame sum is the
+    sums of x and x^2 come from range-partitioned prefix sums, and the frame sum is the
     difference with the row ``window`` positions earlier (an equi-join on the
     position, no single-task window and no per-row frame scan). A NULL or NaN
     makes the frames that hold it incomplete.
@@ -166,7 +166,7 @@ def rolling_std(df: DataFrame, order_col: str, value_col: str, window: int,
     gstd = df.select(F.stddev_samp(v)).scalar()
     c = df.withColumn("__x", F.coalesce(v - mean, F.lit(0.0))).withColumn("__x2", F.col("__x") * F.col("__x")) \
         .withColumn("__one", F.lit(1).cast("long")).withColumn("__has", v.isNotNull().cast("long"))
-    p = prefix_sums(c, order_col, ["__one", "__has", "__x", "__x2"], n_buckets) \
+    p = prefix_sums(c, order_col, ["__one", "__has", "__x", "__x2"], part_rows) \
         .withColumn("__pos", F.col("__one_before") + 1)
     p = p.withColumn("__s0", F.col("__has_before") + F.col("__has")) \
          .withColumn("__s1", F.col("__x_before") + F.col("__x")) \

@@ -51,7 +51,7 @@ def _ap_brute(rows):
 @pytest.mark.parametrize("buckets", [1, 4, 64])
 def test_auc_and_ap_with_ties(spark, buckets):
     df, rows = _joined(spark, 300, seed=2)
-    r = ev.auc_scores(df, "loss", n_buckets=buckets).collect()[0]
+    r = ev.auc_scores(df, "loss", part_rows=buckets).collect()[0]
     assert r.auc_roc == pytest.approx(_auc_brute(rows), abs=1e-12)
     assert r.auc_pr == pytest.approx(_ap_brute(rows), abs=1e-12)
 

@@ -13,7 +13,7 @@ def test_prefix_sums(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.randint(0, 9)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k long, v long")
-    got = {r.k: r.v_before for r in ranking.prefix_sums(df, "k", ["v"], n_buckets=16).collect()}
+    got = {r.k: r.v_before for r in ranking.prefix_sums(df, "k", ["v"], part_rows=100).collect()}
     run = 0
     for k, v in rows:
         assert got[k] == run
@@ -26,7 +26,7 @@ def test_rolling_std_matches_pandas(spark, window):
     vals = [rnd.random() for _ in range(3000)]
     df = spark.createDataFrame(list(enumerate(vals)), "original_index long, loss double")
     got = {r.original_index: r.rolling_std for r in
-           threshold.rolling_std(df, "original_index", "loss", window, n_buckets=8).collect()}
+           threshold.rolling_std(df, "original_index", "loss", window, part_rows=400).collect()}
     s = pd.Series(vals)
     exp = s.rolling(window=window).std().fillna(s.std())
     for i, e in enumerate(exp):
@@ -38,7 +38,7 @@ def test_halo_rolling_matches_plain(spark):
     vals = [rnd.random() for _ in range(5000)]
     df = spark.createDataFrame(list(enumerate(vals)), "original_index long, loss double")
     got = {r.original_index: r.rolling_std for r in
-           ranking.rolling_stddev(df, "original_index", "loss", 30, chunk_rows=500, n_buckets=8).collect()}
+           ranking.rolling_stddev(df, "original_index", "loss", 30, chunk_rows=500, part_rows=400).collect()}
     exp = pd.Series(vals).rolling(window=30).std()
     for i, e in enumerate(exp):
         if math.isnan(e):
@@ -52,7 +52,7 @@ def test_exact_percentiles_match_numpy(spark):
     rnd = random.Random(11)
     vals = [round(rnd.random() * 10, 1) for _ in range(999)]
     df = spark.createDataFrame([(v,) for v in vals], "loss double")
-    got = {r.q: r.value for r in threshold.exact_percentiles(df, "loss", [0.25, 0.5, 0.99], n_buckets=8).collect()}
+    got = {r.q: r.value for r in threshold.exact_percentiles(df, "loss", [0.25, 0.5, 0.99], part_rows=400).collect()}
     for q in (0.25, 0.5, 0.99):
         assert got[q] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
 
@@ -67,3 +67,23 @@ def test_kde_binned_close_to_brute_force(spark):
     for r in got:
         brute = sum(math.exp(-0.5 * ((r.x - v) / h) ** 2) for v in vals) / (len(vals) * h * math.sqrt(2 * math.pi))
         assert r.density == pytest.approx(brute, rel=1e-3, abs=1e-6)  # binning error
+
+
+@pytest.mark.parametrize("part_rows", [7, 100, None])
+def test_slices_read_their_parts_only(spark, part_rows):
+    rnd = random.Random(3)
+    keys = rnd.sample(range(10_000), 700)
+    df = spark.createDataFrame([(k, -k) for k in keys], "original_index long, loss long")
+    for offset, window in ((0, 5), (650, 20), (690, 100), (900, 10), (3, 600)):
+        got = sorted(r.original_index for r in ranking.slice_of(df, "original_index", offset, window, part_rows).collect())
+        assert got == sorted(keys)[offset:offset + window]
+    assert ranking.slice_of(df.limit(0), "original_index", 0, 5).count() == 0
+
+
+def test_positions_are_dense(spark):
+    keys = random.Random(4).sample(range(5000), 900)
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r.pos for r in ranking.global_position(df, "k", part_rows=50).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+    r = ranking.ranges(df, "k", ["k"], 50)
+    assert r.totals.count() == 18 and df.select(r.total("k")).first()[0] == sum(keys)
