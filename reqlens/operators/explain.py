@@ -3,8 +3,10 @@
 Per-token losses come from the model joins in long form; each token gets a
 probability ``exp(-loss)`` (F3), a colour (gradient F5 or per-request
 percentile F6, contrast F7) and a marked-up piece (F8); the pieces of a
-request are re-assembled in position order (one group per request, at most
-the 512-token window) into one string per output format (F9).
+request are re-assembled in position order (one group per request, its tokens)
+into one string per output format (F9). The limits of the percentile colours are
+order statistics of that group's sorted probabilities, so the token rows are
+gathered once and never joined to their own aggregate.
 
 Fixed from the source: probabilities are aligned with their tokens, the
 masked variant masks the explained position (every other token is context),
@@ -25,6 +27,7 @@ RESET = "\x1b[0m"
 HTML_PREFIX = ('<div style="background-color: #cccccc; color: white; padding: 20px; '
                'font-family: monospace; line-height: 1.5;">')
 HTML_SUFFIX = "</div>"
+PERCENTILES = [0.02, 0.06, 0.14]
 PERCENTILE_COLOURS = ["FF0000", "FFA500", "FFFF00"]             # below p2, p6, p14
 HTML_PERCENTILE_COLOURS = ["#ff6b6b", "#ff8000", "#ffff00", "#000000"]
 LATEX_ESCAPES = ["_", "$", "%", "&"]
@@ -61,22 +64,52 @@ def masked_token_rows(model: lm.CountModel, df: DataFrame, max_tokens: int | Non
 
 def gradient_piece(fmt: str) -> Column:
     """The marked-up text of one token (``tok``, ``prob`` columns)."""
-    tok, p = F.col("tok"), F.col("prob")
+    text, p = _escaped(fmt, F.col("tok")), F.col("prob")
     n = hex2(p)
     if fmt == "terminal":
         g = F.bround(p * 255, 0).cast("int").cast("string")
-        return F.concat(F.lit("\x1b[38;2;255;"), g, F.lit(";255m"), tok, F.lit(RESET))
+        return F.concat(F.lit("\x1b[38;2;255;"), g, F.lit(";255m"), text, F.lit(RESET))
     if fmt == "html":
-        a = hex2(1 - p)
-        text = F.replace(F.replace(F.replace(F.replace(tok, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                                   F.lit(">"), F.lit("&gt;")), F.lit(" "), F.lit("&nbsp;"))
-        return F.concat(F.lit('<span style="color: #'), a, F.lit("00"), n, F.lit(';">'), text, F.lit("</span>"))
-    if fmt == "latex":
-        t = tok
+        return F.concat(F.lit('<span style="color: #'), hex2(1 - p), F.lit("00"), n, F.lit(';">'), text, F.lit("</span>"))
+    return F.concat(F.lit("|\\hlhex{ff"), n, F.lit("ff}{"), text, F.lit("}|"))
+
+
+def _escaped(fmt: str, tok: Column) -> Column:
+    """F8: the token's text in the format."""
+    if fmt == "html":
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (" ", "&nbsp;")):
+            tok = F.replace(tok, F.lit(a), F.lit(b))
+    elif fmt == "latex":
         for c in LATEX_ESCAPES:
-            t = F.replace(t, F.lit(c), F.lit("\\" + c))
-        return F.concat(F.lit("|\\hlhex{ff"), n, F.lit("ff}{"), t, F.lit("}|"))
-    raise ValueError(fmt)
+            tok = F.replace(tok, F.lit(c), F.lit("\\" + c))
+    elif fmt != "terminal":
+        raise ValueError(fmt)
+    return tok
+
+
+def percentile_piece(fmt: str, tok: Column, level: Column) -> Column:
+    """The marked-up text of a token below the first, second, third limit
+    (levels 0 to 2) or none (3). Tokens without a colour stay as they are; HTML has a colour for them."""
+    def pick(values: list[str]) -> Column:
+        out = F.lit(values[-1])
+        for i in range(len(values) - 2, -1, -1):
+            out = F.when(level == i, F.lit(values[i])).otherwise(out)
+        return out
+
+    text = _escaped(fmt, tok)
+    if fmt == "html":
+        return F.concat(F.lit('<span style="color: '), pick(HTML_PERCENTILE_COLOURS), F.lit(';">'), text, F.lit("</span>"))
+    if fmt == "latex":
+        return F.when(level < 3, F.concat(F.lit("|\\hlhex{"), pick(PERCENTILE_COLOURS), F.lit("}{"), text, F.lit("}|"))).otherwise(text)
+    rgb = [";".join(str(int(c[i:i + 2], 16)) for i in (0, 2, 4)) for c in PERCENTILE_COLOURS]
+    return F.when(level < 3, F.concat(F.lit("\x1b[38;2;"), pick(rgb), F.lit("m"), text, F.lit(RESET))).otherwise(text)
+
+
+def _order_statistic(ordered: Column, q: float) -> Column:
+    """The q-quantile of a sorted array, between neighbours as numpy's default."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    return low + (F.get(ordered, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
 
 
 def _wrap(fmt: str, body: Column) -> Column:
@@ -89,27 +122,62 @@ def _wrap(fmt: str, body: Column) -> Column:
     return F.replace(out, F.lit(BYTE_SPACE), F.lit(" "))
 
 
-def explain(token_rows: DataFrame, fmt: str = "terminal", contrast: float = 1.0) -> DataFrame:
-    """per request ``mean_prob`` (real tokens) and the marked-up string
-    with gradient colours."""
-    rows = token_probabilities(token_rows, contrast).filter(~F.col("tok").isin(SKIP_TOKENS))
-    rows = rows.withColumn("piece", gradient_piece(fmt))
-    g = rows.groupBy("original_index").agg(
-        F.avg(F.exp(-F.col("nll"))).alias("mean_prob"),
-        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
-    return g.select("original_index", "mean_prob",
-                    _wrap(fmt, F.array_join(F.col("pieces.piece"), "")).alias("explained"))
+def explain(token_rows: DataFrame, fmt: str = "terminal", contrast: float = 1.0, gradient: bool = True,
+            keys: tuple[str, ...] = ("original_index",), requests: DataFrame | None = None) -> DataFrame:
+    """per request (``keys``) ``mean_prob`` of its real tokens and the marked-up
+    string, with gradient (F5) or percentile colours (F6). Given ``requests``,
+    those without tokens have a row, too, with no mean and nothing marked up."""
+    rows = token_probabilities(token_rows, contrast)
+    shown = ~F.col("tok").isin(SKIP_TOKENS)
+    mean = F.avg(F.when(shown, F.exp(-F.col("nll")))).alias("mean_prob")
+    if gradient:
+        pieces = F.collect_list(F.when(shown, F.struct("pos", gradient_piece(fmt).alias("piece"))))
+        g = rows.groupBy(*keys).agg(mean, F.array_sort(pieces).alias("pieces"))
+    else:
+        # limits are taken over the plain probabilities of all tokens, colours by the contrasted ones
+        tokens = F.array_sort(F.collect_list(F.struct("pos", "tok", "prob", shown.alias("shown"))))
+        g = rows.groupBy(*keys).agg(mean, tokens.alias("tokens"), F.array_sort(F.collect_list(F.exp(-F.col("nll")))).alias("ordered")) \
+            .withColumn("limits", F.array(*[_order_statistic(F.col("ordered"), q) for q in PERCENTILES]))
+        level = lambda p: F.when(p < F.col("limits")[0], 0).when(p < F.col("limits")[1], 1).when(p < F.col("limits")[2], 2).otherwise(3)
+        g = g.withColumn("pieces", F.transform(F.filter("tokens", lambda t: t["shown"]),
+                                               lambda t: F.struct(percentile_piece(fmt, t["tok"], level(t["prob"])).alias("piece"))))
+    g = g.select(*keys, "mean_prob", _wrap(fmt, F.array_join(F.col("pieces.piece"), "")).alias("explained"))
+    if requests is None:
+        return g
+    return requests.select(*keys).join(g, list(keys), "left").withColumn("explained", F.coalesce("explained", _wrap(fmt, F.lit(""))))
 
 
 def percentile_colours(token_rows: DataFrame) -> DataFrame:
     """per request the 2/6/14 % percentiles of the token probabilities;
     a token takes the colour of the first limit above its probability
     (terminal/latex: red, orange, yellow, none; html adds black)."""
-    rows = token_probabilities(token_rows)
-    lim = rows.groupBy("original_index").agg(
-        F.percentile(F.col("prob"), F.array(F.lit(0.02), F.lit(0.06), F.lit(0.14))).alias("lim"))
-    j = rows.join(lim, "original_index")
+    g = token_probabilities(token_rows).groupBy("original_index").agg(
+        F.collect_list(F.struct("pos", "tok", "prob")).alias("tokens"), F.array_sort(F.collect_list("prob")).alias("ordered"))
+    limits = F.array(*[_order_statistic(F.col("ordered"), q) for q in PERCENTILES])
+    j = g.withColumn("lim", limits).select("original_index", "lim", F.inline("tokens"))
     p, l0, l1, l2 = F.col("prob"), F.col("lim")[0], F.col("lim")[1], F.col("lim")[2]
     colour = F.when(p < l0, PERCENTILE_COLOURS[0]).when(p < l1, PERCENTILE_COLOURS[1]) \
         .when(p < l2, PERCENTILE_COLOURS[2])
     return j.select("original_index", "pos", "tok", "prob", colour.alias("colour"))
+
+
+def explain_dataset(model: lm.CountModel, requests: DataFrame, scored: DataFrame, entries: DataFrame, fmt: str = "terminal",
+                    gradient: bool = True, max_tokens: int | None = None) -> DataFrame:
+    """``(original_index, model, is_fn, is_fp, mean_prob, explained)`` of the requests
+    by both models. The flags say whether a request is among the false negatives or
+    positives of its model's evaluation entry: ``entries`` holds (model, threshold_offset), ``scored``
+    the evaluated rows (original_index, model, loss, anomalous). Both models' losses come from one pass."""
+    from reqlens.operators.evaluate import classify, clean_score, is_normal
+    flagged = scored.join(F.broadcast(entries.select("model", "threshold_offset")), "model")  # one entry a model
+    hit = classify(clean_score("loss"), F.col("threshold_offset"))
+    wrong = flagged.filter(hit == is_normal()).select("original_index", "model", F.lit(True).alias("wrong"), hit.alias("hit"))
+    rows = lm.with_losses(lm.long_tokens(requests, max_tokens), model, {"causal": "causal", "masked": "masked"})
+    first = F.when(F.col("pos") == 1, F.lit(0.0)).otherwise(F.col("causal"))
+    both = rows.select("original_index", "pos", "tok", F.explode(F.array(
+        F.struct(F.lit("causal").alias("model"), first.alias("nll")), F.struct(F.lit("masked").alias("model"), F.col("masked").alias("nll")))).alias("x")) \
+        .select("original_index", "pos", "tok", "x.*")
+    asked = requests.select("original_index", F.explode(F.array(F.lit("causal"), F.lit("masked"))).alias("model"))
+    out = explain(both, fmt, gradient=gradient, keys=("original_index", "model"), requests=asked)
+    return out.join(wrong, ["original_index", "model"], "left").select(
+        "original_index", "model", F.coalesce(F.col("wrong") & ~F.col("hit"), F.lit(False)).alias("is_fn"),
+        F.coalesce(F.col("wrong") & F.col("hit"), F.lit(False)).alias("is_fp"), "mean_prob", "explained")

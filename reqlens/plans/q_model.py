@@ -41,10 +41,6 @@ def model(spark, sf_dir):
                            for n in ("unigram", "bigram", "context")))
 
 
-def test_set(spark, sf_dir):
-    return splits(spark, sf_dir).filter(F.col("split") == "test")
-
-
 # ---------------------------------------------------------------- oracle side
 
 LM_VIEWS = [
@@ -178,10 +174,10 @@ def q_random_mask(spark, sf_dir):
     return t.select("original_index", tk.random_mask(F.col("tokens"), F.col("original_index"), 0.30, 42).alias("masked"))
 
 
-@register("next_token_pairs", osql("select original_index, pos, prev, tok from lt where split = 'test' and pos >= 2"))
+@register("next_token_pairs", osql("select original_index, pos, prev, tok from lt where pos >= 2"))
 def q_next_token_pairs(spark, sf_dir):
-    """(previous token, token) pairs of the test split."""
-    rows = lm.long_tokens(test_set(spark, sf_dir)).filter(F.col("pos") >= 2)
+    """(previous token, token) pairs of all requests."""
+    rows = lm.long_tokens(splits(spark, sf_dir)).filter(F.col("pos") >= 2)
     return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), "prev", "tok")
 
 
@@ -201,29 +197,28 @@ def q_lm_fit_context(spark, sf_dir):
 
 
 @register("sample_loss", osql("""
-select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores where split = 'test'"""))
+select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores"""))
 def q_sample_loss(spark, sf_dir):
     """A18 (causal): per-request loss from token losses."""
-    t = test_set(spark, sf_dir)
+    t = splits(spark, sf_dir)
     s = lm.sample_loss_causal(t, lm.causal_token_nll(model(spark, sf_dir), t))
     return s.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 
 
 @register("score_causal", osql("""
-select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores
-where split in ('eval', 'test')"""))
+select original_index, round(loss, 6) as loss, round(exp(loss), 6) as perplexity from causal_scores"""))
 def q_score_causal(spark, sf_dir):
-    s = splits(spark, sf_dir).filter(F.col("split").isin("eval", "test"))
+    s = splits(spark, sf_dir)
     out = lm.score_causal(model(spark, sf_dir), s)
     return out.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 
 
 @register("causal_align", osql("""
 select original_index, list_concat([0.0], list(round(nll, 6) order by pos)) as losses
-from causal_tok where split = 'test' group by original_index"""))
+from causal_tok group by original_index"""))
 def q_causal_align(spark, sf_dir):
     """Per-request loss arrays, first token padded with 0."""
-    t = test_set(spark, sf_dir)
+    t = splits(spark, sf_dir)
     nll = lm.causal_token_nll(model(spark, sf_dir), t)
     arr = nll.groupBy("original_index").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.round("nll", 6).alias("nll")))).alias("a"))
@@ -231,20 +226,18 @@ def q_causal_align(spark, sf_dir):
 
 
 @register("stride_mean", osql("""
-select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores
-where split = 'test'"""))
+select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores"""))
 def q_stride_mean(spark, sf_dir):
-    t = test_set(spark, sf_dir)
+    t = splits(spark, sf_dir)
     p = lm.pass_losses(t, lm.masked_token_nll(model(spark, sf_dir), t, 5), 5)
     m = lm.stride_mean(p)
     return m.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 
 
 @register("score_masked_strided", osql("""
-select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores
-where split in ('eval', 'test')"""))
+select original_index, round(loss, 6) as loss, round(perplexity, 6) as perplexity from masked_scores"""))
 def q_score_masked_strided(spark, sf_dir):
-    s = splits(spark, sf_dir).filter(F.col("split").isin("eval", "test"))
+    s = splits(spark, sf_dir)
     out = lm.score_masked_strided(model(spark, sf_dir), s, 5)
     return out.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 

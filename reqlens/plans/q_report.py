@@ -20,16 +20,12 @@ from reqlens.sources import fixtures as fx
 from reqlens.sources.tables import table
 
 
-def _test(spark, sf_dir):
-    return splits(spark, sf_dir).filter(F.col("split") == "test")
-
-
-CAUSAL_ROWS_SQL = ("xrows", """select original_index, pos, tok, nll from causal_tok where split = 'test'
-  union all select original_index, pos, tok, 0.0 from lt where split = 'test' and pos = 1""")
+CAUSAL_ROWS_SQL = ("xrows", """select original_index, pos, tok, nll from causal_tok
+  union all select original_index, pos, tok, 0.0 from lt where pos = 1""")
 
 MASKED_ROWS_SQL = ("xrows", """select original_index, pos, tok,
   -ln(case when coalesce(c_ab, 0) > 0 then 0.7 * cast(coalesce(c_atb, 0) as double) / c_ab + 0.3 * p_bi else p_bi end) as nll
-  from probs where split = 'test'""")
+  from probs""")
 
 
 def _terminal_sql():
@@ -41,17 +37,17 @@ from xrows group by original_index"""
 
 @register("explain_causal", lm_osql(_terminal_sql(), CAUSAL_ROWS_SQL))
 def q_explain_causal(spark, sf_dir):
-    """M5 over the whole test split: per-token probabilities, gradient
+    """M5 over all splits: per-token probabilities, gradient
     colours, terminal markup and the mean probability of real tokens."""
-    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    rows = xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
     out = xp.explain(rows, "terminal")
     return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "explained")
 
 
 @register("explain_masked", lm_osql(_terminal_sql(), MASKED_ROWS_SQL))
 def q_explain_masked(spark, sf_dir):
-    """M4 over the whole test split (one masked position per token, T7/T8)."""
-    rows = xp.masked_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    """M4 over all splits (one masked position per token, T7/T8)."""
+    rows = xp.masked_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
     out = xp.explain(rows, "terminal")
     return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "explained")
 
@@ -60,7 +56,7 @@ def q_explain_masked(spark, sf_dir):
     "select original_index, pos, tok, round(nll, 6) as nll from xrows", MASKED_ROWS_SQL))
 def q_single_position_rows(spark, sf_dir):
     """One row per explained (masked) position with its loss."""
-    rows = xp.masked_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    rows = xp.masked_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
     return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), "tok",
                        F.round("nll", 6).alias("nll"))
 
@@ -69,7 +65,7 @@ def q_single_position_rows(spark, sf_dir):
     "select original_index, pos, round(exp(-nll), 6) as prob from xrows", CAUSAL_ROWS_SQL))
 def q_token_probability(spark, sf_dir):
     """``exp(-loss)`` per token."""
-    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir)))
+    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir)))
     return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"), F.round("prob", 6).alias("prob"))
 
 
@@ -80,7 +76,7 @@ select original_index, pos, lpad(lower(hex(cast(round_even(exp(-nll) * 255, 0) a
 def q_explain_gradient(spark, sf_dir):
     """F5 (+F7 with contrast 1): two-digit hex of the half-even rounded
     ``p*255`` and ``(1-p)*255``."""
-    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir)))
+    rows = xp.token_probabilities(xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir)))
     return rows.select("original_index", F.col("pos").cast("bigint").alias("pos"),
                        xp.hex2(F.col("prob")).alias("normal_hex"), xp.hex2(1 - F.col("prob")).alias("anomaly_hex"))
 
@@ -92,7 +88,7 @@ from xrows x join (select original_index, quantile_cont(exp(-nll), [0.02, 0.06,
                    group by original_index) q on q.original_index = x.original_index""", CAUSAL_ROWS_SQL))
 def q_explain_percentile(spark, sf_dir):
     """per-request percentile colours."""
-    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    rows = xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
     return xp.percentile_colours(rows).select("original_index", F.col("pos").cast("bigint").alias("pos"), "colour")
 
 
@@ -105,32 +101,84 @@ select original_index, '<div style="background-color: #cccccc; color: white; pad
 from xrows group by original_index""", CAUSAL_ROWS_SQL))
 def q_explain_markup(spark, sf_dir):
     """HTML markup (special tokens dropped, text escaped)."""
-    rows = xp.causal_token_rows(model(spark, sf_dir), _test(spark, sf_dir))
+    rows = xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
     return xp.explain(rows, "html").select("original_index", "explained")
 
 
+_LEVEL = "case when p < l[1] then 1 when p < l[2] then 2 when p < l[3] then 3 else 4 end"
+
+
+@register("explain_markup_percentile", lm_osql(f"""
+select original_index, fmt, case fmt when 'terminal' then body || chr(27) || '[0m'
+    when 'html' then '<div style="background-color: #cccccc; color: white; padding: 20px; font-family: monospace; line-height: 1.5;">' || body || '</div>'
+    else body end as explained
+from (select original_index, fmt, string_agg(piece, '' order by pos) as body from (
+  select original_index, pos, fmt, case fmt
+    when 'terminal' then case when v < 4 then chr(27) || '[38;2;' || ['255;0;0', '255;165;0', '255;255;0'][v] || 'm' || tok || chr(27) || '[0m' else tok end
+    when 'html' then '<span style="color: ' || ['#ff6b6b', '#ff8000', '#ffff00', '#000000'][v] || ';">'
+      || replace(replace(replace(replace(tok, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ' ', '&nbsp;') || '</span>'
+    else case when v < 4 then '|\\hlhex{{' || ['FF0000', 'FFA500', 'FFFF00'][v] || '}}{{' || latex || '}}|' else latex end end as piece
+  from (select *, {_LEVEL} as v, replace(replace(replace(replace(tok, '_', '\\_'), '$', '\\$'), '%', '\\%'), '&', '\\&') as latex
+        from (select x.original_index, x.pos, x.tok, exp(-x.nll) as p, q.l from xrows x join (
+                select original_index, quantile_cont(exp(-nll), [0.02, 0.06, 0.14]) as l from xrows group by original_index) q
+              on q.original_index = x.original_index) a) b
+  cross join (select unnest(['terminal', 'html', 'latex']) as fmt) f) c group by original_index, fmt) d""", CAUSAL_ROWS_SQL))
+def q_explain_markup_percentile(spark, sf_dir):
+    """percentile colours as a marked-up string, in the three formats."""
+    rows = xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
+    out = None
+    for fmt in ("terminal", "html", "latex"):
+        part = xp.explain(rows, fmt, gradient=False).select("original_index", F.lit(fmt).alias("fmt"), "explained")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("explain_contrast", lm_osql("""
+select original_index, string_agg('|\\hlhex{ff' || lpad(lower(hex(cast(round_even(power(exp(-nll), 3) * 255, 0) as integer))), 2, '0') || 'ff}{'
+    || replace(replace(replace(replace(tok, '_', '\\_'), '$', '\\$'), '%', '\\%'), '&', '\\&') || '}|', '' order by pos) as explained
+from xrows group by original_index""", CAUSAL_ROWS_SQL))
+def q_explain_contrast(spark, sf_dir):
+    """gradient colours of the cubed probabilities, in LaTeX."""
+    rows = xp.causal_token_rows(model(spark, sf_dir), splits(spark, sf_dir))
+    return xp.explain(rows, "latex", contrast=3.0).select("original_index", "explained")
+
+
+_ENTRIES_SQL = [
+    ("scored", """select 'causal' as model, original_index, anomalous, split, loss from causal_scores
+  union all select 'masked', original_index, anomalous, split, loss from masked_scores"""),
+    ("grid", """select model, cast(i - 1 as bigint) as param_id, cast(i as double) * 0.01::double as t
+  from range(1, 100) g(i) cross join (select distinct model from scored) m
+  union all select model, 99, avg(loss) + 0.5 * stddev_pop(loss) from scored where split = 'eval' group by model"""),
+    ("counted", """select g.model, g.param_id, g.t, count(*) filter (where s.loss > g.t and s.anomalous <> 0) as tp,
+  count(*) filter (where s.loss > g.t and s.anomalous = 0) as fp, count(*) filter (where not (s.loss > g.t) and s.anomalous <> 0) as fn,
+  count(*) filter (where not (s.loss > g.t) and s.anomalous = 0) as tn
+  from grid g join scored s on s.model = g.model where s.split = 'test' group by g.model, g.param_id, g.t"""),
+    ("entry", """select model, t from (select *, row_number() over (partition by model order by f1 - fnr desc, tp + tn, param_id) as k
+  from (select *, 2.0 * tp / (2 * tp + fp + fn) as f1, case when tp + fn = 0 then 0.0 else fn / (tp + fn) end as fnr from counted) a where f1 - fnr > 0) b
+  where k = 1"""),
+    ("xrows", """select 'causal' as model, original_index, anomalous, pos, tok, nll from causal_tok
+  union all select 'causal', original_index, anomalous, pos, tok, 0.0 from lt where pos = 1
+  union all select 'masked', original_index, anomalous, pos, tok, nll from masked_tok"""),
+]
+
+
 @register("explain_errors", lm_osql("""
-select x.original_index, round(avg(exp(-x.nll)), 6) as mean_prob, max(e.kind) as kind
-from xrows x join (select original_index, case when anomalous = 0 then 'fp' else 'fn' end as kind
-                   from causal_scores cross join (select avg(loss) + 0.5 * stddev_pop(loss) as t from causal_scores
-                                                  where split = 'eval') th
-                   where split = 'test' and ((anomalous = 0 and loss > t) or (anomalous <> 0 and not (loss > t)))) e
-  on e.original_index = x.original_index group by x.original_index""", CAUSAL_ROWS_SQL))
+select x.original_index, x.model, coalesce(any_value(s.anomalous <> 0 and not (s.loss > e.t)), false) as is_fn,
+  coalesce(any_value(s.anomalous = 0 and s.loss > e.t), false) as is_fp, round(avg(exp(-x.nll)), 6) as mean_prob,
+  replace(string_agg(chr(27) || '[38;2;255;' || cast(cast(round_even(exp(-x.nll) * 255, 0) as integer) as varchar)
+    || ';255m' || x.tok || chr(27) || '[0m', '' order by x.pos) || chr(27) || '[0m', 'Ġ', ' ') as explained
+from xrows x left join entry e on e.model = x.model
+left join scored s on s.model = x.model and s.original_index = x.original_index and s.split = 'test'
+where x.anomalous = 1 group by x.original_index, x.model""", *_ENTRIES_SQL))
 def q_explain_errors(spark, sf_dir):
-    """Explain the misclassified test requests at the estimated
-    threshold (FN/FP sets by J2-style semi joins, not driver lists)."""
-    m = model(spark, sf_dir)
-    s = splits(spark, sf_dir)
-    ev_scores = lm.score_causal(m, s.filter(F.col("split") == "eval"))
-    t = th.gaussian_threshold(ev_scores, "loss", 0.5).select("threshold").scalar()
-    test = s.filter(F.col("split") == "test")
-    scored = ev.join_pred_truth(lm.score_causal(m, test), test)
-    from reqlens.operators.report import errors_at_threshold
-    fn, fp = errors_at_threshold(scored, t)
-    errs = fn.withColumn("kind", F.lit("fn")).unionByName(fp.withColumn("kind", F.lit("fp")))
-    rows = xp.causal_token_rows(m, test.join(errs.select("original_index"), "original_index", "left_semi"))
-    out = xp.explain(rows, "terminal").join(errs, "original_index")
-    return out.select("original_index", F.round("mean_prob", 6).alias("mean_prob"), "kind")
+    """Every anomalous request explained by both models, with the flags of the
+    entry that has the best F1 - FNR on the test split."""
+    from reqlens.plans.pipeline import PipelineConfig, run_stages
+    s, m = splits(spark, sf_dir), model(spark, sf_dir)
+    out = run_stages(spark, s, PipelineConfig(stages=("score", "threshold", "evaluate"), grid=True, best_by="f1fn"), model=m)
+    test = out["predictions"].filter("split = 'test'")
+    x = xp.explain_dataset(m, s.filter(F.col("anomalous") == 1), test, out["best"])
+    return x.withColumn("mean_prob", F.round("mean_prob", 6))
 
 
 @register("token_nll_from_logits", with_views("""
