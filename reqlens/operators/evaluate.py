@@ -172,25 +172,44 @@ def rolling_threshold_sweep(joined: DataFrame, params: DataFrame, metric: str =
     return out
 
 
+def ranked_params(params: DataFrame) -> DataFrame:
+    """``(rank, param_id, threshold_offset)``: the parameter rows (a bounded
+    table) by rising threshold."""
+    listed = params.agg(F.array_sort(F.collect_list(F.struct(F.col("threshold_offset").cast("double").alias("t"), "param_id"))).alias("a"))
+    return listed.select(F.posexplode("a").alias("rank", "x")) \
+        .select("rank", F.col("x.param_id").alias("param_id"), F.col("x.t").alias("threshold_offset"))
+
+
+def error_intervals(joined: DataFrame, params: DataFrame, metric: str = "loss") -> DataFrame:
+    """A17 as intervals: ``(original_index, kind, first, last)``, one row for each
+    scored row that is an error anywhere in the grid. A normal row is a false positive for the thresholds
+    below its score, an anomalous one a false negative for the others; both are
+    consecutive in :func:`ranked_params`. The output doesn't grow with the grid."""
+    grid = params.select(F.array_sort(F.collect_list(F.col("threshold_offset").cast("double")))).scalar()
+    below = _bucket(clean_score(metric), F.col("__grid"))
+    rows = joined.withColumn("__grid", grid).select("original_index", is_normal().alias("normal"), below.alias("below"), F.size("__grid").alias("n"))
+    return rows.select("original_index", F.when(F.col("normal"), "fp").otherwise("fn").alias("kind"),
+                       F.when(F.col("normal"), 0).otherwise(F.col("below")).alias("first"),
+                       F.when(F.col("normal"), F.col("below") - 1).otherwise(F.col("n") - 1).alias("last")).filter("first <= last")
+
+
+def errors_of(intervals: DataFrame, ranked: DataFrame, param_ids: list[int] | None = None) -> DataFrame:
+    """``(param_id, kind, original_index)`` of the given parameter rows (all by
+    default), from their intervals. Each interval is opened once; the ranks meet a bounded broadcast table."""
+    if param_ids is not None:
+        ranked = ranked.filter(F.col("param_id").isin(param_ids))
+        ranks = ranked.select(F.array_sort(F.collect_list("rank"))).scalar()
+        opened = intervals.withColumn("__ranks", ranks).select(
+            "original_index", "kind", F.explode(F.filter("__ranks", lambda r: (r >= F.col("first")) & (r <= F.col("last")))).alias("rank"))
+    else:
+        opened = intervals.select("original_index", "kind", F.explode(F.sequence("first", "last")).alias("rank"))
+    return opened.join(F.broadcast(ranked), "rank").select("param_id", "kind", "original_index")
+
+
 def error_indexes(joined: DataFrame, params: DataFrame, metric: str = "loss") -> DataFrame:
     """Long table ``(param_id, kind, original_index)`` of false positives
-    and false negatives for every parameter row. Each row emits only the
-    parameters it is an error for (a contiguous range of the sorted grid); the
-    output size is the answer's size, no pairs are built beyond it."""
-    grid = params.select(F.array_sort(F.collect_list(F.col("threshold_offset").cast("double")))).scalar()
-    plist = params.withColumn("__grid", grid).select(F.collect_list(F.struct(
-        F.col("param_id"),
-        F.size(F.filter("__grid", lambda x: x <= F.col("threshold_offset"))).alias("k")))).scalar()
-    s = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
-    normal = is_normal()
-    rows = joined.withColumn("__grid", grid).withColumn("__plist", plist) \
-        .withColumn("__b", _bucket(s, F.col("__grid")))
-    b = F.col("__b")
-    hits = F.when(normal, F.filter("__plist", lambda p: p["k"] <= b)) \
-        .otherwise(F.filter("__plist", lambda p: p["k"] > b))
-    return rows.select(
-        "original_index", F.when(normal, F.lit("fp")).otherwise(F.lit("fn")).alias("kind"),
-        F.explode(hits).alias("p")).select(F.col("p.param_id").alias("param_id"), "kind", "original_index")
+    and false negatives for every parameter row, from the intervals."""
+    return errors_of(error_intervals(joined, params, metric), ranked_params(params))
 
 
 def with_index_lists(evals: DataFrame, errors: DataFrame) -> DataFrame:

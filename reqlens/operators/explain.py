@@ -123,13 +123,20 @@ def _wrap(fmt: str, body: Column) -> Column:
 
 
 def explain(token_rows: DataFrame, fmt: str = "terminal", contrast: float = 1.0, gradient: bool = True,
-            keys: tuple[str, ...] = ("original_index",), requests: DataFrame | None = None) -> DataFrame:
+            keys: tuple[str, ...] = ("original_index",), requests: DataFrame | None = None,
+            include_padding: int | None = None) -> DataFrame:
     """per request (``keys``) ``mean_prob`` of its real tokens and the marked-up
     string, with gradient (F5) or percentile colours (F6). Given ``requests``,
-    those without tokens have a row, too, with no mean and nothing marked up."""
+    those without tokens have a row, too, with no mean and nothing marked up.
+    ``include_padding`` takes the mean over a window of that many positions, padding
+    having probability 1 (D14: what the source does)."""
     rows = token_probabilities(token_rows, contrast)
     shown = ~F.col("tok").isin(SKIP_TOKENS)
-    mean = F.avg(F.when(shown, F.exp(-F.col("nll")))).alias("mean_prob")
+    p = F.when(shown, F.exp(-F.col("nll")))
+    mean = F.avg(p).alias("mean_prob")
+    if include_padding is not None:
+        rest = F.greatest(F.lit(include_padding) - F.count(p), F.lit(0))
+        mean = ((F.coalesce(F.sum(p), F.lit(0.0)) + rest) / (F.count(p) + rest)).alias("mean_prob")
     if gradient:
         pieces = F.collect_list(F.when(shown, F.struct("pos", gradient_piece(fmt).alias("piece"))))
         g = rows.groupBy(*keys).agg(mean, F.array_sort(pieces).alias("pieces"))

@@ -1,10 +1,15 @@
-"""Plug-in scoring surface (M6, M8): any user model applied in Arrow batches.
-
-``score_with(df, make_scorer)`` runs ``make_scorer()`` once per task (load a
-model there), then calls the scorer on each Arrow batch of request texts; the
-batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``. The scorer
-returns per-request loss and token count; the wall time of each batch is
-spread over its rows (``time_taken``), as the per-sample timing log does.
+"""Plug-in scoring surface (M6, M8, A4): any user model applied in Arrow batches.
+
+Two contracts. ``score_with`` hands whole texts to a scorer, which returns a loss and
+a token count each. ``token_losses`` hands padded batches of ids with their
+attention mask and labels (-100 where there is none) to a scorer, which returns a loss (or logits) for every position; a
+task reads a bounded number of samples ahead, orders them by length and cuts them into
+batches of about ``batch_tokens`` padded positions, across requests and stride passes, so little is padding.
+``score_masked_with`` and ``score_causal_with`` build the samples (T6, T10) and
+take the losses to scores (F4, A18, A3) with DataFrame functions.
+
+The scorer is made once a task (a model is loaded there). The wall time of a batch
+is spread over its samples (``time_taken``), as the per-sample timing log does.
 GPU placement, if any, is the user's (Spark resource profiles).
 """
 
@@ -14,14 +19,31 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from reqlens.functions.logits import token_nll
+from reqlens.operators.tokens import IGNORE_LABEL, stride_expand, stride_ids
 
 OUTPUT_SCHEMA = ("original_index long, loss double, perplexity double, tokens_count long, "
                  "time_taken double")
 
 Scorer = Callable[[list], tuple]
+#: (ids, attention mask, labels), all (samples, width) -> losses (samples, width) or logits (samples, width, vocabulary)
+TokenScorer = Callable[..., object]
+
+#: samples that a task reads ahead
+READ_AHEAD = 1024
+
+
+def timing_sum(timings: DataFrame) -> DataFrame:
+    """A4/M8: time and token count summed per sample."""
+    return timings.groupBy("original_index").agg(
+        F.sum("time_taken").alias("time_taken"), F.sum("tokens_count").cast("long").alias("tokens_count"))
 
 
 def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], text_col: str = "request") -> DataFrame:
+    """``(original_index, loss, perplexity, tokens_count, time_taken)`` of every text."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -41,6 +63,116 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], text_col: str =
     return df.select("original_index", text_col).mapInArrow(run, OUTPUT_SCHEMA)
 
 
+def batch_plan(lengths: list[int], batch_tokens: int) -> list[list[int]]:
+    """Sample numbers in batches whose padded size is about ``batch_tokens``,
+    similar lengths together; a longer sample is a batch of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if out and (len(out[-1]) + 1) * lengths[i] <= batch_tokens:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def token_losses(samples: DataFrame, make_scorer: Callable[[], TokenScorer], keys: list[str], output: str = "loss",
+                 batch_tokens: int = 16_384, pad_id: int = 0) -> DataFrame:
+    """``(keys, labels, values, tokens_count, time_taken)``: samples hold ``keys``,
+    ``input_ids`` and ``labels``; ``values`` has the scorer's loss (or logits) for each position.
+    Samples without ids don't reach the scorer and have no values."""
+    if output not in ("loss", "logits"):
+        raise ValueError(f"unknown output {output!r}")
+    kind = T.ArrayType(T.DoubleType()) if output == "loss" else T.ArrayType(T.ArrayType(T.FloatType()))
+    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField("labels", T.ArrayType(T.IntegerType())),
+                           T.StructField("values", kind), T.StructField("tokens_count", T.LongType()), T.StructField("time_taken", T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        scorer = make_scorer()
+
+        def scored(table: pa.Table) -> pa.RecordBatch:
+            ids = [np.asarray(x if x is not None else [], np.int64) for x in table.column("input_ids").to_pylist()]
+            labels = table.column("labels").to_pylist()
+            values: list = [[] for _ in ids]
+            seconds = np.zeros(len(ids))
+            for own in batch_plan([len(x) for x in ids], batch_tokens):
+                own = [i for i in own if len(ids[i])]
+                if not own:
+                    continue
+                width = max(len(ids[i]) for i in own)
+                block, mask = np.full((len(own), width), pad_id, np.int64), np.zeros((len(own), width), np.int64)
+                target = np.full((len(own), width), IGNORE_LABEL, np.int64)
+                for r, i in enumerate(own):
+                    n = len(ids[i])
+                    block[r, :n], mask[r, :n], target[r, :n] = ids[i], 1, labels[i]
+                t0 = time.perf_counter()
+                found = np.asarray(scorer(block, mask, target))
+                seconds[own] = (time.perf_counter() - t0) / len(own)
+                for r, i in enumerate(own):
+                    values[i] = found[r, :len(ids[i])].tolist()
+            columns = [table.column(k).combine_chunks() for k in [*keys, "labels"]]
+            arrow = pa.list_(pa.float64()) if output == "loss" else pa.list_(pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(values, arrow), pa.array([len(x) for x in ids], pa.int64()), pa.array(seconds)],
+                names=[*keys, "labels", "values", "tokens_count", "time_taken"])
+
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, READ_AHEAD):
+                held.append(batch.slice(at, READ_AHEAD))
+                rows += held[-1].num_rows
+                if rows >= READ_AHEAD:
+                    yield scored(pa.Table.from_batches(held))
+                    held, rows = [], 0
+        if rows:
+            yield scored(pa.Table.from_batches(held))
+
+    return samples.select(*keys, F.col("input_ids").cast("array<int>").alias("input_ids"), F.col("labels").cast("array<int>").alias("labels")) \
+        .mapInArrow(run, schema)
+
+
+def labelled_nll(found: DataFrame, keys: list[str], output: str = "loss") -> DataFrame:
+    """``(keys, pos, nll)`` of the positions that have a label; from logits by
+    cross entropy."""
+    rows = found.select(*keys, F.posexplode(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value"))).alias("pos", "x")) \
+        .filter(F.col("x.label") != IGNORE_LABEL)
+    nll = F.col("x.value") if output == "loss" else token_nll(F.col("x.value"), F.col("x.label"))
+    return rows.select(*keys, "pos", nll.alias("nll"))
+
+
+def score_masked_with(df: DataFrame, make_scorer: Callable[[], TokenScorer], stride: int = 5, output: str = "loss",
+                      batch_tokens: int = 16_384) -> DataFrame:
+    """M2 with a plug-in: ``df`` holds (original_index, ids), ids without sentinels,
+    the first at position 1. Pass ``shift`` masks the positions ``pos % stride = shift``;
+    losses are read where the label isn't -100, a pass without one counts as loss 0."""
+    passes = stride_expand(df.select("original_index", "ids"), stride)
+    masked, labels = stride_ids(F.col("ids"), stride, F.col("shift_index"))
+    samples = passes.select("original_index", "shift_index", masked.alias("input_ids"), labels.alias("labels"))
+    keys = ["original_index", "shift_index"]
+    found = token_losses(samples, make_scorer, keys, output, batch_tokens)
+    hit = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value")), lambda x: x["label"] != IGNORE_LABEL)
+    nll = F.transform(hit, lambda x: x["value"] if output == "loss" else token_nll(x["value"], x["label"]))
+    loss = F.when(F.size(nll) > 0, F.aggregate(nll, F.lit(0.0), lambda a, x: a + x) / F.size(nll)).otherwise(F.lit(0.0))
+    per = found.select(*keys, loss.alias("loss"), "tokens_count", "time_taken")
+    return per.groupBy("original_index").agg(F.avg("loss").alias("loss"), F.avg(F.exp("loss")).alias("perplexity"),
+                                             F.sum("tokens_count").alias("tokens_count"), F.sum("time_taken").alias("time_taken"))
+
+
+def score_causal_with(df: DataFrame, make_scorer: Callable[[], TokenScorer], output: str = "loss", batch_tokens: int = 16_384) -> DataFrame:
+    """M3 with a plug-in: the scorer's value at a position is for that position's
+    token given the ones before it; the first token has no label."""
+    from reqlens.operators.lm import CAUSAL_EPS
+    labels = F.transform("ids", lambda x, i: F.when(i == 0, F.lit(IGNORE_LABEL)).otherwise(x))
+    found = token_losses(df.select("original_index", F.col("ids").alias("input_ids"), labels.alias("labels")), make_scorer,
+                         ["original_index"], output, batch_tokens)
+    hit = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value")), lambda x: x["label"] != IGNORE_LABEL)
+    nll = F.transform(hit, lambda x: x["value"] if output == "loss" else token_nll(x["value"], x["label"]))
+    loss = F.aggregate(nll, F.lit(0.0), lambda a, x: a + x) / (F.size(nll) + F.lit(CAUSAL_EPS))
+    return found.select("original_index", loss.alias("loss"), F.exp(loss).alias("perplexity"), "tokens_count", "time_taken")
+
+
 def char_class_scorer() -> Scorer:
     """Demo scorer: entropy (nats) of the character classes of each text
     (letter, digit, space, punctuation, other) and its regex token count."""

@@ -495,5 +495,15 @@ def q_train_curves(spark, sf_dir):
 select original_index, round(sum(time_taken), 6) as time_taken, cast(sum(tokens_count) as bigint) as tokens_count
 from timings group by original_index""", "timings"))
 def q_timing_sum(spark, sf_dir):
-    from reqlens.operators.scoring import timing_sum
+    from reqlens.operators.plugin import timing_sum
     return timing_sum(fx.timings(spark, sf_dir)).withColumn("time_taken", F.round("time_taken", 6))
+
+
+@register("error_intervals", osql("""
+select original_index, kind, cast(min(r) as integer) as "first", cast(max(r) as integer) as "last" from (
+  select j.original_index, case when anomalous = 0 then 'fp' else 'fn' end as kind, g.r
+  from joined j cross join (select i - 1 as r, cast(i as double) * 0.01::double as t from range(1, 100) x(i)) g
+  where (anomalous = 0 and loss > t) or (anomalous <> 0 and not (loss > t))) e group by original_index, kind"""))
+def q_error_intervals(spark, sf_dir):
+    """The error sets of the whole grid, one interval for each row."""
+    return ev.error_intervals(joined(spark, sf_dir), ev.param_grid(spark))

@@ -165,11 +165,15 @@ def q_causal_labels(spark, sf_dir):
     return t.select("original_index", tk.causal_labels(ids).alias("labels"))
 
 
-@register("random_mask")
+@register("random_mask", with_views(f"""
+select original_index, list_transform(range(1, len(t) + 1), lambda i: case
+  when not list_contains(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], t[i])
+    and cast(('0x' || substr(md5('42|' || cast(original_index as varchar) || '|' || cast(i - 1 as varchar)), 1, 8))::bigint as double) / 4294967296.0 < 0.3
+  then '[MASK]' else t[i] end) as masked
+from (select original_index, regexp_extract_all(request, {PATTERN_SQL}) as t from requests)""", "requests"))
 def q_random_mask(spark, sf_dir):
     """Seeded 30 % masking of the request tokens (the source's training
-    mask; mask token only). Rows-only check: the md5-derived uniform is the
-    same in any engine, but DuckDB lacks ``conv``."""
+    mask; mask token only), by an md5-derived uniform."""
     t = tk.tokenize(fx.request_table(spark, sf_dir).select("original_index", "request"))
     return t.select("original_index", tk.random_mask(F.col("tokens"), F.col("original_index"), 0.30, 42).alias("masked"))
 

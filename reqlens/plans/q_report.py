@@ -272,3 +272,43 @@ def q_score_plugin(spark, sf_dir):
     a character-class surprisal in numpy; rows only (model-defined)."""
     from reqlens.operators.plugin import char_class_scorer, score_with
     return score_with(fx.request_table(spark, sf_dir), char_class_scorer)
+
+
+BUCKETS = 1024
+
+
+def hashed_ids(tokens):
+    """Ids of tokens in a fixed number of buckets, after the special ones."""
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % BUCKETS + 5))
+
+
+@register("score_plugin_masked", lm_osql(f"""
+select original_index, round(avg(loss), 6) as loss, round(avg(exp(loss)), 6) as perplexity, cast(max(n) * 5 as bigint) as tokens_count from (
+  select k.original_index, sh.s, len(k.toks) as n,
+    coalesce(avg(nll) filter (where (p.pos % 5) = sh.s), 0.0) as loss
+  from tk k cross join (select unnest(range(0, 5)) as s) sh left join (
+    select h.original_index, h.pos, -ln((coalesce(c.c, 0) + 1.0) / (t.n + {BUCKETS})) as nll
+    from (select original_index, pos, ('0x' || substr(md5(tok), 1, 6))::integer % {BUCKETS} as b from lt) h
+    left join (select ('0x' || substr(md5(tok), 1, 6))::integer % {BUCKETS} as b, count(*) as c from trn group by 1) c on c.b = h.b
+    cross join (select count(*) as n from trn) t) p on p.original_index = k.original_index
+  group by k.original_index, sh.s, len(k.toks)) x group by original_index"""))
+def q_score_plugin_masked(spark, sf_dir):
+    """M6 + T6 + F4 + A18 + A3: masked strided scores of a plug-in that gets padded
+    batches of ids; its token losses are those of a bucketed unigram model fitted in Spark."""
+    import math
+
+    from reqlens.operators import plugin
+    from reqlens.operators import tokens as tk
+    s = splits(spark, sf_dir).select("original_index", "split", "anomalous", hashed_ids(tk.all_tokens()).alias("ids"))
+    counts = s.filter("split = 'train' and anomalous = 0").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).collect()
+    n = sum(r.c for r in counts)  # at most BUCKETS rows
+    known = {r.id: r.c for r in counts}
+    losses = {i: -math.log((known.get(i, 0) + 1.0) / (n + BUCKETS)) for i in range(5, BUCKETS + 5)}
+
+    def make():
+        import numpy as np
+        table = np.array([0.0] * 5 + [losses[i] for i in range(5, BUCKETS + 5)])
+        return lambda ids, mask, labels: table[np.where(labels >= 0, labels, 0)]
+
+    out = plugin.score_masked_with(s.select("original_index", "ids"), make, 5)
+    return out.select("original_index", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"), "tokens_count")

@@ -27,17 +27,37 @@ def na_cleanup(df: DataFrame, na_tokens: list[str] | None = None,
         for c in df.columns])
 
 
+def files_with_breaks(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """(files whose fields hold no line break, files that may have one), by one
+    splittable pass over the lines: a field with a break leaves a line with an odd
+    number of quotes. A quote inside an unquoted field counts as a possible break."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    found = lines.groupBy("file").agg(F.max(odd).alias("odd")).collect()  # one row a file, as the reader needs their names
+    return sorted(r.file for r in found if not r.odd), sorted(r.file for r in found if r.odd)
+
+
 def read_raw_requests(spark: SparkSession, path: str, schema: T.StructType | None = None,
                       na_tokens: list[str] | None = None) -> DataFrame:
     """Wide request-log CSV, NA cleanup, then the declared schema.
 
     Columns are matched by header name (a CSV schema alone is applied by
     position), every field is read as text (no inference pass) and cast to
-    its declared type after the NA cleanup; absent columns are NULL.
+    its declared type after the NA cleanup; absent columns are NULL. Only files
+    that may hold a line break inside a field are read in one piece each; the
+    others are split between tasks.
     """
     schema = schema or RAW_REQUEST_SCHEMA
-    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').option("inferSchema", False).csv(path))
+
+    def read(files: list[str], whole: bool) -> DataFrame:
+        return (spark.read.option("header", True).option("multiLine", whole).option("quote", '"')
+                .option("escape", '"').option("inferSchema", False).csv(files))
+
+    plain, broken = files_with_breaks(spark, path)
+    parts = [read(files, whole) for files, whole in ((plain, False), (broken, True)) if files]
+    raw = parts[0] if parts else read([path], True)
+    for p in parts[1:]:
+        raw = raw.unionByName(p, allowMissingColumns=True)
     raw = na_cleanup(raw, na_tokens)
     have = set(raw.columns)
     return raw.select(*[

@@ -38,12 +38,14 @@ def write_relabelled(relabelled: DataFrame, fixed_path: str, mislabeled_path: st
 
 
 def write_splits(split_df: DataFrame, path: str, mode: str = "overwrite",
-                 dry_run: bool = False) -> DataFrame | None:
-    """K3: one table partitioned by ``split``; ``dry_run`` writes nothing."""
+                 dry_run: bool = False) -> DataFrame:
+    """K3: one table partitioned by ``split``; ``dry_run`` writes nothing. Returns
+    the split's statistics (A16), of the stored table unless it is a dry run."""
+    from reqlens.operators.split import split_stats
     if dry_run:
-        return None
+        return split_stats(split_df)
     split_df.write.mode(mode).partitionBy("split").parquet(path)
-    return None
+    return split_stats(split_df.sparkSession.read.schema(split_df.schema).parquet(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -68,3 +70,17 @@ def write_evaluations(df: DataFrame, path: str, log_all: bool = True, fmt: str =
         df.write.mode(mode).option("header", True).csv(path)
     else:
         df.write.mode(mode).parquet(path)
+
+
+def write_error_sets(intervals: DataFrame, ranked: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K6: the error index sets of a whole grid as intervals (at most one row for
+    each scored row) and the parameters in order; nothing is lost."""
+    intervals.write.mode(mode).parquet(f"{path}/intervals")
+    ranked.coalesce(1).write.mode(mode).parquet(f"{path}/parameters")
+
+
+def read_error_sets(spark, path: str, param_ids: list[int] | None = None) -> DataFrame:
+    """``(param_id, kind, original_index)`` from stored intervals, for some
+    parameter rows or all."""
+    from reqlens.operators.evaluate import errors_of
+    return errors_of(spark.read.parquet(f"{path}/intervals"), spark.read.parquet(f"{path}/parameters"), param_ids)
