@@ -139,6 +139,7 @@ RELABEL_REGEXES = [
     r"/.+(\.bak|\.backup|\.log|\.swp|~|\.old)\s",
 ]
 # -----------------------------------------------------------------------------
+RULES_AT_ONCE = 90
 
 
 def distinct_literals(literals: list[str] | None = None) -> list[str]:
@@ -208,18 +209,17 @@ def relabel_summary(relabelled: DataFrame) -> DataFrame:
 def pattern_hit_counts(df: DataFrame, col: str = "request") -> DataFrame:
     """How many rows each rule hits (distinct literals and regexes).
 
-    No join: each row emits the patterns it contains (``filter`` over the rule
-    array, then ``explode``); ``groupBy`` keeps a partial count per task
-    before its shuffle, so the shuffle carries at most rules x tasks rows.
+    No join and no row per hit: every rule is a conditional count in one
+    aggregate (generated code, one row a task before the shuffle), whose few
+    numbers become rows at the end. ``RULES_AT_ONCE`` rules share a pass, as
+    wider aggregates leave generated code.
     """
-    lits = F.array(*[F.lit(x) for x in distinct_literals()])
-    regs = RELABEL_REGEXES
-    lit_hits = F.transform(F.filter(lits, lambda p: F.col(col).contains(p)),
-                           lambda p: F.struct(F.lit("literal").alias("kind"), p.alias("pattern")))
-    reg_hits = F.array(*[F.when(F.col(col).rlike(r), F.struct(F.lit("regex").alias("kind"),
-                                                             F.lit(r).alias("pattern")))
-                         for r in regs])
-    hits = F.concat(lit_hits, F.filter(reg_hits, lambda x: x.isNotNull()))
-    return (df.select(F.explode(hits).alias("h"))
-              .groupBy(F.col("h.kind").alias("kind"), F.col("h.pattern").alias("pattern"))
-              .agg(F.count(F.lit(1)).alias("hits")))
+    rules = [("literal", p, F.col(col).contains(p)) for p in distinct_literals()] + [("regex", r, F.col(col).rlike(r)) for r in RELABEL_REGEXES]
+    out = None
+    for at in range(0, len(rules), RULES_AT_ONCE):
+        some = rules[at:at + RULES_AT_ONCE]
+        counts = df.agg(*[F.count_if(hit).alias(f"n{i}") for i, (_, _, hit) in enumerate(some)])
+        rows = counts.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("pattern"), F.col(f"n{i}").alias("hits"))
+                                                for i, (kind, p, _) in enumerate(some)]))).filter("hits > 0")
+        out = rows if out is None else out.unionByName(rows)
+    return out
