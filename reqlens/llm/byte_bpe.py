@@ -14,9 +14,9 @@ contracts, in one step, all occurrences of the minimum-rank pair, taken from the
 left without overlap. That is the same as one at a time if no pair with the new
 token ranks lower than it; for the other tokens it contracts the leftmost only.
 
-Memory per task: one slice of texts, its distinct words and their rows, and a
-memory of at most ``REMEMBERED`` words and as many units, kept while the worker
-lives. Nothing is shuffled and the vocabulary is read from its file by every
+Memory per task: one slice of texts, its distinct words, the rows of one query (at
+most ``QUERY_BYTES``, or one longer word) and the words and units remembered while the
+worker lives, ``REMEMBERED`` bytes of each. DuckDB's own limit is ``DUCKDB_MB``. Nothing is shuffled and the vocabulary is read from its file by every
 worker, so a lost executor costs only its own tasks.
 
 Defined results: a null text counts as empty (no ids, no bytes); null ids,
@@ -28,8 +28,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import tempfile
+import threading
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from reqlens.llm.textscan import NOT_SPACE, slices, text_buffer
+from reqlens.llm.util import clash_free, frugal, give_back
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 LONG = 96
-REMEMBERED = 200_000
+#: bytes of words, and of units, with ids and Python objects, that a worker remembers
+REMEMBERED = 40 << 20
+_OBJECTS = 190  # of one remembered word
+#: token-position rows of one recursive query, which holds the rows of all its steps
+QUERY_BYTES = 1 << 18
+DUCKDB_MB = 160
+#: a worker without tasks drops its memory after so long
+IDLE_SECONDS = 3.0
 
 #: bytes that no white-space character begins with
 _NOT_SPACE_START = NOT_SPACE.copy()
@@ -109,20 +120,29 @@ class Codec:
         self.byte_id = np.zeros(256, np.int32)
         for b in range(256):
             self.byte_id[b] = self.ranks[bytes([b])]
-        pairs = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token))
-                 if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        lowest: dict[int, int] = {}
-        for a, b, r in pairs:
-            lowest[a] = min(r, lowest.get(a, r))
-            lowest[b] = min(r, lowest.get(b, r))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir()})
-        self._table("merges", {"a": pa.array([x[0] for x in pairs], pa.int32()), "b": pa.array([x[1] for x in pairs], pa.int32()),
-                               "r": pa.array([x[2] for x in pairs], pa.int32()),
-                               "safe": pa.array([lowest.get(r, r) >= r for _, _, r in pairs], pa.bool_())})
+        left, right, rank = array("i"), array("i"), array("i")  # every split of every token into two tokens
+        for token, r in self.ranks.items():
+            for i in range(1, len(token)):
+                if (x := self.ranks.get(token[:i])) is not None and (y := self.ranks.get(token[i:])) is not None:
+                    left.append(x)
+                    right.append(y)
+                    rank.append(r)
+        pairs = [np.frombuffer(x, np.int32) for x in (left, right, rank)]
+        size = max(self.ranks.values(), default=0) + 1
+        lowest = np.arange(size, dtype=np.int32)  # of the pairs that a token is part of, or itself
+        lower = np.full(size, np.iinfo(np.int32).max, np.int32)
+        for side in pairs[:2]:
+            np.minimum.at(lower, side, pairs[2])
+        lowest = np.where(lower < np.iinfo(np.int32).max, lower, lowest)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "temp_directory": tempfile.gettempdir()})
+        self._table("merges", {"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "r": pa.array(pairs[2]),
+                               "safe": pa.array(lowest[pairs[2]] >= pairs[2])})
         self._table("vocabulary", {"id": pa.array(list(self.tokens), pa.int32()),
                                    "hex": pa.array([t.hex() for t in self.tokens.values()], pa.string())})
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.units: dict[str, tuple[bytes, bytes]] = {}
+        # ids by word and by unit; what they decode to has been compared with the word
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.room = {"words": REMEMBERED, "units": REMEMBERED}
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -139,38 +159,58 @@ class Codec:
                 out[word] = (rank.to_bytes(4, "little"), self.tokens[rank])
             else:
                 (long if len(raw) > LONG else todo).append((word, raw))
-        for part, steps in ((todo, _STEPS), (long, _LONG_STEPS)):
-            if not part:
-                continue
-            buf, offsets = text_buffer(pa.array([raw for _, raw in part], pa.binary()))
-            size = np.diff(offsets)
-            self.con.register("start", pa.table({
-                "w": np.repeat(np.arange(len(part), dtype=np.int32), size),
-                "pos": (np.arange(len(buf)) - np.repeat(offsets[:-1], size)).astype(np.int32),
-                "id": self.byte_id[buf]}))
-            got = self.con.sql(steps + _RESULT).to_arrow_table()
-            self.con.unregister("start")
-            ids = got.column("ids").combine_chunks()
-            ends = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-            flat = ids.flatten().to_numpy().astype("<u4").tobytes()
-            for k, w, text in zip(range(len(got)), got.column("w").to_pylist(), got.column("hex").to_pylist()):
-                out[part[w][0]] = (flat[4 * ends[k]:4 * ends[k + 1]], bytes.fromhex(text))
+        for found, steps in ((todo, _STEPS), (long, _LONG_STEPS)):
+            ends = np.cumsum([len(raw) for _, raw in found])
+            at = 0
+            while at < len(found):  # as many words as fit
+                to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_BYTES, side="right")), at + 1)
+                out.update(self._contracted(found[at:to], steps))
+                at = to
         return out
 
-    def encode_units(self, units: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        out = {u: self.units[u] for u in units if u in self.units}
-        parts = {u: self.split(u) for u in units if u not in out}
-        words = {w: self.words[w] for p in parts.values() for w in p if w in self.words}
-        fresh = self.encode_words(list({w: None for p in parts.values() for w in p if w not in words}))
-        words |= fresh
-        made = {u: (b"".join([words[w][0] for w in p]), b"".join([words[w][1] for w in p])) for u, p in parts.items()}
-        for memory, new in ((self.words, fresh), (self.units, made)):
-            for k, v in new.items():
-                if len(memory) >= REMEMBERED:
-                    break
-                if len(k) <= LONG:
-                    memory[k] = v
-        return out | made
+    def _contracted(self, part: list[tuple[str, bytes]], steps: str) -> Iterator[tuple[str, tuple[bytes, bytes]]]:
+        buf, offsets = text_buffer(pa.array([raw for _, raw in part], pa.binary()))
+        size = np.diff(offsets)
+        self.con.register("start", pa.table({
+            "w": np.repeat(np.arange(len(part), dtype=np.int32), size),
+            "pos": (np.arange(len(buf)) - np.repeat(offsets[:-1], size)).astype(np.int32),
+            "id": self.byte_id[buf]}))
+        got = self.con.sql(steps + _RESULT).to_arrow_table()
+        self.con.unregister("start")
+        ids = got.column("ids").combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
+        flat = ids.flatten().to_numpy().astype("<u4").tobytes()
+        for k, w, text in zip(range(len(got)), got.column("w").to_pylist(), got.column("hex").to_pylist()):
+            yield part[w][0], (flat[4 * ends[k]:4 * ends[k + 1]], bytes.fromhex(text))
+
+    def _remember(self, kind: str, new: dict[str, bytes]) -> None:
+        memory, room = getattr(self, kind), self.room[kind]
+        for k, v in new.items():
+            cost = _OBJECTS + 2 * len(k) + len(v)
+            if cost > room:
+                break
+            if len(k) <= LONG:
+                memory[k] = v
+                room -= cost
+        self.room[kind] = room
+
+    def encode_units(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each unit."""
+        known, old = self.words, self.units
+        new = [u for u in units if u not in old]
+        parts = list(map(self.split, new))
+        fresh = self.encode_words(list(set(chain.from_iterable(parts)).difference(known)))
+        if all(raw == w.encode("utf-8") for w, (_, raw) in fresh.items()):
+            ids = {w: i for w, (i, _) in fresh.items()}
+            made = {u: b"".join([known.get(w) or ids[w] for w in p]) for u, p in zip(new, parts)}
+            out = [(old.get(u) or made[u], u.encode("utf-8")) for u in units]
+            self._remember("words", ids)
+            self._remember("units", made)
+            return out
+        # a word that decodes to something else is kept as it is, and not remembered
+        both = {w: (i, w.encode("utf-8")) for w, i in known.items()} | fresh
+        made = {u: (b"".join([both[w][0] for w in p]), b"".join([both[w][1] for w in p])) for u, p in zip(new, parts)}
+        return [(old[u], u.encode("utf-8")) if u in old else made[u] for u in units]
 
     def encode_texts(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""
@@ -184,10 +224,9 @@ class Codec:
             at = np.append(at, n)
         units = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf)))
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known = self.encode_units(names)
-        ids = [known[u][0] for u in names]
-        raw = [known[u][1] for u in names]
+        made = self.encode_units(coded.dictionary.to_pylist())
+        ids = [m[0] for m in made]
+        raw = [m[1] for m in made]
         codes = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.searchsorted(at, offsets)
         for a, b in zip(ends[:-1], ends[1:]):
@@ -197,10 +236,31 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One per Python worker."""
+    """One per Python worker, until it has been idle for a while."""
     return Codec(path, pattern)
 
 
+_idle: list[threading.Timer] = []
+
+
+def _used() -> None:
+    while _idle:
+        _idle.pop().cancel()
+
+
+def _unused() -> None:
+    """Workers live on after their last task of this kind: drop the codecs then."""
+    def drop() -> None:
+        codec.cache_clear()
+        give_back()
+    _used()
+    timer = threading.Timer(IDLE_SECONDS, drop)
+    timer.daemon = True
+    timer.start()
+    _idle.append(timer)
+
+
+@clash_free(lambda a: ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * a["with_ids"]])
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """The documents with n_tokens, ids_sha256 and decoded_sha256, and with the
     ids themselves if asked for; columns named like these are replaced. The text
@@ -210,6 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
     through = [c for c in kept if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _used()
         own = codec(path, pattern)
         for batch in batches:
             for part in slices(batch, text, SLICE):
@@ -224,13 +285,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
                 if with_ids:
                     new.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in through), *new], [*through, *named])
+        _unused()
 
     schema = T.StructType([*(docs.schema[c] for c in through), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
                            *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(frugal(run), schema)
 
 
+@clash_free(lambda a: ["decoded"], ("ids",))
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the bytes of their ids: positions join the
     vocabulary and are aggregated in order. Ids outside the vocabulary and null
@@ -255,4 +318,4 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
                 [*(batch.column(c) for c in kept), pa.array([None if m else bytes.fromhex(h) for m, _, _, h in got], pa.binary())],
                 [*kept, "decoded"])
 
-    return rows.select(*kept).mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())]))
+    return rows.select(*kept).mapInArrow(frugal(run), T.StructType([*(rows.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())]))

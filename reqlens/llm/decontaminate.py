@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqlens.llm.textscan import ALNUM, Words, combine, hash_words, slices
-from reqlens.llm.util import free_name, stored, work_dir
+from reqlens.llm.util import clash_free, free_name, frugal, stored, work_dir
 
 
 @dataclass(frozen=True)
@@ -74,9 +74,9 @@ def item_windows(items: DataFrame, s: Settings, item_id: str = "item_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "elements"])
 
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null")
-    windows = rows.mapInArrow(run, "id string, words binary, n int") \
+    windows = rows.mapInArrow(frugal(run), "id string, words binary, n int") \
         .groupBy("words").agg(F.first("n").alias("n"), F.collect_set("id").alias("ids"))
-    return windows.mapInArrow(elements, "words binary, n int, ids array<string>, "
+    return windows.mapInArrow(frugal(elements), "words binary, n int, ids array<string>, "
                                         "elements array<struct<hash bigint, length int, offset int>>")
 
 
@@ -114,7 +114,7 @@ def rarity(docs: DataFrame, elements: DataFrame, text: str, block: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(t[seen]), pa.array(np.full(len(seen), k, np.int32)),
                                                   pa.array(counts[k][seen])], ["hash", "length", "seen"])
 
-        found.append(texts.mapInArrow(run, "hash bigint, length int, seen bigint"))
+        found.append(texts.mapInArrow(frugal(run), "hash bigint, length int, seen bigint"))
     total = found[0]
     for f in found[1:]:
         total = total.unionByName(f)
@@ -144,6 +144,7 @@ def _match(w: Words, h: np.ndarray, block: dict) -> list[tuple[int, int, int]]:
     return out
 
 
+@clash_free(lambda a: ["n_words", "n_hit", "spans", "item_ids", "contaminated"])
 def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with n_words, n_hit, spans (word ranges that hold an
@@ -189,7 +190,7 @@ def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settin
                         [*(part.column(c) for c in names), pa.array(ranges, pa.list_(pa.int32())),
                          pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, begins, ids])
 
-        found = found.mapInArrow(run, T.StructType([*docs.schema.fields, *state]))
+        found = found.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *state]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settin
                      pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), part.column(ids),
                      pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, words)], pa.bool_())], [*names, *added])
 
-    return found.mapInArrow(finish, T.StructType([
+    return found.mapInArrow(frugal(finish), T.StructType([
         *docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]))
@@ -223,8 +224,7 @@ def items_digest(ids: str = "item_ids"):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with their columns as they are."""
-    plain = {f"column_{i}": c for i, c in enumerate(docs.columns)}
-    renamed = docs.toDF(*plain)
+    plain = {f"column_{i}": c for i, c in enumerate(docs.columns)}  # columns named like a result stay, too
     own = next(k for k, c in plain.items() if c == text)
-    kept = contamination(renamed, items, settings, own).where("not contaminated")
-    return kept.select(*(F.col(k).alias(c) for k, c in plain.items()))
+    kept = contamination(docs.toDF(*plain), items, settings, own).where("not contaminated")
+    return kept.select(*plain).toDF(*plain.values())

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from reqlens.llm.bitmaps import bitmap, marked
 from reqlens.llm.graph import components
 from reqlens.llm.textscan import Words, mix, range_hashes, slices
-from reqlens.llm.util import free_name, frugal, stored, work_dir
+from reqlens.llm.util import clash_free, free_name, frugal, stored, work_dir
 
 THRESHOLD = 2
 #: bytes of the shorter line for each edit
@@ -358,6 +358,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, folder: str | Non
         .select("doc_id", "number", "first_id", "first_number", F.expr("doc_id = own_id and number = own_number").alias("near"))
 
 
+@clash_free(lambda a: ["n_lines", "n_removed", "n_near"] * a["counts"], ("doc_id", "text"))
 def strip_lines(docs: DataFrame, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
                 counts: bool = False) -> DataFrame:
     """The documents without the lines that go, and without their line breaks;

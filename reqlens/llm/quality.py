@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqlens.llm.textscan import ALNUM, LOWER, NOT_SPACE, Words, mix, slices
-from reqlens.llm.util import free_name
+from reqlens.llm.util import clash_free, free_name, frugal
 
 _KIND = np.where(ALNUM[LOWER], 1, 2).astype(np.uint8)
 _PAIR = np.uint64(0xA24BAED4963EE407)
 _SAME = np.uint64(0x9FB21C651E98DF25)
 
 
+#: text bytes whose features are made at once (some 100 bytes of memory each)
+SLICE = 1 << 18
+
+
 @dataclass(frozen=True)
 class Settings:
     feature_bits: int = 18
@@ -117,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 f, ends = _features(part.column("text"), s.feature_bits)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("y").cast(pa.int32()),
@@ -125,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
                     ["id", "y", "f"])
 
     kind = rows.schema["id"].dataType
-    encoded = rows.mapInArrow(encode, T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()),
+    encoded = rows.mapInArrow(frugal(encode), T.StructType([T.StructField("id", kind), T.StructField("y", T.IntegerType()),
                                                     T.StructField("f", T.BinaryType())]))
 
     def fit(table: pa.Table) -> pa.Table:
@@ -142,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
     return np.frombuffer(got[0]["w"], np.float32), got[0]["bias"]
 
 
+@clash_free(lambda a: [a["result"]])
 def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings = Settings(),
           text: str = "text", result: str = "score") -> DataFrame:
     """The documents with a score between 0 and 1 of every whole text."""
@@ -152,7 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 f, ends = _features(part.column(text), bits)
                 sums = np.concatenate(([0.0], np.cumsum(w[f].astype(np.float64))))
                 n = np.diff(ends)
@@ -161,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings =
                                                  [*part.schema.names, result])
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(result, T.DoubleType())])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(frugal(run), schema)
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3,

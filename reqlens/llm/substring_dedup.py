@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from reqlens.llm.bitmaps import bitmap, marked
 from reqlens.llm.textscan import NOT_SPACE, Words, combine, mix, range_hashes, slices
-from reqlens.llm.util import free_name, stored, work_dir
+from reqlens.llm.util import clash_free, free_name, stored, work_dir
 
 WINDOW = 20
 ANCHOR = 10
@@ -200,6 +200,7 @@ def _squeezed(w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+@clash_free(lambda a: ["n_words", "n_removed", "kept"], ("doc_id", "text"))
 def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with n_words, n_removed and kept (the remaining words,
     joined by one space, as bytes); columns named like these are replaced."""

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqlens.llm.util import stored, work_dir
+from reqlens.llm.util import clash_free, stored, work_dir
 
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Г-жа"
 _TITLES_M = r"Mr|Herr|Señor|Monsieur|Г-н"
@@ -275,6 +275,7 @@ def attempts(entities: DataFrame, key: str, folder: str, draws: int = 30) -> Dat
             state.join(again, own, "left_semi").select(*own, (F.col("attempt") + 1).alias("attempt"))), folder, f"attempts-{k}")
 
 
+@clash_free(lambda a: ["n_entities", "entity_types"])
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with their entities replaced in the text, and with
     n_entities and entity_types (sorted)."""

@@ -6,6 +6,8 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,34 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def clash_free(added: Callable[[dict], list[str]], own: tuple[str, ...] = ("text",)):
+    """For operators on documents that pass other columns through: they see every
+    column under a plain name, so neither dots, nor case, nor repeated names
+    matter. Columns named like a result (``added``, whatever the case) are left out, but for
+    the arguments ``own`` that name the operator's own columns."""
+    def deco(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature(operator).bind(docs, *args, **kwargs)
+            bound.apply_defaults()
+            given = bound.arguments
+            results = {c.lower() for c in added(given)}
+            names = {f"column_{i}": c for i, c in enumerate(docs.columns)}
+            used = {}
+            for a in own:
+                exact = [k for k, c in names.items() if c == given[a]] or [k for k, c in names.items() if c.lower() == given[a].lower()]
+                if not exact:
+                    raise ValueError(f"no column {given[a]!r}")
+                used[a] = exact[0]
+            kept = [k for k, c in names.items() if c.lower() not in results or k in used.values()]
+            given.update(used)
+            given[next(iter(given))] = docs.toDF(*names).select(*kept)
+            out = operator(*bound.args, **bound.kwargs)
+            return out.toDF(*(names.get(c, c) for c in out.columns))
+        return run
+    return deco
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids count as remainder -1, so
     they are in no training fold)."""

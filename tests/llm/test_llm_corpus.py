@@ -308,3 +308,33 @@ def test_lm_probabilities_sum_to_one():
     last = np.full(256, 0x74686520, np.uint64)
     p = 10 ** m.log10(codes, last, np.full(256, 77, np.uint64), every)
     assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Rows dealt otherwise, and lessons of a few rows, give the same scores."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(80)]
+    monkeypatch.setattr(lm_score, "LESSON", 100)
+
+    def scores(df):
+        return {x.doc_id: x.score for x in lm_score.score(df, F.col("doc_id") % 7 != 2).collect()}
+    one = scores(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    r.shuffle(rows)
+    other = scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7))
+    assert set(one) == set(other) and all(abs(one[i] - other[i]) <= 1e-9 * abs(one[i]) for i in one)
+
+
+def test_slots_count_in_64_bits(spark):
+    """A count beyond 2**24 still takes one more; sections give what one table would."""
+    big = (1 << 24) + 1
+    rows = spark.createDataFrame([(int.from_bytes(b" \xff\xff\xffa", "big"), None, big), (None, b"abcdefg", 3), (None, b"abcdxyz", 2)],
+                                 "key bigint, token binary, c bigint")
+    tables = lm_score._bit_tables(rows, 3)
+    exact = np.zeros(tables.shape, np.int64)
+    for last, word, byte, n in lm_score._learning_rows(rows.toArrow().combine_chunks().to_batches()[0]):
+        contexts = lm_score._contexts(last, word)
+        for _, node, bit in lm_score._choices(byte.astype(np.int64)):
+            for s in lm_score._slots(contexts, node):
+                np.add.at(exact, (bit, s), n)
+    assert exact.max() >= big and (tables == lm_score._kept(exact.astype(np.float64))).all()
