@@ -1,6 +1,11 @@
 """Corpus pipeline: quality classifier, line dedup, near-dedup, benchmark
 decontamination, byte-level BPE. Each stage works on what the one before it
-kept; its result is written as Parquet and read again."""
+kept; its result is written as Parquet and read again.
+
+Defined results: a null text has score, lines, shingles, windows and ids of an empty
+one; rows without id lose nothing to others and stay if they are good; repeated
+rows stay or go together; other columns pass through, but for ones named like the
+last stage's results; empty tables give an empty result."""
 
 from __future__ import annotations
 
@@ -35,9 +40,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts that are left, as counts and digests."""
+    """Token ids of the texts that are left, with counts and digests."""
     import public_tokenizers
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("MinHash near-dedup", near_stage),
