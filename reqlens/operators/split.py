@@ -60,19 +60,21 @@ def split_sizes(df: DataFrame, fractions: dict | None = None, count_col: str | N
 
 
 def stratified_split(df: DataFrame, fractions: dict | None = None, seed: int = 42,
-                     key_digits: int = 3) -> DataFrame:
+                     key_digits: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """W6 + U1: add ``shuffle_key``, ``rank`` (only where needed: NULL for
     rows assigned from bucket ranges) and ``split``.
 
-    Rows whose ``anomalous`` is neither 0 nor 1 are ``unused``."""
+    Rows whose ``anomalous`` is neither 0 nor 1 are ``unused``. ``sizes`` gives the
+    sizes (F12) instead of fractions of the rows at hand."""
     fr = fractions or DEFAULT_FRACTIONS
     keyed = df.withColumn("shuffle_key", shuffle_key(seed)) \
         .withColumn("__b", F.substring("shuffle_key", 1, key_digits)) \
         .withColumn("cls", F.col("anomalous"))
     bucket_counts = keyed.groupBy("cls", "__b").agg(F.count(F.lit(1)).alias("__bn"))
     # Class sizes from the bucket table (no second pass over the rows).
-    sizes = split_sizes(bucket_counts.groupBy(F.col("cls").alias("anomalous"))
-                        .agg(F.sum("__bn").alias("__n")), fr, count_col="__n")
+    if sizes is None:
+        sizes = split_sizes(bucket_counts.groupBy(F.col("cls").alias("anomalous"))
+                            .agg(F.sum("__bn").alias("__n")), fr, count_col="__n")
     # Bounded: at most 2 classes x 16^key_digits buckets.
     w = Window.partitionBy("cls").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     ranges = bucket_counts.withColumn("__lo", F.coalesce(F.sum("__bn").over(w), F.lit(0))) \
@@ -102,6 +104,18 @@ def stratified_split(df: DataFrame, fractions: dict | None = None, seed: int = 4
     return out.drop("__b", "cls", "__lo", "__c1", "__c2", "__c3", "__first", "__last")
 
 
+def overlapping_split(df: DataFrame, fractions: dict | None = None, seed: int = 42) -> DataFrame:
+    """D7 as the source does it (``allow_overlap``): the eval and the test rows are
+    both drawn from all rows outside the train split, so a row can be in both and then
+    comes twice. The test draw has its own shuffle (``seed + 1``); unused rows are left out."""
+    first = stratified_split(df, fractions, seed)
+    train = first.filter("split = 'train'").select("original_index")
+    none = F.lit(0).cast("long")
+    sizes = split_sizes(df, fractions).withColumn("n_train", none).withColumn("n_eval", none)
+    test = stratified_split(split_anti_join(df, train), fractions, seed + 1, sizes=sizes).filter("split = 'test'")
+    return first.filter("split in ('train', 'eval')").unionByName(test)
+
+
 def split_anti_join(df: DataFrame, used: DataFrame) -> DataFrame:
     """Rows of ``df`` whose index is not in ``used`` (left anti join)."""
     return df.join(used.select("original_index"), "original_index", "left_anti")

@@ -256,6 +256,22 @@ def q_lm_finetune_counts(spark, sf_dir):
     return tuned.unigram
 
 
+@register("lm_finetune_bigram", osql("""
+select prev, tok, sum(c) as c from (select prev, tok, 2.0::double * c as c from bi
+  union all select prev, tok, cast(count(*) as double) from lt where split = 'eval' group by prev, tok) u group by prev, tok"""))
+def q_lm_finetune_bigram(spark, sf_dir):
+    """M7: the pair counts, the base's with weight 2."""
+    return lm.finetune(model(spark, sf_dir), splits(spark, sf_dir).filter(F.col("split") == "eval"), 2.0).bigram
+
+
+@register("lm_finetune_context", osql("""
+select prev, tok, nxt, sum(c) as c from (select prev, tok, nxt, 2.0::double * c as c from ctx
+  union all select prev, tok, nxt, cast(count(*) as double) from lt where split = 'eval' group by prev, tok, nxt) u group by prev, tok, nxt"""))
+def q_lm_finetune_context(spark, sf_dir):
+    """M7: the context counts, the base's with weight 2."""
+    return lm.finetune(model(spark, sf_dir), splits(spark, sf_dir).filter(F.col("split") == "eval"), 2.0).context
+
+
 def _pipeline_sql() -> str:
     te = ("te", """select 'causal' as model, original_index, anomalous, loss from causal_scores where split = 'test'
   union all select 'masked', original_index, anomalous, loss from masked_scores where split = 'test'""")

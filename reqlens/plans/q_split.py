@@ -95,3 +95,17 @@ def q_scan_split(spark, sf_dir):
     path = scratch_path(spark, "splits")
     sinks.write_splits(split_table(spark, sf_dir).select("original_index", "anomalous", "request", "split"), path)
     return readers.read_split(spark, path, "test").select("original_index", "anomalous", "split")
+
+
+@register("split_overlapping", osql("""
+select original_index, anomalous, split from split where split in ('train', 'eval')
+union all
+select original_index, anomalous, 'test' from (
+  select k.original_index, k.anomalous, t.n, row_number() over (
+    partition by k.anomalous order by md5('43|' || cast(k.original_index as varchar)), k.original_index) as rn
+  from split_keys k join (select anomalous, count(*) as n from split_keys group by anomalous) t on t.anomalous = k.anomalous
+  where k.original_index not in (select original_index from split where split = 'train')) r
+where rn <= floor((case when anomalous = 0 then 0.2::double else 1.0::double end) * n)"""))
+def q_split_overlapping(spark, sf_dir):
+    """Eval and test drawn independently from what train leaves."""
+    return sp.overlapping_split(fx.request_table(spark, sf_dir)).select("original_index", "anomalous", "split")

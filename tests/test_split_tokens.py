@@ -49,3 +49,17 @@ def test_gradient_hex_is_half_even(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (0.0,), (2.5 / 255,)], "p double")
     got = [r.h for r in df.select(xp.hex2(F.col("p")).alias("h")).collect()]
     assert got == ["80", "ff", "00", format(round(2.5), "02x")]
+
+
+def test_overlapping_split(spark):
+    """Train stays apart, eval and test are drawn from the same rest."""
+    df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 401)], "original_index long, anomalous int")
+    fractions = {"train_frac_normals": 0.5, "train_frac_anomalous": 0.0, "eval_frac_normals": 0.4,
+                 "eval_frac_anomalous": 0.5, "test_frac_normals": 0.1, "test_frac_anomalous": 0.5}
+    out = sp.overlapping_split(df, fractions).collect()
+    rows = {s: [r.original_index for r in out if r.split == s] for s in ("train", "eval", "test")}
+    assert [len(rows[s]) for s in ("train", "eval", "test")] == [150, 120 + 50, 30 + 50]
+    assert all(len(set(v)) == len(v) for v in rows.values())
+    assert not set(rows["train"]) & (set(rows["eval"]) | set(rows["test"]))
+    assert set(rows["eval"]) & set(rows["test"])
+    assert out == sp.overlapping_split(df, fractions).collect() or sorted(map(tuple, out)) == sorted(map(tuple, sp.overlapping_split(df, fractions).collect()))
