@@ -156,9 +156,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_surrogates")
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data and secrets replaced."""
+    """Every document with its personal data and secrets replaced; the key is a
+    setting of the session."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace(docs, "corpus-release-key")
+    return surrogates.replace(docs, spark.conf.get("reqlens.surrogates.key", "corpus-release-key"))
 
 
 def _either_case(word: str) -> str:

@@ -36,8 +36,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 #: (name, pattern) in order of precedence; groups don't capture
 TYPES = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?i:(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+)"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+"),
+    ("secret", r"(?i:(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{6,}+)"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -47,7 +47,7 @@ TYPES = [
     ("card", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
     ("ipv4", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"),
     ("ipv6", r"(?<![0-9A-Fa-f:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Fa-f:])"),
-    ("name", rf"(?<!\p{{L}})(?:{_TITLES_F}|{_TITLES_M})\.?[  ]\p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"),
+    ("name", rf"(?<!\p{{L}})(?:{_TITLES_F}|{_TITLES_M})\.?[  ]\p{{Lu}}\p{{L}}++(?:[ -]\p{{Lu}}\p{{L}}++){{0,7}}"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 

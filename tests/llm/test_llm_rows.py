@@ -249,3 +249,22 @@ def test_surrogates_of_used_up_forms(spark):
 def test_readable_plan_has_no_python_in_surrogates(spark):
     plan = surrogates.replace(table(spark, [(1, "a@b.example.com")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan), json.dumps(plan[:300])
+
+
+def test_entities_of_any_length(spark):
+    """Nothing of a long entity stays in clear, on either side of former limits."""
+    cases = ["l" * 64 + "@mail.example", "l" * 70 + "@mail.example", "a@" + "sub." * 8 + "example", "a@" + "sub." * 10 + "example",
+             "a@b." + "x" * 24, "a@b." + "x" * 30, "password: abc123", "password: abc1234", "secret=" + "k9" * 300,
+             "Mr " + "Q" + "u" * 30, "Mr " + "Q" + "u" * 40, "Mr Juan Carlos Garcia Lopez Diaz", "write to joe@site.example."]
+    private = [c.split("@")[0] if "@" in c and not c.startswith(("a@", "write")) else
+               c.split("b.")[1] if c.startswith("a@b.") else c.split()[-1] if c.startswith(("Mr", "password", "write")) else c for c in cases]
+    got = {r.doc_id: r for r in surrogates.replace(table(spark, list(enumerate(cases))), "key").collect()}
+    for i, c in enumerate(cases):
+        assert got[i].n_entities == 1, c
+        assert got[i].text != c
+        if not c.startswith("a@"):
+            assert private[i] not in got[i].text, c
+    assert got[12].text.endswith(".") and got[11].text.startswith("Mr ") and "Diaz" not in got[11].text
+    clean = ["password: abc12", "the password is here", "a@b", "Mr smith", "x@y."]
+    rows = surrogates.replace(table(spark, list(enumerate(clean))), "key").collect()
+    assert {r.doc_id: r.text for r in rows} == dict(enumerate(clean))
