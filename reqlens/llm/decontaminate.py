@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settin
     docs = docs.select(*(c for c in docs.columns if c not in added))
     names = docs.columns
     begins, ids = free_name(docs, "found_ranges"), free_name(docs, "found_items")
-    state = [T.StructField(begins, T.ArrayType(T.IntegerType())), T.StructField(ids, T.ArrayType(T.StringType()))]
     found = docs.withColumns({begins: F.array().cast("array<int>"), ids: F.array().cast("array<string>")})
+    steps = []  # of one task: a chain of tasks would hold a Python worker for each
     for b in range(blocks):
         own = prefixes.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toPandas() \
             .sort_values(["length", "hash"], ignore_index=True)
@@ -190,7 +190,7 @@ def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settin
                         [*(part.column(c) for c in names), pa.array(ranges, pa.list_(pa.int32())),
                          pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, begins, ids])
 
-        found = found.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *state]))
+        steps.append(run)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +211,12 @@ def contamination(docs: DataFrame, items: DataFrame, settings: Settings = Settin
                      pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), part.column(ids),
                      pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, words)], pa.bool_())], [*names, *added])
 
-    return found.mapInArrow(frugal(finish), T.StructType([
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in [*steps, finish]:
+            batches = step(batches)
+        return batches
+
+    return found.mapInArrow(frugal(every), T.StructType([
         *docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]))
