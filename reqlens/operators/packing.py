@@ -44,7 +44,7 @@ def pack(df: DataFrame, ids_col: str = "ids", block_size: int = 4096, batch_rows
         seq = F.concat(seq, F.array(F.lit(sep_id)))
     if truncate:
         seq = F.slice(seq, 1, block_size)
-    samples = global_position(df.select("original_index", seq.alias("seq")), "original_index", "pos") \
+    samples = global_position(df.select("original_index", seq.alias("seq")), "original_index", "pos", weight=F.size("seq")) \
         .select("pos", "seq", F.floor((F.col("pos") - 1) / batch_rows).cast("long").alias("batch"))
     lengths = samples.select("batch", "pos", F.size("seq").cast("long").alias("n"))
     starts = lengths.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("s")) \

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: rows of a part, about
 PART_ROWS = 1_000_000
+#: sum of the weights of a part's rows, about
+PART_WEIGHT = 8_000_000
 PART = "__part"
 
 
@@ -44,9 +46,11 @@ class Ranges:
         return self.totals.select(PART, *[F.coalesce(F.sum(f"{c}_total").over(w), F.lit(0)).alias(f"{c}_offset") for c in cols])
 
 
-def ranges(df: DataFrame, order_col: str, sum_cols: list[str], part_rows: int | None = None) -> Ranges:
+def ranges(df: DataFrame, order_col: str, sum_cols: list[str], part_rows: int | None = None, weight: Column | None = None) -> Ranges:
+    """``weight`` is a row's size, for wide rows: a part holds about ``PART_WEIGHT`` of it at most."""
     stored = df.checkpoint(eager=True)
-    parts = max(1, -(-stored.count() // (part_rows or PART_ROWS)))
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w")).first()
+    parts = max(1, -(-size.n // (part_rows or PART_ROWS)), -(-(size.w or 0) // PART_WEIGHT))
     rows = stored.repartitionByRange(parts, order_col).withColumn(PART, F.spark_partition_id()).checkpoint(eager=True)
     totals = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__rows_total"), *[F.sum(c).alias(f"{c}_total") for c in sum_cols])
     return Ranges(rows, order_col, totals.checkpoint(eager=True))
@@ -68,9 +72,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], part_rows: i
     return running(ranges(df, order_col, sum_cols, part_rows), sum_cols)
 
 
-def global_position(df: DataFrame, order_col: str, name: str = "pos", part_rows: int | None = None) -> DataFrame:
+def global_position(df: DataFrame, order_col: str, name: str = "pos", part_rows: int | None = None, weight: Column | None = None) -> DataFrame:
     """Dense 1-based position by ``order_col`` (ties in any order), part by part."""
-    r = ranges(df, order_col, [], part_rows)
+    r = ranges(df, order_col, [], part_rows, weight)
     w = Window.partitionBy(PART).orderBy(order_col)
     return r.rows.join(F.broadcast(r.before(["__rows"])), PART) \
         .withColumn(name, (F.col("__rows_offset") + F.row_number().over(w)).cast("long")).drop(PART, "__rows_offset")
