@@ -76,47 +76,60 @@ def batch_plan(lengths: list[int], batch_tokens: int) -> list[list[int]]:
 
 
 def token_losses(samples: DataFrame, make_scorer: Callable[[], TokenScorer], keys: list[str], output: str = "loss",
-                 batch_tokens: int = 16_384, pad_id: int = 0) -> DataFrame:
+                 batch_tokens: int = 16_384, pad_id: int = 0, sums: bool = False) -> DataFrame:
     """``(keys, labels, values, tokens_count, time_taken)``: samples hold ``keys``,
     ``input_ids`` and ``labels``; ``values`` has the scorer's loss (or logits) for each position.
-    Samples without ids don't reach the scorer and have no values."""
-    if output not in ("loss", "logits"):
+    Samples without ids don't reach the scorer and have no values. With ``sums``, only the sum of the
+    losses at labelled positions and their number (``loss_sum``, ``n_labels``) leave the task."""
+    if output not in ("loss", "logits") or (sums and output != "loss"):
         raise ValueError(f"unknown output {output!r}")
     kind = T.ArrayType(T.DoubleType()) if output == "loss" else T.ArrayType(T.ArrayType(T.FloatType()))
-    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField("labels", T.ArrayType(T.IntegerType())),
-                           T.StructField("values", kind), T.StructField("tokens_count", T.LongType()), T.StructField("time_taken", T.DoubleType())])
+    own = [T.StructField("loss_sum", T.DoubleType()), T.StructField("n_labels", T.LongType())] if sums else \
+        [T.StructField("labels", T.ArrayType(T.IntegerType())), T.StructField("values", kind)]
+    schema = T.StructType([*(samples.schema[k] for k in keys), *own, T.StructField("tokens_count", T.LongType()), T.StructField("time_taken", T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         scorer = make_scorer()
 
         def scored(table: pa.Table) -> pa.RecordBatch:
-            ids = [np.asarray(x if x is not None else [], np.int64) for x in table.column("input_ids").to_pylist()]
-            labels = table.column("labels").to_pylist()
-            values: list = [[] for _ in ids]
-            seconds = np.zeros(len(ids))
-            for own in batch_plan([len(x) for x in ids], batch_tokens):
-                own = [i for i in own if len(ids[i])]
-                if not own:
+            lists = table.column("input_ids").combine_chunks()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            start = np.cumsum(size) - size
+            ids, wanted = (c.flatten().to_numpy(zero_copy_only=False) for c in (lists, table.column("labels").combine_chunks()))
+            values, seconds = None, np.zeros(len(size))
+            for own in batch_plan(size.tolist(), batch_tokens):
+                own = np.array([i for i in own if size[i]], np.int64)
+                if not len(own):
                     continue
-                width = max(len(ids[i]) for i in own)
-                block, mask = np.full((len(own), width), pad_id, np.int64), np.zeros((len(own), width), np.int64)
-                target = np.full((len(own), width), IGNORE_LABEL, np.int64)
-                for r, i in enumerate(own):
-                    n = len(ids[i])
-                    block[r, :n], mask[r, :n], target[r, :n] = ids[i], 1, labels[i]
+                width = int(size[own].max())
+                inside = np.arange(width) < size[own][:, None]
+                at = (start[own][:, None] + np.arange(width))[inside]  # the samples' places among all ids
+                block, mask = np.full(inside.shape, pad_id, np.int64), inside.astype(np.int64)
+                target = np.full(inside.shape, IGNORE_LABEL, np.int64)
+                block[inside], target[inside] = ids[at], wanted[at]
                 t0 = time.perf_counter()
                 found = np.asarray(scorer(block, mask, target))
                 seconds[own] = (time.perf_counter() - t0) / len(own)
-                for r, i in enumerate(own):
-                    values[i] = found[r, :len(ids[i])].tolist()
-            columns = [table.column(k).combine_chunks() for k in [*keys, "labels"]]
-            arrow = pa.list_(pa.float64()) if output == "loss" else pa.list_(pa.list_(pa.float32()))
-            return pa.RecordBatch.from_arrays(
-                [*columns, pa.array(values, arrow), pa.array([len(x) for x in ids], pa.int64()), pa.array(seconds)],
-                names=[*keys, "labels", "values", "tokens_count", "time_taken"])
+                if values is None:
+                    values = np.zeros((len(ids), *found.shape[2:]), np.float64 if output == "loss" else np.float32)
+                values[at] = found[inside]
+            if values is None:
+                values = np.zeros((0,) if output == "loss" else (0, 0))
+            counts = [pa.array(size), pa.array(seconds)]
+            columns = [table.column(k).combine_chunks() for k in keys]
+            if sums:
+                row, counted = np.repeat(np.arange(len(size)), size), wanted != IGNORE_LABEL
+                own = [pa.array(np.bincount(row[counted], values[counted], len(size)).astype(np.float64)), pa.array(np.bincount(row[counted], minlength=len(size)))]
+                return pa.RecordBatch.from_arrays([*columns, *own, *counts], names=[*keys, "loss_sum", "n_labels", "tokens_count", "time_taken"])
+            flat = pa.array(values, pa.float64()) if output == "loss" else pa.ListArray.from_arrays(
+                pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel().astype(np.float32)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([*columns, table.column("labels").combine_chunks(), pa.ListArray.from_arrays(ends, flat), *counts],
+                                              names=[*keys, "labels", "values", "tokens_count", "time_taken"])
 
         held, rows = [], 0
         for batch in batches:
@@ -142,6 +155,16 @@ def labelled_nll(found: DataFrame, keys: list[str], output: str = "loss") -> Dat
     return rows.select(*keys, "pos", nll.alias("nll"))
 
 
+def _labelled_sums(samples: DataFrame, make_scorer: Callable[[], TokenScorer], keys: list[str], output: str, batch_tokens: int) -> DataFrame:
+    """``(keys, loss_sum, n_labels, tokens_count, time_taken)``: the losses at labelled positions summed."""
+    found = token_losses(samples, make_scorer, keys, output, batch_tokens, sums=output == "loss")
+    if output == "loss":
+        return found
+    hit = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value")), lambda x: x["label"] != IGNORE_LABEL)
+    nll = F.transform(hit, lambda x: token_nll(x["value"], x["label"]))
+    return found.select(*keys, F.aggregate(nll, F.lit(0.0), lambda a, x: a + x).alias("loss_sum"), F.size(nll).alias("n_labels"), "tokens_count", "time_taken")
+
+
 def score_masked_with(df: DataFrame, make_scorer: Callable[[], TokenScorer], stride: int = 5, output: str = "loss",
                       batch_tokens: int = 16_384) -> DataFrame:
     """M2 with a plug-in: ``df`` holds (original_index, ids), ids without sentinels,
@@ -151,10 +174,8 @@ def score_masked_with(df: DataFrame, make_scorer: Callable[[], TokenScorer], str
     masked, labels = stride_ids(F.col("ids"), stride, F.col("shift_index"))
     samples = passes.select("original_index", "shift_index", masked.alias("input_ids"), labels.alias("labels"))
     keys = ["original_index", "shift_index"]
-    found = token_losses(samples, make_scorer, keys, output, batch_tokens)
-    hit = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value")), lambda x: x["label"] != IGNORE_LABEL)
-    nll = F.transform(hit, lambda x: x["value"] if output == "loss" else token_nll(x["value"], x["label"]))
-    loss = F.when(F.size(nll) > 0, F.aggregate(nll, F.lit(0.0), lambda a, x: a + x) / F.size(nll)).otherwise(F.lit(0.0))
+    found = _labelled_sums(samples, make_scorer, keys, output, batch_tokens)
+    loss = F.when(F.col("n_labels") > 0, F.col("loss_sum") / F.col("n_labels")).otherwise(F.lit(0.0))
     per = found.select(*keys, loss.alias("loss"), "tokens_count", "time_taken")
     return per.groupBy("original_index").agg(F.avg("loss").alias("loss"), F.avg(F.exp("loss")).alias("perplexity"),
                                              F.sum("tokens_count").alias("tokens_count"), F.sum("time_taken").alias("time_taken"))
@@ -165,11 +186,9 @@ def score_causal_with(df: DataFrame, make_scorer: Callable[[], TokenScorer], out
     token given the ones before it; the first token has no label."""
     from reqlens.operators.lm import CAUSAL_EPS
     labels = F.transform("ids", lambda x, i: F.when(i == 0, F.lit(IGNORE_LABEL)).otherwise(x))
-    found = token_losses(df.select("original_index", F.col("ids").alias("input_ids"), labels.alias("labels")), make_scorer,
-                         ["original_index"], output, batch_tokens)
-    hit = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value")), lambda x: x["label"] != IGNORE_LABEL)
-    nll = F.transform(hit, lambda x: x["value"] if output == "loss" else token_nll(x["value"], x["label"]))
-    loss = F.aggregate(nll, F.lit(0.0), lambda a, x: a + x) / (F.size(nll) + F.lit(CAUSAL_EPS))
+    found = _labelled_sums(df.select("original_index", F.col("ids").alias("input_ids"), labels.alias("labels")), make_scorer,
+                           ["original_index"], output, batch_tokens)
+    loss = F.col("loss_sum") / (F.col("n_labels") + F.lit(CAUSAL_EPS))
     return found.select("original_index", loss.alias("loss"), F.exp(loss).alias("perplexity"), "tokens_count", "time_taken")
 
 

@@ -299,7 +299,9 @@ def q_score_plugin_masked(spark, sf_dir):
 
     from reqlens.operators import plugin
     from reqlens.operators import tokens as tk
-    s = splits(spark, sf_dir).select("original_index", "split", "anomalous", hashed_ids(tk.all_tokens()).alias("ids"))
+    from reqlens.sources.stage import stage_table
+    # the ids are made once, for the fit and the scores
+    s = stage_table(spark, ("hashed-ids", sf_dir), lambda: splits(spark, sf_dir).select("original_index", "split", "anomalous", hashed_ids(tk.all_tokens()).alias("ids")))
     counts = s.filter("split = 'train' and anomalous = 0").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).collect()
     n = sum(r.c for r in counts)  # at most BUCKETS rows
     known = {r.id: r.c for r in counts}

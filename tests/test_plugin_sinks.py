@@ -206,3 +206,14 @@ def test_layout():
     assert x.evaluations("m", "eval") == "/models/m/evaluations/run1-eval-requests"
     with pytest.raises(ValueError):
         x.split("dev")
+
+
+def test_sums_of_labelled_losses(spark):
+    """The sums that leave the task are those of the listed losses; samples without ids have none."""
+    rows = [(1, [5, 6, 7], [-100, 6, 7]), (2, [], []), (3, None, None), (4, [9], [-100]), (5, [8] * 50, [8] * 50)]
+    df = spark.createDataFrame(rows, "original_index long, input_ids array<int>, labels array<int>")
+    make = lambda: lambda b, m, t: b * 0.1 * m
+    keys = ["original_index"]
+    listed = {r.original_index: [v for v, x in zip(r["values"], r.labels or []) if x != -100] for r in plugin.token_losses(df, make, keys, batch_tokens=40).collect()}
+    for r in plugin.token_losses(df, make, keys, batch_tokens=40, sums=True).collect():
+        assert r.n_labels == len(listed[r.original_index]) and abs(r.loss_sum - sum(listed[r.original_index])) < 1e-9
