@@ -21,22 +21,24 @@ distinct words meet the merge table on their substrings (no longer than the
 longest token), and a word contracts its few merges in rank order: a pair can
 only appear after the merges that make its symbols, so that is the same as
 always merging the best pair. Ids come from a join of the distinct pieces with the
-vocabulary, and one join on the word brings them back to the texts.
+vocabulary; frequent words are looked up in place, the others come to their texts by a join.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlens.operators import lookup
 from reqlens.operators.tokens import SPECIAL_TOKENS, TOKEN_PATTERN, UNK
 
 #: around each symbol; neither can be part of a word
 OPEN, CLOSE = "\u0001", "\u0002"
-#: words held by more than one in so many token rows are joined apart
-HOT_SHARE = 1000
+#: words held by more than one in so many token rows go to every task
+HOT_SHARE = 400_000
 
 
 def fixed_pattern(fixed_tokens: list[str]) -> str:
@@ -176,12 +178,13 @@ def encode(df: DataFrame, merges: DataFrame, vocabulary: DataFrame, fixed_tokens
     """``(key, ids)`` of every text, whole: fixed tokens stay whole, the other
     words are contracted once each, unknown characters become ``[UNK]``.
 
-    Texts are split into (key, position, word) rows; the distinct words get
-    their ids, and the rows one join back. A word that makes up more than a
-    thousandth of the rows (there are fewer than a thousand of those) comes from a broadcast
-    table, so no task gets all its rows."""
-    rows = df.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(fixed_pattern(fixed_tokens)), 0)).alias("pos", "word"))
-    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    The distinct words get their ids. Those that make up more than one in ``HOT_SHARE``
+    words of the texts (there are fewer than ``HOT_SHARE`` of those) go to every task, which
+    looks the words of its texts up; only the other words are shuffled, and meet the texts that hold them.
+    Texts that share a key have the ids of all of them, by position; a null key has none."""
+    pattern = F.lit(fixed_pattern(fixed_tokens))
+    counts = df.select(F.explode(F.regexp_extract_all(F.col(col), pattern, 0)).alias("word")) \
+        .groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     whole = vocabulary.filter("kind = 'fixed'").select(F.col("token").alias("word"), F.array("id").alias("ids"))
     cut = contracted(counts.join(whole.select("word"), "word", "left_anti"), merges)
     unknown = vocabulary.filter(F.col("token") == UNK).select("id").scalar()
@@ -190,14 +193,50 @@ def encode(df: DataFrame, merges: DataFrame, vocabulary: DataFrame, fixed_tokens
         .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("p")) \
         .select("word", F.col("p.id").alias("ids"))
     coded = counts.join(ids.unionByName(whole), "word").checkpoint(eager=True)
-    total = counts.select(F.sum("n")).scalar()
+    total = counts.select(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
-    frequent = F.broadcast(coded.filter(hot).select("word", F.col("ids").alias("hot_ids")))
-    seldom = coded.filter(~hot).select("word", "ids")
-    marked = rows.join(frequent, "word", "left")
-    # a hot word's rows are spread over the tasks, as they need no partner
-    spread = F.when(F.col("hot_ids").isNull(), F.col("word")).otherwise(F.concat(F.lit(OPEN), F.col(key).cast("string")))
-    joined = marked.withColumn("partner", spread).join(seldom.withColumnRenamed("word", "partner"), "partner", "left")
-    out = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hot_ids", "ids").alias("ids")))).alias("p"))
-    return df.select(key).join(out, key, "left") \
-        .select(key, F.coalesce(F.flatten(F.col("p.ids")), F.array().cast("array<int>")).alias("ids"))
+    frequent = coded.filter(hot).select("word", F.col("ids").cast("array<int>").alias("ids")).toArrow()  # fewer than HOT_SHARE rows
+    seldom = coded.filter(~hot).select("word", F.col("ids").cast("array<int>").alias("ids"))
+    texts = df.select(key, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("partner"), F.coalesce(F.col(col), F.lit("")).alias("t")) \
+        .groupBy("partner").agg(F.first(key).alias(key), F.collect_list("t").alias("t")) \
+        .select(key, "partner", F.size("t").alias("n"), F.transform("t", lambda t: F.regexp_extract_all(t, pattern, 0)).alias("words"))
+
+    def located(words) -> tuple:
+        """Rows, positions and texts of the words."""
+        import numpy as np
+        import pyarrow.compute as pc
+        inner = words.flatten()
+        sizes = pc.list_value_length(inner).to_numpy()
+        row = np.repeat(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy()), sizes)
+        return row, (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), inner.flatten()
+
+    def missing(batches: Iterator) -> Iterator:
+        known = frequent.column("word").combine_chunks()
+        for batch in batches:
+            for b in lookup.parts(batch):
+                row, _, word = located(b.column("words"))
+                yield from lookup.missing(b.column("partner"), row, word, known, "word")
+
+    def fill(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        known, values = frequent.column("word").combine_chunks(), frequent.column("ids").combine_chunks()
+        kind = pa.list_(pa.int32())
+        for batch in batches:
+            for b in lookup.parts(batch):
+                row, pos, word = located(b.column("words"))
+                at, own = lookup.places(row, word, known, b.column("rare") if "rare" in b.schema.names else None, "word")
+                every = values.cast(kind) if own is None else pa.concat_arrays([values.cast(kind), own.field("ids").cast(kind)])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(key), b.column("n"), pa.ListArray.from_arrays(ends, pa.array(pos)), pa.ListArray.from_arrays(ends, every.take(pa.array(at)))],
+                    names=[key, "n", "pos", "ids"])
+
+    if not seldom.isEmpty():
+        needed = texts.select("partner", "words").mapInArrow(missing, "partner string, word string")
+        texts = texts.join(needed.join(seldom, "word").groupBy("partner").agg(F.collect_set(F.struct("word", "ids")).alias("rare")), "partner", "left")
+    out = texts.mapInArrow(fill, f"{key} {df.schema[key].dataType.simpleString()}, n int, pos array<int>, ids array<array<int>>")
+    by_position = F.when(F.col("n") == 1, F.col("ids")).otherwise(F.sort_array(F.arrays_zip("pos", "ids"))["ids"])
+    empty = F.array().cast("array<int>")
+    return out.select(key, F.when(F.col(key).isNull(), empty).otherwise(F.flatten(by_position)).alias("ids"), F.explode(F.array_repeat(F.lit(0), F.col("n")))) \
+        .select(key, "ids")

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlens.operators import lookup
 from reqlens.operators.tokens import CLS, SEP, tokenize, token_rows, tokens
 
 ALPHA = 1.0
@@ -131,28 +132,21 @@ LOSSES = {"causal": (["prev", "tok"], _causal_loss), "masked": (["prev", "tok",
 
 
 def marked_texts(df: DataFrame, max_tokens: int | None = None, by_index: bool = False) -> DataFrame:
-    """``(original_index, key, words)``: the tokens of each text between the sentinels,
+    """``(original_index, partner, words)``: the tokens of each text between the sentinels,
     joined by spaces (no token holds one). With ``by_index`` one row for each index,
     the texts that share it one after another."""
-    rows = df.select("original_index", F.coalesce(F.col("original_index").cast("string"), F.lit("")).alias("key"),
+    rows = df.select("original_index", F.coalesce(F.col("original_index").cast("string"), F.lit("")).alias("partner"),
                      F.coalesce("request", F.lit("")).alias("request"))
     if not by_index:
-        return rows.select("original_index", "key", _words_of(F.col("request"), max_tokens).alias("words"))
-    return rows.groupBy("key").agg(F.first("original_index").alias("original_index"), F.collect_list("request").alias("texts")) \
-        .select("original_index", "key", F.array_join(F.transform("texts", lambda t: _words_of(t, max_tokens)), " ").alias("words"))
+        return rows.select("original_index", "partner", _words_of(F.col("request"), max_tokens).alias("words"))
+    return rows.groupBy("partner").agg(F.first("original_index").alias("original_index"), F.collect_list("request").alias("texts")) \
+        .select("original_index", "partner", F.array_join(F.transform("texts", lambda t: _words_of(t, max_tokens)), " ").alias("words"))
 
 
 def _words_of(text: Column, max_tokens: int | None) -> Column:
     return F.array_join(F.concat(F.array(F.lit(CLS)), tokens(text, max_tokens), F.array(F.lit(SEP))), " ")
 
 
-def _parts(batch, size: int = 1 << 22) -> Iterator:
-    """Slices of a batch that hold about ``size`` bytes of words."""
-    rows = max(1, int(size * batch.num_rows / max(batch.column("words").nbytes, 1)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _located(words, keys: list[str]) -> tuple:
     """Of marked texts the tokens' rows, positions, texts and types (``keys`` joined by spaces)."""
     import numpy as np
@@ -180,7 +174,7 @@ def request_losses(texts: DataFrame, df: DataFrame, model: CountModel, losses: d
     distinct type: the count tables meet the types, which are stored (a reliable checkpoint).
     The types that make up more than one in ``HOT_SHARE`` token rows (there are fewer than
     ``HOT_SHARE`` of those) go to every task, which looks its tokens up. Only the other
-    tokens are shuffled: their types come by a join, and meet the texts by the key."""
+    tokens are shuffled: their types come by a join, and meet the texts by their ``partner``, the index as text."""
     keys = max((LOSSES[k][0] for k in losses.values()), key=len)
     types = long_tokens(df, max_tokens).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     scored = types
@@ -196,45 +190,31 @@ def request_losses(texts: DataFrame, df: DataFrame, model: CountModel, losses: d
     names = list(losses)
 
     def missing(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
         known = frequent.column("type").combine_chunks()
         for batch in batches:
-            for b in _parts(batch):
+            for b in lookup.parts(batch):
                 row, _, _, kind = _located(b.column("words"), keys)
-                lost = np.flatnonzero(pc.index_in(kind, value_set=known).is_null().to_numpy(zero_copy_only=False))
-                found = pa.table({"key": b.column("key").take(pa.array(row[lost])), "type": kind.take(pa.array(lost))})
-                yield from found.group_by(["key", "type"]).aggregate([]).to_batches()
+                yield from lookup.missing(b.column("partner"), row, kind, known, "type")
 
     def fill(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         known = frequent.column("type").combine_chunks()
         values = [frequent.column(c).to_numpy() for c in names]
         for batch in batches:
-            for b in _parts(batch):
+            for b in lookup.parts(batch):
                 row, pos, tok, kind = _located(b.column("words"), keys)
-                at = pc.fill_null(pc.index_in(kind, value_set=known), -1).to_numpy()
-                lost = np.flatnonzero(at < 0)
-                found = [v[at] if len(v) else np.zeros(len(at)) for v in values]
-                if len(lost):
-                    rare = b.column("rare")
-                    own, rows = rare.flatten(), np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(rare), 0).to_numpy())
-                    numbered = lambda r, t: pc.binary_join_element_wise(pa.array(r).cast(pa.string()), t, " ")
-                    where = pc.index_in(numbered(row[lost], kind.take(pa.array(lost))), value_set=numbered(rows, own.field("type"))).to_numpy()
-                    for f, c in zip(found, names):
-                        f[lost] = own.field(c).to_numpy()[where]
+                at, own = lookup.places(row, kind, known, b.column("rare") if "rare" in b.schema.names else None, "type")
+                found = [(v if own is None else np.concatenate([v, own.field(c).to_numpy()]))[at] for v, c in zip(values, names)]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)))]).astype(np.int32)
                 token = pa.StructArray.from_arrays([pa.array(pos), tok.cast(pa.string()), *map(pa.array, found)], names=["pos", "tok", *names])
                 yield pa.RecordBatch.from_arrays([b.column("original_index"), pa.ListArray.from_arrays(pa.array(ends), token)],
                                                  names=["original_index", "tokens"])
 
     if not seldom.isEmpty():
-        needed = texts.select("key", "words").mapInArrow(missing, "key string, type string")
-        rare = needed.join(seldom, "type").groupBy("key").agg(F.collect_set(F.struct("type", *names)).alias("rare"))
-        texts = texts.join(rare, "key", "left")
+        needed = texts.select("partner", "words").mapInArrow(missing, "partner string, type string")
+        rare = needed.join(seldom, "type").groupBy("partner").agg(F.collect_set(F.struct("type", *names)).alias("rare"))
+        texts = texts.join(rare, "partner", "left")
     index = texts.schema["original_index"].dataType.simpleString()
     return texts.mapInArrow(fill, f"original_index {index}, tokens array<struct<pos:int,tok:string,{','.join(f'{c}:double' for c in names)}>>")
 

@@ -73,3 +73,27 @@ def test_hot_words_keep_their_rows(spark, monkeypatch):
     apart = {x.original_index: x.ids for x in bpe.encode(df, merges, vocabulary, FIXED).collect()}
     monkeypatch.setattr(bpe, "HOT_SHARE", 1)
     assert apart == {x.original_index: x.ids for x in bpe.encode(df, merges, vocabulary, FIXED).collect()}
+
+
+def test_words_are_looked_up_by_partner(spark, monkeypatch):
+    """Texts that share a key have the ids of both by position, a null key none; whether words are frequent or not."""
+    rows = [(1, "ab cd x"), (1, "x ab"), (2, "cd q"), (2, "cd q"), (None, "ab"), (3, None), (4, "zz ab [r][n]")]
+    merges, vocabulary = learned(spark, ["ab cd x q", "ab cd"], n=10)
+    df = spark.createDataFrame(rows, "original_index long, request string")
+    ids = {v.token: v.id for v in vocabulary.collect()}
+    pairs = {(m.left, m.right): m.rank for m in merges.collect()}
+
+    def words(*texts):
+        split = [[(i, plain_encode(w, pairs, ids)) for i, w in enumerate(t.split())] for t in texts]
+        return [x for _, own in sorted(sum(split, [])) for x in own]
+    want = sorted([(1, words("ab cd x", "x ab"))] * 2 + [(2, words("cd q", "cd q"))] * 2 + [(None, []), (3, []), (4, words("zz ab [r][n]"))], key=str)
+    for share in (bpe.HOT_SHARE, 6, 1):
+        monkeypatch.setattr(bpe, "HOT_SHARE", share)
+        out = bpe.encode(df, merges, vocabulary, FIXED)
+        assert sorted(((r.original_index, r.ids) for r in out.collect()), key=str) == want
+
+
+def test_frequent_words_are_not_joined(spark):
+    merges, vocabulary = learned(spark, ["a b c"], n=5)
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "original_index long, request string")
+    assert "Join" not in bpe.encode(df, merges, vocabulary, FIXED)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
