@@ -17,7 +17,7 @@ the others come by a join (:func:`request_losses`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -168,9 +168,28 @@ def _located(words, keys: list[str]) -> tuple:
 def request_losses(texts: DataFrame, df: DataFrame, model: CountModel, losses: dict[str, str], max_tokens: int | None = None,
                    digits: int | None = None) -> DataFrame:
     """``(original_index, tokens)`` of marked texts of the requests ``df``; a token
-    has ``pos``, ``tok`` and a loss (rounded to ``digits``, if given) for each (column, kind of ``LOSSES``).
+    has ``pos``, ``tok`` and a loss (rounded to ``digits``, if given) for each (column, kind of ``LOSSES``)."""
+    names = list(losses)
+
+    def finish(b, row, pos, tok, found: dict) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)))]).astype(np.int32)
+        token = pa.StructArray.from_arrays([pa.array(pos), tok.cast(pa.string()), *(found[c] for c in names)], names=["pos", "tok", *names])
+        yield pa.RecordBatch.from_arrays([b.column("original_index"), pa.ListArray.from_arrays(pa.array(ends), token)],
+                                         names=["original_index", "tokens"])
+
+    return looked_up(texts, df, model, losses, finish, f"tokens array<struct<pos:int,tok:string,{','.join(f'{c}:double' for c in names)}>>",
+                     max_tokens=max_tokens, digits=digits)
 
-    A loss depends on a token and its neighbours alone, so it is computed once per
+
+def looked_up(texts: DataFrame, df: DataFrame, model: CountModel, losses: dict[str, str], finish: Callable, schema: str,
+              values: dict[str, Column] | None = None, max_tokens: int | None = None, digits: int | None = None) -> DataFrame:
+    """What ``finish`` makes of the tokens of marked texts of the requests ``df``: ``original_index``
+    and ``schema``. It gets a batch of texts, and of their tokens the rows, positions, texts and a dict of
+    Arrow arrays: the losses, or the ``values`` computed from ``tok``, its neighbours and the losses.
+
+    All these depend on a token and its neighbours alone, so they are computed once per
     distinct type: the count tables meet the types, which are stored (a reliable checkpoint).
     The types that make up more than one in ``HOT_SHARE`` token rows (there are fewer than
     ``HOT_SHARE`` of those) go to every task, which looks its tokens up. Only the other
@@ -181,42 +200,41 @@ def request_losses(texts: DataFrame, df: DataFrame, model: CountModel, losses: d
     for name, kind in losses.items():
         scored = LOSSES[kind][1](scored.select(*keys, "n", *[c for c in losses if c in scored.columns]), model).withColumnRenamed("nll", name)
     exact = {c: F.rint(F.col(c) * GRAIN) / GRAIN for c in losses}
-    scored = scored.select(F.concat_ws(" ", *keys).alias("type"), "n",
-                           *[(x if digits is None else F.round(x, digits)).alias(c) for c, x in exact.items()]).checkpoint(eager=True)
+    scored = scored.withColumns({c: x if digits is None else F.round(x, digits) for c, x in exact.items()})
+    values = values or {c: F.col(c) for c in losses}
+    names = list(values)
+    scored = scored.select(F.concat_ws(" ", *keys).alias("type"), "n", *[x.alias(c) for c, x in values.items()]).checkpoint(eager=True)
     total = scored.select(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
-    frequent = scored.filter(hot).select("type", *losses).toArrow()  # fewer than HOT_SHARE rows
-    seldom = scored.filter(~hot).select("type", *losses)
-    names = list(losses)
+    frequent = scored.filter(hot).select("type", *names).toArrow().combine_chunks()  # fewer than HOT_SHARE rows
+    seldom = scored.filter(~hot).select("type", *names)
 
     def missing(batches: Iterator) -> Iterator:
-        known = frequent.column("type").combine_chunks()
+        known = lookup.whole(frequent.column("type"))
         for batch in batches:
             for b in lookup.parts(batch):
                 row, _, _, kind = _located(b.column("words"), keys)
                 yield from lookup.missing(b.column("partner"), row, kind, known, "type")
 
     def fill(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        known = frequent.column("type").combine_chunks()
-        values = [frequent.column(c).to_numpy() for c in names]
+        known = lookup.whole(frequent.column("type"))
+        hot_values = [lookup.whole(frequent.column(c)) for c in names]
         for batch in batches:
             for b in lookup.parts(batch):
                 row, pos, tok, kind = _located(b.column("words"), keys)
                 at, own = lookup.places(row, kind, known, b.column("rare") if "rare" in b.schema.names else None, "type")
-                found = [(v if own is None else np.concatenate([v, own.field(c).to_numpy()]))[at] for v, c in zip(values, names)]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)))]).astype(np.int32)
-                token = pa.StructArray.from_arrays([pa.array(pos), tok.cast(pa.string()), *map(pa.array, found)], names=["pos", "tok", *names])
-                yield pa.RecordBatch.from_arrays([b.column("original_index"), pa.ListArray.from_arrays(pa.array(ends), token)],
-                                                 names=["original_index", "tokens"])
+                at = pa.array(at)
+                found = {c: (v if own is None else pa.concat_arrays([v, own.field(c).cast(v.type)])).take(at) for c, v in zip(names, hot_values)}
+                yield from finish(b, row, pos, tok, found)
 
     if not seldom.isEmpty():
-        needed = texts.select("partner", "words").mapInArrow(missing, "partner string, type string")
+        # by text, not by index: the texts aren't gathered for that
+        needed = marked_texts(df, max_tokens).select("partner", "words").mapInArrow(missing, "partner string, type string")
         rare = needed.join(seldom, "type").groupBy("partner").agg(F.collect_set(F.struct("type", *names)).alias("rare"))
         texts = texts.join(rare, "partner", "left")
     index = texts.schema["original_index"].dataType.simpleString()
-    return texts.mapInArrow(fill, f"original_index {index}, tokens array<struct<pos:int,tok:string,{','.join(f'{c}:double' for c in names)}>>")
+    return texts.mapInArrow(fill, f"original_index {index}, {schema}")
 
 
 def with_losses(df: DataFrame, model: CountModel, losses: dict[str, str], max_tokens: int | None = None) -> DataFrame:

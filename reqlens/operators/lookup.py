@@ -16,6 +16,13 @@ def parts(batch) -> Iterator:
         yield batch.slice(at, rows)
 
 
+def whole(column):
+    """A column of a table as one array."""
+    import pyarrow as pa
+
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def missing(partner, row, wanted, known, name: str) -> Iterator:
     """Batches ``(partner, name)`` of the wanted keys that aren't known, once per partner."""
     import numpy as np

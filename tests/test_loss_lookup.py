@@ -50,3 +50,26 @@ def test_explained_arrays_equal_explained_rows(spark, monkeypatch):
         by_arrays = {(r.original_index, r.explained) for r in xp.explain_tokens(arrays, ("html",), gradient=gradient).collect()}
         assert by_rows == by_arrays and len(by_rows) == 4
     assert xp.explain_tokens(arrays, ("terminal", "html", "latex")).count() == 12
+
+
+def test_explained_requests_equal_explained_arrays(spark, monkeypatch):
+    """Markup by type, looked up: the strings and means that the arrays give, also for
+    texts that share an index, a byte-level space, escapes and contrast."""
+    df = spark.createDataFrame([*TEXTS, (6, "a <b> & _c_ $ 5% Ġx a b"), (2, "Ġ < a")], "original_index long, request string")
+    model = lm.fit(df.filter("original_index in (1, 6)"))
+    fmts = ("terminal", "html", "latex")
+    for share in (lm.HOT_SHARE, 8):
+        monkeypatch.setattr(lm, "HOT_SHARE", share)
+        for kind, contrast, gradient in (("causal", 1.0, True), ("masked", 3.0, True), ("causal", 1.0, False), ("masked", 0.5, False)):
+            by_arrays = xp.explain_tokens(xp.request_tokens(model, df, kind), fmts, contrast, gradient)
+            got = xp.explain_requests(model, df, fmts, contrast, gradient, kind)
+            columns = ["original_index", "fmt", "mean_prob", "explained"]
+            assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, by_arrays.select(columns).collect()), key=str)
+
+
+def test_explained_requests_gather_texts_once(spark):
+    """One shuffle of the texts; the tokens' markup isn't made by functions on arrays of rows."""
+    df = requests(spark)
+    model = lm.fit(df.filter("original_index = 1"))
+    plan = xp.explain_requests(model, df, ("html",), gradient=False)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert plan.count("collect_list") <= 2 and "lambdafunction(exp" not in plan.lower()
