@@ -135,10 +135,13 @@ class Stream:
         return keep + p, last[keep], word[keep], (at - closed)[keep]
 
 
-def _contexts(last: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-    keep = [np.uint64((1 << 8 * k) - 1) for k in range(1, 5)]
-    plain = [np.zeros(len(last), np.uint64), *(last & k for k in keep), word]
-    return [mix(c ^ _SALT[i]) if i else np.zeros(len(last), np.uint64) for i, c in enumerate(plain)]
+def _contexts(last: np.ndarray, word: np.ndarray, wanted: list[int] | None = None) -> list[np.ndarray | None]:
+    """The hashed contexts (those wanted)."""
+    def hashed(i: int) -> np.ndarray:
+        if i == 0:
+            return np.zeros(len(last), np.uint64)
+        return mix((word if i == CONTEXTS - 1 else last & np.uint64((1 << 8 * i) - 1)) ^ _SALT[i])
+    return [hashed(i) if wanted is None or i in wanted else None for i in range(CONTEXTS)]
 
 
 def _slots(contexts: list[np.ndarray], node: np.ndarray, wanted: list[int] | None = None) -> Iterator[np.ndarray]:
@@ -168,6 +171,7 @@ _COUNT = np.where(np.arange(1 << 16) < EXACT, np.arange(1 << 16), EXACT * np.exp
 _LOG = np.log(np.maximum(_COUNT, 1)).astype(np.float32)
 _LEVEL = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 128, 1024], _COUNT, side="right").astype(np.int64)
 LEVELS = int(_LEVEL[-1]) + 1
+_ROW = _LEVEL * LEVELS
 STATES = LEVELS * LEVELS
 #: codes below are states; above, the log odds of counts that are all large
 DIRECT = 1 << 12
@@ -181,9 +185,10 @@ def _kept(count: np.ndarray) -> np.ndarray:
 
 def _code(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """What a mixer reads of a slot's counts, given in 16 bits (as integers)."""
-    state = _LEVEL[zero] * LEVELS + _LEVEL[one]
-    direct = DIRECT + ((np.clip(_LOG[one] - _LOG[zero], -16, 16) + 16) * _FINE).astype(np.int64)
-    return np.where((np.minimum(zero, one) >= 4) & (zero + one >= 32), direct, state)
+    out = _ROW[zero] + _LEVEL[one]
+    large = np.flatnonzero((np.minimum(zero, one) >= 4) & (zero + one >= 32))
+    out[large] = DIRECT + ((np.clip(_LOG[one[large]] - _LOG[zero[large]], -16, 16) + 16) * _FINE).astype(np.int64)
+    return out
 
 
 def _first_weights() -> np.ndarray:
@@ -247,18 +252,19 @@ class Mixer:
         low = at.astype(np.int64)
         return (last & np.uint64(255)).astype(np.int64), low, at - low
 
-    def learn(self, tables: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray, times: np.ndarray) -> None:
+    def learn(self, pairs: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray, times: np.ndarray) -> None:
         """One online pass over contexts and the bytes that followed; each
-        occurrence is taken out of the counts that predict it."""
+        occurrence is taken out of the counts (:func:`paired`) that predict it."""
         for at in range(0, len(last), STEP_ROWS):
             own = slice(at, at + STEP_ROWS)
             contexts, n = _contexts(last[own], word[own]), times[own].astype(np.float64)
             for k, node, bit in _choices(byte[own].astype(np.int64)):
-                states = []
+                states, off, on = [], bit == 0, bit == 1
                 for s in _slots(contexts, node):
-                    zero, one = (t[s].astype(np.int64) for t in tables)
-                    zero -= (bit == 0) & (zero > 0) & (zero < EXACT)
-                    one -= (bit == 1) & (one > 0) & (one < EXACT)
+                    both = pairs[s]
+                    zero, one = (both & 0xFFFF).astype(np.int64), (both >> 16).astype(np.int64)
+                    zero -= off & (zero > 0) & (zero < EXACT)
+                    one -= on & (one > 0) & (one < EXACT)
                     states.append(_code(zero, one))
                 x, gate, z = self.mixed(states, k)
                 error = (bit - 1 / (1 + np.exp(-z))) * n
@@ -266,10 +272,12 @@ class Mixer:
                 self.mass += mass
                 for i in range(CONTEXTS + 1):
                     self.weights[:, i] += RATE * np.bincount(gate, error * x[i], GATES) / np.maximum(mass, 1e-9)
+                ones = n * bit
                 for i, s in enumerate(states):
-                    few = s < STATES
-                    self.state_seen[i * 8 + k] += np.bincount(s[few], n[few], STATES)
-                    self.state_ones[i * 8 + k] += np.bincount(s[few], (n * bit)[few], STATES)
+                    few = np.flatnonzero(s < STATES)
+                    own_state, own_n = s[few], n[few]
+                    self.state_seen[i * 8 + k] += np.bincount(own_state, own_n, STATES)
+                    self.state_ones[i * 8 + k] += np.bincount(own_state, ones[few], STATES)
                 c, low, part = self.place(z, last[own])
                 for to, share in ((c * MAP_STEPS + low, 1 - part), (c * MAP_STEPS + low + 1, part)):
                     self.seen += np.bincount(to, n * share, self.seen.size).reshape(self.seen.shape)
@@ -313,6 +321,11 @@ _STRENGTH = np.full(1 << 16, 3, np.int64)
 _STRENGTH[:STATES] = np.searchsorted([1, 3, 8], np.arange(STATES) // LEVELS + np.arange(STATES) % LEVELS, side="right")
 
 
+def paired(tables: np.ndarray) -> np.ndarray:
+    """The counts of zeros (low half) and ones of every slot, side by side in memory."""
+    return np.ascontiguousarray(tables.T).view(np.uint32).ravel()
+
+
 def slot_codes(tables: np.ndarray) -> np.ndarray:
     """The code of every slot (two bytes)."""
     out = np.empty(tables.shape[1], np.uint16)
@@ -399,9 +412,9 @@ def _bit_tables(rows: DataFrame, n_rows: int) -> np.ndarray:
                     yield from emptied(tables)
                     tables[own] = np.zeros(2 * SECTION, np.int64)
                 table, low = tables[own], own * SECTION
+                wanted = [i for i in range(CONTEXTS) if _BASE[i] < low + SECTION and _BASE[i + 1] > low]
                 for last, word, byte, n in _learning_rows(batch.filter(pa.array(section == own))):
-                    contexts, n = _contexts(last, word), n.astype(np.int64)
-                    wanted = [i for i in range(CONTEXTS) if _BASE[i] < low + SECTION and _BASE[i + 1] > low]
+                    contexts, n = _contexts(last, word, wanted), n.astype(np.int64)
                     for _, node, bit in _choices(byte.astype(np.int64)):
                         for s in _slots(contexts, node, wanted):
                             s = s - low
@@ -437,6 +450,84 @@ def _bit_tables(rows: DataFrame, n_rows: int) -> np.ndarray:
     return out
 
 
+class Known:
+    """Places of 64-bit keys: found by one look at a table of slots; where keys
+    share a slot, by a search."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys  # sorted
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        slots = self.slot(keys)
+        self.at = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.at[slots] = np.arange(len(keys))
+        self.shared = np.bincount(slots, minlength=len(self.at)) > 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _NODE) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the key is known); places of unknown keys mean nothing."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        slots = self.slot(keys)
+        at = self.at[slots]
+        found = self.keys[at] == keys
+        lost = np.flatnonzero(~found)
+        lost = lost[self.shared[slots[lost]]]
+        if len(lost):
+            again = np.minimum(np.searchsorted(self.keys, keys[lost]), len(self.keys) - 1)
+            at[lost], found[lost] = again, self.keys[again] == keys[lost]
+        return at, found
+
+
+def _tails(m: Mixer, table: np.ndarray, tokens: pa.Array) -> np.ndarray:
+    """Of each token log10 of the bytes (and the space) that follow its first
+    four: they depend on the token alone."""
+    stream = Stream(Words(pa.array([b" ".join(tokens.to_pylist())], pa.binary()), NOT_SPACE, lower=False))
+    out = np.zeros(len(stream.word))
+    for p, q in stream.parts():
+        at, last, word, known = stream.rows(p, q)
+        far = known >= LEAD
+        of = np.searchsorted(stream.word, at[far], side="right") - 1
+        out += np.bincount(of, m.log10(table, last[far], word[far], stream.buf[at[far]]), len(out))
+    return out
+
+
+def _head_scores(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10), by key: of beginnings (``key``: the byte that follows four) and of
+    tokens (``key``: the hash) what the model gives them; ``rows`` are bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, fitted = shared.value
+        m, table = Mixer(fitted), _unpacked(packed)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                if part.schema.get_field_index("token") >= 0:
+                    value = _tails(m, table, part.column("token"))
+                else:
+                    value = np.concatenate([m.log10(table, last, word, byte) for last, word, byte, _ in _learning_rows(
+                        pa.RecordBatch.from_arrays([part.column("key"), pa.nulls(len(part), pa.binary()), pa.array(np.ones(len(part), np.int64))], ["key", "token", "c"]))])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value)], ["key", "value"])
+
+    got = rows.mapInArrow(frugal(run), "key bigint, value double").toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("value").to_numpy()[order]
+
+
+def _frequent(counts: DataFrame) -> int:
+    """The least count of the frequent ones: as many powers of two as ``HEAD`` rows hold."""
+    sizes = counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+    least, total = 1 << 62, 0
+    for r in sizes:
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = 1 << r["k"]
+    return least
+
+
 def _packed(table: np.ndarray) -> bytes:
     """Most slots of a small corpus are empty."""
     return zlib.compress(np.ascontiguousarray(table).tobytes(), 1)
@@ -449,16 +540,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _fit(rows: DataFrame, tables: np.ndarray) -> dict[str, np.ndarray]:
     """What the mixers learned in all partitions: weights averaged by how much
     each gate was used, counts summed."""
-    shared = rows.sparkSession.sparkContext.broadcast(_packed(tables))
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(paired(tables).view(np.uint16)))
     begin = Mixer().learned
     sizes = {k: v.size for k, v in begin.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tables = Mixer({k: v.copy() for k, v in begin.items()}), _unpacked(shared.value).reshape(2, -1)
+        m, pairs = Mixer({k: v.copy() for k, v in begin.items()}), _unpacked(shared.value).view(np.uint32)
         for batch in batches:
             for part in _learning_rows(batch):
                 mixed = np.random.default_rng(len(part[0])).permutation(len(part[0]))
-                m.learn(tables, *(x[mixed] for x in part))
+                m.learn(pairs, *(x[mixed] for x in part))
         values = np.concatenate([(m.weights * m.mass[:, None] if k == "weights" else m.learned[k] - begin[k]).ravel() for k in sizes])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
@@ -495,35 +586,58 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     lessons = rows.repartition(max(1, -(-n_rows // LESSON)), order).sortWithinPartitions(order, "key", "token")
     fitted = _fit(lessons, tables)
 
-    # the frequent tokens: as many powers of two of the count as fit
-    sizes = tokens.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
-    least, total = 1 << 62, 0
-    for r in sizes:
-        total += r["n"]
-        if total > HEAD:
-            break
-        least = 1 << r["k"]
-    head = tokens.where(F.col("c") >= least).groupBy("hash").agg(F.sum("c").alias("c")).toArrow().sort_by("hash")
-    shared = context.broadcast((_packed(slot_codes(tables)), fitted, head.column("hash").to_numpy(), head.column("c").to_numpy(), n_texts))
+    # what the model gives the frequent tokens and beginnings is computed once
+    least = _frequent(tokens)
+    model = context.broadcast((_packed(slot_codes(tables)), fitted))
+    head = tokens.where(F.col("c") >= least)
+    spread = context.defaultParallelism
+    alone = head.groupBy("hash").agg(F.min("token").alias("token"), F.count("*").alias("n"), F.sum("c").alias("c"))
+    counted = alone.select("hash", "c", F.when(F.octet_length("token") < LEAD, 0.0).alias("tail")).toArrow()
+    hashes = counted.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, logs = hashes[order], np.log10(counted.column("c").to_numpy()[order] + 1.0)
+    tails = counted.column("tail").to_numpy()[order]  # NaN: not scored here
+    scored, values = _head_scores(alone.where((F.octet_length("token") >= LEAD) & (F.col("n") == 1)).select(F.col("hash").alias("key"), "token").repartition(spread, "key"), model)
+    tails[np.searchsorted(hashes, scored)] = values
+    begins, begin_scores = _head_scores(starts.where(F.col("c") >= _frequent(starts)).select("key").repartition(spread, "key"), model)
+    shared = context.broadcast((hashes, logs, tails, begins, begin_scores, n_texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, fitted, known, counts, n_texts = shared.value
+        (packed, fitted), (hashes, head_logs, tails, begins, begin_scores, n_texts) = model.value, shared.value
         m, states = Mixer(fitted), _unpacked(packed)
+        known, begins = Known(hashes), Known(begins)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 w = Words(part.column("text"), NOT_SPACE)
                 stream, total = Stream(w), np.zeros(len(w.count))
+                h = w.hashes()
+                size = w.end - w.start
+                i, known_word = known.find(h)
+                tail = tails[i] if len(tails) else np.zeros(len(h))
+                # bytes after the first four of other words are scored one by one
+                new = np.flatnonzero((~known_word | np.isnan(tail)) & (size >= LEAD))
+                tail[~known_word] = 0.0
+                tail[new] = 0.0
+                change = np.zeros(len(stream.buf) + 1, np.int8)
+                change[stream.word[new] + LEAD] += 1
+                change[stream.word[new] + size[new] + 1] -= 1
+                far = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+                sums = np.concatenate(([0.0], np.cumsum(tail)))
+                total += sums[w.first[1:]] - sums[w.first[:-1]]
                 for p, q in stream.parts():
-                    at, last, word, _ = stream.rows(p, q)
+                    at, last, word, before = stream.rows(p, q)
+                    keep = np.flatnonzero((before < LEAD) | far[at])
+                    at, last, word, near = at[keep], last[keep], word[keep], before[keep] < LEAD
                     byte = stream.buf[at]
-                    sums = np.concatenate(([0.0], np.cumsum(m.remembered(states, last, word, byte))))
+                    j, found = begins.find(last << np.uint64(8) | byte)
+                    value = begin_scores[j] if len(begin_scores) else np.zeros(len(j))
+                    rest = np.flatnonzero(~(found & near))
+                    value[rest] = m.remembered(states, last[rest], word[rest], byte[rest])
+                    sums = np.concatenate(([0.0], np.cumsum(value)))
                     ends = np.searchsorted(at, np.concatenate(([-1], stream.end)), side="right")
                     total += sums[ends[1:]] - sums[ends[:-1]]
-                h = w.hashes().view(np.int64)
-                i = np.searchsorted(known, h)
-                i[i == len(known)] = 0
-                found = known[i] == h if len(known) else np.zeros(len(h), bool)
-                logs = np.concatenate(([0.0], np.cumsum(np.where(found, np.log10(counts[i] + 1.0) if len(known) else 0.0, 0.0))))
+                found, h = known_word, h.view(np.int64)
+                logs = np.concatenate(([0.0], np.cumsum(np.where(found, head_logs[i] if len(head_logs) else 0.0, 0.0))))
                 n_found = np.concatenate(([0], np.cumsum(found)))
                 rest = np.flatnonzero(~found)
                 ends = np.searchsorted(rest, w.first)

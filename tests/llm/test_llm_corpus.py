@@ -338,3 +338,25 @@ def test_slots_count_in_64_bits(spark):
             for s in lm_score._slots(contexts, node):
                 np.add.at(exact, (bit, s), n)
     assert exact.max() >= big and (tables == lm_score._kept(exact.astype(np.float64))).all()
+
+
+def test_lm_scores_by_token_equal_scores_by_byte(spark, monkeypatch):
+    """Frequent tokens and beginnings are scored once and looked up; without any
+    (``HEAD`` 0) every byte is scored where it stands."""
+    rows = [(i, t) for i, t in enumerate(["the older house the river", "a bb ccc dddd eeeee", "", None, "unseen-word THE", "été über the"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for head in (lm_score.HEAD, 8, 0):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        found.append({r.doc_id: tuple(r)[1:] for r in lm_score.score(docs, F.col("doc_id") % 3 != 1).collect()})
+    for other in found[1:]:
+        assert all(found[0][k] == pytest.approx(other[k], rel=1e-9) for k in found[0]) and len(other) == len(rows)
+
+
+def test_known_keys_that_share_slots():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    known = lm_score.Known(keys)
+    assert known.shared.any()
+    at, found = known.find(np.concatenate((keys[::-1], keys + np.uint64(1))))
+    assert found[:len(keys)].all() and (at[:len(keys)] == np.arange(len(keys))[::-1]).all()
+    assert (found[len(keys):] == np.isin(keys + np.uint64(1), keys)).all()
