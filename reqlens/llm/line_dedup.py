@@ -83,11 +83,10 @@ class Lines(Words):
                     # the last ``extra`` segments are one longer
                     length = short + (i >= edits + 1 - extra)
                     place = i * short + np.maximum(0, i - (edits + 1 - extra))
-                    low = np.maximum(place - i, place + less - (edits - i))
-                    high = np.minimum(place + i, place + less + (edits - i))
-                    for shift in (0,) if own_only else range(-edits, edits + less + 1):
+                    # edits before and after the segment allow these shifts, whatever the line
+                    for shift in (0,) if own_only else range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                         at = place + shift
-                        k = np.flatnonzero((at >= np.maximum(low, 0)) & (at <= np.minimum(high, size - length)))
+                        k = np.flatnonzero((at >= 0) & (at <= size - length))
                         line.append(mine[k])
                         begin.append(start[k] + at[k])
                         end.append(start[k] + at[k] + length[k])
