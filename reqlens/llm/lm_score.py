@@ -23,7 +23,9 @@ What is learned, over all training texts:
 
 Tables and weights have a fixed size and are broadcast. Tokens of the scored texts
 are looked up among the most frequent ones (at most ``HEAD``, broadcast); the rest
-joins the token counts by a shuffle.
+joins the token counts by a shuffle. A word's score is that of its beginning (up to
+four bytes, after the four before them), which a task remembers in a table of a fixed
+size, and that of its tail (after four bytes), computed once for every token.
 
 Tokens are told apart by 64-bit hashes. Defined results: null texts are empty (the
 end token alone); documents without id are scored but never learned from, and
@@ -34,11 +36,11 @@ token and the model uninformed. Repeated rows keep their rows.
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ from reqlens.llm.util import frugal, stored, work_dir
 SLICE = 1 << 20
 #: bytes whose contexts are computed at once (some 100 bytes of memory each)
 PART_BYTES = 1 << 18
-#: bytes in their contexts whose probability a task remembers
-REMEMBERED = 1 << 21
+#: log2 of the scores that a task remembers: of beginnings, and of bytes in their contexts
+BEGINNINGS, BYTES = 20, 20
+#: text bytes whose tokens and beginnings are counted at once
+COUNT_SLICE = 1 << 22
 END = 0xFF  # in no UTF-8 text
 LEAD = 4
 #: log2 of the slots: no context, 1, 2, 3, 4 bytes, the word so far
@@ -61,6 +65,8 @@ SECTION = 1 << 22
 #: rows for a counting task of a section, and the most such tasks
 COUNT_ROWS, COUNT_TASKS = 1_000_000, 64
 CHUNK = 1 << 16
+#: tokens whose tails a task computes
+TAIL_ROWS = 200_000
 #: rows that one mixer learns from
 LESSON = 50_000
 GATES = 8 * 4 * 4
@@ -83,21 +89,20 @@ class Stream:
     each word and a space, an end byte."""
 
     def __init__(self, w: Words) -> None:
-        size = w.end - w.start
-        doc = w.text_of()
+        self.size = w.end - w.start
         n = len(w.count)
-        before = np.cumsum(size + 1) - (size + 1)
-        self.word = before + (LEAD + 1) * doc + LEAD  # where each word begins
-        total = int(size.sum()) + len(size) + (LEAD + 1) * n
-        self.buf = np.full(total, END, np.uint8)
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.buf[np.repeat(self.word, size) + place] = w.buf[np.repeat(w.start, size) + place]
-        self.buf[self.word + size] = 0x20
-        sums = np.concatenate(([0], np.cumsum(size + 1)))
+        sums = np.concatenate(([0], np.cumsum(self.size + 1)))
+        self.word = sums[:-1] + (LEAD + 1) * w.text_of() + LEAD  # where each word begins
         self.end = sums[w.first[1:]] + (LEAD + 1) * np.arange(1, n + 1) - 1  # of each text's end byte
-        self.scored = np.ones(total, bool)
         begin = sums[w.first[:-1]] + (LEAD + 1) * np.arange(n)
+        total = int(sums[-1]) + (LEAD + 1) * n
+        self.scored = np.ones(total, bool)
         self.scored[(begin[:, None] + np.arange(LEAD)).ravel()] = False
+        inside = self.scored.copy()
+        inside[self.end] = inside[self.word + self.size] = False
+        self.buf = np.full(total, END, np.uint8)
+        self.buf[self.word + self.size] = 0x20
+        self.buf[inside] = w.buf[NOT_SPACE[w.buf]]
 
     def parts(self) -> Iterator[tuple[int, int]]:
         """Ranges of about ``PART_BYTES`` bytes that begin with a word or a text."""
@@ -112,6 +117,16 @@ class Stream:
             yield p, q
             p = q
 
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, and of each text's end byte: the four bytes before it, then its
+        first four (those after its space or end byte are 0), as one integer."""
+        eight = np.ndarray(len(self.buf), ">u8", np.concatenate((self.buf, np.zeros(8, np.uint8))), strides=(1,))
+        word = eight[self.word - LEAD].astype(np.uint64)
+        for size in (1, 2):
+            short = np.flatnonzero(self.size == size)
+            word[short] &= ~np.uint64((1 << 24 - 8 * size) - 1)
+        return word, eight[self.end - LEAD].astype(np.uint64) & ~np.uint64((1 << 24) - 1)
+
     def rows(self, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(position, last four bytes, hash of the word so far, its length) of
         the scored bytes in p..q."""
@@ -135,6 +150,30 @@ class Stream:
         return keep + p, last[keep], word[keep], (at - closed)[keep]
 
 
+def _spelled(beginnings: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which beginning, last four bytes and the next one) of the first bytes, the
+    second ones, and so on."""
+    which = np.arange(len(beginnings))
+    for k in range(LEAD):
+        key = (beginnings[which] >> np.uint64(24 - 8 * k)) & np.uint64((1 << 40) - 1)
+        yield which, key
+        byte = key & np.uint64(255)
+        which = which[(byte != 0x20) & (byte != END)]
+
+
+def _start_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(last four bytes, hash of the word so far, byte) of a beginning's key."""
+    last = key >> np.uint64(8)
+    word = np.zeros(len(key), np.uint64)
+    up, _ = _power_tables(8)
+    for known in (1, 2, 3):  # the word so far lies within the last bytes
+        own = [(last >> np.uint64(8 * k)) & np.uint64(255) for k in range(known + 1)]
+        inside = np.all([(o != 0x20) & (o != END) for o in own[:known]], axis=0) & ((own[known] == 0x20) | (own[known] == END))
+        value = sum((own[known - 1 - j] + np.uint64(1)) * up[j] for j in range(known))
+        word = np.where(inside, value, word)
+    return last, word, (key & np.uint64(255)).astype(np.uint8)
+
+
 def _contexts(last: np.ndarray, word: np.ndarray, wanted: list[int] | None = None) -> list[np.ndarray | None]:
     """The hashed contexts (those wanted)."""
     def hashed(i: int) -> np.ndarray:
@@ -169,9 +208,8 @@ EXACT = 4096
 _FINE = 1500.0
 _COUNT = np.where(np.arange(1 << 16) < EXACT, np.arange(1 << 16), EXACT * np.exp((np.arange(1 << 16) - EXACT) / 4000.0))
 _LOG = np.log(np.maximum(_COUNT, 1)).astype(np.float32)
-_LEVEL = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 128, 1024], _COUNT, side="right").astype(np.int64)
+_LEVEL = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 128, 1024], _COUNT, side="right").astype(np.uint8)
 LEVELS = int(_LEVEL[-1]) + 1
-_ROW = _LEVEL * LEVELS
 STATES = LEVELS * LEVELS
 #: codes below are states; above, the log odds of counts that are all large
 DIRECT = 1 << 12
@@ -185,7 +223,7 @@ def _kept(count: np.ndarray) -> np.ndarray:
 
 def _code(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """What a mixer reads of a slot's counts, given in 16 bits (as integers)."""
-    out = _ROW[zero] + _LEVEL[one]
+    out = _LEVEL[zero].astype(np.int64) * LEVELS + _LEVEL[one]
     large = np.flatnonzero((np.minimum(zero, one) >= 4) & (zero + one >= 32))
     out[large] = DIRECT + ((np.clip(_LOG[one[large]] - _LOG[zero[large]], -16, 16) + 16) * _FINE).astype(np.int64)
     return out
@@ -206,7 +244,7 @@ class Mixer:
     weights by gate, and the final map; all learned online."""
 
     def __init__(self, learned: dict[str, np.ndarray] | None = None) -> None:
-        self.memory = np.empty(0, np.uint64), np.empty(0)
+        self.memory: Remembered | None = None
         if learned is None:
             low = np.array([_COUNT[np.flatnonzero(_LEVEL == i)[0]] for i in range(LEVELS)])
             zero, one = (x.ravel() for x in np.meshgrid(low, low, indexing="ij"))
@@ -252,20 +290,14 @@ class Mixer:
         low = at.astype(np.int64)
         return (last & np.uint64(255)).astype(np.int64), low, at - low
 
-    def learn(self, pairs: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray, times: np.ndarray) -> None:
+    def learn(self, codes: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray, times: np.ndarray) -> None:
         """One online pass over contexts and the bytes that followed; each
-        occurrence is taken out of the counts (:func:`paired`) that predict it."""
+        occurrence is taken out of the counts that predict it (:func:`left_out`)."""
         for at in range(0, len(last), STEP_ROWS):
             own = slice(at, at + STEP_ROWS)
             contexts, n = _contexts(last[own], word[own]), times[own].astype(np.float64)
             for k, node, bit in _choices(byte[own].astype(np.int64)):
-                states, off, on = [], bit == 0, bit == 1
-                for s in _slots(contexts, node):
-                    both = pairs[s]
-                    zero, one = (both & 0xFFFF).astype(np.int64), (both >> 16).astype(np.int64)
-                    zero -= off & (zero > 0) & (zero < EXACT)
-                    one -= on & (one > 0) & (one < EXACT)
-                    states.append(_code(zero, one))
+                states = [codes[2 * s + bit].astype(np.int64) for s in _slots(contexts, node)]
                 x, gate, z = self.mixed(states, k)
                 error = (bit - 1 / (1 + np.exp(-z))) * n
                 mass = np.bincount(gate, n, GATES)
@@ -288,21 +320,9 @@ class Mixer:
     def remembered(self, table: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """``log10``, computed once for each byte in its context while the
         mixer remembers it."""
-        key = mix(mix(last ^ word * _SPREAD) + byte)
-        kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
-        known, values = self.memory
-        at = np.searchsorted(known, kinds)
-        at[at == len(known)] = 0
-        new = known[at] != kinds if len(known) else np.ones(len(kinds), bool)
-        out = np.empty(len(kinds))
-        out[~new] = values[at[~new]]
-        pick = first[new]
-        out[new] = self.log10(table, last[pick], word[pick], byte[pick])
-        if len(known) + len(pick) <= REMEMBERED:
-            keys = np.concatenate((known, kinds[new]))
-            order = np.argsort(keys, kind="stable")
-            self.memory = keys[order], np.concatenate((values, out[new]))[order]
-        return out[of]
+        if self.memory is None:
+            self.memory = Remembered(BYTES)
+        return self.memory.get(mix(mix(last ^ word * _SPREAD) + byte), lambda own: self.log10(table, last[own], word[own], byte[own]))
 
     def log10(self, table: np.ndarray, last: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte, by the slots' codes."""
@@ -321,9 +341,41 @@ _STRENGTH = np.full(1 << 16, 3, np.int64)
 _STRENGTH[:STATES] = np.searchsorted([1, 3, 8], np.arange(STATES) // LEVELS + np.arange(STATES) % LEVELS, side="right")
 
 
-def paired(tables: np.ndarray) -> np.ndarray:
-    """The counts of zeros (low half) and ones of every slot, side by side in memory."""
-    return np.ascontiguousarray(tables.T).view(np.uint32).ravel()
+class Remembered:
+    """The last values computed for 64-bit keys, one for each slot of a table of
+    ``2**bits``."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits)
+        self.keys[0] = ~np.uint64(0)  # key 0 belongs to slot 0: none is known
+
+    def get(self, keys: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The keys' values; ``compute`` gives those at the places it gets."""
+        slots = ((keys * _NODE) >> self.shift).astype(np.int64)
+        out = self.values[slots]
+        lost = np.flatnonzero(self.keys[slots] != keys)
+        if len(lost):
+            _, first, of = np.unique(keys[lost], return_index=True, return_inverse=True)
+            own = lost[first]
+            values = compute(own)
+            out[lost] = values[of]
+            order = np.unique(slots[own], return_index=True)[1]  # one for each slot
+            own = own[order]
+            self.keys[slots[own]], self.values[slots[own]] = keys[own], values[order]
+        return out
+
+
+def left_out(tables: np.ndarray) -> np.ndarray:
+    """The codes of every slot without one 0, and without one 1, side by side: what
+    predicts an occurrence, if its count is exact."""
+    out = np.empty((tables.shape[1], 2), np.uint16)
+    for at in range(0, len(out), 1 << 18):
+        zero, one = (t[at:at + (1 << 18)].astype(np.int64) for t in tables)
+        out[at:at + (1 << 18), 0] = _code(zero - ((zero > 0) & (zero < EXACT)), one)
+        out[at:at + (1 << 18), 1] = _code(zero, one - ((one > 0) & (one < EXACT)))
+    return out.ravel()
 
 
 def slot_codes(tables: np.ndarray) -> np.ndarray:
@@ -334,20 +386,31 @@ def slot_codes(tables: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tokens_at(w: Words, which: np.ndarray) -> pa.Array:
+    """The words of these numbers."""
+    if not len(which):
+        return pa.array([], pa.binary())
+    ends = np.column_stack((w.start, w.end)).astype(np.int32).ravel()  # words and what lies between them
+    parts = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(w.buf))])
+    return parts.take(pa.array(2 * which))
+
+
 def _token_counts(docs: DataFrame) -> DataFrame:
-    """(hash, token, c) of the words of ``text``."""
+    """(hash, token, c, n) of the words of ``text``: how often they occur in texts of
+    which ``training`` holds, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                w = Words(part.column("text"), NOT_SPACE)
-                h, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                raw = w.buf.tobytes()
-                words = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(words, pa.binary()), pa.array(n)],
-                                                 ["hash", "token", "c"])
+            learned = batch.column("training")
+            for own, share in ((learned, 1), (pc.invert(learned), 0)):
+                for part in slices(batch.filter(own), "text", COUNT_SLICE):
+                    w = Words(part.column("text"), NOT_SPACE)
+                    h, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _tokens_at(w, first), pa.array(n * share), pa.array(n)],
+                                                     ["hash", "token", "c", "n"])
 
-    return docs.mapInArrow(frugal(run), "hash bigint, token binary, c bigint").groupBy("hash", "token").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(frugal(run), "hash bigint, token binary, c bigint, n bigint") \
+        .groupBy("hash", "token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def _start_counts(docs: DataFrame) -> DataFrame:
@@ -356,13 +419,10 @@ def _start_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                stream = Stream(Words(part.column("text"), NOT_SPACE))
-                for p, q in stream.parts():
-                    at, last, _, known = stream.rows(p, q)
-                    near = known < LEAD
-                    key, n = np.unique(last[near] << np.uint64(8) | stream.buf[at[near]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "c"])
+            for part in slices(batch, "text", COUNT_SLICE):
+                begun = np.concatenate(Stream(Words(part.column("text"), NOT_SPACE)).beginnings())
+                key, n = np.unique(np.concatenate([k for _, k in _spelled(begun)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "c"])
 
     return docs.mapInArrow(frugal(run), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -376,16 +436,7 @@ def _learning_rows(batch: pa.RecordBatch, limit: int = 20_000) -> Iterator[tuple
         keys = part.column("key")
         starts = np.asarray(keys.is_valid())
         if starts.any():
-            key = keys.filter(keys.is_valid()).to_numpy().view(np.uint64)
-            last = key >> np.uint64(8)
-            word = np.zeros(len(key), np.uint64)
-            up, _ = _power_tables(8)
-            for known in (1, 2, 3):  # the word so far lies within the last bytes
-                own = [(last >> np.uint64(8 * k)) & np.uint64(255) for k in range(known + 1)]
-                inside = np.all([(o != 0x20) & (o != END) for o in own[:known]], axis=0) & ((own[known] == 0x20) | (own[known] == END))
-                value = sum((own[known - 1 - j] + np.uint64(1)) * up[j] for j in range(known))
-                word = np.where(inside, value, word)
-            yield last, word, (key & np.uint64(255)).astype(np.uint8), times[starts]
+            yield *_start_rows(keys.filter(keys.is_valid()).to_numpy().view(np.uint64)), times[starts]
         if not starts.all():
             tokens = part.column("token").filter(pa.array(~starts))
             w = Words(pa.array([b" ".join(tokens.to_pylist())], pa.binary()), NOT_SPACE, lower=False)
@@ -417,9 +468,12 @@ def _bit_tables(rows: DataFrame, n_rows: int) -> np.ndarray:
                     contexts, n = _contexts(last, word, wanted), n.astype(np.int64)
                     for _, node, bit in _choices(byte.astype(np.int64)):
                         for s in _slots(contexts, node, wanted):
-                            s = s - low
-                            inside = np.flatnonzero((s >= 0) & (s < SECTION))
-                            np.add.at(table, bit[inside] * SECTION + s[inside], n[inside])
+                            place = s + (bit * SECTION - low)
+                            inside = np.flatnonzero((s >= low) & (s < low + SECTION))
+                            if len(inside) == len(s):
+                                np.add.at(table, place, n)
+                            else:
+                                np.add.at(table, place[inside], n[inside])
         yield from emptied(tables)
 
     def emptied(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -429,11 +483,11 @@ def _bit_tables(rows: DataFrame, n_rows: int) -> np.ndarray:
             for c in range(0, min(SECTION, size - own * SECTION), CHUNK):
                 part = np.ascontiguousarray(table[:, c:c + CHUNK])
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([own * SECTION + c]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                    yield pa.RecordBatch.from_arrays([pa.array([own * SECTION + c]), pa.array([_packed(part)], pa.binary())],
                                                      ["chunk", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in group.column("counts"))
+        total = sum(_unpacked(x.as_py(), np.int64) for x in group.column("counts"))
         return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([_kept(total.astype(np.float64)).tobytes()], pa.binary())})
 
     schema = "chunk bigint, counts binary"
@@ -489,13 +543,37 @@ def _tails(m: Mixer, table: np.ndarray, tokens: pa.Array) -> np.ndarray:
         at, last, word, known = stream.rows(p, q)
         far = known >= LEAD
         of = np.searchsorted(stream.word, at[far], side="right") - 1
-        out += np.bincount(of, m.log10(table, last[far], word[far], stream.buf[at[far]]), len(out))
+        out += np.bincount(of, m.remembered(table, last[far], word[far], stream.buf[at[far]]), len(out))
     return out
 
 
-def _head_scores(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, log10), by key: of beginnings (``key``: the byte that follows four) and of
-    tokens (``key``: the hash) what the model gives them; ``rows`` are bounded."""
+class Beginnings:
+    """What the model gives the beginnings of words: frequent bytes of them are looked
+    up, others computed; the sum is remembered."""
+
+    def __init__(self, m: Mixer, table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        self.m, self.table = m, table
+        self.known, self.values = Known(keys), values
+        self.memory = Remembered(BEGINNINGS)
+
+    def scores(self, begun: np.ndarray) -> np.ndarray:
+        """Of beginnings as ``Stream.beginnings`` gives them."""
+        return self.memory.get(begun, lambda own: self.spelled(begun[own]))
+
+    def spelled(self, begun: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(begun))
+        for which, key in _spelled(begun):
+            j, found = self.known.find(key)
+            value = self.values[j] if len(self.values) else np.zeros(len(j))
+            rest = np.flatnonzero(~found)
+            value[rest] = self.m.remembered(self.table, *_start_rows(key[rest]))
+            out[which] += value
+        return out
+
+
+def _start_scores(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10), by key: of the bytes that follow four what the model gives them;
+    ``rows`` are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, fitted = shared.value
@@ -503,11 +581,7 @@ def _head_scores(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
-                if part.schema.get_field_index("token") >= 0:
-                    value = _tails(m, table, part.column("token"))
-                else:
-                    value = np.concatenate([m.log10(table, last, word, byte) for last, word, byte, _ in _learning_rows(
-                        pa.RecordBatch.from_arrays([part.column("key"), pa.nulls(len(part), pa.binary()), pa.array(np.ones(len(part), np.int64))], ["key", "token", "c"]))])
+                value = m.log10(table, *_start_rows(part.column("key").to_numpy().view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value)], ["key", "value"])
 
     got = rows.mapInArrow(frugal(run), "key bigint, value double").toArrow()
@@ -516,9 +590,24 @@ def _head_scores(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], got.column("value").to_numpy()[order]
 
 
-def _frequent(counts: DataFrame) -> int:
+def _tail_scores(tokens: DataFrame, shared) -> DataFrame:
+    """(hash, c, n, tail) of (hash, token, c, n): log10 of what follows the token's first four bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, fitted = shared.value
+        m, table = Mixer(fitted), _unpacked(packed)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                tail = pa.array(_tails(m, table, part.column("token")))
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("c"), part.column("n"), tail], ["hash", "c", "n", "tail"])
+
+    return tokens.mapInArrow(frugal(run), "hash bigint, c bigint, n bigint, tail double")
+
+
+def _frequent(counts: DataFrame, count: str) -> int:
     """The least count of the frequent ones: as many powers of two as ``HEAD`` rows hold."""
-    sizes = counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+    sizes = counts.groupBy(F.floor(F.log2(count)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
     least, total = 1 << 62, 0
     for r in sizes:
         total += r["n"]
@@ -529,27 +618,27 @@ def _frequent(counts: DataFrame) -> int:
 
 
 def _packed(table: np.ndarray) -> bytes:
-    """Most slots of a small corpus are empty."""
-    return zlib.compress(np.ascontiguousarray(table).tobytes(), 1)
+    """Most slots of a small corpus are empty. The size comes first."""
+    return table.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(table), codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint16)
+def _unpacked(raw: bytes, dtype: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), "zstd"), dtype)
 
 
 def _fit(rows: DataFrame, tables: np.ndarray) -> dict[str, np.ndarray]:
     """What the mixers learned in all partitions: weights averaged by how much
     each gate was used, counts summed."""
-    shared = rows.sparkSession.sparkContext.broadcast(_packed(paired(tables).view(np.uint16)))
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(left_out(tables)))
     begin = Mixer().learned
     sizes = {k: v.size for k, v in begin.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pairs = Mixer({k: v.copy() for k, v in begin.items()}), _unpacked(shared.value).view(np.uint32)
+        m, codes = Mixer({k: v.copy() for k, v in begin.items()}), _unpacked(shared.value)
         for batch in batches:
             for part in _learning_rows(batch):
                 mixed = np.random.default_rng(len(part[0])).permutation(len(part[0]))
-                m.learn(pairs, *(x[mixed] for x in part))
+                m.learn(codes, *(x[mixed] for x in part))
         values = np.concatenate([(m.weights * m.mass[:, None] if k == "weights" else m.learned[k] - begin[k]).ravel() for k in sizes])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
@@ -570,75 +659,52 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     the model is learned from the rows where ``training`` holds."""
     folder = work_dir(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    texts = docs.where(training).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     tokens = stored(_token_counts(texts), folder, "tokens")
-    starts = stored(_start_counts(texts), folder, "starts")
-    n_texts = texts.count()
-    words, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    starts = stored(_start_counts(texts.where("training").select("text")), folder, "starts")
+    n_texts = texts.where("training").count()
+    words, kinds, every = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
     n, v = words + n_texts, kinds + (n_texts > 0)
     unseen = math.log10(n + v + 1)
 
     rows = starts.select("key", F.lit(None).cast("binary").alias("token"), "c") \
-        .unionByName(tokens.where(F.octet_length("token") >= LEAD).select(F.lit(None).cast("bigint").alias("key"), "token", "c"))
+        .unionByName(tokens.where((F.octet_length("token") >= LEAD) & (F.col("c") > 0)).select(F.lit(None).cast("bigint").alias("key"), "token", "c"))
     n_rows = rows.count()
     tables = _bit_tables(rows, n_rows)
     order = F.xxhash64("key", "token")
     lessons = rows.repartition(max(1, -(-n_rows // LESSON)), order).sortWithinPartitions(order, "key", "token")
     fitted = _fit(lessons, tables)
 
-    # what the model gives the frequent tokens and beginnings is computed once
-    least = _frequent(tokens)
+    # what the model gives tokens and frequent beginnings is computed once
     model = context.broadcast((_packed(slot_codes(tables)), fitted))
-    head = tokens.where(F.col("c") >= least)
     spread = context.defaultParallelism
-    alone = head.groupBy("hash").agg(F.min("token").alias("token"), F.count("*").alias("n"), F.sum("c").alias("c"))
-    counted = alone.select("hash", "c", F.when(F.octet_length("token") < LEAD, 0.0).alias("tail")).toArrow()
-    hashes = counted.column("hash").to_numpy().view(np.uint64)
+    alone = tokens.groupBy("hash").agg(F.min("token").alias("token"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    tails = stored(_tail_scores(alone.repartition(max(spread, -(-every // TAIL_ROWS)), "hash"), model), folder, "tails")
+    least = _frequent(tails, "n")
+    head = tails.where(F.col("n") >= least).select("hash", "c", "tail").toArrow()
+    hashes = head.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    hashes, logs = hashes[order], np.log10(counted.column("c").to_numpy()[order] + 1.0)
-    tails = counted.column("tail").to_numpy()[order]  # NaN: not scored here
-    scored, values = _head_scores(alone.where((F.octet_length("token") >= LEAD) & (F.col("n") == 1)).select(F.col("hash").alias("key"), "token").repartition(spread, "key"), model)
-    tails[np.searchsorted(hashes, scored)] = values
-    begins, begin_scores = _head_scores(starts.where(F.col("c") >= _frequent(starts)).select("key").repartition(spread, "key"), model)
-    shared = context.broadcast((hashes, logs, tails, begins, begin_scores, n_texts))
+    hashes, logs, head_tails = hashes[order], np.log10(head.column("c").to_numpy()[order] + 1.0), head.column("tail").to_numpy()[order]
+    begins, begin_scores = _start_scores(starts.where(F.col("c") >= _frequent(starts, "c")).select("key").repartition(spread, "key"), model)
+    shared = context.broadcast((hashes, logs, head_tails, begins, begin_scores, n_texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (packed, fitted), (hashes, head_logs, tails, begins, begin_scores, n_texts) = model.value, shared.value
-        m, states = Mixer(fitted), _unpacked(packed)
-        known, begins = Known(hashes), Known(begins)
+        (packed, fitted), (hashes, head_logs, head_tails, begins, begin_scores, n_texts) = model.value, shared.value
+        known, begun = Known(hashes), Beginnings(Mixer(fitted), _unpacked(packed), begins, begin_scores)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 w = Words(part.column("text"), NOT_SPACE)
-                stream, total = Stream(w), np.zeros(len(w.count))
                 h = w.hashes()
-                size = w.end - w.start
-                i, known_word = known.find(h)
-                tail = tails[i] if len(tails) else np.zeros(len(h))
-                # bytes after the first four of other words are scored one by one
-                new = np.flatnonzero((~known_word | np.isnan(tail)) & (size >= LEAD))
-                tail[~known_word] = 0.0
-                tail[new] = 0.0
-                change = np.zeros(len(stream.buf) + 1, np.int8)
-                change[stream.word[new] + LEAD] += 1
-                change[stream.word[new] + size[new] + 1] -= 1
-                far = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
-                sums = np.concatenate(([0.0], np.cumsum(tail)))
-                total += sums[w.first[1:]] - sums[w.first[:-1]]
-                for p, q in stream.parts():
-                    at, last, word, before = stream.rows(p, q)
-                    keep = np.flatnonzero((before < LEAD) | far[at])
-                    at, last, word, near = at[keep], last[keep], word[keep], before[keep] < LEAD
-                    byte = stream.buf[at]
-                    j, found = begins.find(last << np.uint64(8) | byte)
-                    value = begin_scores[j] if len(begin_scores) else np.zeros(len(j))
-                    rest = np.flatnonzero(~(found & near))
-                    value[rest] = m.remembered(states, last[rest], word[rest], byte[rest])
-                    sums = np.concatenate(([0.0], np.cumsum(value)))
-                    ends = np.searchsorted(at, np.concatenate(([-1], stream.end)), side="right")
-                    total += sums[ends[1:]] - sums[ends[:-1]]
-                found, h = known_word, h.view(np.int64)
-                logs = np.concatenate(([0.0], np.cumsum(np.where(found, head_logs[i] if len(head_logs) else 0.0, 0.0))))
-                n_found = np.concatenate(([0], np.cumsum(found)))
+                i, found = known.find(h)
+                starting, ending = Stream(w).beginnings()
+                value = begun.scores(starting)
+                value += np.where(found, head_tails[i] if len(head_tails) else 0.0, 0.0)
+                sums = np.concatenate(([0.0], np.cumsum(value)))
+                total = sums[w.first[1:]] - sums[w.first[:-1]] + begun.scores(ending)
+                h = h.view(np.int64)
+                log = np.where(found, head_logs[i] if len(head_logs) else 0.0, 0.0)
+                logs = np.concatenate(([0.0], np.cumsum(log)))
+                n_found = np.concatenate(([0], np.cumsum(log > 0)))  # those counted in training
                 rest = np.flatnonzero(~found)
                 ends = np.searchsorted(rest, w.first)
                 end_log = math.log10(n_texts + 1)
@@ -653,10 +719,11 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
         .mapInArrow(frugal(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens bigint, n_known bigint, "
                          "logs double, score double, rest array<bigint>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), folder, "scored")
-    by_hash = tokens.where(F.col("c") < least).groupBy("hash").agg(F.sum("c").alias("c"))
-    rest = first.select("row", F.explode("rest").alias("hash")).join(by_hash, "hash") \
-        .groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    rest = first.select("row", F.explode("rest").alias("hash")).join(tails.where(F.col("n") < least), "hash") \
+        .groupBy("row").agg(F.count(F.when(F.col("c") > 0, 1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"),
+                            F.sum("tail").alias("more_score"))
     return first.drop("rest").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * unseen).alias("base_score"), "score")
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * unseen).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

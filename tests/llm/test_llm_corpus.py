@@ -360,3 +360,63 @@ def test_known_keys_that_share_slots():
     at, found = known.find(np.concatenate((keys[::-1], keys + np.uint64(1))))
     assert found[:len(keys)].all() and (at[:len(keys)] == np.arange(len(keys))[::-1]).all()
     assert (found[len(keys):] == np.isin(keys + np.uint64(1), keys)).all()
+
+
+def test_lm_codes_without_one_occurrence():
+    """What predicts an occurrence while learning is read from one table: the counts but for that one."""
+    r = np.random.default_rng(3)
+    tables = r.choice(np.array([0, 1, 2, 5, 40, lm_score.EXACT - 1, lm_score.EXACT, 60_000], np.uint16), size=(2, 500))
+    codes = lm_score.left_out(tables)
+    for slot in range(500):
+        for bit in (0, 1):
+            counts = tables[:, slot].astype(np.int64)
+            if 0 < counts[bit] < lm_score.EXACT:
+                counts[bit] -= 1
+            assert codes[2 * slot + bit] == lm_score._code(counts[:1], counts[1:])[0]
+
+
+def test_lm_beginnings_are_scored_once():
+    """Beginnings of words hold the bytes that depend on the text before; the model is
+    asked once for each byte in its context, and not again for words it remembers."""
+    texts = ["the a of été theory", "", "a bb ccc dddd eeeee", "the a of the a"] * 3
+    stream = lm_score.Stream(lm_score.Words(lm_score.pa.array(texts), lm_score.NOT_SPACE))
+    at, last, word, known = stream.rows(0, len(stream.buf))
+    near = known < lm_score.LEAD
+    expected = Counter(zip(last[near].tolist(), word[near].tolist(), stream.buf[at[near]].tolist()))
+    words_begun, ended = stream.beginnings()
+    begun = np.concatenate((words_begun, ended))
+    found, asked = Counter(), []
+    for _, key in lm_score._spelled(begun):
+        found.update(zip(*(x.tolist() for x in lm_score._start_rows(key))))
+    assert found == expected
+
+    class Asked(lm_score.Mixer):
+        def log10(self, table, last, word, byte):
+            asked.extend(zip(last.tolist(), word.tolist(), byte.tolist()))
+            return super().log10(table, last, word, byte)
+
+    table = np.random.default_rng(4).integers(0, lm_score.STATES, size=int(lm_score._BASE[-1])).astype(np.uint16)
+    m, nothing = Asked(), np.empty(0)
+    scores = lm_score.Beginnings(m, table, nothing.astype(np.uint64), nothing)
+    total = scores.scores(begun).sum()
+    assert sorted(asked) == sorted(expected)  # each once
+    assert scores.scores(begun).sum() == total and len(asked) == len(expected)
+    assert total == pytest.approx(lm_score.Mixer().log10(table, last[near], word[near], stream.buf[at[near]]).sum(), rel=1e-9)
+
+
+def test_lm_remembered_values():
+    """Keys that share a slot, and key 0, have their own values."""
+    memory = lm_score.Remembered(3)
+    r, computed = np.random.default_rng(5), 0
+
+    def value(own):
+        nonlocal computed
+        computed += len(own)
+        return keys[own].astype(np.float64) + 0.5
+    for _ in range(5):
+        keys = r.integers(0, 40, 100).astype(np.uint64)
+        assert (memory.get(keys, value) == keys + 0.5).all()
+    before, keys = computed, keys[-1:]
+    memory.get(keys, value)
+    memory.get(keys, value)
+    assert computed <= before + 1
